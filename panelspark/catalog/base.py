@@ -69,7 +69,9 @@ def closed_sql(sql: str, spec: str) -> str:
             out.append(f"round(CAST({name} AS DOUBLE), {6 if kind == 'f' else int(kind)}) + 0.0 AS {name}")
     ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in need)
     body = sql.strip()
-    body = (f"{body[:4]} {ctes}, {body[4:]}" if body.upper().startswith("WITH") else f"WITH {ctes} {body}") if ctes else body
+    if ctes:
+        head = re.match(r"WITH\s+(RECURSIVE\s+)?", body, re.I)
+        body = f"{head.group(0)} {ctes}, {body[head.end():]}" if head else f"WITH {ctes} {body}"
     return f"SELECT {', '.join(out)} FROM ({body}) AS q"
 
 

@@ -109,7 +109,7 @@ def raw_on(z, excess, vol_ok, use_vol_gate: bool = True) -> Column:
 def within_printed(value, printed) -> Column:
     """Value agrees with a printed decimal text to half a unit in its last place."""
     decimals = F.length(F.coalesce(F.get(F.split(col(printed), r"\."), F.lit(1)), F.lit("")))
-    return F.abs(col(value) - col(printed).cast("double")) <= F.pow(F.lit(10.0), -decimals.cast("double")) * 0.5 + 1e-12
+    return F.abs(col(value) - col(printed).cast("double")) <= F.pow(F.lit(10.0), -decimals.cast("double")) * 0.5 + 1e-9
 
 
 def params_hash(*cols) -> Column:
@@ -118,4 +118,4 @@ def params_hash(*cols) -> Column:
 
 
 def pct_text(x, digits: int = 2, missing: str = "not computable") -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f%%", col(x) * 100.0), F.lit(missing))
+    return F.when(col(x).isNotNull(), F.format_string(f"%.{digits}f%%", col(x) * 100.0)).otherwise(missing)

@@ -28,24 +28,34 @@ def _horner(coeffs, x: Column) -> Column:
     return out
 
 
+def let(x: Column, body) -> Column:
+    """Evaluate x once and use it many times: keeps polynomial expressions small."""
+    return F.transform(F.array(x), body)[0]
+
+
 def norm_cdf(z) -> Column:
-    z = col(z).cast("double")
-    t = 1.0 / (1.0 + AS_P * F.abs(z))
-    tail = F.exp(-z * z / 2.0) / math.sqrt(2 * math.pi) * t * _horner(AS_B[::-1], t)
-    return F.when(z >= 0, 1.0 - tail).otherwise(tail)
+    def of(z):
+        tail = let(1.0 / (1.0 + AS_P * F.abs(z)),
+                   lambda t: F.exp(-z * z / 2.0) / math.sqrt(2 * math.pi) * t * _horner(AS_B[::-1], t))
+        return F.when(z >= 0, 1.0 - tail).otherwise(tail)
+    return let(col(z).cast("double"), of)
 
 
 def norm_ppf(p) -> Column:
     """NULL outside (0, 1)."""
-    p = col(p).cast("double")
     lo = 0.02425
-    inside = F.when((p > 0) & (p < 1), p)
-    q = F.sqrt(-2.0 * F.ln(F.least(inside, 1.0 - inside)))
-    tail = _horner(AC_C, q) / (_horner(AC_D, q) * q + 1.0)
-    c = inside - 0.5
-    r = c * c
-    centre = _horner(AC_A, r) * c / (_horner(AC_B, r) * r + 1.0)
-    return F.when(inside < lo, tail).when(inside > 1 - lo, -tail).otherwise(centre)
+
+    def centre(c):
+        return let(c * c, lambda r: _horner(AC_A, r) * c / (_horner(AC_B, r) * r + 1.0))
+
+    def tail(q):
+        return _horner(AC_C, q) / (_horner(AC_D, q) * q + 1.0)
+
+    def of(p):
+        q = F.sqrt(-2.0 * F.ln(F.least(p, 1.0 - p)))
+        return (F.when((p <= 0) | (p >= 1), F.lit(None).cast("double")).when(p < lo, let(q, tail))
+                 .when(p > 1 - lo, -let(q, tail)).otherwise(let(p - 0.5, centre)))
+    return let(col(p).cast("double"), of)
 
 
 def total_return(r) -> Column:
