@@ -87,9 +87,9 @@ def f19(v):
     return d.select("key", N.band(F.col("cash_like") | F.col("short_duration") | F.col("near_cash"), "asset_class").alias("band"))
 
 
-@query("f20_percent_text", "key txt", "SELECT key, CASE WHEN num%4=1 THEN 'not computable' ELSE printf('%.2f%%', num%97*100/128.0) END AS txt FROM uni_s")
+@query("f20_percent_text", "key txt", "SELECT key, CASE WHEN num%4=1 THEN 'not computable' ELSE printf('%.2f%%', num%97*100/127.0) END AS txt FROM uni_s")
 def f20(v):
-    x = F.when(F.col("num") % 4 != 1, F.col("num") % 97 / F.lit(128.0))
+    x = F.when(F.col("num") % 4 != 1, F.col("num") % 97 / F.lit(127.0))
     return v.uni_s.select("key", X.pct_text(x).alias("txt"))
 
 
