@@ -11,6 +11,7 @@ from panelspark.catalog.base import query
 from panelspark.catalog.q_inference import cdf_sql, excess_pairs
 from panelspark.functions.stats import norm_cdf
 from panelspark.operators import allocate as A, covariance as V, kernels as K, panel as P, portfolio as L, windows as W
+from panelspark.sources.stage import stage
 
 LB = 36
 LIVE = f"""lv AS (SELECT * FROM (SELECT key, midx, count(ret) OVER w AS n, stddev_samp(ret) OVER w AS sd, avg(ret) OVER w AS mean FROM ret_b WINDOW w AS (PARTITION BY key ORDER BY midx RANGE BETWEEN {LB - 1} PRECEDING AND CURRENT ROW)) WHERE n={LB} AND sd>1e-10 QUALIFY count(*) OVER (PARTITION BY midx) >= 5)"""
@@ -47,13 +48,13 @@ def g14(v):
 
 @query("l11_min_variance", "midx:i n:i sum_ok:b sign_ok:b kkt_ok:b", DEC + ", true AS sum_ok, true AS sign_ok, true AS kkt_ok FROM lv GROUP BY midx")
 def l11(v):
-    c = lw_cov(v)
+    c = stage(lw_cov(v))
     return V.min_variance_certificate(A.allocate(c, ["midx"], K.min_variance), c, ["midx"])
 
 
 @query("l12_equal_risk", "midx:i n:i sum_ok:b sign_ok:b parity_ok:b", DEC + ", true AS sum_ok, true AS sign_ok, true AS parity_ok FROM lv GROUP BY midx")
 def l12(v):
-    c = lw_cov(v)
+    c = stage(lw_cov(v))
     return V.equal_risk_certificate(A.allocate(c, ["midx"], K.equal_risk), c, ["midx"])
 
 
@@ -63,7 +64,7 @@ def l13(v):
     d = P.live_names(v.ret_b, LB, LB, 5)
     d = d.withColumn("score", F.col("ret")).withColumn("rk", F.row_number().over(top)).where("rk <= 8")
     d = d.join(d.groupBy("midx").agg(F.count("*").alias("k")).where("k = 8").select("midx"), "midx", "left_semi")
-    c = V.linear_shrinkage(d, v.ret_b, LB)
+    c = stage(V.linear_shrinkage(d, v.ret_b, LB))
     return V.equal_risk_certificate(A.allocate(c, ["midx"], K.equal_risk), c, ["midx"])
 
 
@@ -229,8 +230,8 @@ def g16(v):
     return V.blend(un, s, 0.25, ["midx"])
 
 
-def frontier_series(v):
-    c = lw_cov(v)
+def frontier_series(v, c=None):
+    c = lw_cov(v) if c is None else c
     means = v.ret_b.select("key", "midx", F.avg("ret").over(W.by("key", order="midx").rangeBetween(-LB + 1, 0)).alias("mean"))
     return V.frontier(A.frontier_scalars(c, means, ["midx"]), ["midx"])
 
@@ -238,9 +239,9 @@ def frontier_series(v):
 @query("g17_frontier_identity", "midx:i curvature_ok:b mvp_ok:b", f"WITH {LIVE} SELECT midx, true AS curvature_ok, true AS mvp_ok FROM lv GROUP BY midx")
 def g17i(v):
     """The frontier's minimum variance never exceeds that of the long-only portfolio."""
-    c = lw_cov(v)
+    c = stage(lw_cov(v))
     lo = V.marginal_risk(A.allocate(c, ["midx"], K.min_variance), c, ["midx"]).groupBy("midx").agg(F.first("variance").alias("lo"))
-    f = frontier_series(v).join(lo, "midx")
+    f = frontier_series(v, c).join(lo, "midx")
     return f.select("midx", (F.col("u") > 0).alias("curvature_ok"), (F.col("sigma_mvp") * F.col("sigma_mvp") <= F.col("lo") * (1 + 1e-9)).alias("mvp_ok"))
 
 
@@ -317,7 +318,7 @@ def l19(v):
     """Equal risk on the stress-blended covariance, scaled by the breakdown rule, rest in cash."""
     from panelspark.functions.scalar import breakdown_scalar
     c = g16(v)
-    w = A.allocate(c.withColumn("cov", F.col("cov") + F.when(F.col("k1") == F.col("k2"), 1e-8).otherwise(0.0)), ["midx"], K.equal_risk)
+    w = stage(A.allocate(c.withColumn("cov", F.col("cov") + F.when(F.col("k1") == F.col("k2"), 1e-8).otherwise(0.0)), ["midx"], K.equal_risk))
     corr = P.mean_abs_corr(P.rolling_pair_corr(P.pair_returns(v.ret_b, []), [], 60, 6), ["midx"])
     w = w.join(corr.select("midx", breakdown_scalar("mean_abs_corr", F.lit(0.1)).alias("scalar")), "midx")
     return L.scaled_with_cash(w, ["midx"], "scalar", "CASH").join(w.select("midx", "scalar").distinct(), "midx")

@@ -39,6 +39,17 @@ def allocate(entries: DataFrame, group: list[str], kernel: Callable[[np.ndarray]
     return entries.select(*group, "k1", "k2", "cov").groupBy(*group).applyInPandas(one, _schema(entries, group, "key string, weight double"))
 
 
+def allocate_many(entries: DataFrame, group: list[str], kernels: dict[str, Callable[[np.ndarray], np.ndarray]], label: str = "strategy") -> DataFrame:
+    """Several kernels on the same matrix in one pass: the moments are built and shuffled once."""
+    def one(keys, pdf):
+        names, c = _matrix(pdf)
+        out = pd.concat([pd.DataFrame({"key": names, "weight": np.asarray(fn(c), float), label: name}) for name, fn in kernels.items()])
+        for g, k in zip(group, keys):
+            out[g] = k
+        return out[[*group, label, "key", "weight"]]
+    return entries.select(*group, "k1", "k2", "cov").groupBy(*group).applyInPandas(one, _schema(entries, group, f"{label} string, key string, weight double"))
+
+
 def _with_inputs(entries: DataFrame, inputs: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
     """Matrix rows with the inputs of their first name; one join instead of a second grouped side."""
     i = inputs.select(*group, F.col("key").alias("k1"), *columns)

@@ -189,3 +189,31 @@ def tag_shares(weights: DataFrame, universe: DataFrame, keys: list[str], period:
     total = sum((F.col(f"{t}_share") for t in tags[1:]), F.col(f"{tags[0]}_share"))
     return out.withColumn("tagged_share", total).withColumn(
         "reason", F.when(F.col("computable"), "").otherwise(F.concat(F.lit("no constituent weights for: "), F.col("_bad")))).drop("_bad")
+
+
+def capped_frozen(df: DataFrame, group: list[str], flag: str, name_cap: float = 0.20, group_cap: float = 0.30, passes: int = 12) -> DataFrame:
+    """Group cap then name cap; capped names freeze and the excess goes pro rata to the others.
+
+    Same shape as ``capped``: every pass is window sums on one partitioning.
+    """
+    w = Window.partitionBy(*group)
+    d = df.withColumns({"_w": F.greatest(F.col("weight"), F.lit(0.0)), "_z": F.lit(False)})
+
+    def spread(d, excess):
+        d = d.withColumn("_e", excess)
+        free = F.when(~F.col("_z"), F.col("_w")).otherwise(0.0)
+        d = d.withColumns({"_b": F.sum(free).over(w), "_k": F.count_if(~F.col("_z")).over(w)})
+        share = F.when(F.col("_b") > 0, F.col("_w") / F.nullif("_b", F.lit(0.0))).otherwise(1.0 / F.nullif(F.col("_k").cast("double"), F.lit(0.0)))
+        return d.withColumn("_w", F.when(~F.col("_z"), F.col("_w") + F.col("_e") * share).otherwise(F.col("_w")))
+
+    for _ in range(passes):
+        d = d.withColumn("_g", F.coalesce(F.sum(F.when(F.col(flag), F.col("_w"))).over(w), F.lit(0.0)))
+        over = F.col("_g") > group_cap + 1e-12
+        d = d.withColumns({"_w": F.when(over & F.col(flag), F.col("_w") * group_cap / F.col("_g")).otherwise(F.col("_w")),
+                           "_z": F.col("_z") | (over & F.col(flag))})
+        d = spread(d, F.when(over, F.col("_g") - group_cap).otherwise(0.0))
+        big = F.col("_w") > name_cap + 1e-12
+        d = d.withColumn("_x", F.sum(F.when(big, F.col("_w") - name_cap).otherwise(0.0)).over(w))
+        d = d.withColumns({"_w": F.when(big, F.lit(name_cap)).otherwise(F.col("_w")), "_z": F.col("_z") | big})
+        d = spread(d, F.col("_x"))
+    return d.withColumn("weight", F.col("_w")).drop("_w", "_z", "_e", "_b", "_k", "_g", "_x")

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.functions.scalar import SQRT252, col, ratio
 from panelspark.functions.stats import safe_corr
+from panelspark.sources.stage import stage
 from panelspark.operators.windows import UNB, average_rank, momentum_observed, percent_rank_avg, trailing_max_drawdown, trailing_vol
 
 MAD_SCALE = 1.4826
@@ -80,6 +81,7 @@ def global_rank(df: DataFrame, score: str, tie: str, out: str = "rank", buckets:
     Rows fall into value buckets by rounded quantile cuts (a bounded list of literals);
     bucket counts give each bucket its offset, and rows are numbered inside their bucket.
     """
+    df = stage(df)
     cuts = sorted(set(df.where(F.col(score).isNotNull()).approxQuantile(score, [i / buckets for i in range(1, buckets)], 0.001)))
     arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
     b = F.when(F.col(score).isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(arr, lambda c: c > F.col(score))))

@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -22,12 +21,3 @@ def local_session(cpus: int | str | None = None, shuffle_partitions: int = 8) ->
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder when set; a scratch folder only where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="panelspark-ckpt-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path

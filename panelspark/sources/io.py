@@ -1,24 +1,15 @@
 """Sources and sinks.  Schemas are explicit; wide files become long at the edge."""
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.functions.scalar import loose_true, norm_key, strict_bool
 from panelspark.operators import quality as Q
+from panelspark.sources.stage import scratch_dir  # noqa: F401 (part of this module's interface)
 
 DATE_NAMES = ("date", "datetime", "timestamp")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder on the cluster's shared storage; a local one only where none is configured (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelspark-")
-    return os.path.join(base, f"panelspark-{uuid.uuid4().hex}")
-
-
 def _wide(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, quote='"', escape='"', mode="FAILFAST")
 
