@@ -89,7 +89,7 @@ SC = f"""x AS (SELECT r.key, r.midx, r.month, category, CASE WHEN row_number() O
  FROM ret_s r JOIN px_s USING (key, midx) JOIN uni_s u ON u.key=r.key WINDOW w AS (PARTITION BY r.key ORDER BY midx), v AS (PARTITION BY r.key ORDER BY midx ROWS 11 PRECEDING)),
  m AS (SELECT *, quantile_cont(mom, 0.5) OVER g AS m1, stddev_samp(mom) OVER g AS s1, quantile_cont(nvol, 0.5) OVER g AS m2, stddev_samp(nvol) OVER g AS s2 FROM x WINDOW g AS (PARTITION BY midx, category)),
  d AS (SELECT *, quantile_cont(abs(mom-m1), 0.5) OVER g AS d1, quantile_cont(abs(nvol-m2), 0.5) OVER g AS d2 FROM m WINDOW g AS (PARTITION BY midx, category)),
- sc AS (SELECT key, midx, month, category, 0.6*coalesce(CASE WHEN d1>0 THEN (mom-m1)/(d1*1.4826) WHEN s1>0 THEN (mom-m1)/s1 WHEN m1 IS NOT NULL THEN 0.0 END, 0) + 0.4*coalesce(CASE WHEN d2>0 THEN (nvol-m2)/(d2*1.4826) WHEN s2>0 THEN (nvol-m2)/s2 WHEN m2 IS NOT NULL THEN 0.0 END, 0) AS s, mom IS NOT NULL AS ready FROM d)"""
+ sc AS (SELECT key, midx, month, category, round(0.6*coalesce(CASE WHEN d1>0 THEN (mom-m1)/(d1*1.4826) WHEN s1>0 THEN (mom-m1)/s1 WHEN m1 IS NOT NULL THEN 0.0 END, 0) + 0.4*coalesce(CASE WHEN d2>0 THEN (nvol-m2)/(d2*1.4826) WHEN s2>0 THEN (nvol-m2)/s2 WHEN m2 IS NOT NULL THEN 0.0 END, 0), 9) AS s, mom IS NOT NULL AS ready FROM d)"""
 
 
 def monthly_scores(v, spread=False):
@@ -98,7 +98,7 @@ def monthly_scores(v, spread=False):
     d = d.withColumns({"mom": W.momentum_observed("price", km()), "nvol": -W.trailing_vol("ret", km(), 12, 12.0, min_periods=2)})
     d = d.join(v.uni_s.select("key", "category"), "key")
     z = S.robust_z(d, ["midx", "category"], ["mom", "nvol"], spread=spread)
-    return z.select("key", "midx", "month", "category", "ret", S.composite({"mom": 0.6, "nvol": 0.4}).alias("s"), F.col("mom").isNotNull().alias("ready"))
+    return z.select("key", "midx", "month", "category", "ret", F.round(S.composite({"mom": 0.6, "nvol": 0.4}), 9).alias("s"), F.col("mom").isNotNull().alias("ready"))
 
 
 @query("a08_composite_score", "key month:d category s:f", f"WITH {SC} SELECT * FROM sc WHERE ready")

@@ -6,18 +6,20 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str | None = None, shuffle_partitions: int = 8) -> SparkSession:
+def local_session(cpus: int | str | None = None, shuffle_partitions: int = 8, conf: dict[str, str] | None = None) -> SparkSession:
     """Local session for tests, the oracle check and the bench."""
     os.environ.setdefault("OMP_NUM_THREADS", "1")
     os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
-    spark = (SparkSession.builder.master(f"local[{cpus or '*'}]").appName("panelspark")
+    builder = (SparkSession.builder.master(f"local[{cpus or '*'}]").appName("panelspark")
              .config("spark.sql.shuffle.partitions", shuffle_partitions)
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-             .config("spark.driver.memory", "12g")
-             .getOrCreate())
+             .config("spark.driver.memory", "12g"))
+    for k, v in (conf or {}).items():
+        builder = builder.config(k, v)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
