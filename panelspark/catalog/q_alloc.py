@@ -9,6 +9,7 @@ from pyspark.sql import Window, functions as F
 
 from panelspark.catalog.base import query
 from panelspark.catalog.q_inference import cdf_sql, excess_pairs
+from panelspark.functions.scalar import attach_one
 from panelspark.functions.stats import norm_cdf
 from panelspark.operators import allocate as A, covariance as V, kernels as K, panel as P, portfolio as L, windows as W
 from panelspark.sources.stage import stage
@@ -192,7 +193,7 @@ def stress_months(v, n=24):
     """Per decision: the n past months with the highest trailing market volatility (calendar-sized rows)."""
     m = v.ret_b.groupBy("midx").agg(F.avg("ret").alias("r")).withColumn("vol", W.trailing_vol("r", Window.orderBy("midx"), 12, 12.0, min_periods=3)).where("vol is not null")
     last = m.agg(F.max("midx").alias("last"))
-    d = m.withColumnRenamed("midx", "t").join(F.broadcast(last)).withColumn("midx", F.explode(F.sequence("t", "last")))
+    d = attach_one(m.withColumnRenamed("midx", "t"), last).withColumn("midx", F.explode(F.sequence("t", "last")))
     return d.withColumn("k", F.row_number().over(Window.partitionBy("midx").orderBy(F.desc("vol"), "t"))).where(F.col("k") <= n).select("midx", "t")
 
 
@@ -301,7 +302,7 @@ def l18(v):
     lab = m.select(F.col("midx").alias("t"), (F.col("vol") >= W.expanding_quantile("vol", w1, 0.5, 1, prior=False)).cast("int").alias("regime"))
     r = s.where("ret is not null").select("key", F.col("midx").alias("t"), "ret").join(lab, "t")
     last = r.agg(F.max("t").alias("last"))
-    d = r.join(F.broadcast(last)).withColumn("midx", F.explode(F.sequence("t", "last")))  # calendar-bounded copies of five sleeves
+    d = attach_one(r, last).withColumn("midx", F.explode(F.sequence("t", "last")))  # calendar-bounded copies of five sleeves
     a, b = (d.select("midx", "t", "regime", F.col("key").alias(k), F.col("ret").alias(x)) for k, x in (("k1", "x"), ("k2", "y")))
     cov = a.join(b, ["midx", "regime", "t"]).where("k1 <= k2").groupBy("midx", "regime", "k1", "k2").agg(F.covar_pop("x", "y").alias("cov"), F.count("*").alias("n")).where("n >= 24")
     cov = cov.withColumn("cov", F.col("cov") + F.when(F.col("k1") == F.col("k2"), 1e-8).otherwise(0.0))

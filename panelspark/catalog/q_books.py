@@ -3,7 +3,7 @@ from pyspark.sql import Window, functions as F
 
 from panelspark.catalog import q_alloc as QA, q_inference as QI, q_panel as QP, q_portfolio as QW, q_scores as QS
 from panelspark.catalog.base import query
-from panelspark.functions.scalar import SQRT12
+from panelspark.functions.scalar import attach_one
 from panelspark.operators import allocate as A, calendar as C, covariance as V, kernels as K, panel as P, portfolio as L, quality as Q, scores as S, windows as W
 from panelspark.plans import books as B
 from panelspark.sources.stage import stage
@@ -292,7 +292,7 @@ def b14(v):
     zero = v.ret_b.select(F.lit("CASH").alias("key"), "midx", F.lit(0.0).alias("ret")).distinct()
     ret = v.ret_b.select("key", "midx", "ret").unionByName(zero)
     book = B.run_book(w.withColumn("trial_id", F.lit("resilient")), ret, ["trial_id"], missing="skip")
-    return B.performance(book, ["trial_id"], "midx", "net").join(F.broadcast(cash))  # one row
+    return attach_one(B.performance(book, ["trial_id"], "midx", "net"), cash)
 
 
 # ------------------------------------------------------------------ comparison and gates
@@ -352,7 +352,7 @@ def x03(v):
     registry = {"equal": {"lookback": 24, "floor": 5}, "static": {"lookback": 12, "floor": 1}}
     spec = v.rows("name string, lookback int, floor int", *[(k, p["lookback"], p["floor"]) for k, p in registry.items()])
     n = v.ret_s.agg(F.count_distinct("key").alias("n"))
-    return spec.withColumn("digest", params_hash("lookback", "floor")).join(F.broadcast(n))  # one row
+    return attach_one(spec.withColumn("digest", params_hash("lookback", "floor")), n)
 
 
 @query("x04_rolling_product", "series_id month:d ret_12:f", "SELECT series_id, month, CASE WHEN count(*) OVER w=12 THEN exp(sum(ln(1+ret)) OVER w)-1 END AS ret_12 FROM series WINDOW w AS (PARTITION BY series_id ORDER BY month ROWS 11 PRECEDING)")

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 from panelspark.catalog.base import query
 from panelspark.catalog.q_panel import pairs_vs
 from panelspark.functions import stats as T
-from panelspark.functions.scalar import SQRT12
+from panelspark.functions.scalar import SQRT12, attach_one
 from panelspark.operators import inference as I, panel as P
 
 TWO_PI = math.sqrt(2 * math.pi)
@@ -81,7 +81,7 @@ def trial_stats(v):
     d = P.attach_rate(v.trial_ret, v.rates).withColumn("ex", F.col("ret") - F.col("rate"))
     t = d.groupBy("trial_id").agg(F.count("*").alias("n"), (T.sharpe_excess("ex") / SQRT12).alias("sr"), T.skew_unbiased("ex").alias("sk"), T.kurt_unbiased("ex", excess=False).alias("ku"))
     var = t.agg(F.var_samp("sr").alias("v"), F.count("sr").alias("k"))
-    return t.join(F.broadcast(var)).withColumn("sr0", T.expected_max_sharpe("v", "k"))  # one row
+    return attach_one(t, var).withColumn("sr0", T.expected_max_sharpe("v", "k"))
 
 
 SR0 = f"(sqrt(v)*((1-0.5772156649015329)*{ppf_sql('(1-1.0/k)')}+0.5772156649015329*{ppf_sql('(1-1.0/(k*2.718281828459045))')}))"

@@ -176,7 +176,7 @@ def s12(v):
     rec = v.rows("gate string, mechanical string, composition string, label string", ("demo", "PASS", "PASS", "PASS"))
     S.write_bundle({"returns": v.series}, rec, path, S.provenance(v.series, "series", "month", "orders"))
     n = v.spark.read.parquet(f"{path}/returns").agg(F.count("*").alias("n"))
-    return v.spark.read.schema("gate string, label string").json(f"{path}/record").join(n)
+    return X.attach_one(v.spark.read.schema("gate string, label string").json(f"{path}/record"), n)
 
 
 @query("s13_json_blocks", "strategy month:d key weight:8", "SELECT strategy, month, key, CASE WHEN key='NATION_3' THEN NULL ELSE weight END AS weight FROM weights")
@@ -278,7 +278,7 @@ def q11(v):
         d = P.attach_rate(d, v.rates).withColumn("ex", F.col("ret") - F.col("rate"))
         return d.groupBy(*keys).agg(X.ratio(F.avg("ex"), F.stddev_samp("ex")).alias(names[0]), F.stddev_samp("ret").alias(names[1]))
     book = stat(v.series.where("series_id = 'AUTOMOBILE'").join(months, "month", "left_semi"), [], ("sr0", "sd0"))
-    d = stat(c, ["trial_id"], ("sr", "sd")).join(F.broadcast(book))  # one row
+    d = X.attach_one(stat(c, ["trial_id"], ("sr", "sd")), book)
     r = Q.failure_reasons(sharpe_not_above_book=F.col("sr") <= F.col("sr0"), volatility_not_below_book=F.col("sd") >= F.col("sd0"))
     return d.withColumn("reasons", F.array_join(r, ", ")).withColumn("eligible", F.col("reasons") == "")
 

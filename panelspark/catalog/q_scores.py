@@ -41,7 +41,8 @@ FEATS = """r AS (SELECT key, date, price, volume, price/lag(price) OVER (PARTITI
 SELECT f.key, vol_63, vol_252, maxdd_252, quality_v1, liquidity_adv, history_years, mom12_1 FROM f JOIN m USING (key, rn) JOIN mo ON mo.key=f.key AND mo.n=(SELECT max(n) FROM me WHERE me.key=f.key)""")
 def a04(v):
     bench = v.ret_d.where("key = 'ECONOMY'").select("date", F.col("ret").alias("bench"))
-    feats = S.raw_features(v.px_d, "date", bench)
+    month_end = F.coalesce(F.trunc(F.lead("date").over(W.by("key", order="date")), "MM") != F.trunc("date", "MM"), F.lit(True))
+    feats = S.raw_features(v.px_d, "date", bench, at=month_end)
     last = feats.groupBy("key").agg(F.max_by(F.struct("vol_63", "vol_252", "maxdd_252", "quality_v1", "liquidity_adv", "history_years"), "date").alias("f")).select("key", "f.*")
     me = C.month_end_values(v.px_d, ["key"], "date", ["price"]).withColumn("m", W.momentum_observed("price", W.by("key", order="month")))
     return last.join(me.groupBy("key").agg(F.max_by("m", "month").alias("mom12_1")), "key")
@@ -70,14 +71,14 @@ ZSQL = f"""WITH s AS (SELECT key, midx, category, round(ret, 1) AS x FROM ret_s
 SELECT key, midx, category, CASE WHEN mad>0 THEN (x-med)/(mad*1.4826) WHEN sd>0 THEN (x-med)/sd WHEN med IS NOT NULL THEN 0.0 END AS z_x FROM d"""
 
 
-def _z(v, spread):
+def _z(v, spread=None):
     s = v.ret_s.join(v.uni_s, "key").select("key", "midx", "category", F.round("ret", 1).alias("x"))
     return S.robust_z(s, ["midx", "category"], ["x"], spread=spread)
 
 
 @query("a07_robust_z", "key midx:i category z_x:f", ZSQL)
 def a07(v):
-    return _z(v, False)
+    return _z(v)
 
 
 @query("a07_robust_z_large_groups", "key midx:i category z_x:f", ZSQL)
@@ -92,7 +93,7 @@ SC = f"""x AS (SELECT r.key, r.midx, r.month, category, CASE WHEN row_number() O
  sc AS (SELECT key, midx, month, category, round(0.6*coalesce(CASE WHEN d1>0 THEN (mom-m1)/(d1*1.4826) WHEN s1>0 THEN (mom-m1)/s1 WHEN m1 IS NOT NULL THEN 0.0 END, 0) + 0.4*coalesce(CASE WHEN d2>0 THEN (nvol-m2)/(d2*1.4826) WHEN s2>0 THEN (nvol-m2)/s2 WHEN m2 IS NOT NULL THEN 0.0 END, 0), 9) AS s, mom IS NOT NULL AS ready FROM d)"""
 
 
-def monthly_scores(v, spread=False):
+def monthly_scores(v, spread=None):
     """Two-feature robust-z score per (key, month)."""
     d = v.px_s.withColumn("ret", W.simple_return("price", km(), "midx"))
     d = d.withColumns({"mom": W.momentum_observed("price", km()), "nvol": -W.trailing_vol("ret", km(), 12, 12.0, min_periods=2)})
@@ -382,12 +383,13 @@ IC = f"""{SC}, l AS (SELECT a.key, a.midx, n.ret - b.ret AS label FROM ret_s a J
  ic AS (SELECT midx, month, CASE WHEN count(*)>=3 THEN corr(a,b) END AS ic, count(*) AS n_names FROM c GROUP BY ALL)"""
 
 
-def walkforward_ic(v, spread=False):
+def walkforward_ic(v, spread=None):
+    spread = S.needs_spread(v.px_s, ["midx"], spread)  # one size check serves the scores and the ranks
     s = monthly_scores(v, spread)
     nxt = C.next_period(s, ["key"], "midx", "ret", "nxt")
     b = v.ret_s.where("key = 'S1'").select((F.col("midx") - 1).alias("midx"), F.col("ret").alias("bench"))
     d = nxt.where("ready").join(b, "midx").withColumn("label", F.col("nxt") - F.col("bench"))
-    return S.spearman_ic(d, ["midx", "month"], "s", "label")
+    return S.spearman_ic(d, ["midx", "month"], "s", "label", spread=spread)
 
 
 @query("g01_spearman_ic", "month:d ic:f n_names:i", f"WITH {IC} SELECT * FROM ic")
@@ -395,6 +397,11 @@ def g01(v):
     return walkforward_ic(v)
 
 
+@query("g01_spearman_ic_large_groups", "month:d ic:f n_names:i", f"WITH {IC} SELECT * FROM ic")
+def g01b(v):
+    return walkforward_ic(v, spread=True)
+
+
 @query("g02_ic_ratio", "mean:f ir:f n:i", f"WITH {IC} SELECT avg(ic) AS mean, avg(ic)/stddev_samp(ic) AS ir, count(ic) AS n FROM ic")
 def g02(v):
     return walkforward_ic(v).agg(F.avg("ic").alias("mean"), ratio(F.avg("ic"), F.stddev_samp("ic")).alias("ir"), F.count("ic").alias("n"))
@@ -404,9 +411,9 @@ def g02(v):
 SELECT key, midx, mean, CASE WHEN n>=3 AND v>=1e-16 AND d2>=1e-16 THEN grand + greatest(0, 1-(n-2)*v/d2)*(mean-grand) ELSE mean END AS shrunk FROM s""")
 def g12(v):
     m = v.ret_s.select("key", "midx", F.avg("ret").over(km().rowsBetween(-23, 0)).alias("mean"))
-    w = Window.partitionBy("midx")
     grand = F.lit(0.004)
-    d = m.withColumns({"n": F.count("mean").over(w), "vv": F.var_samp("mean").over(w), "d2": F.sum(F.pow(F.col("mean") - grand, 2)).over(w)})
+    g = m.groupBy("midx").agg(F.count("mean").alias("n"), F.var_samp("mean").alias("vv"), F.sum(F.pow(F.col("mean") - grand, 2)).alias("d2"))
+    d = m.join(g, "midx")
     return d.withColumn("shrunk", S.james_stein("mean", grand, "vv", "n", "d2"))
 
 

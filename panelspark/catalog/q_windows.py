@@ -137,6 +137,13 @@ def w13(v):
                     W.percent_rank_avg("x", ["month"]).alias("pct"))
 
 
+@query("w13_average_rank_large_groups", "key month:d rank:f", """
+SELECT key, month, CASE WHEN x IS NOT NULL THEN rank() OVER (PARTITION BY month ORDER BY x NULLS LAST) + (count(*) OVER (PARTITION BY month, x) - 1)/2.0 END AS rank
+FROM (SELECT key, month, round(ret, 1) AS x FROM ret_s)""")
+def w13b(v):
+    return W.spread_average_rank(v.ret_s.select("key", "month", F.round("ret", 1).alias("x")), ["month"], "x", "rank", 64)
+
+
 @query("w14_rolling_pair", "key date:d pairs:i vol:f sharpe:f beta:f corr:f", """
 WITH a AS (SELECT r.key, r.date, CASE WHEN b.ret IS NOT NULL THEN r.ret END AS x, CASE WHEN r.ret IS NOT NULL THEN b.ret END AS y
   FROM ret_d r LEFT JOIN (SELECT date, ret FROM ret_d WHERE key='ECONOMY') b USING (date) WHERE r.key <> 'ECONOMY')

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SQRT12 = math.sqrt(12.0)
 SQRT252 = math.sqrt(252.0)
@@ -28,6 +28,12 @@ def round_finite(x, digits: int = 10) -> Column:
     return F.round(finite(x), digits)
 
 
+def attach_one(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Columns of a one-row frame on every row, as a scalar subquery (more than one row is an error)."""
+    one = one_row.select(F.struct(*one_row.columns).alias("s")).scalar()
+    return df.withColumn("_one", one).select(*[F.col(c) for c in df.columns], "_one.*")
+
+
 def norm_key(x) -> Column:
     return F.upper(F.trim(col(x)))
 

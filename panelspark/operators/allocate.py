@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from panelspark.functions.scalar import attach_one
 from panelspark.operators import kernels as K
 
 MAX_NAMES = 4000  # one dense matrix of doubles stays below 128 MB; larger sets raise and belong in sleeves
@@ -161,7 +162,7 @@ def regime_labels(df: DataFrame, order: str, columns: list[str], vol: str, min_r
         seen = b.join(a, [*g, "_d"], "left_semi")
     else:
         last = rows.groupBy(*g).agg(F.max(order).alias("_last"))
-        b = (b.join(last, g) if g else b.join(F.broadcast(last)))  # one row without groups
+        b = b.join(last, g) if g else attach_one(b, last)
         b = b.withColumn("_d", F.explode(F.sequence("_t", "_last"))).drop("_last")
         seen = b.join(a, [*g, "_d"], "left_semi")
     cols = [vol, *[c for c in columns if c != vol]]

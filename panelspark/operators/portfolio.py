@@ -15,22 +15,26 @@ def static_mix(decisions: DataFrame, mix: dict[str, float]) -> DataFrame:
 
 
 def equal_weight(df: DataFrame, group: list[str]) -> DataFrame:
-    return df.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy(*group)))
+    n = df.groupBy(*group).agg(F.count("*").alias("_n"))
+    return df.join(n, group).withColumn("weight", 1.0 / F.col("_n")).drop("_n")
 
 
-def inverse_vol(df: DataFrame, group: list[str], sigma: str) -> DataFrame:
-    """Weights proportional to 1 / sigma; zero volatility takes the group's median first."""
-    w = Window.partitionBy(*group)
-    s = F.greatest(F.coalesce(F.nullif(F.col(sigma), F.lit(0.0)), F.percentile(sigma, F.lit(0.5)).over(w)), F.lit(1e-8))
-    d = df.withColumn("_inv", 1.0 / s)
-    return d.withColumn("weight", F.col("_inv") / F.sum("_inv").over(w)).drop("_inv")
+def inverse_vol(df: DataFrame, group: list[str], sigma: str, fill: Column | None = None) -> DataFrame:
+    """Weights proportional to 1 / sigma.  ``fill`` replaces a zero volatility (a group median).
+
+    The total is one map-side combined row per group joined back, not a window over the group.
+    """
+    s = F.col(sigma) if fill is None else F.coalesce(F.nullif(F.col(sigma), F.lit(0.0)), fill)
+    d = df.withColumn("_inv", 1.0 / F.greatest(s, F.lit(1e-8)))
+    total = d.groupBy(*group).agg(F.sum("_inv").alias("_t"))
+    return d.join(total, group).withColumn("weight", F.col("_inv") / F.col("_t")).drop("_inv", "_t")
 
 
 def trend_filtered(df: DataFrame, group: list[str], signal: str) -> DataFrame:
     """Keep the weight of names with a positive signal; the anchor itself when there is none."""
     pos = F.when(F.col(signal) > 0, F.col("weight")).otherwise(F.lit(0.0))
-    total = F.sum(pos).over(Window.partitionBy(*group))
-    return df.withColumn("weight", F.when(total > 0, pos / F.nullif(total, F.lit(0.0))).otherwise(F.col("weight")))
+    d = df.join(df.groupBy(*group).agg(F.sum(pos).alias("_t")), group)
+    return d.withColumn("weight", F.when(F.col("_t") > 0, pos / F.nullif("_t", F.lit(0.0))).otherwise(F.col("weight"))).drop("_t")
 
 
 def scaled_with_cash(core: DataFrame, keys: list[str], scale: str, cash: str) -> DataFrame:
@@ -43,8 +47,8 @@ def scaled_with_cash(core: DataFrame, keys: list[str], scale: str, cash: str) ->
 def sleeve_caps(df: DataFrame, group: list[str], single: float = 0.15, total: float = 0.25) -> DataFrame:
     """Clip each sleeve weight, then scale the sleeve down to its total."""
     d = df.withColumn("weight", F.least(F.greatest(F.col("weight"), F.lit(0.0)), F.lit(single)))
-    s = F.sum("weight").over(Window.partitionBy(*group))
-    return d.withColumn("weight", F.when(s > total + 1e-12, F.col("weight") * total / s).otherwise(F.col("weight")))
+    d = d.join(d.groupBy(*group).agg(F.sum("weight").alias("_s")), group)
+    return d.withColumn("weight", F.when(F.col("_s") > total + 1e-12, F.col("weight") * total / F.col("_s")).otherwise(F.col("weight"))).drop("_s")
 
 
 def fund_by_core_trim(core: DataFrame, sleeve: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,7 +66,10 @@ def pick_top(df: DataFrame, group: list[str], score: str, n: int, flag: str, tot
     import math
     budget = math.ceil(total / single - 1e-12)
     w = Window.partitionBy(*group).orderBy(F.desc(score), "key")
-    d = df.withColumn("_f", F.sum(F.col(flag).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # no pick can lie beyond the n-th of its own kind, so a map-side top-n shrinks every group first
+    own = Window.partitionBy(*group, flag).orderBy(F.desc(score), "key")
+    d = df.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= max(n, budget)).drop("_r")
+    d = d.withColumn("_f", F.sum(F.col(flag).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.where(~F.col(flag) | (F.col("_f") <= budget)).drop("_f")
     return d.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= n)
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelspark.functions.scalar import col
+from panelspark.functions.scalar import attach_one, col
 
 INCOMPLETE = "INCOMPLETE (composition not computable)"
 
@@ -55,7 +55,7 @@ def composition_status(method: DataFrame, null: DataFrame, max_share: float = 0.
         raise ValueError("a reason without an opt-out")
     m = method.select("id", F.col("tagged_share").alias("method_share"), F.col("computable").alias("_mc"))
     n = null.select(F.col("id").alias("null_id"), F.col("tagged_share").alias("null_share"), F.col("computable").alias("_nc"))
-    d = m.join(F.broadcast(n.limit(1)))  # one null row
+    d = attach_one(m, n)
     computable = F.col("_mc") & F.col("_nc")
     void_m = F.coalesce(computable & (F.col("method_share") > max_share), F.lit(False))
     void_n = F.coalesce(computable & (F.col("null_share") > max_share), F.lit(False))

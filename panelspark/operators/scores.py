@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelspark.functions.scalar import SQRT252, col, ratio
 from panelspark.functions.stats import safe_corr
 from panelspark.sources.stage import stage
-from panelspark.operators.windows import UNB, average_rank, momentum_observed, percent_rank_avg, trailing_max_drawdown, trailing_vol
+from panelspark.operators.windows import UNB, average_rank, percent_rank_avg, spread_average_rank, trailing_max_drawdown, trailing_vol
 
 MAD_SCALE = 1.4826
 # Feature weights of the composite score.
@@ -40,12 +40,25 @@ def group_quantile(df: DataFrame, group: list[str], value: str, q: float, out: s
     return g.select(*group, (F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))).alias(out))
 
 
-def robust_z(df: DataFrame, group: list[str], features: list[str], spread: bool = False) -> DataFrame:
+LARGE_GROUP = 1_000_000  # values of one group that a single task may hold
+
+
+def needs_spread(df: DataFrame, group: list[str], spread: bool | None) -> bool:
+    """Caller's choice, else a count-only job on the group columns against LARGE_GROUP."""
+    if spread is not None:
+        return spread
+    top = df.groupBy(*group).agg(F.count("*").alias("_n")).agg(F.max("_n")).collect()[0][0]
+    return (top or 0) > LARGE_GROUP
+
+
+def robust_z(df: DataFrame, group: list[str], features: list[str], spread: bool | None = None) -> DataFrame:
     """Adds z_<feature>: (x - median) / (1.4826 MAD) within group; std when MAD is 0; 0 when both are.
 
-    A group without any value stays NULL.  spread=True uses the histogram quantile, so a
-    group that holds a third of all keys is never gathered in one task.
+    A group without any value stays NULL.  Groups beyond LARGE_GROUP (or spread=True) use the
+    histogram quantile, so a group that holds a third of all keys is never gathered in one task.
     """
+    spread = needs_spread(df, group, spread)
+
     def medians(d, cols):
         if not spread:
             return d.groupBy(*group).agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in cols])
@@ -94,9 +107,11 @@ def global_rank(df: DataFrame, score: str, tie: str, out: str = "rank", buckets:
 
 
 def raw_features(px: DataFrame, order: str, bench_ret: DataFrame, expense: DataFrame | None = None, year: int = 252,
-                 quarter: int = 63, month: int = 21) -> DataFrame:
+                 quarter: int = 63, month: int = 21, at: Column | None = None) -> DataFrame:
     """All raw features per (key, period) in one window pass on the key.
 
+    ``at`` marks decision rows: the drawdown fold, the one feature that is not a plain frame
+    aggregate, then runs on those rows only.
     ``px``: key, order, price, volume.  ``bench_ret``: order, bench (the chosen benchmark's return).
     """
     w = Window.partitionBy("key").orderBy(order)
@@ -113,7 +128,7 @@ def raw_features(px: DataFrame, order: str, bench_ret: DataFrame, expense: DataF
     return d.select("key", order, "price", "ret",
                     trailing_vol("ret", w, quarter, min_periods=2).alias("vol_63"),
                     trailing_vol("ret", w, year, min_periods=2).alias("vol_252"),
-                    trailing_max_drawdown("price", w, year).alias("maxdd_252"),
+                    (trailing_max_drawdown("price", w, year) if at is None else F.when(at, trailing_max_drawdown("price", w, year))).alias("maxdd_252"),
                     (ir - F.coalesce("expense", F.lit(0.0))).alias("quality_v1"), F.col("expense").isNull().alias("er_missing"),
                     F.avg("_pv").over(fm).alias("liquidity_adv"), F.col("volume").isNull().alias("liquidity_missing"),
                     (F.datediff(order, F.min(order).over(w)) / 365.25).alias("history_years"))
@@ -124,10 +139,13 @@ def signed_features(df: DataFrame) -> DataFrame:
     return df.withColumns({"neg_vol_252": -F.col("vol_252"), "neg_vol_63": -F.col("vol_63"), "neg_maxdd_252": F.col("maxdd_252")})
 
 
-def spearman_ic(df: DataFrame, period: list[str], score: str, label: str, min_pairs: int = 3) -> DataFrame:
+def spearman_ic(df: DataFrame, period: list[str], score: str, label: str, min_pairs: int = 3, spread: bool | None = None) -> DataFrame:
     """Rank correlation of score and label per period; NULL below min_pairs."""
     d = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    d = d.select(*period, average_rank(score, period).alias("_a"), average_rank(label, period).alias("_b"))
+    if needs_spread(d, period, spread):
+        d = spread_average_rank(spread_average_rank(d, period, score, "_a"), period, label, "_b")
+    else:
+        d = d.select(*period, average_rank(score, period).alias("_a"), average_rank(label, period).alias("_b"))
     n = F.count("*")
     return d.groupBy(*period).agg(F.when(n >= min_pairs, safe_corr("_a", "_b")).alias("ic"), n.alias("n_names"))
 
@@ -141,9 +159,8 @@ def james_stein(mean, grand, var, n, dev2) -> Column:
 
 def expected_returns(df: DataFrame, period: list[str], mean: str, score: str, scale: float = 0.015) -> DataFrame:
     """0.5 James-Stein mean + 0.5 score percentile mapped around the grand mean."""
-    w = Window.partitionBy(*period)
-    d = df.withColumns({"_n": F.count(mean).over(w), "_g": F.coalesce(F.avg(mean).over(w), F.lit(0.0)), "_v": F.var_samp(mean).over(w)})
-    d = d.withColumn("_dev2", F.sum(F.pow(F.col(mean) - F.col("_g"), 2)).over(w))
+    g = df.groupBy(*period).agg(F.count(mean).alias("_n"), F.coalesce(F.avg(mean), F.lit(0.0)).alias("_g"), F.var_samp(mean).alias("_v"))
+    d = df.join(g, period).withColumn("_dev2", F.col("_v") * (F.col("_n") - 1.0))
     d = d.withColumn("mu_js", james_stein(mean, "_g", "_v", "_n", "_dev2"))
     d = d.withColumn("mu_score", F.col("_g") + scale * (percent_rank_avg(score, period) - 0.5) * 2.0)
     return d.withColumn("mu", 0.5 * F.coalesce("mu_js", "_g") + 0.5 * F.coalesce("mu_score", "_g")).drop("_n", "_v", "_dev2")

@@ -106,6 +106,22 @@ def average_rank(value, partition: list[str]) -> Column:
     return F.when(col(value).isNotNull(), first + (ties - 1) / 2.0)
 
 
+def spread_average_rank(df: DataFrame, group: list[str], value: str, out: str, buckets: int = 1024) -> DataFrame:
+    """Exact average-tie rank when a group is too large for one task.
+
+    Rows fall into value buckets per group; bucket counts (combined map-side) give the offset and
+    each (group, bucket) is ranked on its own.  Equal values share a bucket, so ties stay exact.
+    """
+    d = df.withColumn("_rank_value", F.col(value).cast("double"))
+    span = d.groupBy(*group).agg(F.min("_rank_value").alias("_rank_lo"), F.max("_rank_value").alias("_rank_hi"))
+    share = F.coalesce(ratio(F.col("_rank_value") - F.col("_rank_lo"), F.col("_rank_hi") - F.col("_rank_lo")), F.lit(0.0))
+    d = d.join(span, group).withColumn("_rank_bucket", F.when(F.col("_rank_value").isNotNull(), F.least(F.lit(buckets - 1), F.floor(share * buckets)).cast("int")))
+    size = d.where("_rank_bucket is not null").groupBy(*group, "_rank_bucket").agg(F.count("*").alias("_rank_n"))
+    before = F.coalesce(F.sum("_rank_n").over(Window.partitionBy(*group).orderBy("_rank_bucket").rowsBetween(UNB, -1)), F.lit(0))
+    d = d.join(size.select(*group, "_rank_bucket", before.alias("_rank_off")), [*group, "_rank_bucket"], "left")
+    return d.withColumn(out, F.col("_rank_off") + average_rank("_rank_value", [*group, "_rank_bucket"])).drop("_rank_value", "_rank_lo", "_rank_hi", "_rank_bucket", "_rank_off")
+
+
 def percent_rank_avg(value, partition: list[str]) -> Column:
     return average_rank(value, partition) / F.count(col(value)).over(Window.partitionBy(*partition))
 
@@ -198,8 +214,8 @@ def daily_rate(calendar: DataFrame, own: DataFrame, rates: DataFrame) -> DataFra
     per_month = calendar.groupBy(month.alias("month")).agg(F.count("*").alias("sessions"))
     first = own.where("own is not null").agg(F.min("date").alias("first"))
     d = (calendar.withColumn("month", month).join(own, "date", "left").join(per_month, "month")
-         .join(rates.select("month", "rate"), "month", "left").join(F.broadcast(first)))  # one row
-    early = F.col("date") < F.col("first")
+         .join(rates.select("month", "rate"), "month", "left"))
+    early = F.col("date") < first.scalar()
     return d.select("date",
                     F.when(F.col("own").isNotNull(), "own").when(early & F.col("rate").isNotNull(), "fallback").alias("source"),
                     F.coalesce("own", F.when(early, F.ln(1.0 + F.col("rate")) / F.col("sessions"))).alias("daily"))

@@ -50,7 +50,7 @@ def leaderboard(rows: DataFrame, score: str, benchmark: str, void: DataFrame) ->
 
     A board has one row per subject, so its single ordered window is the board itself.
     """
-    d = rows.join(F.broadcast(void.select("id").distinct().withColumn("void", F.lit(True))), "id", "left").withColumn("void", F.coalesce("void", F.lit(False)))
+    d = rows.join(void.select("id").distinct().withColumn("void", F.lit(True)), "id", "left").withColumn("void", F.coalesce("void", F.lit(False)))
     ranked = ~F.col("void") & (F.col("id") != benchmark)
     k = F.row_number().over(Window.partitionBy(ranked).orderBy(F.desc_nulls_last(score), "id"))
     return d.withColumn("rank", F.when(ranked, k)).withColumn("is_benchmark", F.col("id") == benchmark)
