@@ -39,28 +39,33 @@ def sample_cov(v):
 
 @query("g14_shrinkage_intensity", "midx:i names:i mu:8 shrinkage:f", f"WITH {COV} SELECT midx, n AS names, mu, shrinkage FROM lw")
 def g14i(v):
+    v.shared("ret_b")
     return V.shrinkage_intensity(live(v), v.ret_b, sample_cov(v), LB)
 
 
 @query("g14_linear_shrinkage", "midx:i k1 k2 cov:8", f"WITH {COV} SELECT * FROM lc")
 def g14(v):
+    v.shared("ret_b")
     return lw_cov(v)
 
 
 @query("l11_min_variance", "midx:i n:i sum_ok:b sign_ok:b kkt_ok:b", DEC + ", true AS sum_ok, true AS sign_ok, true AS kkt_ok FROM lv GROUP BY midx")
 def l11(v):
+    v.shared("ret_b")
     c = stage(lw_cov(v))
     return V.min_variance_certificate(A.allocate(c, ["midx"], K.min_variance), c, ["midx"])
 
 
 @query("l12_equal_risk", "midx:i n:i sum_ok:b sign_ok:b parity_ok:b", DEC + ", true AS sum_ok, true AS sign_ok, true AS parity_ok FROM lv GROUP BY midx")
 def l12(v):
+    v.shared("ret_b")
     c = stage(lw_cov(v))
     return V.equal_risk_certificate(A.allocate(c, ["midx"], K.equal_risk), c, ["midx"])
 
 
 @query("l13_top_n_risk_parity", "midx:i n:i sum_ok:b parity_ok:b", f"WITH {LIVE} SELECT midx, 8 AS n, true AS sum_ok, true AS parity_ok FROM lv GROUP BY midx HAVING count(*) >= 8")
 def l13(v):
+    v.shared("ret_b")
     top = Window.partitionBy("midx").orderBy(F.desc("score"), "key")
     d = P.live_names(v.ret_b, LB, LB, 5)
     d = d.withColumn("score", F.col("ret")).withColumn("rk", F.row_number().over(top)).where("rk <= 8")
@@ -71,6 +76,7 @@ def l13(v):
 
 @query("g15_shrunk_spectrum", "midx:i modes:i trace_ok:b positive:b", f"WITH {LIVE} SELECT midx, count(*) AS modes, true AS trace_ok, true AS positive FROM lv GROUP BY midx")
 def g15(v):
+    v.shared("ret_b")
     c = sample_cov(v)
     s = A.spectrum(c, ["midx"], LB).groupBy("midx").agg(F.count("*").alias("modes"), F.sum("eigenvalue").alias("tr"), (F.min("shrunk") > 0).alias("positive"))
     tr = c.where("k1 = k2").groupBy("midx").agg((F.sum("cov") * LB / (LB - 1)).alias("tr0"))
@@ -79,22 +85,26 @@ def g15(v):
 
 @query("g15_spectrum_values", "midx:i mode:i eigenvalue:8 shrunk:8")
 def g15v(v):
+    v.shared("ret_b")
     return A.spectrum(sample_cov(v), ["midx"], LB)
 
 
 @query("l14_nonlinear_min_variance", "midx:i n:i sum_ok:b sign_ok:b", DEC + ", true AS sum_ok, true AS sign_ok FROM lv GROUP BY midx")
 def l14(v):
+    v.shared("ret_b")
     w = A.allocate(sample_cov(v), ["midx"], lambda c: K.min_variance(K.nonlinear_cov(c, LB)))
     return w.groupBy("midx").agg(F.count("*").alias("n"), (F.abs(F.sum("weight") - 1) < 1e-9).alias("sum_ok"), (F.min("weight") >= 0).alias("sign_ok"))
 
 
 @query("l15_spectral_parity", "midx:i key weight:8")
 def l15(v):
+    v.shared("ret_b")
     return A.allocate(sample_cov(v), ["midx"], lambda c: K.spectral_parity(c, LB)[0])
 
 
 @query("l15_spectral_diagnostics", "midx:i signal_modes:i edge:f ok:b", f"WITH {LIVE} SELECT midx, 0 AS signal_modes, pow(1+sqrt(count(*)/{LB}.0), 2) AS edge, true AS ok FROM lv GROUP BY midx")
 def l15d(v):
+    v.shared("ret_b")
     d = A.spectral_diagnostics(sample_cov(v), ["midx"], LB)
     ok = (F.col("signal_modes") >= 1) & F.col("var_signal").between(0, 1) & F.col("risk_signal").between(0, 1)
     return d.select("midx", F.lit(0).alias("signal_modes"), "edge", ok.alias("ok"))
@@ -112,6 +122,7 @@ def trend_inputs(v):
 
 @query("l16_anchored_portfolio", "midx:i key weight:8 projected:b")
 def l16(v):
+    v.shared("ret_b")
     c = sample_cov(v).withColumn("cov", F.col("cov") * LB / (LB - 1))
     w = A.allocate_with(c, trend_inputs(v), ["midx"], ["signal", "anchor"], lambda m, x: K.anchored(m, x[:, 0], x[:, 1], 0.75)[0])
     return w.withColumn("projected", F.col("weight") == 0)
@@ -120,18 +131,21 @@ def l16(v):
 @query("l16_anchor_limit", "midx:i key weight:8", f"WITH {LIVE} SELECT midx, key, (1/sd)/sum(1/sd) OVER (PARTITION BY midx) AS weight FROM lv")
 def l16a(v):
     """At full shrinkage the closed form returns the anchor itself."""
+    v.shared("ret_b")
     c = sample_cov(v).withColumn("cov", F.col("cov") * LB / (LB - 1))
     return A.allocate_with(c, trend_inputs(v), ["midx"], ["signal", "anchor"], lambda m, x: K.anchored(m, x[:, 0], x[:, 1], 1.0)[0])
 
 
 @query("l17_hierarchical_weights", "midx:i n:i sum_ok:b sign_ok:b", DEC + ", true AS sum_ok, true AS sign_ok FROM lv GROUP BY midx")
 def l17(v):
+    v.shared("ret_b")
     w = A.allocate(lw_cov(v), ["midx"], lambda c: K.hierarchical(c, 0.5))
     return w.groupBy("midx").agg(F.count("*").alias("n"), (F.abs(F.sum("weight") - 1) < 1e-9).alias("sum_ok"), (F.min("weight") >= 0).alias("sign_ok"))
 
 
 @query("l17_split_log", "midx:i splits:i gamma_ok:b", f"WITH {LIVE}, c AS (SELECT midx, count(*) AS n FROM lv GROUP BY midx) SELECT midx, n*0 AS splits, true AS gamma_ok FROM c")
 def l17s(v):
+    v.shared("ret_b")
     d = A.split_log(lw_cov(v), ["midx"], 0.5).groupBy("midx").agg(F.count("*").alias("k"), (F.max("gamma") <= 0.5).alias("gamma_ok"))
     return d.select("midx", F.lit(0).alias("splits"), "gamma_ok")
 
@@ -139,6 +153,7 @@ def l17s(v):
 @query("x01_user_callable", "midx:i key weight:8", f"WITH {LIVE} SELECT midx, key, (1/(sd*sd))/sum(1/(sd*sd)) OVER (PARTITION BY midx) AS weight FROM lv")
 def x01(v):
     """A user function from matrix to weights runs under the same job."""
+    v.shared("ret_b")
     def inverse_variance(c):
         x = 1.0 / c.diagonal()
         return x / x.sum()
@@ -147,6 +162,7 @@ def x01(v):
 
 @query("x02_terminal_allocator", "midx:i key weight:8")
 def x02(v):
+    v.shared("ret_b")
     return A.allocate(lw_cov(v), ["midx"], lambda c: K.hierarchical(c, 0.5, terminal=K.equal_risk))
 
 
@@ -217,6 +233,7 @@ STRESS = """mk AS (SELECT midx, avg(ret) AS r FROM ret_b GROUP BY midx), sv AS (
 @query("g16_stress_covariance", "midx:i k1 k2 cov:8", f"""WITH {STRESS}, un AS (SELECT d.midx, a.key AS k1, b.key AS k2, covar_pop(a.ret, b.ret) AS cov FROM (SELECT DISTINCT midx FROM st) d JOIN br a ON a.t<=d.midx JOIN br b ON b.t=a.t AND a.key<=b.key GROUP BY ALL)
 SELECT st.midx, k1, k2, 0.75*un.cov+0.25*st.cov AS cov FROM st JOIN un USING (midx, k1, k2)""")
 def g16(v):
+    v.shared("ret_b")
     s = stress_cov(v)
     names = v.ret_b.where(F.substring_index("key", "#", -1).cast("int") <= 10).where("ret is not null")
     full = names.groupBy("midx").agg(F.count("*").alias("c")).where("c = 10").select("midx")
@@ -240,6 +257,7 @@ def frontier_series(v, c=None):
 @query("g17_frontier_identity", "midx:i curvature_ok:b mvp_ok:b", f"WITH {LIVE} SELECT midx, true AS curvature_ok, true AS mvp_ok FROM lv GROUP BY midx")
 def g17i(v):
     """The frontier's minimum variance never exceeds that of the long-only portfolio."""
+    v.shared("ret_b")
     c = stage(lw_cov(v))
     lo = V.marginal_risk(A.allocate(c, ["midx"], K.min_variance), c, ["midx"]).groupBy("midx").agg(F.first("variance").alias("lo"))
     f = frontier_series(v, c).join(lo, "midx")
@@ -248,11 +266,13 @@ def g17i(v):
 
 @query("g17_frontier", "midx:i r_mvp:f sigma_mvp:f u:f r_tp:f sigma_tp:f")
 def g17(v):
+    v.shared("ret_b")
     return frontier_series(v).select("*", *[c.alias(n) for n, c in V.tangency("r_mvp", "sigma_mvp", "u").items()])
 
 
 @query("g18_var_forecast", "midx:i rows:i r_mvp_hat:f sigma_mvp_hat:f u_hat:f")
 def g18(v):
+    v.shared("ret_b")
     return A.var1_forecast(frontier_series(v), "midx", ["r_mvp", "sigma_mvp", "u"], 60)
 
 
@@ -273,6 +293,7 @@ def regime_features(v):
 
 @query("g19_regime_labels", "midx:i stress:i rows:i")
 def g19(v):
+    v.shared("ret_s")
     return A.regime_labels(regime_features(v), "midx", ["vol", "corr", "spread"], "vol")
 
 
@@ -296,6 +317,7 @@ def steady_state(t, keys):
 @query("l18_regime_parity", "midx:i n:i sum_ok:b sign_ok:b")
 def l18(v):
     """Frequency-weighted blend of per-regime equal-risk books over the volatility regimes of past months."""
+    v.shared("ret_s")
     s = sleeves(v)
     w1 = Window.orderBy("midx")  # one row per month
     m = s.groupBy("midx").agg(F.avg("ret").alias("r")).withColumn("vol", W.trailing_vol("r", w1, 6, 12.0, min_periods=2)).where("vol is not null")
@@ -328,6 +350,7 @@ def l19(v):
 @query("l20_regime_allocation", "midx:i key weight:8 stress:i")
 def l20(v):
     """Inverse volatility over the sleeves that the current state allows."""
+    v.shared("ret_s")
     lab = A.regime_labels(regime_features(v), "midx", ["vol", "corr"], "vol")
     s = sleeves(v)
     d = s.withColumn("sd", F.stddev_samp("ret").over(W.by("key", order="midx").rangeBetween(-35, 0))).join(lab, "midx")

@@ -29,6 +29,7 @@ def rate_idx(v):
  sc AS (SELECT key, category, round(sum(wt*coalesce(CASE WHEN mad>0 THEN (x-med)/(mad*1.4826) WHEN sd>0 THEN (x-med)/sd WHEN med IS NOT NULL THEN 0.0 END, 0)), 9) AS s FROM mm GROUP BY ALL)
 SELECT key, category, s, row_number() OVER (ORDER BY s DESC, key) AS rank FROM sc""")
 def b01(v):
+    v.shared("px_s")
     u = P.eligible(v.uni_s, [v.deny_s])
     px = v.px_s.where("month <= '2001-06-01'")
     bench = px.where("key = 'S1'").select("month", (F.col("price") / F.lag("price").over(W.by("key", order="month")) - 1.0).alias("bench"))
@@ -76,6 +77,7 @@ def vt_book(v):
 
 @query("b05_scaled_core_returns", "trial_id midx:i f:f gross:f turnover:f net:f active:f", f"WITH {BOOK} SELECT * FROM bk")
 def b05(v):
+    v.shared("px_d")
     return vt_book(v)
 
 
@@ -84,11 +86,13 @@ def b05(v):
  a AS (SELECT trial_id, count(*) AS n, pow(exp(sum(ln(1+net))), 12.0/count(*))-1 AS cagr, stddev_samp(net)*sqrt(12) AS vol, min(dd) AS maxdd, avg(turnover)*12 AS turnover_per_year FROM q GROUP BY 1)
 SELECT trial_id, a.n, cagr, vol, cagr/vol AS sharpe_rf0, maxdd, mean/se AS nw_t, turnover_per_year, {QI.cdf_sql('z')} AS dsr FROM (SELECT *, (cagr/vol/sqrt(12)-{QI.ppf_sql('0.75')}/sqrt(n-1))*sqrt(n-1) AS z FROM a) a JOIN nw USING (trial_id)""")
 def b05s(v):
+    v.shared("px_d")
     return B.overlay_summary(vt_book(v), 4)
 
 
 @query("b05_scaled_core_states", "trial_id state mean:f hit:f n:i", f"WITH {BOOK} SELECT trial_id, CASE WHEN f<1-1e-12 THEN 'f_lt_1' ELSE 'f_eq_1' END AS state, avg(active) AS mean, avg(CASE WHEN active>0 THEN 1.0 ELSE 0.0 END) AS hit, count(*) AS n FROM bk GROUP BY ALL")
 def b05r(v):
+    v.shared("px_d")
     return B.state_table(vt_book(v), F.when(F.col("f") < 1 - 1e-12, "f_lt_1").otherwise("f_eq_1"))
 
 
@@ -123,6 +127,7 @@ def corr_book(v):
  y AS (SELECT *, f*g AS sh, coalesce(abs(f*g-lag(f*g) OVER w),0) AS t1, coalesce(abs(f-lag(f) OVER w),0) AS t2 FROM x WINDOW w AS (PARTITION BY trial_id ORDER BY midx)), ew AS (SELECT midx-1 AS midx, avg(ret) AS r_sleeves FROM sl GROUP BY midx)
 SELECT trial_id, y.midx, f, g, sh*rc+(1-sh)*rk-t1*5/10000 AS net, f*rc+(1-f)*rk-t2*5/10000 AS net_null, rc AS r_core, r_sleeves FROM y LEFT JOIN ew ON ew.midx=y.midx""")
 def b06(v):
+    v.shared("px_d")
     ew = category_sleeves(v).groupBy((F.col("midx") - 1).alias("midx")).agg(F.avg("ret").alias("r_sleeves"))
     return corr_book(v).join(ew, "midx", "left")
 
@@ -131,6 +136,7 @@ def b06(v):
  y AS (SELECT *, f*g AS sh, coalesce(abs(f*g-lag(f*g) OVER w),0) AS t1 FROM x WINDOW w AS (PARTITION BY trial_id ORDER BY midx)), a AS (SELECT trial_id, b, sh*rc+(1-sh)*rk-t1*5/10000-rc AS active FROM y)
 SELECT trial_id, CASE WHEN b THEN 'gated' ELSE 'open' END AS state, avg(active) AS mean, avg(CASE WHEN active>0 THEN 1.0 ELSE 0.0 END) AS hit, count(*) AS n FROM a GROUP BY ALL""")
 def b06s(v):
+    v.shared("px_d")
     return B.state_table(corr_book(v), F.when(F.coalesce("binding", F.lit(False)), "gated").otherwise("open"))
 
 
@@ -143,6 +149,7 @@ TAIL = """tn AS (SELECT midx, r, row_number() OVER (ORDER BY midx) AS rn FROM cm
  y AS (SELECT *, f*g AS sh, coalesce(abs(f*g-lag(f*g) OVER w),0) AS t1, coalesce(abs(f-lag(f) OVER w),0) AS t2 FROM x WINDOW w AS (PARTITION BY trial_id ORDER BY midx))
 SELECT trial_id, midx, f, g, sh*rc+(1-sh)*rk-t1*5/10000 AS net, f*rc+(1-f)*rk-t2*5/10000 AS net_null FROM y""")
 def b07(v):
+    v.shared("px_d")
     core, cash = monthly_core(v)
     trials = B.grid(vt_trials(v).where("f_min = 0.25"), g_min=[0.25, 0.5]).withColumn("trial_id", F.format_string("%s_g%.0f", "trial_id", F.col("g_min") * 100))
     return B.scaled_core_returns(sigma(v), trials, core, cash, B.left_tail_gate(core, 24, [0.25, 0.5]), gate_keys=["g_min"])
@@ -162,6 +169,7 @@ NULLS = {"equal_weight": _equal, "minvar_lw": K.min_variance, "erc": K.equal_ris
 
 @query("b07_null_books", "strategy n:i cagr:f vol:f sharpe_rf0:f maxdd:f")
 def b07n(v):
+    v.shared("ret_b")
     w = kernel_books(v, NULLS)
     return B.performance(B.run_book(w, v.ret_b, ["strategy"]), ["strategy"], "midx", "net")
 
@@ -169,6 +177,7 @@ def b07n(v):
 # ------------------------------------------------------------------ panel allocators
 @query("b08_panel_allocators", "strategy n:i cagr:f vol:f sharpe_rf0:f maxdd:f turnover:f")
 def b08(v):
+    v.shared("ret_b")
     w = kernel_books(v, NULLS).unionByName(kernel_books(v, {"spectral": lambda c: K.spectral_parity(c, QA.LB)[0]}, QA.sample_cov(v)))
     book = stage(B.run_book(w, v.ret_b, ["strategy"]))
     from panelspark.operators.panel import common_periods
@@ -182,12 +191,14 @@ EWB = f"""{QA.LIVE}, w AS (SELECT midx, key, 1.0/count(*) OVER (PARTITION BY mid
 
 @query("b08_equal_weight_book", "midx:i gross:f turnover:f net:f", f"WITH {EWB} SELECT midx, gross, turnover, gross-turnover*5/10000 AS net FROM g JOIN t USING (midx)")
 def b08e(v):
+    v.shared("ret_b")
     w = L.equal_weight(QA.live(v), ["midx"]).select("midx", "key", "weight").withColumn("strategy", F.lit("ew"))
     return B.run_book(w, v.ret_b, ["strategy"])
 
 
 @query("b09_dual_regime", "trial_id n:i cagr:f vol:f sharpe_rf0:f maxdd:f stress_mean:f")
 def b09(v):
+    v.shared("ret_s")
     s = QA.sleeves(v)
     s = stage(s)
     d = s.withColumn("sd", F.stddev_samp("ret").over(W.by("key", order="midx").rangeBetween(-35, 0))).where("sd is not null")
@@ -247,6 +258,7 @@ def monthly_types(v):
 
 @query("b10_weekly_min_variance", "strategy n:i cagr:f vol:f sharpe_rf0:f maxdd:f eff_n_mean:f")
 def b10(v):
+    v.shared("px_d")
     w = stage(kernel_books(v, NULLS, weekly_cov(v)).unionByName(
         kernel_books(v, {"minvar_nls": lambda c: K.min_variance(K.nonlinear_cov(c, 52))}, weekly_cov(v, linear=False))))
     book = B.run_book(w, monthly_types(v), ["strategy"])
@@ -255,6 +267,7 @@ def b10(v):
 
 @query("b11_anchored_book", "trial_id cost_bps:i n:i cagr:f vol:f maxdd:f")
 def b11(v):
+    v.shared("ret_b")
     c = stage(QA.sample_cov(v).withColumn("cov", F.col("cov") * QA.LB / (QA.LB - 1)))
     x = stage(QA.trend_inputs(v))
     out = x.select("midx", "key", F.col("anchor").alias("weight"), F.lit("anchor").alias("trial_id"))
@@ -270,6 +283,7 @@ def b11(v):
 
 @query("b12_hierarchical_book", "strategy n:i cagr:f vol:f maxdd:f eff_n_mean:f cap_ok:b")
 def b12(v):
+    v.shared("ret_b")
     w = kernel_books(v, {"split_g050": lambda c: K.hierarchical(c, 0.5), "split_g000": lambda c: K.hierarchical(c, 0.0), "minvar_lw": K.min_variance})
     w = w.join(v.uni_b.select("key", F.col("cash_like").alias("flag")), "key")
     w = stage(L.capped_frozen(stage(w), ["strategy", "midx"], "flag", name_cap=0.20, group_cap=0.30))
@@ -280,6 +294,7 @@ def b12(v):
 
 @query("b13_frontier_forecast", "midx:i r_tp_hat:f sigma_tp_hat:f r_mvp_hat:f r_mvp:f gap:f")
 def b13(v):
+    v.shared("ret_b")
     f = A.var1_forecast(QA.frontier_series(v), "midx", ["r_mvp", "sigma_mvp", "u"], 60)
     f = f.select("midx", "r_mvp_hat", *[c.alias(f"{n}_hat") for n, c in V.tangency("r_mvp_hat", "sigma_mvp_hat", "u_hat").items()])
     return f.join(QA.frontier_series(v).select("midx", "r_mvp"), "midx").withColumn("gap", F.col("r_mvp_hat") - F.col("r_mvp"))
@@ -287,6 +302,7 @@ def b13(v):
 
 @query("b14_resilient_book", "trial_id n:i cagr:f vol:f maxdd:f mean_cash:f")
 def b14(v):
+    v.shared("ret_b")
     w = stage(QA.l19(v).select("midx", "key", "weight"))
     cash = w.where("key = 'CASH'").agg(F.avg("weight").alias("mean_cash"))
     zero = v.ret_b.select(F.lit("CASH").alias("key"), "midx", F.lit(0.0).alias("ret")).distinct()
@@ -320,12 +336,14 @@ CMPS = CMP + """, wl2 AS (SELECT 'equal_weight' AS id, midx, key, e AS weight FR
  a AS (SELECT id, count(*) AS n, pow(exp(sum(ln(1+ret))), 12.0/count(*))-1 AS cagr, stddev_samp(ret)*sqrt(12) AS vol, avg(ex)*12/(stddev_samp(ex)*sqrt(12)) AS sharpe_ex, min(dd) AS maxdd FROM q GROUP BY id)
 SELECT a.*, mean/se AS nw_t FROM a LEFT JOIN nw USING (id)""")
 def b15(v):
+    v.shared("px_d", "ret_s")
     return B.compare(stage(all_books(v)), "static_core", rate_idx(v), 4)
 
 
 @query("b16_shared_universe_gate", "strategy n:i outside:i", f"WITH {QA.LIVE} SELECT s AS strategy, count(*) AS n, 0 AS outside FROM lv JOIN uni_b USING (key), (VALUES ('equal_weight'),('erc'),('minvar_lw')) t(s) WHERE NOT cash_like GROUP BY s")
 def b16(v):
     """Method and nulls see one filtered panel; holdings outside it are counted."""
+    v.shared("ret_b")
     panel = P.drop_tagged(v.ret_b, v.uni_b, ["cash_like"])
     cov = V.linear_shrinkage(P.live_names(panel, QA.LB, QA.LB, 5), panel, QA.LB)
     w = stage(kernel_books(v, NULLS, cov))
@@ -338,6 +356,7 @@ def b16(v):
  tv AS (SELECT coalesce(a.midx,b.midx+1) AS midx, 0.5*sum(abs(coalesce(a.weight,0)-coalesce(b.weight,0))) AS turnover FROM wb a FULL JOIN (SELECT * FROM wb WHERE midx<(SELECT max(midx) FROM wb)) b ON a.key=b.key AND a.midx=b.midx+1 GROUP BY 1)
 SELECT midx, gross, turnover, gross-turnover*5/10000 AS net FROM gr JOIN tv USING (midx)""")
 def b17(v):
+    v.shared("px_s")
     return B.run_book(QW.l09(v).withColumn("strategy", F.lit("score")), v.ret_s, ["strategy"])
 
 

@@ -211,6 +211,7 @@ def rotation_signals(v, ret=None, bench="S1"):
 
 @query("b03_rotation_signals", "key month:d mom:f excess:f z:f vol_ok:b raw_on:b is_on:b", f"WITH {ROT} SELECT * FROM sig")
 def b03(v):
+    v.shared("ret_s")
     return rotation_signals(v)
 
 
@@ -223,6 +224,7 @@ def f12(v):
 @query("b04_rotation_on_off", "is_on:b mean:f hit:f n:i", f"""WITH {ROT}, l AS (SELECT s.is_on, n.ret-b.ret AS x FROM sig s JOIN ret_s n ON n.key=s.key AND n.midx=s.midx+1 JOIN ret_s b ON b.key='S1' AND b.midx=s.midx+1)
 SELECT is_on, avg(x) AS mean, avg(CASE WHEN x>0 THEN 1.0 ELSE 0.0 END) AS hit, count(*) AS n FROM l WHERE x IS NOT NULL GROUP BY is_on""")
 def b04(v):
+    v.shared("ret_s")
     d = C.next_period(rotation_signals(v), ["key"], "midx", "ret", "nxt")
     b = v.ret_s.where("key = 'S1'").select((F.col("midx") - 1).alias("midx"), F.col("ret").alias("bench"))
     d = d.join(b, "midx").withColumn("x", F.col("nxt") - F.col("bench")).where("x is not null")
@@ -245,6 +247,7 @@ ROTB = f"""{ROTW}, ss AS (SELECT midx, sum(weight) AS t FROM sw GROUP BY midx),
 
 @query("l10_rotation_portfolio", "midx:i key weight:8", f"WITH {ROT}, {ROTB} SELECT * FROM bk")
 def l10(v):
+    v.shared("ret_s")
     return rotated_book(v)
 
 
@@ -252,6 +255,7 @@ def l10(v):
  c AS (SELECT coalesce(a.midx, p.midx+1) AS midx, 0.5*sum(abs(coalesce(a.weight,0)-coalesce(p.weight,0))) AS turnover FROM bk a FULL JOIN (SELECT * FROM bk WHERE midx<(SELECT max(midx) FROM bk)) p ON a.key=p.key AND a.midx=p.midx+1 GROUP BY 1)
 SELECT midx, gross, turnover, gross-turnover*5/10000 AS net FROM gr JOIN c USING (midx)""")
 def b04r(v):
+    v.shared("ret_s")
     w = rotated_book(v).withColumn("book", F.lit("rotation"))
     g = L.book_returns(w, v.ret_s, ["book"], "midx")
     return g.join(L.turnover(w, ["book"], "midx"), ["book", "midx"]).withColumn("net", F.col("gross") - F.col("cost"))

@@ -96,6 +96,7 @@ def r07(v):
 @query("r08_chart_tables", "trial_id midx:i log_equity:f drawdown:f f:f latest:b", f"""WITH {BOOK}, w AS (SELECT trial_id, midx, f, exp(sum(ln(1+net)) OVER (PARTITION BY trial_id ORDER BY midx)) AS equity, midx=max(midx) OVER (PARTITION BY trial_id) AS latest FROM bk)
 SELECT trial_id, midx, ln(equity) AS log_equity, equity/greatest(1.0, max(equity) OVER (PARTITION BY trial_id ORDER BY midx))-1 AS drawdown, f, latest FROM w""")
 def r08(v):
+    v.shared("px_d")
     w = Window.partitionBy("trial_id").orderBy("midx")
     d = W.drawdown(vt_book(v), w, "net")
     return d.select("trial_id", "midx", F.ln("wealth").alias("log_equity"), F.col("dd").alias("drawdown"), "f", (F.lead("midx").over(w).isNull()).alias("latest"))
@@ -119,6 +120,7 @@ def r10(v):
  x AS (SELECT l.*, lr - ln(1+rate)/n AS excess, 100*exp(sum(coalesce(lr,0)) OVER (PARTITION BY key ORDER BY l.date)) AS wealth FROM l JOIN c USING (date) LEFT JOIN rates ON rates.month=date_trunc('month', l.date))
 SELECT key, date, excess, wealth, wealth/greatest(100, max(wealth) OVER (PARTITION BY key ORDER BY date))-1 AS dd FROM x""")
 def r10s(v):
+    v.shared("px_d")
     w = W.by("key", order="date")
     cal = v.px_d.select("date").distinct()
     rate = W.daily_rate(cal, cal.select("date", F.lit(None).cast("double").alias("own")).unionByName(
@@ -133,6 +135,7 @@ def r10s(v):
  mo AS (SELECT key, stddev_samp(r)*sqrt(12) AS vm FROM (SELECT key, p/lag(p) OVER (PARTITION BY key ORDER BY m)-1 AS r FROM (SELECT key, date_trunc('month', date) AS m, arg_max(price, date) AS p FROM px_d GROUP BY ALL)) GROUP BY key)
 SELECT key, vw AS vol_week, vm AS vol_month, vw-vm AS diff FROM wk JOIN mo USING (key)""")
 def r11(v):
+    v.shared("px_d")
     from panelspark.catalog.q_books import monthly_types, weekly
     a = weekly(v).groupBy("key").agg((F.stddev_samp("ret") * F.sqrt(F.lit(52.0))).alias("vol_week"))
     b = monthly_types(v).groupBy("key").agg((F.stddev_samp("ret") * F.sqrt(F.lit(12.0))).alias("vol_month"))

@@ -40,6 +40,7 @@ FEATS = """r AS (SELECT key, date, price, volume, price/lag(price) OVER (PARTITI
  mo AS (SELECT key, CASE WHEN n>=13 THEN lag(price,1) OVER w/lag(price,12) OVER w - 1 END AS mom12_1, n FROM me WINDOW w AS (PARTITION BY key ORDER BY n))
 SELECT f.key, vol_63, vol_252, maxdd_252, quality_v1, liquidity_adv, history_years, mom12_1 FROM f JOIN m USING (key, rn) JOIN mo ON mo.key=f.key AND mo.n=(SELECT max(n) FROM me WHERE me.key=f.key)""")
 def a04(v):
+    v.shared("px_d")
     bench = v.ret_d.where("key = 'ECONOMY'").select("date", F.col("ret").alias("bench"))
     month_end = F.coalesce(F.trunc(F.lead("date").over(W.by("key", order="date")), "MM") != F.trunc("date", "MM"), F.lit(True))
     feats = S.raw_features(v.px_d, "date", bench, at=month_end)
@@ -78,11 +79,13 @@ def _z(v, spread=None):
 
 @query("a07_robust_z", "key midx:i category z_x:f", ZSQL)
 def a07(v):
+    v.shared("px_s")
     return _z(v)
 
 
 @query("a07_robust_z_large_groups", "key midx:i category z_x:f", ZSQL)
 def a07b(v):
+    v.shared("px_s")
     return _z(v, True)
 
 
@@ -104,6 +107,7 @@ def monthly_scores(v, spread=None):
 
 @query("a08_composite_score", "key month:d category s:f", f"WITH {SC} SELECT * FROM sc WHERE ready")
 def a08(v):
+    v.shared("px_s")
     return monthly_scores(v).where("ready")
 
 
@@ -394,16 +398,19 @@ def walkforward_ic(v, spread=None):
 
 @query("g01_spearman_ic", "month:d ic:f n_names:i", f"WITH {IC} SELECT * FROM ic")
 def g01(v):
+    v.shared("px_s")
     return walkforward_ic(v)
 
 
 @query("g01_spearman_ic_large_groups", "month:d ic:f n_names:i", f"WITH {IC} SELECT * FROM ic")
 def g01b(v):
+    v.shared("px_s")
     return walkforward_ic(v, spread=True)
 
 
 @query("g02_ic_ratio", "mean:f ir:f n:i", f"WITH {IC} SELECT avg(ic) AS mean, avg(ic)/stddev_samp(ic) AS ir, count(ic) AS n FROM ic")
 def g02(v):
+    v.shared("px_s")
     return walkforward_ic(v).agg(F.avg("ic").alias("mean"), ratio(F.avg("ic"), F.stddev_samp("ic")).alias("ir"), F.count("ic").alias("n"))
 
 
@@ -422,6 +429,7 @@ def g12(v):
  h AS (SELECT *, sum(pow(mean-grand,2)) OVER (PARTITION BY midx) AS d2 FROM gg)
 SELECT key, midx, 0.5*coalesce(CASE WHEN n>=3 AND vv>=1e-16 AND d2>=1e-16 THEN grand+greatest(0,1-(n-2)*vv/d2)*(mean-grand) ELSE mean END, grand, 0) + 0.5*(coalesce(grand,0)+0.015*(rk/ns-0.5)*2) AS mu FROM h""")
 def g13(v):
+    v.shared("px_s")
     d = monthly_scores(v).withColumn("mean", F.avg("ret").over(km().rowsBetween(-23, 0)))
     return S.expected_returns(d, ["midx"], "mean", "s")
 
@@ -438,6 +446,7 @@ def g21(v):
 
 @query("b02_walkforward_ic", "month:d ic:f n_names:i ic_mean_expanding:f", f"WITH {IC} SELECT month, ic, n_names, avg(ic) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) AS ic_mean_expanding FROM ic")
 def b02(v):
+    v.shared("px_s")
     ic = walkforward_ic(v)
     # the decision calendar is one row per month, so a single ordered frame is bounded
     return ic.withColumn("ic_mean_expanding", F.avg("ic").over(Window.orderBy("month").rowsBetween(W.UNB, 0)))

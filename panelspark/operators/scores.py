@@ -58,6 +58,7 @@ def robust_z(df: DataFrame, group: list[str], features: list[str], spread: bool
     histogram quantile, so a group that holds a third of all keys is never gathered in one task.
     """
     spread = needs_spread(df, group, spread)
+    df = stage(df) if spread else df  # the bucketed quantile reads its input three times
 
     def medians(d, cols):
         if not spread:
@@ -72,6 +73,7 @@ def robust_z(df: DataFrame, group: list[str], features: list[str], spread: bool
     d = df.join(medians(df, features), group, "left").join(sd, group, "left")
     for c in features:
         d = d.withColumn(f"_d_{c}", F.abs(F.col(c) - F.col(f"_m_{c}")))
+    d = stage(d) if spread else d
     d = d.join(medians(d, [f"_d_{c}" for c in features]), group, "left")
     for c in features:
         mad, s, dev = F.col(f"_m__d_{c}"), F.col(f"_s_{c}"), F.col(c) - F.col(f"_m_{c}")

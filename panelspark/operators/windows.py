@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.functions.scalar import col, ratio
 from panelspark.functions.stats import safe_corr
+from panelspark.sources.stage import stage
 
 UNB = Window.unboundedPreceding
 
@@ -112,7 +113,7 @@ def spread_average_rank(df: DataFrame, group: list[str], value: str, out: str, b
     Rows fall into value buckets per group; bucket counts (combined map-side) give the offset and
     each (group, bucket) is ranked on its own.  Equal values share a bucket, so ties stay exact.
     """
-    d = df.withColumn("_rank_value", F.col(value).cast("double"))
+    d = stage(df.withColumn("_rank_value", F.col(value).cast("double")))
     span = d.groupBy(*group).agg(F.min("_rank_value").alias("_rank_lo"), F.max("_rank_value").alias("_rank_hi"))
     share = F.coalesce(ratio(F.col("_rank_value") - F.col("_rank_lo"), F.col("_rank_hi") - F.col("_rank_lo")), F.lit(0.0))
     d = d.join(span, group).withColumn("_rank_bucket", F.when(F.col("_rank_value").isNotNull(), F.least(F.lit(buckets - 1), F.floor(share * buckets)).cast("int")))

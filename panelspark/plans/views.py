@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelspark.functions.scalar import month_idx, month_of, ratio
+from panelspark.sources.stage import stage
 
 LINE_END = "2001-11-01"    # first day of the incomplete final month of lineitem
 ORDER_END = "2001-08-01"   # first day of the incomplete final month of orders
@@ -22,6 +23,15 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def shared(self, *names: str) -> "Views":
+        """Stage views that a job reads more than once: the fact table is then scanned once.
+
+        A derived view (returns) must be named before or instead of its base (prices).
+        """
+        for n in names:
+            setattr(self, n, stage(getattr(self, n)))
+        return self
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
