@@ -1,4 +1,6 @@
 """No look-ahead: changing the future must not change the past."""
+from functools import cached_property
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,10 +16,10 @@ class Mutated(Views):
     def _m(self, df, col):
         return df.withColumn(col, F.when(F.col("midx") > CUT, F.col(col) * 1.7 + 0.3).otherwise(F.col(col)))
 
-    px_s = property(lambda self: self._m(Views.px_s.func(self), "price"))
-    px_b = property(lambda self: self._m(Views.px_b.func(self), "price"))
-    ret_s = property(lambda self: self._m(Views.ret_s.func(self), "ret"))
-    ret_b = property(lambda self: self._m(Views.ret_b.func(self), "ret"))
+    px_s = cached_property(lambda self: self._m(Views.px_s.func(self), "price"))
+    px_b = cached_property(lambda self: self._m(Views.px_b.func(self), "price"))
+    ret_s = cached_property(lambda self: self._m(Views.ret_s.func(self), "ret"))
+    ret_b = cached_property(lambda self: self._m(Views.ret_b.func(self), "ret"))
 
 
 CASES = {
