@@ -13,6 +13,19 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.warc import round_trip
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS head FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> head THEN head END AS refers_to FROM f
+"""
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.packing import pack
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
@@ -23,6 +36,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, vocabulary=49408)
 
 
+URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.url_filter import Rule, judge
+    return judge(_table(spark, sf_dir, "pages"), [Rule(*r) for r in URL_RULES])
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.line_dedup import drop_repeated_lines
     out = drop_repeated_lines(_table(spark, sf_dir, "documents"))
@@ -42,5 +63,5 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE o.key IS NOT NULL A
 FROM lines l LEFT JOIN often o USING (key) GROUP BY l.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op7_best_fit_packing, op8_token_files, op9_line_dedup)}
-ORACLE = {"op9_line_dedup": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op3_warc_round_trip, op7_best_fit_packing, op8_token_files, op9_line_dedup, op10_url_filter)}
+ORACLE = {"op3_warc_round_trip": OP3_SQL, "op9_line_dedup": OP9_SQL}
