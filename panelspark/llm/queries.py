@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from panelspark.llm.common import fold
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,6 +28,13 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> head THEN 'r
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm import toxicity
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.packing import pack
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
@@ -63,5 +72,5 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE o.key IS NOT NULL A
 FROM lines l LEFT JOIN often o USING (key) GROUP BY l.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op3_warc_round_trip, op7_best_fit_packing, op8_token_files, op9_line_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_warc_round_trip, op5_toxicity, op7_best_fit_packing, op8_token_files, op9_line_dedup, op10_url_filter)}
 ORACLE = {"op3_warc_round_trip": OP3_SQL, "op9_line_dedup": OP9_SQL}
