@@ -141,3 +141,33 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offs = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset:arr.offset + len(arr) + 1]
     data = np.frombuffer(arr.buffers()[2], np.uint8)[offs[0]:offs[-1]] if offs[-1] > offs[0] else np.empty(0, np.uint8)
     return data, offs - offs[0]
+
+
+_STEP = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power(name: str, base: int, n: int) -> np.ndarray:
+    have = _powers.get(name)
+    if have is None or len(have) < n:
+        p = np.full(max(n, 1 << 20), base, np.uint64)
+        p[0] = 1
+        have = _powers[name] = np.cumprod(p, dtype=np.uint64)
+    return have[:n]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] for many spans at once: a polynomial of the bytes, taken from its prefix sums."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _STEP, n), out=sums[1:])
+    h = (sums[ends] - sums[starts]) * _power("down", pow(_STEP, -1, 1 << 64), n + 1)[starts]
+    return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+
+
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+
+
+def is_blank(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))

@@ -105,8 +105,10 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) ->
         end = np.array([end_id], "<u4").tobytes()
         for b in chunks(batches, "text"):
             rows = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode_all(["" if t is None else t for t in b.column("text").to_pylist()])):
-                ids += end
+            flat, ends = enc.encode(b.column("text"))
+            flat = memoryview(flat.astype("<u4", copy=False)).cast("B")
+            for doc, lo, hi in zip(b.column("doc_id").to_pylist(), (4 * ends[:-1]).tolist(), (4 * ends[1:]).tolist()):
+                ids = bytes(flat[lo:hi]) + end
                 for k, (s, n) in enumerate(cut(len(ids) // 4, size)):
                     rows.append((doc, k, s, n, zlib.crc32(ids[4 * s:4 * (s + n)]), task, int(seen[n])))
                     seen[n] += 1

@@ -31,24 +31,26 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int, vocabu
 
     def run(batches):
         part, store, enc = TaskContext.get().partitionId(), Store(root), encoder(tokenizer, spaced)
-        name, end = f"part-{part:06d}-{uuid.uuid4().hex}", np.array([end_id], dtype).tobytes()
+        name = f"part-{part:06d}-{uuid.uuid4().hex}"
         sizes, ids, any_row = [], [], False
         out = None
         for b in chunks(batches, "text"):
             out = out or store.create(f"{name}.ids")
-            for t in enc.encode_all(["" if t is None else t for t in b.column("text").to_pylist()]):
-                data = (t if dtype == "<u4" else np.frombuffer(t, "<u4").astype(dtype).tobytes()) + end
-                sizes.append(len(data) // len(end))
-                out.write(data)
+            flat, ends = enc.encode(b.column("text"))
+            n = np.diff(ends) + 1
+            block = np.full(len(flat) + len(n), end_id, dtype)
+            block[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n - 1)] = flat
+            out.write(block.tobytes())
+            sizes.append(n)
             ids.append(b.column("doc_id").cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
             any_row = True
         if any_row:
             out.close()
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<i8")
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<i8")
             for suffix, data in (("offsets", offsets), ("docs", np.concatenate(ids).astype("<i8"))):
                 with store.create(f"{name}.{suffix}") as f:
                     f.write(data.tobytes())
-            yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_docs": len(sizes), "n_tokens": int(offsets[-1])}])
+            yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_docs": len(offsets) - 1, "n_tokens": int(offsets[-1])}])
 
     return docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, PARTS)
 
