@@ -171,3 +171,40 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 def is_blank(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
+
+
+def word_spans(gap: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that are no gap and within one text, and the text of each."""
+    n = len(gap)
+    if not n:
+        none = np.empty(0, np.int64)
+        return none, none, none
+    edge = np.zeros(n + 1, bool)
+    edge[offs] = True
+    before, after = np.concatenate([[True], gap[:-1]]) | edge[:-1], np.concatenate([gap[1:], [True]]) | edge[1:]
+    starts, ends = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
+    return starts, ends, np.searchsorted(offs, starts, "right") - 1
+
+
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n words from each place on; the last n - 1 places have none."""
+    m = max(0, len(words) - n + 1)
+    h = np.zeros(m, np.uint64)
+    for k in range(n):
+        h += words[k:k + m] * np.uint64(pow(_STEP, 2 * k + 3, 1 << 64))
+    return mix(h, n)
+
+
+def hash_filter(keys: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
+    """Bit array of fixed size of the 64-bit keys, put together from bitmaps of 4 KB; member() may err towards True."""
+    place = F.pmod(column, F.lit(bits))
+    rows = (keys.groupBy(F.floor(place / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg((place % 32768).cast("long")).alias("map")).collect())
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out[r["part"] * 4096:(r["part"] + 1) * 4096] = np.frombuffer(bytes(r["map"]), np.uint8)
+    return out
+
+
+def member(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = np.mod(hashes.view(np.int64), len(bitmap) * 8)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

@@ -15,6 +15,13 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm import quality
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    network, _ = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, network).select("doc_id", (fold("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.warc import round_trip
     return round_trip(_table(spark, sf_dir, "pages"))
@@ -28,6 +35,11 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> head THEN 'r
 """
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.decontaminate import find_leaks
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm import toxicity
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -72,5 +84,5 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE o.key IS NOT NULL A
 FROM lines l LEFT JOIN often o USING (key) GROUP BY l.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op3_warc_round_trip, op5_toxicity, op7_best_fit_packing, op8_token_files, op9_line_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_warc_round_trip, op4_decontamination, op5_toxicity, op7_best_fit_packing, op8_token_files, op9_line_dedup, op10_url_filter)}
 ORACLE = {"op3_warc_round_trip": OP3_SQL, "op9_line_dedup": OP9_SQL}
