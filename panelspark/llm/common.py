@@ -208,3 +208,16 @@ def hash_filter(keys: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray
 def member(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = np.mod(hashes.view(np.int64), len(bitmap) * 8)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def in_blocks(rows: DataFrame, keys: list[str], row_id: str, block: int) -> DataFrame:
+    """Split large groups for pairwise work: add block (the row's own) and left_block <= right_block (the cell).
+
+    A group of m rows gets ceil(m / block) blocks; a row goes to every cell of its block, so any two rows of a group meet
+    in exactly one cell, and a cell holds about 2 * block rows.
+    """
+    size = rows.groupBy(*keys).agg(F.count("*").alias("_m")).where(F.col("_m") > block)
+    g = F.coalesce(F.ceil(F.col("_m") / block), F.lit(1)).cast("int")
+    out = rows.join(size, keys, "left").withColumn("_g", g).drop("_m").withColumn("block", F.pmod(F.xxhash64(row_id), F.col("_g")).cast("int"))
+    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    return out.withColumns({"left_block": F.least("block", "_o"), "right_block": F.greatest("block", "_o")}).drop("_g", "_o")

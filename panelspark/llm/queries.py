@@ -47,6 +47,27 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.near_vectors import link_vectors
+    return link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id
+          WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON e.vec_id = c.x LEFT JOIN n ON e.vec_id = n.x
+"""
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.packing import pack
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
@@ -84,5 +105,5 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE o.key IS NOT NULL A
 FROM lines l LEFT JOIN often o USING (key) GROUP BY l.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_warc_round_trip, op4_decontamination, op5_toxicity, op7_best_fit_packing, op8_token_files, op9_line_dedup, op10_url_filter)}
-ORACLE = {"op3_warc_round_trip": OP3_SQL, "op9_line_dedup": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_warc_round_trip, op4_decontamination, op5_toxicity, op6_near_vectors, op7_best_fit_packing, op8_token_files, op9_line_dedup, op10_url_filter)}
+ORACLE = {"op6_near_vectors": OP6_SQL, "op3_warc_round_trip": OP3_SQL, "op9_line_dedup": OP9_SQL}
