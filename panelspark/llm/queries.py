@@ -22,6 +22,25 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, network).select("doc_id", (fold("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.jaccard_join import link_documents
+    return link_documents(_table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN [array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]
+                                          WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE []::VARCHAR[] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.y) AS component_id
+FROM documents d JOIN reach r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.warc import round_trip
     return round_trip(_table(spark, sf_dir, "pages"))
@@ -105,5 +124,5 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE o.key IS NOT NULL A
 FROM lines l LEFT JOIN often o USING (key) GROUP BY l.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_warc_round_trip, op4_decontamination, op5_toxicity, op6_near_vectors, op7_best_fit_packing, op8_token_files, op9_line_dedup, op10_url_filter)}
-ORACLE = {"op6_near_vectors": OP6_SQL, "op3_warc_round_trip": OP3_SQL, "op9_line_dedup": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_warc_round_trip, op4_decontamination, op5_toxicity, op6_near_vectors, op7_best_fit_packing, op8_token_files, op9_line_dedup, op10_url_filter)}
+ORACLE = {"op2_jaccard_join": OP2_SQL, "op6_near_vectors": OP6_SQL, "op3_warc_round_trip": OP3_SQL, "op9_line_dedup": OP9_SQL}
