@@ -13,12 +13,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.common import Scratch, chunks, labelled_sample
+from panelspark.llm.common import Scratch, chunks, labelled_sample, mix
 
 SAMPLE_ROWS = 8_000
 WINDOW = 8
+DISGUISED = 0.9
 #: Look-alike characters, quote marks, reporting words of the four languages.
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"})
 OPENING, CLOSING = "\"«“„‘'", "\"»”“’'"
@@ -88,14 +90,23 @@ class Pieces:
             for table, piece in ((self.starts, pieces[0]), (self.ends, pieces[-1])):
                 table.setdefault(len(piece), {}).setdefault(piece, set()).update(lengths)
             self.inner += [(p, lengths) for p in pieces[1:-1]]
+        self.first, self.last = list(self.starts.items()), list(self.ends.items())
         self.lengths = {n for t in (self.starts, self.ends) for own in t.values() for ns in own.values() for n in ns}
 
     def may_match(self, token: str) -> bool:
         n = len(token)
         if n not in self.lengths:
             return False
-        return (any(n in own.get(token[:k], ()) for k, own in self.starts.items()) or any(n in own.get(token[-k:], ()) for k, own in self.ends.items())
-                or any(n in lengths and piece in token for piece, lengths in self.inner))
+        for k, own in self.first:
+            if n in own.get(token[:k], ()):
+                return True
+        for k, own in self.last:
+            if n in own.get(token[-k:], ()):
+                return True
+        for piece, lengths in self.inner:
+            if n in lengths and piece in token:
+                return True
+        return False
 
 
 @dataclass
@@ -107,12 +118,16 @@ class Matcher:
 
     def __post_init__(self):
         self.trie, self.pieces = Trie(self.terms), Pieces(self.terms)
-        self.stem_lengths = sorted({len(t) for t, k in self.terms.items() if k == "stem"})
+        stems = [t for t, k in self.terms.items() if k == "stem"]
+        self.stems = [(k, frozenset(t for t in stems if len(t) == k)) for k in sorted({len(t) for t in stems})]
 
     def exact(self, word: str) -> str | None:
         if word in self.terms:
             return word
-        return next((word[:k] for k in self.stem_lengths if self.terms.get(word[:k]) == "stem"), None)
+        for k, own in self.stems:
+            if word[:k] in own:
+                return word[:k]
+        return None
 
     def token(self, raw: str) -> tuple[str, int] | None:
         """(term, 0 exact, 1 disguised or misspelled)."""
@@ -125,9 +140,12 @@ class Matcher:
             if hit := self.exact(plain):
                 found = (hit, 0)
             elif plain not in self.exceptions:
-                for form in self.forms(plain, raw):
-                    near = (hit := self.exact(form)) or (self.pieces.may_match(form) and (hit := (self.trie.search(form, self.most) or (None,))[0]))
-                    if near:
+                simple = plain.isalpha() and not _REPEAT.search(plain)
+                for form in (plain,) if simple else self.forms(plain, raw):
+                    hit = None if simple else self.exact(form)
+                    if not hit and self.pieces.may_match(form):
+                        hit = (self.trie.search(form, self.most) or (None,))[0]
+                    if hit:
                         found = (hit, 1)
                         break
         self.cache[raw] = found
@@ -145,14 +163,23 @@ class Matcher:
         return list(dict.fromkeys(f for f in out if f))
 
     def features(self, text: str) -> np.ndarray:
-        """Counts (log scale) of plain and disguised matches, each in quotation and not, distinct terms, matches per word."""
+        """How much abuse and how much quotation (log scale, and whether any), distinct terms of abuse, abuse per word.
+
+        A disguised or misspelled match counts `DISGUISED` of a plain one, so what labelled documents tell of plain terms
+        holds for spellings that they do not contain.
+        """
         tokens = _TOKEN.findall(text)
         get, cache = self.token, self.cache
         hits = [(i, h) for i, t in enumerate(tokens) if (h := cache[t] if t in cache else get(t))]
-        n = np.zeros(4)
-        for i, (_, kind) in hits:
-            n[2 * self.quoted(tokens, i) + kind] += 1
-        return np.array([*np.log1p(n), *np.minimum(n, 1), np.log1p(len({h[0] for _, h in hits})), 100 * len(hits) / max(20, len(tokens))])
+        abuse, quotes, terms = 0.0, 0.0, set()
+        for i, (term, kind) in hits:
+            weight = DISGUISED if kind else 1.0
+            if self.quoted(tokens, i):
+                quotes += weight
+            else:
+                abuse += weight
+                terms.add(term)
+        return np.array([np.log1p(abuse), min(abuse, 1.0), np.log1p(quotes), min(quotes, 1.0), np.log1p(len(terms)), 100 * abuse / max(20, len(tokens))])
 
     @staticmethod
     def quoted(tokens: list[str], i: int) -> bool:
@@ -185,44 +212,91 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
 
 
-def learn_lexicon(documents: DataFrame, least: int = 5, precision: float = 0.9, size: int = 5000) -> tuple[dict[str, str], int]:
-    """Terms and stems of (text, y), at most `size`, and the number of documents.
+def _words(text: str) -> set[str]:
+    return {w for t in set(_TOKEN.findall(text)) if 3 < len(w := t.casefold().strip(_EDGE)) < 40}
+
+
+def _entries(words: set[str]) -> set[str]:
+    """Words, marked with =, and their beginnings of 4 to 8 characters."""
+    return {"=" + w for w in words} | {w[:k] for w in words for k in range(4, min(9, len(w)))}
 
-    Tokens and their beginnings of 4 to 8 characters are counted in documents of each class; an entry is in at least
-    `least` toxic documents that make `precision` of its documents.  A beginning is a stem if it has several endings.
+
+def learn_lexicon(documents: DataFrame, least: int = 5, precision: float = 0.9) -> dict[str, str]:
+    """Terms and stems of a bounded table (text, y).
+
+    An entry is in at least `least` toxic documents, near copies counted once, and these make `precision` of its documents.
+    A beginning with several endings is a stem.
     """
-    def count(batches):
-        n = [Counter(), Counter()]
-        ends: dict[str, set] = {}
+    def entries(batches):
+        for b in chunks(batches, "text", 1 << 20):
+            rows = [(d, e) for d, t in zip(b.column("d").to_pylist(), b.column("text").to_pylist()) for e in _entries(_words(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([e for _, e in rows], pa.string())], names=["d", "entry"])
+
+    documents = documents.dropDuplicates(["text"]).withColumn("d", F.xxhash64("text"))
+    toxic = documents.where("y = 1").select("d", "text").mapInArrow(entries, "d long, entry string")
+    some = {r["entry"]: r["n"] for r in toxic.groupBy("entry").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}
+    cast = documents.sparkSession.sparkContext.broadcast(frozenset(some))
+
+    def clean(batches):
+        n = Counter()
         for b in chunks(batches, "text"):
-            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
-                words = {w for t in set(_TOKEN.findall(text)) if 3 < len(w := t.casefold().strip(_EDGE)) < 40}
-                n[y].update("=" + w for w in words)
-                n[y].update({w[:k] for w in words for k in range(4, min(9, len(w)))})
-        for y in (0, 1):
-            items = list(n[y].items())
-            for lo in range(0, len(items), 1 << 16):
-                part = items[lo:lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part]), pa.array([y] * len(part), pa.int32()), pa.array([c for _, c in part], pa.int64())], names=["term", "y", "n"])
-
-    sums = documents.mapInArrow(count, "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
-    rows = (sums.where((F.col("bad") >= least) & (F.col("bad") >= precision * F.col("n"))).orderBy(F.col("bad").desc(), "term").limit(size).collect())
-    words = {r["term"][1:]: r["bad"] for r in rows if r["term"].startswith("=")}
+            for t in b.column("text").to_pylist():
+                n.update(_entries(_words(t)) & cast.value)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["entry", "n"])
+
+    other = {r["entry"]: r["n"] for r in documents.where("y = 0").select("text").mapInArrow(clean, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n")).collect()}
+    good = [e for e, n in some.items() if n >= precision * (n + other.get(e, 0))]
+    keep = documents.sparkSession.sparkContext.broadcast(frozenset(good))
+
+    def chosen(batches):
+        for b in chunks(batches, "text", 1 << 20):
+            rows = [(d, e) for d, t in zip(b.column("d").to_pylist(), b.column("text").to_pylist()) for e in _entries(_words(t)) & keep.value]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([e for _, e in rows], pa.string())], names=["d", "entry"])
+
+    where: dict[str, set[int]] = {}
+    for r in documents.where("y = 1").select("d", "text").mapInArrow(chosen, "d long, entry string").collect():
+        where.setdefault(r["entry"], set()).add(r["d"])
+    family = _families({r["d"]: r["sketch"] for r in documents.where("y = 1").select("d", "text").mapInArrow(_sketches, "d long, sketch array<long>").collect()})
+    count = {e: len({family[d] for d in ds}) for e, ds in where.items()}
+    count = {e: n for e, n in count.items() if n >= max(least, 0.005 * len(set(family.values())))}
+    words = {e[1:]: n for e, n in count.items() if e[0] == "="}
     terms: dict[str, str] = {}
-    for p, bad in sorted(((r["term"], r["bad"]) for r in rows if not r["term"].startswith("=")), key=lambda x: (len(x[0]), x[0])):
-        whole = max((c for w, c in words.items() if w.startswith(p)), default=0)
-        if whole < 0.5 * bad and not any(p.startswith(q) for q in terms):
+    for p in sorted((e for e in count if e[0] != "="), key=lambda e: (len(e), e)):
+        if max((n for w, n in words.items() if w.startswith(p)), default=0) < 0.5 * count[p] and not any(p.startswith(q) for q in terms):
             terms[p] = "stem"
-    for w in words:
-        if not any(w.startswith(q) for q, k in terms.items() if k == "stem"):
-            terms[w] = "word"
-    return terms, len(rows)
+    return terms | {w: "word" for w in words if not any(w.startswith(q) for q in terms)}
+
+
+def _sketches(batches):
+    """For each text the least of its words' hashes under 12 mixings."""
+    for b in chunks(batches, "text"):
+        out = []
+        for t in b.column("text").to_pylist():
+            h = np.array([hash_word(w) for w in _words(t)] or [0], np.uint64)
+            out.append([int(mix(h, k).min().view(np.int64)) for k in range(12)])
+        yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(out, pa.list_(pa.int64()))], names=["d", "sketch"])
+
+
+def hash_word(w: str) -> int:
+    return xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+
+
+def _families(sketches: dict[int, list[int]]) -> dict[int, int]:
+    """Near copies count once: texts that agree in a band of 3 sketch values get one number."""
+    seen: dict[tuple, int] = {}
+    out = {}
+    for d in sorted(sketches):
+        keys = [(k, *sketches[d][k:k + 3]) for k in range(0, 12, 3)]
+        out[d] = min((seen[k] for k in keys if k in seen), default=d)
+        for k in keys:
+            seen.setdefault(k, out[d])
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Learn from at most `most_rows` labelled documents outside the held-out fold.  Without toxic ones every score is near 0."""
     sample = Scratch(docs.sparkSession).stage(labelled_sample(docs, labels, "toxic", most_rows), "sample")
-    terms, _ = learn_lexicon(sample)
+    terms = learn_lexicon(sample)
 
     def near(batches):
         m, bad, seen = Matcher(terms), Counter(), Counter()
@@ -245,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = SAMPLE_ROWS) -> Tox
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
     got = sample.mapInArrow(features, "y int, x array<double>").toPandas()
-    x, y = np.array(got["x"].tolist()).reshape(-1, 10), got["y"].to_numpy(float)
+    x, y = np.array(got["x"].tolist()).reshape(-1, 6), got["y"].to_numpy(float)
     return ToxicityModel(matcher, *logistic(x, y))
 
 
