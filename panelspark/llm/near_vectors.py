@@ -9,7 +9,7 @@ no pair leaves its cell: rows come out as a vector's number of links and its com
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import product
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -177,44 +177,47 @@ def link_vectors(vectors: DataFrame, least: float = 0.9, how: Hashing | None = N
     keys = ["dim", "hash_table", "bucket", "left_block", "right_block"]
     cells = cells.repartition(*keys).sortWithinPartitions(*keys)
 
-    def join(batches):
-        held: list[pa.RecordBatch] = []
-        key = None
-
-        def close():
-            cell = pa.Table.from_batches(held).combine_chunks()
-            rep = cell.column("rep").to_numpy()
-            if len(rep) < 2:
+    def close(rep, weight, own, blk, x, key):
+        """Links of one cell, None where there are none."""
+        if len(rep) < 2 or not own.any():
+            return None
+        if len(rep) <= 256:  # most cells hold no link at all
+            s = x @ x[own].T
+            s[np.flatnonzero(own), np.arange(s.shape[1])] = -1
+            near = s.max(1) >= least
+            near[np.flatnonzero(own)[s.max(0) >= least]] = True
+            if not near.any():
                 return None
-            x = _vectors(cell.column("embedding").combine_chunks())
-            near = np.ones(len(rep), bool)
-            if len(rep) <= 64:  # most cells hold no link at all
-                s = x @ x.T
-                np.fill_diagonal(s, -1)
-                near = (s >= least).any(1)
-                if not near.any():
-                    return None
-            x = x[near]
-            get = lambda c: cell.column(c).to_numpy()[near]
-            n, reach = _cell(rep[near], get("weight"), get("own"), get("block"), x, buckets(x, how), int(key[1]), int(key[2]), least, int(key[3]), int(key[4]))
-            some = (n > 0) | (reach != rep[near])
-            return pa.RecordBatch.from_arrays([pa.array(rep[near][some]), pa.array(n[some]), pa.array(reach[some])], names=["rep", "n", "reach"])
+            rep, weight, own, blk, x = rep[near], weight[near], own[near], blk[near], x[near]
+        n, reach = _cell(rep, weight, own, blk, x, buckets(x, how), int(key[1]), int(key[2]), least, int(key[3]), int(key[4]))
+        some = (n > 0) | (reach != rep)
+        return rep[some], n[some], reach[some]
 
-        for b in batches:
-            if not b.num_rows:
+    def join(batches):
+        rest = None
+        for b in chain(batches, [None]):
+            if b is not None:
+                rest = b if rest is None else pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            if rest is None or not rest.num_rows:
                 continue
-            k = np.stack([b.column(c).to_numpy() for c in keys])
-            cuts = np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1, [b.num_rows]])
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                now = tuple(k[:, lo])
-                if key is not None and now != key:
-                    if (out := close()) is not None:
-                        yield out
-                    held.clear()
-                key = now
-                held.append(b.slice(lo, hi - lo))
-        if held and (out := close()) is not None:
-            yield out
+            k = np.stack([rest.column(c).to_numpy() for c in keys])
+            cuts = np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1, [rest.num_rows]])
+            whole = len(cuts) - (1 if b is None else 2)  # the last cell may go on in the next batch
+            out = []
+            for dim in np.unique(k[0, :cuts[whole]]):
+                cells_of = np.flatnonzero(k[0, cuts[:whole]] == dim)
+                lo, hi = cuts[cells_of[0]], cuts[cells_of[-1] + 1]
+                part = rest.slice(lo, hi - lo)
+                x = _vectors(part.column("embedding"))
+                rep, weight, blk = (part.column(c).to_numpy() for c in ("rep", "weight", "block"))
+                own = part.column("own").to_numpy(zero_copy_only=False)
+                for c in cells_of:
+                    s = slice(cuts[c] - lo, cuts[c + 1] - lo)
+                    if cuts[c + 1] - cuts[c] > 1 and (got := close(rep[s], weight[s], own[s], blk[s], x[s], k[:, cuts[c]])) is not None:
+                        out.append(got)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["rep", "n", "reach"])
+            rest = rest.slice(cuts[whole])
 
     found = scratch.stage(cells.mapInArrow(join, "rep long, n long, reach long"), "found")
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("reach").alias("b")), scratch)

@@ -10,7 +10,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
 
@@ -89,12 +89,12 @@ FROM embeddings e JOIN c ON e.vec_id = c.x LEFT JOIN n ON e.vec_id = n.x
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.packing import pack
-    return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return pack(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.token_files import round_trip
-    return round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, vocabulary=49408)
+    return round_trip(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1, vocabulary=49408)
 
 
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
