@@ -29,6 +29,7 @@ PART = 1 << 14
 CLASSES = 32
 SALT_ABOVE = 12  # log2 of a shingle's estimated documents in one salt
 BLOCK = 1024
+NO_ID = -(1 << 63)
 
 
 def shingle_sets(column: pa.Array, n: int = WORDS) -> list[np.ndarray]:
@@ -90,7 +91,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def describe(docs: DataFrame, level: np.ndarray, percent: int) -> DataFrame:
-    """(doc_id, n, h1, h2, prefix, salt): set size and hash, the prefix in the global order and a salt for each shingle."""
+    """(doc_id, n, h1, h2, classes, prefix, salt): set size and hash, shingles by hash class, the prefix in the global order and
+    a salt for each of its shingles."""
     cast = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches):
@@ -102,35 +104,48 @@ def describe(docs: DataFrame, level: np.ndarray, percent: int) -> DataFrame:
                 of = lvl[_cell(s)]
                 first = np.lexsort((s, of))[:prefix_length(len(s), percent)]
                 turns = np.left_shift(1, np.maximum(of[first].astype(np.int64) - SALT_ABOVE, 0))
-                rows.append((len(s), h1, h2, s[first].view(np.int64), ((h1 & 0x7FFFFFFF) % turns).astype(np.int32)))
-            n, h1, h2, prefix, salt = zip(*rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(salt, pa.list_(pa.int32()))],
-                                             names=["doc_id", "n", "h1", "h2", "prefix", "salt"])
+                classes = np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).astype("<u4").tobytes()
+                rows.append((len(s), h1, h2, classes, s[first].view(np.int64), ((h1 & 0x7FFFFFFF) % turns).astype(np.int32)))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=["doc_id", "n", "h1", "h2", "classes", "prefix", "salt"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>, salt array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, classes binary, prefix array<long>, salt array<int>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rid, n, members, classes) of the sets in `wanted` (rid, h1, h2).  A filter of fixed size keeps other documents, nearly
-    all, from being handed on; equal sets are handed on once by a task."""
-    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(wanted.select("h1"), "h1"))
+    """(rid, members) of the sets in `wanted` (rid, doc_id, h1, h2), from the documents that stand for them.
+
+    A filter of fixed size on the id keeps nearly all other documents from being looked at; what it lets through in error,
+    and rows that share an id, fall out in the join on the set's hash.
+    """
+    key = F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)))
+    bits = docs.sparkSession.sparkContext.broadcast(hash_filter(wanted.select(key.alias("key")), "key"))
 
     def run(batches):
-        seen: set = set()
-        for b in chunks(batches, "text"):
-            rows = []
-            for s in shingle_sets(b.column("text")):
-                h = _set_hash(s) if len(s) else None
-                if h and h not in seen and member(bits.value, np.array([h[0]]).view(np.uint64))[0]:
-                    if len(seen) < 1 << 18:  # a set handed on twice is dropped below
-                        seen.add(h)
-                    classes = np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).astype("<u2")
-                    rows.append((*h, len(s), s.view(np.int64), classes.tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], names=["h1", "h2", "n", "members", "classes"])
+        for b in batches:
+            b = b.filter(pa.array(member(bits.value, b.column("key").to_numpy().view(np.uint64))))
+            for c in chunks([b], "text"):
+                rows = [(*_set_hash(s), s.view(np.int64)) for s in shingle_sets(c.column("text")) if len(s)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["h1", "h2", "members"])
+
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(key.alias("key"), "text")
+    found = ids.mapInArrow(run, "h1 long, h2 long, members array<long>")
+    return wanted.select("rid", "h1", "h2").join(found, ["h1", "h2"]).select("rid", "members").dropDuplicates(["rid"])
 
-    once = docs.select("text").mapInArrow(run, "h1 long, h2 long, n long, members array<long>, classes binary").groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("members").alias("members"), F.first("classes").alias("classes"))
-    return wanted.join(once, ["h1", "h2"]).select("rid", "n", "members", "classes")
+
+def near_by_classes(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that class counts do not tell apart."""
+    a, b = classes.select(F.col("rid").alias("a"), F.col("classes").alias("ca"), F.col("n").alias("na")), classes.select(F.col("rid").alias("b"), F.col("classes").alias("cb"), F.col("n").alias("nb"))
+
+    def run(batches):
+        for t in batches:
+            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u4").reshape(-1, CLASSES).astype(np.int64) for c in ("ca", "cb"))
+            n = t.column("na").to_numpy() + t.column("nb").to_numpy()
+            near = np.abs(x - y).sum(1) * (100 + percent) <= (100 - percent) * n
+            yield t.select(["a", "b"]).filter(pa.array(near))
+
+    return pairs.join(b, "b").join(a, "a").mapInArrow(run, "a long, b long")
 
 
 def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -160,7 +175,7 @@ def window_pairs(cells: DataFrame, percent: int) -> DataFrame:
             t = pa.Table.from_batches(held).combine_chunks()
             get = lambda c: t.column(c).to_numpy()
             rid, n, comp, far, block = get("rid"), get("n"), get("comp"), get("far"), get("block")
-            vec = np.frombuffer(b"".join(t.column("classes").to_pylist()), "<u2").reshape(-1, CLASSES).astype(np.int32)
+            vec = np.frombuffer(b"".join(t.column("classes").to_pylist()), "<u4").reshape(-1, CLASSES).astype(np.int64)
             order = np.argsort(n, kind="stable")
             rid, n, comp, far, block, vec = rid[order], n[order], comp[order], far[order], block[order], vec[order]
             upto = np.searchsorted(n * percent, n * 100, "right")  # the larger set has 100 / percent of the smaller at most
@@ -212,15 +227,18 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scratch = Scratch(spark)
     level = count_sketch(docs)
     described = scratch.stage(describe(docs, level, percent).withColumn("rid", F.monotonically_increasing_id()), "described")
-    reps = described.where("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first(F.struct("prefix", "salt")).alias("p"))
-    reps = reps.select("rid", "n", "h1", "h2", F.arrays_zip("p.prefix", "p.salt").alias("p"))
-    tokens = reps.select("rid", "n", "h1", "h2", F.explode("p").alias("p")).select(F.col("p.prefix").alias("region"), F.col("p.salt").alias("salt"), "rid", "n", "h1", "h2")
+    ids = scratch.stage(described.select("doc_id", "rid", "n", "h1", "h2"), "ids")
+    once = described.where("n > 0").groupBy("h1", "h2").agg(F.min_by(F.struct("rid", "doc_id", "n", "classes", "prefix", "salt"), "rid").alias("p")).select("h1", "h2", "p.*")
+    reps = scratch.stage(once, "reps")
+    scratch.drop(described)
+    tokens = reps.select("rid", "n", F.explode(F.arrays_zip("prefix", "salt")).alias("p")).select(F.col("p.prefix").alias("region"), F.col("p.salt").alias("salt"), "rid", "n")
     tokens = tokens.repartition("region", "salt").sortWithinPartitions("region", "salt", "rid")
+    classes = reps.select("rid", "n", "classes")
 
     def shared(batches):
         """Rows of regions with several sets, with the region's pivot; of single ones only where other salts exist."""
         carry = None
-        names = ["region", "salt", "rid", "n", "h1", "h2"]
+        names = ["region", "salt", "rid", "n"]
 
         def emit(block):
             region, salt = block["region"], block["salt"]
@@ -251,13 +269,20 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def salted(region: np.ndarray) -> np.ndarray:
         return cast.value[_cell(region.view(np.uint64))] > SALT_ABOVE
 
-    regions = scratch.stage(tokens.mapInArrow(shared, "region long, salt int, rid long, n long, h1 long, h2 long, pivot long, pivot_n long"), "regions")
-    sets = scratch.stage(sets_of(docs, regions.select("rid", "h1", "h2").distinct()), "sets")
+    regions = scratch.stage(tokens.mapInArrow(shared, "region long, salt int, rid long, n long, pivot long, pivot_n long"), "regions")
 
     own = regions.where("rid <> pivot").select("rid", "n", "pivot", "pivot_n")
     tops = regions.where("rid = pivot").groupBy("region").agg(F.min(F.struct("rid", "n")).alias("t"), F.count("*").alias("salts")).where("salts > 1")
     across = regions.where("rid = pivot").join(tops, "region").where(F.col("rid") != F.col("t.rid")).select("rid", "n", F.col("t.rid").alias("pivot"), F.col("t.n").alias("pivot_n"))
     stars = own.unionByName(across).where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")).select(F.col("rid").alias("b"), F.col("pivot").alias("a")).distinct()
+    stars = scratch.stage(near_by_classes(stars, classes, percent), "stars")
+
+    def members(pairs, known=None):
+        need = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+        need = need if known is None else need.join(known, "rid", "left_anti")
+        return scratch.stage(sets_of(docs, scratch.stage(need.join(reps.select("rid", "doc_id", "h1", "h2"), "rid"), "wanted")), "sets")
+
+    sets = members(stars)
     measured = scratch.stage(measure(stars, sets), "measured")
     direct = measured.where(_linked(percent)).select("a", "b")
     first = scratch.stage(connected_components(direct, scratch), "first")
@@ -265,15 +290,16 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     comp = regions.select("region", "rid", "n", "pivot").join(first.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn("comp", F.coalesce("component", "rid")).drop("component")
     mixed = comp.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi AND m > 2").select("region")
     far = measured.select(F.col("a").alias("pivot"), F.col("b").alias("rid"), (1 - F.col("both") / F.col("either")).alias("far"))
-    left = scratch.stage(comp.join(mixed, "region").join(far, ["pivot", "rid"], "left").join(sets.select("rid", "classes"), "rid"), "left")
+    left = scratch.stage(comp.join(mixed, "region").join(far, ["pivot", "rid"], "left").join(classes.select("rid", "classes"), "rid"), "left")
     # distances to different pivots do not compare, so a region with several (salted) has none
     one = left.groupBy("region").agg((F.min("pivot") == F.max("pivot")).alias("one"))
     known = F.when(F.col("one"), F.when(F.col("rid") == F.col("pivot"), 0.0).otherwise(F.coalesce("far", F.lit(float("nan"))))).otherwise(float("nan"))
     cells = in_blocks(left.join(one, "region").select("region", "rid", "n", "comp", known.alias("far"), "classes"), ["region"], "rid", BLOCK)
-    rest = measure(window_pairs(cells, percent), sets).where(_linked(percent)).select("a", "b")
+    pairs = scratch.stage(window_pairs(cells, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = sets.unionByName(members(pairs, sets))
+    rest = measure(pairs, more).where(_linked(percent)).select("a", "b")
     roots = connected_components(direct.unionByName(rest), scratch)
 
-    ids = described.select("doc_id", "rid", "n", "h1", "h2")
     node = ids.where("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least_doc"))
     node = node.join(roots.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     best = node.groupBy("component").agg(F.min("least_doc").alias("component_id"))
