@@ -53,6 +53,16 @@ class Scratch:
             fs.delete(p, True)
 
 
+    def last(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """Stage a small result and drop all other tables of the run; `df` must not be used again."""
+        out = self.stage(df, name)
+        fs, root = self._path(self.root)
+        for s in fs.listStatus(root):
+            if s.getPath().getName() != out._staged_at.rsplit("/", 1)[1]:
+                fs.delete(s.getPath(), True)
+        return out
+
+
 class Store:
     """Files that tasks write and read below a shared folder; usable inside tasks."""
 

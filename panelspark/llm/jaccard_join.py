@@ -9,7 +9,7 @@ say nothing about most pairs.  The regions are therefore built in two levels:
 2. In each region the document with the least id is a pivot.  Its distance to all others of the region is computed
    exactly; those within the radius are linked.  What is left are pairs of a region that no link connects so far: by the
    triangle inequality their distances to the pivot differ by the radius at most, and the distances of their class counts
-   (shingle counts in 32 hash classes, which move by no more than the symmetric difference) bound the overlap.  Pairs
+   (shingle counts in 256 hash classes, which move by no more than the symmetric difference) bound the overlap.  Pairs
    inside these windows are computed exactly, large regions in cells of bounded size.
 
 Regions of shingles of very many documents are salted; a second pivot level connects the salts' pivots.
@@ -26,7 +26,7 @@ from panelspark.llm.components import connected_components
 WORDS, PERCENT = 5, 80
 CELLS = 1 << 20
 PART = 1 << 14
-CLASSES = 32
+CLASSES = 256
 SALT_ABOVE = 12  # log2 of a shingle's estimated documents in one salt
 BLOCK = 1024
 NO_ID = -(1 << 63)
@@ -52,6 +52,23 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
         return tuple(int(np.uint64(mix(s, salt).sum(dtype=np.uint64)).astype(np.int64)) for salt in (21, 22))
 
 
+def pack_classes(s: np.ndarray) -> bytes:
+    """Number of shingles in each hash class modulo 16, two in a byte."""
+    n = np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES) & 15
+    return (n[::2] | n[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def unpack_classes(column: pa.Array) -> np.ndarray:
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CLASSES // 2)
+    return np.concatenate([packed & 15, packed >> 4], axis=1)
+
+
+def classes_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sum over the classes of the distance on a circle of 16: never more than the symmetric difference of the sets."""
+    d = (x - y) & 15
+    return np.minimum(d, 16 - d).sum(1, dtype=np.int64)
+
+
 def _cell(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(44)).astype(np.int64) & (CELLS - 1)
 
@@ -104,7 +121,7 @@ def describe(docs: DataFrame, level: np.ndarray, percent: int) -> DataFrame:
                 of = lvl[_cell(s)]
                 first = np.lexsort((s, of))[:prefix_length(len(s), percent)]
                 turns = np.left_shift(1, np.maximum(of[first].astype(np.int64) - SALT_ABOVE, 0))
-                classes = np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).astype("<u4").tobytes()
+                classes = pack_classes(s)
                 rows.append((len(s), h1, h2, classes, s[first].view(np.int64), ((h1 & 0x7FFFFFFF) % turns).astype(np.int32)))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=["doc_id", "n", "h1", "h2", "classes", "prefix", "salt"])
@@ -140,9 +157,8 @@ def near_by_classes(pairs: DataFrame, classes: DataFrame, percent: int) -> DataF
 
     def run(batches):
         for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u4").reshape(-1, CLASSES).astype(np.int64) for c in ("ca", "cb"))
             n = t.column("na").to_numpy() + t.column("nb").to_numpy()
-            near = np.abs(x - y).sum(1) * (100 + percent) <= (100 - percent) * n
+            near = classes_apart(unpack_classes(t.column("ca")), unpack_classes(t.column("cb"))) * (100 + percent) <= (100 - percent) * n
             yield t.select(["a", "b"]).filter(pa.array(near))
 
     return pairs.join(b, "b").join(a, "a").mapInArrow(run, "a long, b long")
@@ -175,7 +191,7 @@ def window_pairs(cells: DataFrame, percent: int) -> DataFrame:
             t = pa.Table.from_batches(held).combine_chunks()
             get = lambda c: t.column(c).to_numpy()
             rid, n, comp, far, block = get("rid"), get("n"), get("comp"), get("far"), get("block")
-            vec = np.frombuffer(b"".join(t.column("classes").to_pylist()), "<u4").reshape(-1, CLASSES).astype(np.int64)
+            vec = unpack_classes(t.column("classes"))
             order = np.argsort(n, kind="stable")
             rid, n, comp, far, block, vec = rid[order], n[order], comp[order], far[order], block[order], vec[order]
             upto = np.searchsorted(n * percent, n * 100, "right")  # the larger set has 100 / percent of the smaller at most
@@ -187,8 +203,7 @@ def window_pairs(cells: DataFrame, percent: int) -> DataFrame:
                     j = j[block[j] != block[i]]
                 j = j[~(np.abs(far[j] - far[i]) > slack + 1e-9)]  # no distance known: stays
                 if len(j):
-                    apart = np.abs(vec[j] - vec[i]).sum(1)
-                    j = j[apart * (100 + percent) <= (100 - percent) * (n[j] + n[i])]
+                    j = j[classes_apart(vec[j], vec[i]) * (100 + percent) <= (100 - percent) * (n[j] + n[i])]
                 out_a.append(np.full(len(j), rid[i]))
                 out_b.append(rid[j])
             a, b = np.concatenate(out_a), np.concatenate(out_b)
@@ -305,4 +320,4 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     best = node.groupBy("component").agg(F.min("least_doc").alias("component_id"))
     node = node.join(best, "component").select("h1", "h2", "component_id")
     linked = ids.where("n > 0").join(node, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(ids.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return scratch.last(linked.unionByName(ids.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
