@@ -291,7 +291,7 @@ def test_plan_holds_every_constraint(limits):
     histogram = collections.Counter(r.choice([r.randint(1, 50), r.randint(1, 8), 7]) for _ in range(5000))
     slots, n_bins = packing.plan_bins(dict(histogram), limits)
     tokens, docs, attention, ranks = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
-    for s in slots:
+    for s in sorted(slots, key=lambda s: (-s["length"], s["first"])):
         for rank in range(s["first"], s["last"]):
             b, turn = int(s["bin"] + (rank - s["first"]) // s["per_bin"]), (rank - s["first"]) % s["per_bin"]
             assert s["offset"] + turn * s["length"] == tokens[b]
