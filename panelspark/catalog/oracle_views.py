@@ -1,4 +1,6 @@
 """The canonical views of ``panelspark.plans.views`` as oracle SQL."""
+_END = "(SELECT date_trunc('month', CAST(max({0}) AS DATE) + INTERVAL 1 DAY) FROM {1})"
+_LINE_END, _ORDER_END = _END.format("l_shipdate", "lineitem"), _END.format("o_orderdate", "orders")
 _M = "CAST(date_trunc('month', {}) AS DATE)"
 _I = "CAST(year({0})*12+month({0}) AS INTEGER)"
 
@@ -7,7 +9,7 @@ def _px(key, period, name, extra="", idx=True):
     m = period.format("l_shipdate")
     i = f", {_I.format(m)} AS midx" if idx else ""
     return (f"SELECT {key} AS key, {m} AS {name}{i}, SUM(l_extendedprice)/SUM(l_quantity) AS price, SUM(l_quantity) AS volume "
-            f"FROM lineitem {extra} WHERE l_shipdate < TIMESTAMP '2001-11-01' GROUP BY ALL")
+            f"FROM lineitem {extra} WHERE l_shipdate < {_LINE_END} GROUP BY ALL")
 
 
 def _ret(px):
@@ -28,7 +30,7 @@ def _chg(src, key):
 
 
 _OV = (f"SELECT c_mktsegment, c_nationkey, {_M.format('o_orderdate')} AS month, {_I.format('o_orderdate')} AS midx, o_totalprice AS v "
-       "FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < TIMESTAMP '2001-08-01'")
+       f"FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < {_ORDER_END}")
 
 VIEWS = {
     "px_s": _px("'S'||CAST(l_suppkey AS VARCHAR)", _M, "month"),
@@ -45,7 +47,7 @@ VIEWS = {
     "rates": (f"SELECT {_M.format('l_shipdate')} AS month, {_I.format(_M.format('l_shipdate'))} AS midx, "
               f"CASE WHEN {_M.format('l_shipdate')} >= DATE '1997-07-01' THEN avg(l_tax)/12 ELSE avg(l_discount)/12 END AS rate, "
               f"CASE WHEN {_M.format('l_shipdate')} >= DATE '1997-07-01' THEN 'own' ELSE 'fallback' END AS source "
-              "FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-11-01' GROUP BY " + _M.format('l_shipdate')),
+              f"FROM lineitem WHERE l_shipdate < {_LINE_END} GROUP BY " + _M.format('l_shipdate')),
     "order_values": _OV,
     "series": _chg("SELECT c_mktsegment AS key, month, midx, SUM(v) AS v FROM order_values GROUP BY ALL", "series_id"),
     "trial_ret": _chg("SELECT c_mktsegment||'_R'||CAST(n_regionkey AS VARCHAR) AS key, month, midx, SUM(v) AS v FROM order_values "

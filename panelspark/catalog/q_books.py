@@ -351,8 +351,8 @@ def b16(v):
     return w.groupBy("strategy").agg(F.count("*").alias("n")).join(bad, "strategy", "left").fillna(0, ["outside"])
 
 
-@query("b17_score_ranked_book", "midx:i gross:f turnover:f net:f", f"""WITH {QS.SC}, {QW.PICK}, src AS (SELECT midx, key, flag, 1.0/count(*) OVER (PARTITION BY midx) AS weight FROM pk WHERE pick <= 8), {QW.cap_sql('src', 'midx', 8, 0.15, 0.40, 0.25)},
- wb AS (SELECT midx, key, w/sum(w) OVER (PARTITION BY midx) AS weight FROM c8), gr AS (SELECT wb.midx, CASE WHEN count(*)=count(n.ret) THEN sum(weight*n.ret) END AS gross FROM wb LEFT JOIN ret_s n ON n.key=wb.key AND n.midx=wb.midx+1 WHERE weight<>0 GROUP BY wb.midx),
+@query("b17_score_ranked_book", "midx:i gross:f turnover:f net:f", f"""WITH {QS.SC}, {QW.PICK}, src AS (SELECT midx, key, flag, 1.0/count(*) OVER (PARTITION BY midx) AS weight FROM pk WHERE pick <= 8), {QW.cap_sql('src', 'midx', 20, 0.15, 0.40, 0.25)},
+ wb AS (SELECT midx, key, w/sum(w) OVER (PARTITION BY midx) AS weight FROM c20), gr AS (SELECT wb.midx, CASE WHEN count(*)=count(n.ret) THEN sum(weight*n.ret) END AS gross FROM wb LEFT JOIN ret_s n ON n.key=wb.key AND n.midx=wb.midx+1 WHERE weight<>0 GROUP BY wb.midx),
  tv AS (SELECT coalesce(a.midx,b.midx+1) AS midx, 0.5*sum(abs(coalesce(a.weight,0)-coalesce(b.weight,0))) AS turnover FROM wb a FULL JOIN (SELECT * FROM wb WHERE midx<(SELECT max(midx) FROM wb)) b ON a.key=b.key AND a.midx=b.midx+1 GROUP BY 1)
 SELECT midx, gross, turnover, gross-turnover*5/10000 AS net FROM gr JOIN tv USING (midx)""")
 def b17(v):

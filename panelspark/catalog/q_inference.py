@@ -34,11 +34,11 @@ def ppf_sql(p):
     return f"(CASE WHEN {p}<=0 OR {p}>=1 THEN NULL WHEN {p}<0.02425 THEN {tail} WHEN {p}>0.97575 THEN -{tail} ELSE {mid} END)"
 
 
-@query("f14_normal_law", "key p:f z:f back:f", f"""WITH a AS (SELECT key, (rank() OVER (PARTITION BY midx ORDER BY ret)-0.5)/count(*) OVER (PARTITION BY midx) AS p FROM ret_s WHERE ret IS NOT NULL AND midx%12=0)
+@query("f14_normal_law", "key p:f z:f back:f", f"""WITH a AS (SELECT key, (rank() OVER (PARTITION BY midx ORDER BY ret)-0.5)/count(*) OVER (PARTITION BY midx) AS p FROM ret_s WHERE ret IS NOT NULL)
 SELECT key, p, {ppf_sql('p')} AS z, {cdf_sql('zz')} AS back FROM (SELECT *, {ppf_sql('p')} AS zz FROM a)""")
 def f14(v):
     w = Window.partitionBy("midx")
-    d = v.ret_s.where("ret is not null and midx % 12 = 0").withColumn("p", (F.rank().over(w.orderBy("ret")) - 0.5) / F.count("*").over(w))
+    d = v.ret_s.where("ret is not null").withColumn("p", (F.rank().over(w.orderBy("ret")) - 0.5) / F.count("*").over(w))
     return d.withColumn("z", T.norm_ppf("p")).withColumn("back", T.norm_cdf("z"))
 
 
@@ -65,12 +65,12 @@ def start_sql(c, n, seed):
 
 
 @query("g04_bootstrap_sharpe_ci", "series_id lo:f hi:f reps:i", f"""WITH p AS (SELECT series_id, ret, CAST(row_number() OVER (PARTITION BY series_id ORDER BY month)-1 AS BIGINT) AS pos, count(*) OVER (PARTITION BY series_id) AS n FROM series),
- d AS (SELECT series_id, n, rep, blk, {start_sql('(rep*CAST(ceil(n/3.0) AS BIGINT)+blk)', 'n', 7)} AS st FROM (SELECT DISTINCT series_id, n FROM p), range(200) r(rep), range(1000) b(blk) WHERE blk < ceil(n/3.0)),
+ d AS (SELECT series_id, n, rep, blk, {start_sql('(rep*CAST(ceil(n/3.0) AS BIGINT)+blk)', 'n', 7)} AS st FROM (SELECT DISTINCT series_id, n FROM p), range(1000) r(rep), range(1000) b(blk) WHERE blk < ceil(n/3.0)),
  x AS (SELECT d.series_id, rep, d.n, ret FROM d JOIN range(3) o(off) ON blk*3+off < d.n JOIN p ON p.series_id=d.series_id AND p.pos=(st+off)%d.n),
  s AS (SELECT series_id, rep, (exp(sum(ln(1+ret))*12.0/count(*))-1)/(stddev_samp(ret)*sqrt(12)) AS sh FROM x GROUP BY ALL)
 SELECT series_id, quantile_cont(sh, 0.025) AS lo, quantile_cont(sh, 0.975) AS hi, count(*) AS reps FROM s GROUP BY series_id""")
 def g04(v):
-    return I.bootstrap_sharpe_ci(v.series, ["series_id"], "month", "ret", 3, 200, 7)
+    return I.bootstrap_sharpe_ci(v.series, ["series_id"], "month", "ret", 3, 1000, 7)
 
 
 TS = """ts AS (SELECT trial_id, count(*) AS n, avg(ret-rate)/stddev_samp(ret-rate) AS sr, skewness(ret-rate) AS sk, kurtosis(ret-rate)+3 AS ku FROM trial_ret JOIN rates USING (month) GROUP BY trial_id),
@@ -138,14 +138,14 @@ SELECT a, 'AUTOMOBILE' AS b, any_value(n) AS n, any_value(delta) AS delta, any_v
 SPEC10 = "a b n:i delta:f se_nat:f z:f p_one_sided:f p_two_sided:f reps:i"
 
 
-@query("g10_paired_bootstrap_sharpe", SPEC10, _boot_sql("sharpe", 400, 20260926))
+@query("g10_paired_bootstrap_sharpe", SPEC10, _boot_sql("sharpe", 5000, 20260926))
 def g10(v):
-    return I.paired_bootstrap(excess_pairs(v), ["a", "b"], "month", "sharpe", 4, 400)
+    return I.paired_bootstrap(excess_pairs(v), ["a", "b"], "month", "sharpe", 4, 5000)
 
 
-@query("g10_paired_bootstrap_variance", SPEC10, _boot_sql("variance", 400, 20260926))
+@query("g10_paired_bootstrap_variance", SPEC10, _boot_sql("variance", 4999, 20260926))
 def g10v(v):
-    return I.paired_bootstrap(excess_pairs(v), ["a", "b"], "month", "variance", 4, 400)
+    return I.paired_bootstrap(excess_pairs(v), ["a", "b"], "month", "variance", 4, 4999)
 
 
 @query("g11_detectable_gap", "trial_id gap:f p:f", f"WITH s AS (SELECT trial_id, month, ret AS x FROM trial_ret), {NW.format(k='trial_id')} SELECT trial_id, ({ppf_sql('0.95')}+{ppf_sql('0.8')})*se*12 AS gap, 2*(1-{cdf_sql('abs(mean/se)')}) AS p FROM nw")

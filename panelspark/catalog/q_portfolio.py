@@ -142,10 +142,10 @@ def cap_sql(src, grp, passes, cf, co, tot):
     return out
 
 
-@query("l08_capped_redistribution", "strategy month:d key weight:8", f"WITH src AS (SELECT w.*, equity_only AS flag FROM weights w JOIN uni_n USING (key)), {cap_sql('src', 'strategy, month', 8, 0.05, 0.12, 0.25)} SELECT strategy, month, key, w/sum(w) OVER (PARTITION BY strategy, month) AS weight FROM c8")
+@query("l08_capped_redistribution", "strategy month:d key weight:8", f"WITH src AS (SELECT w.*, equity_only AS flag FROM weights w JOIN uni_n USING (key)), {cap_sql('src', 'strategy, month', 20, 0.05, 0.12, 0.25)} SELECT strategy, month, key, w/sum(w) OVER (PARTITION BY strategy, month) AS weight FROM c20")
 def l08(v):
     d = v.weights.join(v.uni_n.select("key", F.col("equity_only").alias("flag")), "key")
-    return L.capped(d, ["strategy", "month"], "flag", 0.05, 0.12, 0.25, passes=8)
+    return L.capped(d, ["strategy", "month"], "flag", 0.05, 0.12, 0.25)
 
 
 PICK = """b AS (SELECT sc.key, sc.midx, s, equity_only AS flag, sum(CASE WHEN equity_only THEN 1 ELSE 0 END) OVER (PARTITION BY sc.midx ORDER BY s DESC, sc.key ROWS UNBOUNDED PRECEDING) AS f FROM sc JOIN uni_s USING (key) WHERE ready),
@@ -168,9 +168,9 @@ def t04(v):
     return _picked(v)
 
 
-@query("l09_static_from_scores", "midx:i key weight:8", f"WITH {_sc()}, {PICK}, src AS (SELECT midx, key, flag, 1.0/count(*) OVER (PARTITION BY midx) AS weight FROM pk WHERE pick <= 8), {cap_sql('src', 'midx', 8, 0.15, 0.40, 0.25)} SELECT midx, key, w/sum(w) OVER (PARTITION BY midx) AS weight FROM c8")
+@query("l09_static_from_scores", "midx:i key weight:8", f"WITH {_sc()}, {PICK}, src AS (SELECT midx, key, flag, 1.0/count(*) OVER (PARTITION BY midx) AS weight FROM pk WHERE pick <= 8), {cap_sql('src', 'midx', 20, 0.15, 0.40, 0.25)} SELECT midx, key, w/sum(w) OVER (PARTITION BY midx) AS weight FROM c20")
 def l09(v):
-    return L.capped(L.equal_weight(_picked(v), ["midx"]).select("midx", "key", "flag", "weight"), ["midx"], "flag", passes=8)
+    return L.capped(L.equal_weight(_picked(v), ["midx"]).select("midx", "key", "flag", "weight"), ["midx"], "flag")
 
 
 @query("l21_sleeve_to_members", "midx:i key weight:8", f"""WITH {SIG}, s AS (SELECT midx, category, avg(sigma) AS sigma, count(*) AS n FROM sg WHERE n=24 GROUP BY ALL), w AS (SELECT midx, category, n, (1/sigma)/sum(1/sigma) OVER (PARTITION BY midx) AS w FROM s)
@@ -221,11 +221,12 @@ def f12(v):
     return rotation_signals(v).select("key", "midx", raw_on("z", "excess", "vol_ok", use_vol_gate=False).alias("plain"), raw_on("z", "excess", "vol_ok").alias("gated"))
 
 
-@query("b04_rotation_on_off", "is_on:b mean:f hit:f n:i", f"""WITH {ROT}, l AS (SELECT s.is_on, n.ret-b.ret AS x FROM sig s JOIN ret_s n ON n.key=s.key AND n.midx=s.midx+1 JOIN ret_s b ON b.key='S1' AND b.midx=s.midx+1)
+@query("b04_rotation_on_off", "is_on:b mean:f hit:f n:i", f"""WITH {ROT}, l AS (SELECT s.is_on, n.ret-b.ret AS x FROM sig s JOIN ret_s n ON n.key=s.key AND n.midx=s.midx+1 JOIN ret_s b ON b.key='S1' AND b.midx=s.midx+1 WHERE s.excess IS NOT NULL)
 SELECT is_on, avg(x) AS mean, avg(CASE WHEN x>0 THEN 1.0 ELSE 0.0 END) AS hit, count(*) AS n FROM l WHERE x IS NOT NULL GROUP BY is_on""")
 def b04(v):
     v.shared("ret_s")
-    d = C.next_period(rotation_signals(v), ["key"], "midx", "ret", "nxt")
+    # months without the key's or the benchmark's momentum have no signal, neither ON nor OFF
+    d = C.next_period(rotation_signals(v), ["key"], "midx", "ret", "nxt").where("excess is not null")
     b = v.ret_s.where("key = 'S1'").select((F.col("midx") - 1).alias("midx"), F.col("ret").alias("bench"))
     d = d.join(b, "midx").withColumn("x", F.col("nxt") - F.col("bench")).where("x is not null")
     return d.groupBy("is_on").agg(F.avg("x").alias("mean"), F.avg((F.col("x") > 0).cast("double")).alias("hit"), F.count("*").alias("n"))

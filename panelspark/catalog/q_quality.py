@@ -97,7 +97,7 @@ def f20(v):
 @query("s01_wide_price_file", "key date:d log_price:f", "SELECT upper(key) AS key, date, ln(price) AS log_price FROM px_d WHERE price IS NOT NULL")
 def s01(v):
     path = S.scratch_dir(v.spark)
-    keys = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+    keys = S.pivot_keys(v.table("part"), "p_type")
     wide = v.px_d.groupBy(F.col("date").alias("Date")).pivot("key", keys).agg(F.first("price"))
     S.write_table(wide.select("Date", *[F.col(k).alias(f" {k.lower()} ") for k in keys]), path, "csv")
     return S.read_wide_panel(v.spark, path).withColumn("log_price", F.ln("price"))
@@ -113,7 +113,7 @@ def s02(v):
 @query("s03_monthly_panel_file", "key month:d ret:f", "SELECT upper(key) AS key, month, ret FROM ret_b WHERE ret IS NOT NULL AND month < DATE '2001-10-01'")
 def s03(v):
     path = S.scratch_dir(v.spark)
-    keys = [f"Brand#{i}" for i in range(1, 26)]
+    keys = S.pivot_keys(v.table("part"), "p_brand")
     S.write_table(v.ret_b.groupBy(F.col("month").alias("date")).pivot("key", keys).agg(F.first("ret")), path, "csv")
     panel = S.read_wide_panel(v.spark, path, "ret")
     return C.drop_partial_month(panel, "date", asof="2001-10-15").withColumnRenamed("date", "month")
@@ -142,7 +142,7 @@ def s06(v):
 @query("s07_single_key", "month:d ret:f", "SELECT month, ret FROM ret_s WHERE key='S7' AND ret IS NOT NULL")
 def s07(v):
     # the key filter reaches the supplier column of the scan
-    lines = v.table("lineitem").where("l_suppkey = 7 and l_shipdate < timestamp '2001-11-01'").withColumn("d", F.col("l_shipdate").cast("date"))
+    lines = v.complete_months("lineitem", "l_shipdate").where("l_suppkey = 7").withColumn("d", F.col("l_shipdate").cast("date"))
     px = v._prices(lines, F.concat(F.lit("S"), F.col("l_suppkey")), X.month_of("d")).withColumnRenamed("period", "month").withColumn("midx", X.month_idx("month"))
     return v._ret(px).where("ret is not null")
 
@@ -159,7 +159,7 @@ def s09(v):
 
 @query("s10_wide_weights", "strategy month:d key weight:8", "SELECT s.strategy, s.month, k.key, coalesce(w.weight, 0) AS weight FROM (SELECT DISTINCT strategy, month FROM weights) s CROSS JOIN (SELECT n_name AS key FROM nation) k LEFT JOIN weights w ON w.strategy=s.strategy AND w.month=s.month AND w.key=k.key")
 def s10(v):
-    wide = v.weights.groupBy("strategy", "month").pivot("key", [f"NATION_{i}" for i in range(25)]).agg(F.first("weight"))
+    wide = v.weights.groupBy("strategy", "month").pivot("key", S.pivot_keys(v.table("nation"), "n_name")).agg(F.first("weight"))
     return S.wide_weights(wide.select("strategy", "month", *[F.col(c).alias(f"w_{c}") for c in wide.columns[2:]]), ["strategy", "month"])
 
 

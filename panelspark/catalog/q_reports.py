@@ -146,9 +146,11 @@ def r11(v):
 def r12(v):
     """Wide per-book columns, as published, turned back to one row per (book, column)."""
     from panelspark.plans.books import performance
+    from panelspark.sources.io import pivot_keys
     d = v.trial_ret.select(F.split("trial_id", "_R")[0].alias("book"), F.split("trial_id", "_R")[1].alias("region"), "month", "ret")
-    wide = d.groupBy("book", "month").pivot("region", ["0", "1", "2", "3", "4"]).agg(F.first("ret"))
-    long = wide.unpivot(["book", "month"], ["0", "1", "2", "3", "4"], "region", "ret").where("ret is not null")
+    regions = pivot_keys(v.table("region"), "r_regionkey")
+    wide = d.groupBy("book", "month").pivot("region", regions).agg(F.first("ret"))
+    long = wide.unpivot(["book", "month"], regions, "region", "ret").where("ret is not null")
     p = performance(long, ["book", "region"], "month", "ret", v.rates.select("month", "rate"))
     return p.withColumn("sharpe_text", F.round("sharpe_ex", 2))
 

@@ -78,22 +78,36 @@ def capped(df: DataFrame, group: list[str], flag: str, cap_flag: float = 0.15, c
            passes: int = 20) -> DataFrame:
     """Caps with room-proportional redistribution.
 
-    Every pass is three window sums on the same partitioning, so the whole loop is one
-    shuffle: group arrays are never built and no group is gathered in Python.
+    After the first clip a pass moves every weight of one side (flagged or not) by the same affine map, which follows from
+    the group's two totals and two counts.  So one aggregate per group, combined map-side, is enough: the passes run on the
+    group's row, and names join their side's map.  No name waits for the others of its decision.
     """
-    w = Window.partitionBy(*group)
+    d = df.withColumn("_w", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
+    d = d.join(d.groupBy(*group).agg(F.sum("_w").alias("_all")), group)
     cap = F.when(F.col(flag), F.lit(cap_flag)).otherwise(F.lit(cap_other))
-    d = df.withColumn("_cap", cap).withColumn("_w", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
-    d = d.withColumn("_w", F.coalesce(ratio("_w", F.sum("_w").over(w)), F.lit(0.0)))
-    for _ in range(passes):
-        d = d.withColumn("_w", F.least("_w", "_cap"))
-        d = d.withColumn("_t", F.sum(F.when(F.col(flag), F.col("_w"))).over(w))
-        d = d.withColumn("_w", F.when(F.col(flag) & (F.col("_t") > total), F.col("_w") * total / F.col("_t")).otherwise(F.col("_w")))
-        d = d.withColumns({"_rem": 1.0 - F.sum("_w").over(w), "_room": F.greatest(F.lit(0.0), F.col("_cap") - F.col("_w"))})
-        d = d.withColumn("_sr", F.sum("_room").over(w))
-        d = d.withColumn("_w", F.when((F.abs("_rem") >= 1e-10) & (F.col("_sr") > 1e-12), F.col("_w") + F.col("_rem") * F.col("_room") / F.col("_sr")).otherwise(F.col("_w")))
-    d = d.withColumn("weight", ratio("_w", F.sum("_w").over(w)))
-    return d.drop("_cap", "_w", "_t", "_rem", "_room", "_sr")
+    d = d.withColumn("_w", F.least(F.coalesce(ratio("_w", "_all"), F.lit(0.0)), cap)).drop("_all")
+    on = F.coalesce(F.col(flag), F.lit(False))
+    g = d.groupBy(*group).agg(F.sum(F.when(on, F.col("_w")).otherwise(0.0)).alias("f"), F.sum(F.when(on, 0.0).otherwise(F.col("_w"))).alias("o"),
+                              F.count_if(on).cast("double").alias("nf"), F.count_if(~on).cast("double").alias("no"))
+    state = F.struct(F.col("f").alias("f"), F.col("o").alias("o"), F.lit(1.0).alias("af"), F.lit(0.0).alias("bf"), F.lit(1.0).alias("ao"), F.lit(0.0).alias("bo"))
+
+    def one(s, _):
+        # weights of a side are a * w + b; a share of room beyond 1 puts every weight at or over its cap, where the next clip leaves it
+        over = (s["af"] < 0) | (s["ao"] < 0)
+        f, o = F.when(over, F.col("nf") * cap_flag).otherwise(s["f"]), F.when(over, F.col("no") * cap_other).otherwise(s["o"])
+        af, bf = F.when(over, 0.0).otherwise(s["af"]), F.when(over, F.lit(cap_flag)).otherwise(s["bf"])
+        ao, bo = F.when(over, 0.0).otherwise(s["ao"]), F.when(over, F.lit(cap_other)).otherwise(s["bo"])
+        k = F.when(f > total, F.lit(total) / f).otherwise(F.lit(1.0))
+        rem = 1.0 - k * f - o
+        room_f, room_o = F.col("nf") * cap_flag - k * f, F.col("no") * cap_other - o
+        room = F.greatest(room_f, F.lit(0.0)) + F.greatest(room_o, F.lit(0.0))
+        share = F.when((F.abs(rem) >= 1e-10) & (room > 1e-12), rem / room).otherwise(0.0)
+        return F.struct((k * f + share * room_f).alias("f"), (o + share * room_o).alias("o"), (af * k * (1.0 - share)).alias("af"), (bf * k * (1.0 - share) + share * cap_flag).alias("bf"),
+                        (ao * (1.0 - share)).alias("ao"), (bo * (1.0 - share) + share * cap_other).alias("bo"))
+
+    g = g.withColumn("_s", F.aggregate(F.sequence(F.lit(1), F.lit(passes)), state, one)).select(*group, "_s")
+    w = F.when(on, F.col("_s.af") * F.col("_w") + F.col("_s.bf")).otherwise(F.col("_s.ao") * F.col("_w") + F.col("_s.bo"))
+    return d.join(g, group).withColumn("weight", ratio(w, F.col("_s.f") + F.col("_s.o"))).drop("_w", "_s")
 
 
 def sleeve_to_members(sleeve_w: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:

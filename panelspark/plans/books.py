@@ -97,7 +97,7 @@ def scaled_core_returns(sigma: DataFrame, trials: DataFrame, core_m: DataFrame,
     return d.withColumn("active", F.col("net") - F.col("r_core"))
 
 
-def overlay_summary(book: DataFrame, n_trials: int, reps: int = 200, block: int = 3) -> DataFrame:
+def overlay_summary(book: DataFrame, n_trials: int, reps: int = 1000, block: int = 3) -> DataFrame:
     """Per trial: performance, NW t of the active return, bootstrap interval, deflated Sharpe (per-period)."""
     keys = ["trial_id"]
     p = performance(book.select("trial_id", "midx", "net"), keys, "midx", "net")

@@ -2,7 +2,8 @@
 
 Every view starts with a partial aggregation of the fact table to (key, period), so a
 key that holds a third of the rows shuffles one combined row per task and period.
-Dates are cast once here; month filters are literals so they reach the parquet scan.
+Dates are cast once here.  An incomplete final month is left out: its first day is taken
+from the data, a scalar that the scan filters on.
 """
 from __future__ import annotations
 
@@ -13,8 +14,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from panelspark.functions.scalar import month_idx, month_of, ratio
 from panelspark.sources.stage import stage
 
-LINE_END = "2001-11-01"    # first day of the incomplete final month of lineitem
-ORDER_END = "2001-08-01"   # first day of the incomplete final month of orders
 RATE_SPLIT = "1997-07-01"  # months before it use the fallback rate
 BENCH_B, BENCH_S = "Brand#1", "S1"
 
@@ -35,6 +34,12 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def complete_months(self, name: str, date: str) -> DataFrame:
+        """Rows of a table before its final month, unless that month's last day is there."""
+        t = self.table(name)
+        end = t.agg(F.date_trunc("month", F.date_add(F.max(date).cast("date"), 1)).alias("end")).scalar()
+        return t.where(F.col(date) < end)
+
     def rows(self, schema: str, *data) -> DataFrame:
         return self.spark.createDataFrame(list(data), schema)
 
@@ -47,8 +52,7 @@ class Views:
 
     @cached_property
     def _lines(self) -> DataFrame:
-        return (self.table("lineitem").where(F.col("l_shipdate") < F.lit(LINE_END).cast("timestamp"))
-                .withColumn("d", F.col("l_shipdate").cast("date")))
+        return self.complete_months("lineitem", "l_shipdate").withColumn("d", F.col("l_shipdate").cast("date"))
 
     @cached_property
     def px_s(self) -> DataFrame:
@@ -139,7 +143,7 @@ class Views:
     @cached_property
     def _order_values(self) -> DataFrame:
         """Order value by (customer, month): combined before the customer join."""
-        return (self.table("orders").where(F.col("o_orderdate") < F.lit(ORDER_END).cast("timestamp"))
+        return (self.complete_months("orders", "o_orderdate")
                 .groupBy("o_custkey", month_of(F.col("o_orderdate").cast("date")).alias("month"))
                 .agg(F.sum("o_totalprice").alias("v"))
                 .join(self.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey"),

@@ -27,6 +27,14 @@ def read_wide_panel(spark: SparkSession, path: str, value: str = "price") -> Dat
     return long.select(norm_key("key").alias("key"), "date", F.expr(f"try_cast({value} as double)").alias(value)).where(F.col(value).isNotNull())
 
 
+def pivot_keys(df: DataFrame, column: str, most: int = 10_000) -> list[str]:
+    """Column names of a wide file, from the data; more than a file can hold is an error, never a cut."""
+    keys = [r[0] for r in df.where(F.col(column).isNotNull()).select(F.col(column).cast("string")).distinct().limit(most + 1).collect()]
+    if len(keys) > most:
+        raise ValueError(f"more than {most} values of {column}: write the long form")
+    return sorted(keys)
+
+
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:

@@ -1,4 +1,4 @@
-"""Every section's queries against DuckDB.  TEST_ALL=1 runs all of them, the default one in five."""
+"""Every query with oracle SQL against DuckDB."""
 import os
 
 import duckdb
@@ -8,7 +8,7 @@ from panelspark import catalog
 from tools.check_oracle import TABLES, norm
 
 SQL = catalog.oracle_sql()
-NAMES = sorted(SQL) if os.environ.get("TEST_ALL") else sorted(SQL)[::5]
+NAMES = sorted(SQL)
 
 
 @pytest.fixture(scope="module")
