@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.llm.common import Scratch, chunks, gram_hashes, hash_filter, in_blocks, is_blank, lower_ascii, member, mix, span_hashes, text_buffer, word_spans
@@ -52,17 +53,31 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
         return tuple(int(np.uint64(mix(s, salt).sum(dtype=np.uint64)).astype(np.int64)) for salt in (21, 22))
 
 
-def pack_classes(s: np.ndarray) -> bytes:
+def pack_classes(s: np.ndarray, classes: int) -> bytes:
     """Number of shingles in each hash class modulo 16, two in a byte."""
-    n = np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES) & 15
-    return (n[::2] | n[1::2] << 4).astype(np.uint8).tobytes()
+    n = np.bincount((s & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 15
+    return (n[:classes // 2] | n[classes // 2:] << 4).astype(np.uint8).tobytes()
+
+
+def fine_classes(n: int) -> int:
+    """A power of two that grows with the set, so that counts stay small: unrelated large sets are told apart too."""
+    return max(CLASSES, 1 << (n // 2).bit_length())
 
 
 def unpack_classes(column: pa.Array) -> np.ndarray:
-    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CLASSES // 2)
+    """One row for each value; all values must have one length."""
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
     return np.concatenate([packed & 15, packed >> 4], axis=1)
 
 
+def fold_classes(x: np.ndarray, classes: int) -> np.ndarray:
+    """The counts of fewer classes: those that the shorter hash does not tell apart add up."""
+    while x.shape[1] > classes:
+        half = x.shape[1] // 2
+        x = (x[:, :half] + x[:, half:]) & 15
+    return x
+
+
 def classes_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Sum over the classes of the distance on a circle of 16: never more than the symmetric difference of the sets."""
     d = (x - y) & 15
@@ -108,7 +123,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def describe(docs: DataFrame, level: np.ndarray, percent: int) -> DataFrame:
-    """(doc_id, n, h1, h2, classes, prefix, salt): set size and hash, shingles by hash class, the prefix in the global order and
+    """(doc_id, n, h1, h2, classes, fine, prefix, salt): set size and hash, shingles by hash class, the prefix in the global order and
     a salt for each of its shingles."""
     cast = docs.sparkSession.sparkContext.broadcast(level)
 
@@ -121,12 +136,12 @@ def describe(docs: DataFrame, level: np.ndarray, percent: int) -> DataFrame:
                 of = lvl[_cell(s)]
                 first = np.lexsort((s, of))[:prefix_length(len(s), percent)]
                 turns = np.left_shift(1, np.maximum(of[first].astype(np.int64) - SALT_ABOVE, 0))
-                classes = pack_classes(s)
-                rows.append((len(s), h1, h2, classes, s[first].view(np.int64), ((h1 & 0x7FFFFFFF) % turns).astype(np.int32)))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=["doc_id", "n", "h1", "h2", "classes", "prefix", "salt"])
+                classes, fine = pack_classes(s, CLASSES), pack_classes(s, fine_classes(len(s)))
+                rows.append((len(s), h1, h2, classes, fine, s[first].view(np.int64), ((h1 & 0x7FFFFFFF) % turns).astype(np.int32)))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=["doc_id", "n", "h1", "h2", "classes", "fine", "prefix", "salt"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, classes binary, prefix array<long>, salt array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, classes binary, fine binary, prefix array<long>, salt array<int>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -152,13 +167,20 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def near_by_classes(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that class counts do not tell apart."""
-    a, b = classes.select(F.col("rid").alias("a"), F.col("classes").alias("ca"), F.col("n").alias("na")), classes.select(F.col("rid").alias("b"), F.col("classes").alias("cb"), F.col("n").alias("nb"))
+    """The pairs (a, b) that the fine class counts do not tell apart."""
+    a, b = classes.select(F.col("rid").alias("a"), F.col("fine").alias("ca"), F.col("n").alias("na")), classes.select(F.col("rid").alias("b"), F.col("fine").alias("cb"), F.col("n").alias("nb"))
 
     def run(batches):
         for t in batches:
+            kx, ky = (2 * pc.binary_length(t.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ca", "cb"))
             n = t.column("na").to_numpy() + t.column("nb").to_numpy()
-            near = classes_apart(unpack_classes(t.column("ca")), unpack_classes(t.column("cb"))) * (100 + percent) <= (100 - percent) * n
+            near = np.zeros(t.num_rows, bool)
+            for k, m in set(zip(kx.tolist(), ky.tolist())):
+                own = np.flatnonzero((kx == k) & (ky == m))
+                for lo in range(0, len(own), max(1, (8 << 20) // max(k, m))):
+                    at = own[lo:lo + max(1, (8 << 20) // max(k, m))]
+                    x, y = (fold_classes(unpack_classes(t.column(c).take(pa.array(at))), min(k, m)) for c in ("ca", "cb"))
+                    near[at] = classes_apart(x, y) * (100 + percent) <= (100 - percent) * n[at]
             yield t.select(["a", "b"]).filter(pa.array(near))
 
     return pairs.join(b, "b").join(a, "a").mapInArrow(run, "a long, b long")
@@ -243,12 +265,12 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     level = count_sketch(docs)
     described = scratch.stage(describe(docs, level, percent).withColumn("rid", F.monotonically_increasing_id()), "described")
     ids = scratch.stage(described.select("doc_id", "rid", "n", "h1", "h2"), "ids")
-    once = described.where("n > 0").groupBy("h1", "h2").agg(F.min_by(F.struct("rid", "doc_id", "n", "classes", "prefix", "salt"), "rid").alias("p")).select("h1", "h2", "p.*")
+    once = described.where("n > 0").groupBy("h1", "h2").agg(F.min_by(F.struct("rid", "doc_id", "n", "classes", "fine", "prefix", "salt"), "rid").alias("p")).select("h1", "h2", "p.*")
     reps = scratch.stage(once, "reps")
     scratch.drop(described)
     tokens = reps.select("rid", "n", F.explode(F.arrays_zip("prefix", "salt")).alias("p")).select(F.col("p.prefix").alias("region"), F.col("p.salt").alias("salt"), "rid", "n")
     tokens = tokens.repartition("region", "salt").sortWithinPartitions("region", "salt", "rid")
-    classes = reps.select("rid", "n", "classes")
+    classes = reps.select("rid", "n", "classes", "fine")
 
     def shared(batches):
         """Rows of regions with several sets, with the region's pivot; of single ones only where other salts exist."""
@@ -310,7 +332,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     one = left.groupBy("region").agg((F.min("pivot") == F.max("pivot")).alias("one"))
     known = F.when(F.col("one"), F.when(F.col("rid") == F.col("pivot"), 0.0).otherwise(F.coalesce("far", F.lit(float("nan"))))).otherwise(float("nan"))
     cells = in_blocks(left.join(one, "region").select("region", "rid", "n", "comp", known.alias("far"), "classes"), ["region"], "rid", BLOCK)
-    pairs = scratch.stage(window_pairs(cells, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    pairs = scratch.stage(near_by_classes(window_pairs(cells, percent).join(stars, ["a", "b"], "left_anti"), classes, percent), "pairs")
     more = sets.unionByName(members(pairs, sets))
     rest = measure(pairs, more).where(_linked(percent)).select("a", "b")
     roots = connected_components(direct.unionByName(rest), scratch)
