@@ -72,7 +72,7 @@ ZSQL = f"""WITH s AS (SELECT key, midx, category, round(ret, 1) AS x FROM ret_s
 SELECT key, midx, category, CASE WHEN mad>0 THEN (x-med)/(mad*1.4826) WHEN sd>0 THEN (x-med)/sd WHEN med IS NOT NULL THEN 0.0 END AS z_x FROM d"""
 
 
-def _z(v, spread=None):
+def _z(v, spread=False):
     s = v.ret_s.join(v.uni_s, "key").select("key", "midx", "category", F.round("ret", 1).alias("x"))
     return S.robust_z(s, ["midx", "category"], ["x"], spread=spread)
 
@@ -96,7 +96,7 @@ SC = f"""x AS (SELECT r.key, r.midx, r.month, category, CASE WHEN row_number() O
  sc AS (SELECT key, midx, month, category, round(0.6*coalesce(CASE WHEN d1>0 THEN (mom-m1)/(d1*1.4826) WHEN s1>0 THEN (mom-m1)/s1 WHEN m1 IS NOT NULL THEN 0.0 END, 0) + 0.4*coalesce(CASE WHEN d2>0 THEN (nvol-m2)/(d2*1.4826) WHEN s2>0 THEN (nvol-m2)/s2 WHEN m2 IS NOT NULL THEN 0.0 END, 0), 9) AS s, mom IS NOT NULL AS ready FROM d)"""
 
 
-def monthly_scores(v, spread=None):
+def monthly_scores(v, spread=False):
     """Two-feature robust-z score per (key, month)."""
     d = v.px_s.withColumn("ret", W.simple_return("price", km(), "midx"))
     d = d.withColumns({"mom": W.momentum_observed("price", km()), "nvol": -W.trailing_vol("ret", km(), 12, 12.0, min_periods=2)})
@@ -387,8 +387,7 @@ IC = f"""{SC}, l AS (SELECT a.key, a.midx, n.ret - b.ret AS label FROM ret_s a J
  ic AS (SELECT midx, month, CASE WHEN count(*)>=3 THEN corr(a,b) END AS ic, count(*) AS n_names FROM c GROUP BY ALL)"""
 
 
-def walkforward_ic(v, spread=None):
-    spread = S.needs_spread(v.px_s, ["midx"], spread)  # one size check serves the scores and the ranks
+def walkforward_ic(v, spread=False):
     s = monthly_scores(v, spread)
     nxt = C.next_period(s, ["key"], "midx", "ret", "nxt")
     b = v.ret_s.where("key = 'S1'").select((F.col("midx") - 1).alias("midx"), F.col("ret").alias("bench"))

@@ -6,58 +6,40 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelspark.functions.scalar import SQRT252, col, ratio
 from panelspark.functions.stats import safe_corr
 from panelspark.sources.stage import stage
-from panelspark.operators.windows import UNB, average_rank, percent_rank_avg, spread_average_rank, trailing_max_drawdown, trailing_vol
+from panelspark.operators.windows import UNB, average_rank, counted_values, percent_rank_avg, spread_average_rank, trailing_max_drawdown, trailing_vol
 
 MAD_SCALE = 1.4826
 # Feature weights of the composite score.
 FEATURE_WEIGHTS = {"mom12_1": 0.30, "quality_v1": 0.25, "neg_vol_252": 0.15, "neg_maxdd_252": 0.15, "liquidity_adv": 0.10, "neg_vol_63": 0.05}
 
 
-def group_quantile(df: DataFrame, group: list[str], value: str, q: float, out: str, buckets: int = 1024) -> DataFrame:
+def group_quantile(df: DataFrame, group: list[str], value: str, q: float, out: str, buckets: int = 256) -> DataFrame:
     """Exact interpolated quantile per group without holding a group in one task.
 
-    A histogram (combined map-side) finds the two buckets that hold the bracketing order
-    statistics; only their rows are then read exactly.  Use it when a group can hold a large
-    share of all rows; ``percentile`` is cheaper for bounded groups.
+    Rows become counts of distinct values (combined map-side), which fall into value buckets by cuts over all rows, so a
+    group with a large share of the rows spreads over as large a share of the buckets.  Bucket totals tell which buckets
+    hold the bracketing order statistics, and only these are put in order.  ``percentile`` is cheaper for bounded groups.
     """
-    v = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
-    span = v.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
-    b = F.least(F.lit(buckets - 1), F.floor(F.coalesce(ratio(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * buckets).cast("int"))
-    rows = v.join(span, group).withColumn("_b", b)
-    hist = rows.groupBy(*group, "_b").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
-    w = Window.partitionBy(*group).orderBy("_b").rowsBetween(UNB, 0)
-    cum = F.sum("_c").over(w)
-    pos = (F.col("_n") - 1) * F.lit(q)
-    hist = hist.select(*group, "_b", "_n", (cum - F.col("_c")).alias("_before"), cum.alias("_upto"), pos.alias("_pos"))
+    d, cuts = counted_values(df, group, value, buckets)
+    hist = d.groupBy(*group, "_b").agg(F.sum("_c").alias("_t"))
+    n = hist.groupBy(*group).agg(F.sum("_t").alias("_n"))
+    upto = F.sum("_t").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(UNB, 0))  # at most `buckets` rows of a group
+    hist = hist.join(n, group).select(*group, "_b", ((F.col("_n") - 1) * F.lit(q)).alias("_pos"), (upto - F.col("_t")).alias("_before"), upto.alias("_upto"))
     need = hist.where((F.col("_upto") > F.floor("_pos")) & (F.col("_before") <= F.ceil("_pos")))
-    near = rows.select(*group, "_b", "_v").join(need, [*group, "_b"])
-    order = Window.partitionBy(*group, "_b").orderBy("_v")
-    near = near.withColumn("_k", F.col("_before") + F.row_number().over(order) - 1)
-    lo, hi = F.floor("_pos"), F.ceil("_pos")
-    near = near.where((F.col("_k") == lo) | (F.col("_k") == hi))
-    g = near.groupBy(*group).agg(F.max(F.when(F.col("_k") == lo, F.col("_v"))).alias("_a"), F.max(F.when(F.col("_k") == hi, F.col("_v"))).alias("_z"),
-                                 F.first("_pos").alias("_pos"))
+    near = d.join(need, [*group, "_b"]).repartition(*[F.col(c) for c in group], F.col("_b"))
+    end = F.col("_before") + F.sum("_c").over(Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(UNB, 0))
+    near = near.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_c"))
+    at = lambda k: F.max(F.when((F.col("_start") <= k) & (F.col("_end") > k), F.col("_v")))
+    g = near.groupBy(*group).agg(at(F.floor("_pos")).alias("_a"), at(F.ceil("_pos")).alias("_z"), F.first("_pos").alias("_pos"))
     return g.select(*group, (F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))).alias(out))
 
 
-LARGE_GROUP = 1_000_000  # values of one group that a single task may hold
-
-
-def needs_spread(df: DataFrame, group: list[str], spread: bool | None) -> bool:
-    """Caller's choice, else a count-only job on the group columns against LARGE_GROUP."""
-    if spread is not None:
-        return spread
-    top = df.groupBy(*group).agg(F.count("*").alias("_n")).agg(F.max("_n")).collect()[0][0]
-    return (top or 0) > LARGE_GROUP
-
-
-def robust_z(df: DataFrame, group: list[str], features: list[str], spread: bool | None = None) -> DataFrame:
+def robust_z(df: DataFrame, group: list[str], features: list[str], spread: bool = False) -> DataFrame:
     """Adds z_<feature>: (x - median) / (1.4826 MAD) within group; std when MAD is 0; 0 when both are.
 
-    A group without any value stays NULL.  Groups beyond LARGE_GROUP (or spread=True) use the
-    histogram quantile, so a group that holds a third of all keys is never gathered in one task.
+    A group without any value stays NULL.  With spread=True the medians come from value counts in buckets, so a group that
+    holds a third of all keys is never gathered in one task; the default sorts a group in a task.
     """
-    spread = needs_spread(df, group, spread)
     df = stage(df) if spread else df  # the bucketed quantile reads its input three times
 
     def medians(d, cols):
@@ -90,22 +72,18 @@ def composite(weights: dict[str, float]) -> Column:
     return out
 
 
-def global_rank(df: DataFrame, score: str, tie: str, out: str = "rank", buckets: int = 256) -> DataFrame:
+def global_rank(df: DataFrame, score: str, tie: str, out: str = "rank", ranges: int = 256) -> DataFrame:
     """Row number by (score desc, tie) over the whole table without a one-task sort.
 
-    Rows fall into value buckets by rounded quantile cuts (a bounded list of literals);
-    bucket counts give each bucket its offset, and rows are numbered inside their bucket.
+    Rows are dealt into ranges of (score, tie) by sampled cuts, so equal scores, also NULLs, spread over many ranges by the
+    tie column; range counts give each range its offset, and rows are numbered inside their range.
     """
-    df = stage(df)
-    cuts = sorted(set(df.where(F.col(score).isNotNull()).approxQuantile(score, [i / buckets for i in range(1, buckets)], 0.001)))
-    arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    b = F.when(F.col(score).isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(arr, lambda c: c > F.col(score))))
-    d = df.withColumn("_b", b)
-    counts = d.groupBy("_b").agg(F.count("*").alias("_c"))
-    offsets = counts.select("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(UNB, -1)), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_b").orderBy(F.col(score).desc_nulls_last(), tie)
-    return (d.join(F.broadcast(offsets), "_b")  # at most buckets + 1 rows
-            .withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_b", "_off"))
+    keys = [F.col(score).desc_nulls_last(), F.col(tie).asc_nulls_first()]
+    d = stage(df.repartitionByRange(ranges, *keys).withColumn("_p", F.spark_partition_id()))
+    counts = d.groupBy("_p").agg(F.count("*").alias("_c"))
+    offsets = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(UNB, -1)), F.lit(0)).alias("_off"))
+    return (d.join(F.broadcast(offsets), "_p")  # at most `ranges` rows
+            .withColumn(out, F.col("_off") + F.row_number().over(Window.partitionBy("_p").orderBy(*keys))).drop("_p", "_off"))
 
 
 def raw_features(px: DataFrame, order: str, bench_ret: DataFrame, expense: DataFrame | None = None, year: int = 252,
@@ -141,10 +119,10 @@ def signed_features(df: DataFrame) -> DataFrame:
     return df.withColumns({"neg_vol_252": -F.col("vol_252"), "neg_vol_63": -F.col("vol_63"), "neg_maxdd_252": F.col("maxdd_252")})
 
 
-def spearman_ic(df: DataFrame, period: list[str], score: str, label: str, min_pairs: int = 3, spread: bool | None = None) -> DataFrame:
+def spearman_ic(df: DataFrame, period: list[str], score: str, label: str, min_pairs: int = 3, spread: bool = False) -> DataFrame:
     """Rank correlation of score and label per period; NULL below min_pairs."""
     d = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    if needs_spread(d, period, spread):
+    if spread:
         d = spread_average_rank(spread_average_rank(d, period, score, "_a"), period, label, "_b")
     else:
         d = d.select(*period, average_rank(score, period).alias("_a"), average_rank(label, period).alias("_b"))
@@ -159,10 +137,18 @@ def james_stein(mean, grand, var, n, dev2) -> Column:
     return F.when(usable, col(grand) + shrink * (col(mean) - col(grand))).otherwise(col(mean))
 
 
-def expected_returns(df: DataFrame, period: list[str], mean: str, score: str, scale: float = 0.015) -> DataFrame:
-    """0.5 James-Stein mean + 0.5 score percentile mapped around the grand mean."""
+def expected_returns(df: DataFrame, period: list[str], mean: str, score: str, scale: float = 0.015, spread: bool = False) -> DataFrame:
+    """0.5 James-Stein mean + 0.5 score percentile mapped around the grand mean.
+
+    spread: the percentile comes from value counts in buckets, for cross-sections too large for one task.
+    """
     g = df.groupBy(*period).agg(F.count(mean).alias("_n"), F.coalesce(F.avg(mean), F.lit(0.0)).alias("_g"), F.var_samp(mean).alias("_v"))
     d = df.join(g, period).withColumn("_dev2", F.col("_v") * (F.col("_n") - 1.0))
     d = d.withColumn("mu_js", james_stein(mean, "_g", "_v", "_n", "_dev2"))
-    d = d.withColumn("mu_score", F.col("_g") + scale * (percent_rank_avg(score, period) - 0.5) * 2.0)
+    if spread:
+        scored = df.groupBy(*period).agg(F.count(score).alias("_k"))
+        d = spread_average_rank(d, period, score, "_r").join(scored, period).withColumn("_pct", F.col("_r") / F.col("_k")).drop("_r", "_k")
+    else:
+        d = d.withColumn("_pct", percent_rank_avg(score, period))
+    d = d.withColumn("mu_score", F.col("_g") + scale * (F.col("_pct") - 0.5) * 2.0).drop("_pct")
     return d.withColumn("mu", 0.5 * F.coalesce("mu_js", "_g") + 0.5 * F.coalesce("mu_score", "_g")).drop("_n", "_v", "_dev2")

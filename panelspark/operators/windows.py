@@ -107,20 +107,32 @@ def average_rank(value, partition: list[str]) -> Column:
     return F.when(col(value).isNotNull(), first + (ties - 1) / 2.0)
 
 
-def spread_average_rank(df: DataFrame, group: list[str], value: str, out: str, buckets: int = 1024) -> DataFrame:
+def counted_values(df: DataFrame, group: list[str], value: str, buckets: int = 256) -> tuple[DataFrame, list[float]]:
+    """(group, _v, _c, _b): distinct values with their counts, and a bucket by approximate quantile cuts over all rows.
+
+    The cuts are a literal list, so a row's bucket needs no shuffle; an outlier or a hot group changes the cuts, not the
+    balance.  The table is keyed by (group, value), where counts were combined.
+    """
+    d = stage(df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")))
+    cuts = sorted(set(d.where(~F.isnan("_v")).approxQuantile("_v", [i / buckets for i in range(1, buckets)], 0.001)))
+    arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    return d.withColumn("_b", F.size(F.filter(arr, lambda c: c < F.col("_v")))), cuts
+
+
+def spread_average_rank(df: DataFrame, group: list[str], value: str, out: str, buckets: int = 256) -> DataFrame:
     """Exact average-tie rank when a group is too large for one task.
 
-    Rows fall into value buckets per group; bucket counts (combined map-side) give the offset and
-    each (group, bucket) is ranked on its own.  Equal values share a bucket, so ties stay exact.
+    Ranks are found for distinct values, inside value buckets with an offset from the counts of the buckets below; rows join
+    the rank of their value.  A value that very many rows share is one row here, and only that join is skewed, which the
+    engine splits.
     """
-    d = stage(df.withColumn("_rank_value", F.col(value).cast("double")))
-    span = d.groupBy(*group).agg(F.min("_rank_value").alias("_rank_lo"), F.max("_rank_value").alias("_rank_hi"))
-    share = F.coalesce(ratio(F.col("_rank_value") - F.col("_rank_lo"), F.col("_rank_hi") - F.col("_rank_lo")), F.lit(0.0))
-    d = d.join(span, group).withColumn("_rank_bucket", F.when(F.col("_rank_value").isNotNull(), F.least(F.lit(buckets - 1), F.floor(share * buckets)).cast("int")))
-    size = d.where("_rank_bucket is not null").groupBy(*group, "_rank_bucket").agg(F.count("*").alias("_rank_n"))
-    before = F.coalesce(F.sum("_rank_n").over(Window.partitionBy(*group).orderBy("_rank_bucket").rowsBetween(UNB, -1)), F.lit(0))
-    d = d.join(size.select(*group, "_rank_bucket", before.alias("_rank_off")), [*group, "_rank_bucket"], "left")
-    return d.withColumn(out, F.col("_rank_off") + average_rank("_rank_value", [*group, "_rank_bucket"])).drop("_rank_value", "_rank_lo", "_rank_hi", "_rank_bucket", "_rank_off")
+    d, _ = counted_values(df, group, value, buckets)
+    size = d.groupBy(*group, "_b").agg(F.sum("_c").alias("_t"))
+    before = F.coalesce(F.sum("_t").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(UNB, -1)), F.lit(0))  # at most `buckets` rows of a group
+    d = d.join(size.select(*group, "_b", before.alias("_off")), [*group, "_b"]).repartition(*[F.col(c) for c in group], F.col("_b"))
+    inside = F.coalesce(F.sum("_c").over(Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(UNB, -1)), F.lit(0))
+    rank = d.select(*group, F.col("_v").alias("_rank_value"), (F.col("_off") + inside + (F.col("_c") + 1) / 2.0).alias(out))
+    return df.withColumn("_rank_value", F.col(value).cast("double")).join(rank, [*group, "_rank_value"], "left").drop("_rank_value")
 
 
 def percent_rank_avg(value, partition: list[str]) -> Column:

@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelspark.functions.scalar import month_idx, month_of, ratio
+from panelspark.session import ship
 from panelspark.sources.stage import stage
 
 RATE_SPLIT = "1997-07-01"  # months before it use the fallback rate
@@ -21,6 +22,7 @@ BENCH_B, BENCH_S = "Brand#1", "S1"
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        ship(spark)
 
     def shared(self, *names: str) -> "Views":
         """Stage views that a job reads more than once: the fact table is then scanned once.

@@ -1,17 +1,20 @@
 """Stage tables: cut lineage where a result feeds several branches."""
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder on the cluster's shared storage; a local one only where none is configured (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelspark-")
-    return os.path.join(base, f"panelspark-{uuid.uuid4().hex}")
+    """A fresh folder on the storage that the cluster shares, deleted when the session ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{base.rstrip('/')}/panelspark-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 def stage(df: DataFrame) -> DataFrame:
