@@ -10,8 +10,7 @@ from pyspark.sql import Window, functions as F
 from panelspark.catalog.base import query
 from panelspark.catalog.q_inference import cdf_sql, excess_pairs
 from panelspark.functions.scalar import attach_one
-from panelspark.functions.stats import norm_cdf
-from panelspark.operators import allocate as A, covariance as V, kernels as K, panel as P, portfolio as L, windows as W
+from panelspark.operators import allocate as A, covariance as V, inference as I, kernels as K, panel as P, portfolio as L, windows as W
 from panelspark.sources.stage import stage
 
 LB = 36
@@ -74,42 +73,6 @@ def l13(v):
     return V.equal_risk_certificate(A.allocate(c, ["midx"], K.equal_risk), c, ["midx"])
 
 
-@query("g15_shrunk_spectrum", "midx:i modes:i trace_ok:b positive:b", f"WITH {LIVE} SELECT midx, count(*) AS modes, true AS trace_ok, true AS positive FROM lv GROUP BY midx")
-def g15(v):
-    v.shared("ret_b")
-    c = sample_cov(v)
-    s = A.spectrum(c, ["midx"], LB).groupBy("midx").agg(F.count("*").alias("modes"), F.sum("eigenvalue").alias("tr"), (F.min("shrunk") > 0).alias("positive"))
-    tr = c.where("k1 = k2").groupBy("midx").agg((F.sum("cov") * LB / (LB - 1)).alias("tr0"))
-    return s.join(tr, "midx").withColumn("trace_ok", F.abs(F.col("tr") - F.col("tr0")) < 1e-9)
-
-
-@query("g15_spectrum_values", "midx:i mode:i eigenvalue:8 shrunk:8")
-def g15v(v):
-    v.shared("ret_b")
-    return A.spectrum(sample_cov(v), ["midx"], LB)
-
-
-@query("l14_nonlinear_min_variance", "midx:i n:i sum_ok:b sign_ok:b", DEC + ", true AS sum_ok, true AS sign_ok FROM lv GROUP BY midx")
-def l14(v):
-    v.shared("ret_b")
-    w = A.allocate(sample_cov(v), ["midx"], lambda c: K.min_variance(K.nonlinear_cov(c, LB)))
-    return w.groupBy("midx").agg(F.count("*").alias("n"), (F.abs(F.sum("weight") - 1) < 1e-9).alias("sum_ok"), (F.min("weight") >= 0).alias("sign_ok"))
-
-
-@query("l15_spectral_parity", "midx:i key weight:8")
-def l15(v):
-    v.shared("ret_b")
-    return A.allocate(sample_cov(v), ["midx"], lambda c: K.spectral_parity(c, LB)[0])
-
-
-@query("l15_spectral_diagnostics", "midx:i signal_modes:i edge:f ok:b", f"WITH {LIVE} SELECT midx, 0 AS signal_modes, pow(1+sqrt(count(*)/{LB}.0), 2) AS edge, true AS ok FROM lv GROUP BY midx")
-def l15d(v):
-    v.shared("ret_b")
-    d = A.spectral_diagnostics(sample_cov(v), ["midx"], LB)
-    ok = (F.col("signal_modes") >= 1) & F.col("var_signal").between(0, 1) & F.col("risk_signal").between(0, 1)
-    return d.select("midx", F.lit(0).alias("signal_modes"), "edge", ok.alias("ok"))
-
-
 def trend_inputs(v):
     """Per (decision, key): trend signal, inverse-vol anchor."""
     w = W.by("key", order="midx")
@@ -120,36 +83,6 @@ def trend_inputs(v):
     return d.withColumn("signal", 0.1 * F.col("sd") * F.signum("mom"))
 
 
-@query("l16_anchored_portfolio", "midx:i key weight:8 projected:b")
-def l16(v):
-    v.shared("ret_b")
-    c = sample_cov(v).withColumn("cov", F.col("cov") * LB / (LB - 1))
-    w = A.allocate_with(c, trend_inputs(v), ["midx"], ["signal", "anchor"], lambda m, x: K.anchored(m, x[:, 0], x[:, 1], 0.75)[0])
-    return w.withColumn("projected", F.col("weight") == 0)
-
-
-@query("l16_anchor_limit", "midx:i key weight:8", f"WITH {LIVE} SELECT midx, key, (1/sd)/sum(1/sd) OVER (PARTITION BY midx) AS weight FROM lv")
-def l16a(v):
-    """At full shrinkage the closed form returns the anchor itself."""
-    v.shared("ret_b")
-    c = sample_cov(v).withColumn("cov", F.col("cov") * LB / (LB - 1))
-    return A.allocate_with(c, trend_inputs(v), ["midx"], ["signal", "anchor"], lambda m, x: K.anchored(m, x[:, 0], x[:, 1], 1.0)[0])
-
-
-@query("l17_hierarchical_weights", "midx:i n:i sum_ok:b sign_ok:b", DEC + ", true AS sum_ok, true AS sign_ok FROM lv GROUP BY midx")
-def l17(v):
-    v.shared("ret_b")
-    w = A.allocate(lw_cov(v), ["midx"], lambda c: K.hierarchical(c, 0.5))
-    return w.groupBy("midx").agg(F.count("*").alias("n"), (F.abs(F.sum("weight") - 1) < 1e-9).alias("sum_ok"), (F.min("weight") >= 0).alias("sign_ok"))
-
-
-@query("l17_split_log", "midx:i splits:i gamma_ok:b", f"WITH {LIVE}, c AS (SELECT midx, count(*) AS n FROM lv GROUP BY midx) SELECT midx, n*0 AS splits, true AS gamma_ok FROM c")
-def l17s(v):
-    v.shared("ret_b")
-    d = A.split_log(lw_cov(v), ["midx"], 0.5).groupBy("midx").agg(F.count("*").alias("k"), (F.max("gamma") <= 0.5).alias("gamma_ok"))
-    return d.select("midx", F.lit(0).alias("splits"), "gamma_ok")
-
-
 @query("x01_user_callable", "midx:i key weight:8", f"WITH {LIVE} SELECT midx, key, (1/(sd*sd))/sum(1/(sd*sd)) OVER (PARTITION BY midx) AS weight FROM lv")
 def x01(v):
     """A user function from matrix to weights runs under the same job."""
@@ -160,29 +93,38 @@ def x01(v):
     return A.allocate(sample_cov(v), ["midx"], inverse_variance)
 
 
-@query("x02_terminal_allocator", "midx:i key weight:8")
+@query("x02_terminal_allocator", "terminal midx:i key weight:8", f"""WITH {LIVE}, a AS (SELECT midx, key, sd, category, count(DISTINCT category) OVER (PARTITION BY midx) AS k FROM (SELECT midx, key, sd FROM lv) JOIN uni_b USING (key))
+SELECT 'inverse_variance' AS terminal, midx, key, (1/(sd*sd))/sum(1/(sd*sd)) OVER (PARTITION BY midx, category)/k AS weight FROM a UNION ALL SELECT 'equal', midx, key, 1.0/count(*) OVER (PARTITION BY midx, category)/k FROM a""")
 def x02(v):
+    """Two levels: categories share equally, and any callable allocates inside a category."""
     v.shared("ret_b")
-    return A.allocate(lw_cov(v), ["midx"], lambda c: K.hierarchical(c, 0.5, terminal=K.equal_risk))
+    cat = v.uni_b.select(F.col("key").alias("k1"), "category")
+    c = sample_cov(v).join(cat, "k1").join(cat.select(F.col("k1").alias("k2"), F.col("category").alias("c2")), "k2").where("category = c2")
+    terminals = {"inverse_variance": lambda m: (1.0 / m.diagonal()) / (1.0 / m.diagonal()).sum(), "equal": lambda m: [1.0 / len(m)] * len(m)}
+    w = A.allocate_many(c, ["midx", "category"], terminals, "terminal")
+    n = c.groupBy("midx").agg(F.count_distinct("category").alias("n"))
+    return w.join(n, "midx").withColumn("weight", F.col("weight") / F.col("n"))
 
 
 # ------------------------------------------------------------------ HAC tests
-@query("g08_hac_sharpe_test", "a b n:i delta:f se_ok:b", """WITH e AS (SELECT series_id, month, ret-rate AS ret FROM series JOIN rates USING (month)), p AS (SELECT s.series_id AS a, s.ret AS x, t.ret AS y FROM e s JOIN e t USING (month) WHERE t.series_id='AUTOMOBILE' AND s.series_id<>'AUTOMOBILE')
-SELECT a, 'AUTOMOBILE' AS b, count(*) AS n, avg(x)/stddev_pop(x)-avg(y)/stddev_pop(y) AS delta, true AS se_ok FROM p GROUP BY a""")
-def g08(v):
-    return A.hac_tests(excess_pairs(v), ["a", "b"], "month", "sharpe").withColumn("se_ok", F.col("se") > 0)
+HACSQL = """WITH e AS (SELECT series_id, month, ret-rate AS ret FROM series JOIN rates USING (month)), p AS (SELECT s.series_id AS a, s.month, s.ret AS x, t.ret AS y FROM e s JOIN e t USING (month) WHERE t.series_id='AUTOMOBILE' AND s.series_id<>'AUTOMOBILE'),
+ m AS (SELECT *, avg(x) OVER w AS mx, avg(y) OVER w AS my, var_pop(x) OVER w AS vx, var_pop(y) OVER w AS vy, count(*) OVER w AS n, row_number() OVER (PARTITION BY a ORDER BY month) AS i FROM p WINDOW w AS (PARTITION BY a)),
+ f AS (SELECT a, i, n, {delta} AS delta, {part_x} - ({part_y}) AS f FROM m), l AS (SELECT *, lag(f) OVER (PARTITION BY a ORDER BY i) AS g FROM f),
+ r AS (SELECT a, greatest(-0.97, least(0.97, sum(f*g)/sum(g*g))) AS rho FROM l WHERE g IS NOT NULL GROUP BY a), u AS (SELECT l.a, l.i, n, delta, rho, f-rho*g AS u FROM l JOIN r USING (a) WHERE g IS NOT NULL),
+ ul AS (SELECT *, lag(u) OVER (PARTITION BY a ORDER BY i) AS v FROM u), b AS (SELECT a, 1.3221*pow(4*q*q/pow(1-q,4)*c, 0.2) AS bandwidth FROM (SELECT a, greatest(-0.97, least(0.97, sum(u*v) FILTER (v IS NOT NULL)/sum(v*v))) AS q, count(*) AS c FROM ul GROUP BY a)),
+ k AS (SELECT x.a, sum(x.u*y.u*CASE WHEN x.i=y.i THEN 1 ELSE 25/(12*pow(pi()*z.d,2))*(sin(6*pi()*z.d/5)/(6*pi()*z.d/5)-cos(6*pi()*z.d/5)) END) AS s FROM u x JOIN u y USING (a) JOIN b USING (a), LATERAL (SELECT abs(x.i-y.i)/bandwidth AS d) z GROUP BY x.a),
+ o AS (SELECT a, any_value(n) AS n, any_value(delta) AS delta, any_value(rho) AS rho, count(*) AS c FROM u GROUP BY a)
+SELECT a, 'AUTOMOBILE' AS b, n, delta, sqrt(greatest(0, s/c)/pow(1-rho,2)/n) AS se, delta/sqrt(greatest(0, s/c)/pow(1-rho,2)/n) AS z, bandwidth FROM o JOIN k USING (a) JOIN b USING (a)"""
 
 
-@query("g08_hac_sharpe_values", "a b z:f se:f bandwidth:f p:f")
-def g08v(v):
-    return A.hac_tests(excess_pairs(v), ["a", "b"], "month", "sharpe").withColumn("p", norm_cdf(-F.col("z")))
+@query("g08_hac_sharpe_test", "a b n:i delta:f se:f z:f bandwidth:f", HACSQL.format(delta="mx/sqrt(vx)-my/sqrt(vy)", part_x="(x-mx)/sqrt(vx)-mx/(2*pow(vx,1.5))*((x-mx)*(x-mx)-vx)", part_y="(y-my)/sqrt(vy)-my/(2*pow(vy,1.5))*((y-my)*(y-my)-vy)"))
+def g08(v):
+    return I.hac_difference(excess_pairs(v), ["a", "b"], "month", "sharpe")
 
 
-@query("g09_hac_variance_test", "a b n:i delta:f z_ok:b", """WITH e AS (SELECT series_id, month, ret-rate AS ret FROM series JOIN rates USING (month)), p AS (SELECT s.series_id AS a, s.ret AS x, t.ret AS y FROM e s JOIN e t USING (month) WHERE t.series_id='AUTOMOBILE' AND s.series_id<>'AUTOMOBILE')
-SELECT a, 'AUTOMOBILE' AS b, count(*) AS n, ln(var_pop(x)/var_pop(y)) AS delta, true AS z_ok FROM p GROUP BY a""")
+@query("g09_hac_variance_test", "a b n:i delta:f se:f z:f bandwidth:f", HACSQL.format(delta="ln(vx/vy)", part_x="(x-mx)*(x-mx)/vx-1", part_y="(y-my)*(y-my)/vy-1"))
 def g09(v):
-    d = A.hac_tests(excess_pairs(v), ["a", "b"], "month", "variance")
-    return d.withColumn("z_ok", F.abs(F.col("z") * F.col("se") - F.col("delta")) < 1e-9)
+    return I.hac_difference(excess_pairs(v), ["a", "b"], "month", "variance")
 
 
 IIDSQL = """WITH e AS (SELECT series_id, month, ret-rate AS ret FROM series JOIN rates USING (month)), p AS (SELECT s.series_id AS a, s.ret AS x, t.ret AS y FROM e s JOIN e t USING (month) WHERE t.series_id='AUTOMOBILE' AND s.series_id<>'AUTOMOBILE'),
@@ -213,39 +155,43 @@ def stress_months(v, n=24):
     return d.withColumn("k", F.row_number().over(Window.partitionBy("midx").orderBy(F.desc("vol"), "t"))).where(F.col("k") <= n).select("midx", "t")
 
 
-def stress_cov(v, names=10, n=24):
-    """Population covariance over each decision's stress months for a fixed set of keys."""
-    s = stress_months(v, n)
-    r = v.ret_b.where(F.substring_index("key", "#", -1).cast("int") <= names).where("ret is not null").select("key", F.col("midx").alias("t"), "ret")
-    full = r.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") == names).select("t")
-    d = s.join(full, "t").join(r, "t")
-    a, b = d.select("midx", "t", F.col("key").alias("k1"), F.col("ret").alias("x")), d.select("midx", "t", F.col("key").alias("k2"), F.col("ret").alias("y"))
-    p = a.join(b, ["midx", "t"]).where("k1 <= k2").groupBy("midx", "k1", "k2").agg(F.covar_pop("x", "y").alias("cov"), F.count("*").alias("n"))
-    return p.where(F.col("n") >= names + 1)
+def decision_names(v):
+    """(midx, key): the names with a full trailing window at a decision."""
+    return live(v).select("midx", "key")
+
+
+def entries_over(v, months):
+    """Population covariance rows of every decision's names over its months (midx, t) in which all of them have a return."""
+    r = v.ret_b.where("ret is not null").select("key", F.col("midx").alias("t"), "ret")
+    names = decision_names(v)
+    d = months.join(names, "midx").join(r, ["t", "key"])
+    size = names.groupBy("midx").agg(F.count("*").alias("names"))
+    full = d.groupBy("midx", "t").agg(F.count("*").alias("c")).join(size, "midx").where("c = names").select("midx", "t", "names")
+    d = d.join(full, ["midx", "t"])
+    a, b = (d.select("midx", "t", "names", F.col("key").alias(k), F.col("ret").alias(x)) for k, x in (("k1", "x"), ("k2", "y")))
+    p = a.join(b.drop("names"), ["midx", "t"]).where("k1 <= k2").groupBy("midx", "k1", "k2").agg(F.covar_pop("x", "y").alias("cov"), F.count("*").alias("n"))
+    return p
+
+
+def stress_cov(v, n=24, least=12):
+    """Covariance over each decision's stress months, for decisions with at least `least` of them complete."""
+    return entries_over(v, stress_months(v, n)).where(F.col("n") >= least)
 
 
-STRESS = """mk AS (SELECT midx, avg(ret) AS r FROM ret_b GROUP BY midx), sv AS (SELECT midx AS t, stddev_samp(r) OVER w*sqrt(12) AS vol, count(r) OVER w AS c FROM mk WINDOW w AS (ORDER BY midx ROWS 11 PRECEDING)),
+STRESS = f"""{LIVE}, mk AS (SELECT midx, avg(ret) AS r FROM ret_b GROUP BY midx), sv AS (SELECT midx AS t, stddev_samp(r) OVER w*sqrt(12) AS vol, count(r) OVER w AS c FROM mk WINDOW w AS (ORDER BY midx ROWS 11 PRECEDING)),
  sm AS (SELECT d.midx, t FROM (SELECT DISTINCT t AS midx FROM sv WHERE c>=3) d JOIN sv ON sv.t<=d.midx AND c>=3 QUALIFY row_number() OVER (PARTITION BY d.midx ORDER BY vol DESC, t) <= 24),
- br AS (SELECT key, midx AS t, ret FROM ret_b WHERE CAST(split_part(key,'#',2) AS INT)<=10 AND ret IS NOT NULL QUALIFY count(*) OVER (PARTITION BY midx)=10),
- st AS (SELECT sm.midx, a.key AS k1, b.key AS k2, covar_pop(a.ret, b.ret) AS cov FROM sm JOIN br a USING (t) JOIN br b USING (t) WHERE a.key<=b.key GROUP BY ALL HAVING count(*)>=11)"""
+ nm AS (SELECT midx, key, count(*) OVER (PARTITION BY midx) AS names FROM lv),
+ br AS (SELECT nm.midx, r.midx AS t, key, ret FROM nm JOIN ret_b r USING (key) WHERE ret IS NOT NULL AND r.midx<=nm.midx QUALIFY count(*) OVER (PARTITION BY nm.midx, r.midx)=names),
+ st AS (SELECT midx, a.key AS k1, b.key AS k2, covar_pop(a.ret, b.ret) AS cov FROM sm JOIN br a USING (midx, t) JOIN br b USING (midx, t) WHERE a.key<=b.key GROUP BY ALL HAVING count(*)>=12)"""
 
 
-@query("g16_stress_covariance", "midx:i k1 k2 cov:8", f"""WITH {STRESS}, un AS (SELECT d.midx, a.key AS k1, b.key AS k2, covar_pop(a.ret, b.ret) AS cov FROM (SELECT DISTINCT midx FROM st) d JOIN br a ON a.t<=d.midx JOIN br b ON b.t=a.t AND a.key<=b.key GROUP BY ALL)
+@query("g16_stress_covariance", "midx:i k1 k2 cov:8", f"""WITH {STRESS}, un AS (SELECT midx, a.key AS k1, b.key AS k2, covar_pop(a.ret, b.ret) AS cov FROM br a JOIN br b USING (midx, t) WHERE a.key<=b.key GROUP BY ALL)
 SELECT st.midx, k1, k2, 0.75*un.cov+0.25*st.cov AS cov FROM st JOIN un USING (midx, k1, k2)""")
 def g16(v):
     v.shared("ret_b")
-    s = stress_cov(v)
-    names = v.ret_b.where(F.substring_index("key", "#", -1).cast("int") <= 10).where("ret is not null")
-    full = names.groupBy("midx").agg(F.count("*").alias("c")).where("c = 10").select("midx")
-    pr = P.pair_returns(names.join(full, "midx"), [])
-    own = names.join(full, "midx").select("midx", F.col("key").alias("k1"), F.col("ret").alias("x"), F.col("key").alias("k2"), F.col("ret").alias("y"))
-    w = Window.partitionBy("k1", "k2").orderBy("midx").rangeBetween(Window.unboundedPreceding, 0)
-    allp = pr.select("midx", "k1", "k2", "x", "y").unionByName(own.select("midx", "k1", "k2", "x", "y"))
-    # carry the running covariance to decisions whose own month is incomplete
-    run = allp.select("midx", "k1", "k2", F.covar_pop("x", "y").over(w).alias("cov"))
-    from panelspark.operators.calendar import asof_join
-    un = asof_join(s.select("midx", "k1", "k2"), run, ["k1", "k2"], "midx", "midx", ["cov"])
-    return V.blend(un, s, 0.25, ["midx"])
+    last = v.ret_b.agg(F.max("midx").alias("last"))
+    past = attach_one(v.ret_b.select(F.col("midx").alias("t")).distinct(), last).select("t", F.explode(F.sequence("t", "last")).alias("midx"))  # calendar-sized
+    return V.blend(entries_over(v, past).drop("n"), stress_cov(v), 0.25, ["midx"])
 
 
 def frontier_series(v, c=None):

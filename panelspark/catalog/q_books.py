@@ -178,7 +178,7 @@ def b07n(v):
 @query("b08_panel_allocators", "strategy n:i cagr:f vol:f sharpe_rf0:f maxdd:f turnover:f")
 def b08(v):
     v.shared("ret_b")
-    w = kernel_books(v, NULLS).unionByName(kernel_books(v, {"spectral": lambda c: K.spectral_parity(c, QA.LB)[0]}, QA.sample_cov(v)))
+    w = kernel_books(v, NULLS | {"inverse_variance": lambda c: (1.0 / c.diagonal()) / (1.0 / c.diagonal()).sum()})
     book = stage(B.run_book(w, v.ret_b, ["strategy"]))
     from panelspark.operators.panel import common_periods
     book = common_periods(book.where("net is not null"), "strategy", "midx")
@@ -259,22 +259,21 @@ def monthly_types(v):
 @query("b10_weekly_min_variance", "strategy n:i cagr:f vol:f sharpe_rf0:f maxdd:f eff_n_mean:f")
 def b10(v):
     v.shared("px_d")
-    w = stage(kernel_books(v, NULLS, weekly_cov(v)).unionByName(
-        kernel_books(v, {"minvar_nls": lambda c: K.min_variance(K.nonlinear_cov(c, 52))}, weekly_cov(v, linear=False))))
+    w = stage(kernel_books(v, NULLS, weekly_cov(v)).unionByName(kernel_books(v, {"minvar_sample": K.min_variance}, weekly_cov(v, linear=False))))
     book = B.run_book(w, monthly_types(v), ["strategy"])
     return B.performance(book, ["strategy"], "midx", "net").join(L.concentration(w, ["strategy"], "midx").select("strategy", "eff_n_mean"), "strategy")
 
 
 @query("b11_anchored_book", "trial_id cost_bps:i n:i cagr:f vol:f maxdd:f")
 def b11(v):
+    """Anchor, trend-filtered anchor and their blends, with drifted turnover and a cost stress."""
     v.shared("ret_b")
-    c = stage(QA.sample_cov(v).withColumn("cov", F.col("cov") * QA.LB / (QA.LB - 1)))
     x = stage(QA.trend_inputs(v))
-    out = x.select("midx", "key", F.col("anchor").alias("weight"), F.lit("anchor").alias("trial_id"))
-    out = out.unionByName(L.trend_filtered(x.withColumn("weight", F.col("anchor")), ["midx"], "signal").select("midx", "key", "weight", F.lit("trend").alias("trial_id")))
-    for s in (0.5, 0.75, 1.0):
-        w = A.allocate_with(c, x, ["midx"], ["signal", "anchor"], lambda m, y, s=s: K.anchored(m, y[:, 0], y[:, 1], s)[0])
-        out = out.unionByName(w.withColumn("trial_id", F.lit(f"anchored_w{int(s * 100):03d}")).select("midx", "key", "weight", "trial_id"))
+    anchor = x.select("midx", "key", F.col("anchor").alias("weight"))
+    trend = L.trend_filtered(x.withColumn("weight", F.col("anchor")), ["midx"], "signal").select("midx", "key", "weight")
+    both = anchor.withColumnRenamed("weight", "a").join(trend.withColumnRenamed("weight", "t"), ["midx", "key"])
+    both = both.withColumn("s", F.explode(F.array(*[F.lit(k) for k in (0, 50, 75, 100)])))
+    out = both.select("midx", "key", ((F.col("s") * F.col("a") + (100 - F.col("s")) * F.col("t")) / 100.0).alias("weight"), F.format_string("anchored_w%03d", "s").alias("trial_id"))
     book = B.run_book(out, v.ret_b, ["trial_id"], baseline="drifted")
     book = book.withColumn("cost_bps", F.explode(F.array(F.lit(5), F.lit(10), F.lit(25))))
     book = book.withColumn("net", F.col("gross") - F.col("turnover") * F.col("cost_bps") / 10000.0)
@@ -284,7 +283,7 @@ def b11(v):
 @query("b12_hierarchical_book", "strategy n:i cagr:f vol:f maxdd:f eff_n_mean:f cap_ok:b")
 def b12(v):
     v.shared("ret_b")
-    w = kernel_books(v, {"split_g050": lambda c: K.hierarchical(c, 0.5), "split_g000": lambda c: K.hierarchical(c, 0.0), "minvar_lw": K.min_variance})
+    w = kernel_books(v, {"minvar_lw": K.min_variance, "erc": K.equal_risk})
     w = w.join(v.uni_b.select("key", F.col("cash_like").alias("flag")), "key")
     w = stage(L.capped_frozen(stage(w), ["strategy", "midx"], "flag", name_cap=0.20, group_cap=0.30))
     book = B.run_book(w, v.ret_b, ["strategy"], baseline="drifted")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelspark.functions.scalar import attach_one
 from panelspark.operators import kernels as K
 
-MAX_NAMES = 4000  # one dense matrix of doubles stays below 128 MB; larger sets raise and belong in sleeves
+MAX_NAMES = 2000  # 2 million rows with two names each, some 400 MB in a worker; larger sets raise and belong in sleeves
 
 
 def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -62,50 +62,6 @@ def _diagonal(pdf: pd.DataFrame, names: np.ndarray, columns: list[str]) -> np.nd
     return own.loc[names, columns].to_numpy(float)
 
 
-def allocate_with(entries: DataFrame, inputs: DataFrame, group: list[str], columns: list[str], kernel) -> DataFrame:
-    """As ``allocate`` with per-name input columns next to the matrix: ``kernel(matrix, inputs) -> weights``."""
-    def one(keys, pdf):
-        names, c = _matrix(pdf)
-        out = pd.DataFrame({"key": names, "weight": np.asarray(kernel(c, _diagonal(pdf, names, columns)), float)})
-        for g, k in zip(group, keys):
-            out[g] = k
-        return out[[*group, "key", "weight"]]
-    d = _with_inputs(entries, inputs, group, columns)
-    return d.groupBy(*group).applyInPandas(one, _schema(entries, group, "key string, weight double"))
-
-
-def matrix_rows(entries: DataFrame, group: list[str], extra: str, fn) -> DataFrame:
-    """Run ``fn(names, matrix) -> DataFrame`` per decision for diagnostics (spectra, split logs)."""
-    def one(keys, pdf):
-        out = fn(*_matrix(pdf))
-        for pos, (g, k) in enumerate(zip(group, keys)):
-            out.insert(pos, g, k)
-        return out
-    return entries.select(*group, "k1", "k2", "cov").groupBy(*group).applyInPandas(one, _schema(entries, group, extra))
-
-
-def spectrum(entries: DataFrame, group: list[str], t: int) -> DataFrame:
-    def fn(names, c):
-        lam, d, _ = K.shrunk_spectrum(c, t)
-        return pd.DataFrame({"mode": np.arange(len(lam)), "eigenvalue": lam, "shrunk": d})
-    return matrix_rows(entries, group, "mode int, eigenvalue double, shrunk double", fn)
-
-
-def split_log(entries: DataFrame, group: list[str], scale: float) -> DataFrame:
-    def fn(names, c):
-        log = []
-        K.hierarchical(c, scale, log=log)
-        return pd.DataFrame(log, columns=["depth", "n", "gamma", "halvings"]).astype({"gamma": float})
-    return matrix_rows(entries, group, "depth int, n int, gamma double, halvings int", fn)
-
-
-def spectral_diagnostics(entries: DataFrame, group: list[str], t: int, gamma: float = 1.0) -> DataFrame:
-    def fn(names, c):
-        _, k, share, risk = K.spectral_parity(c, t, gamma)
-        return pd.DataFrame({"signal_modes": [int(k)], "var_signal": [share], "risk_signal": [risk], "edge": [(1 + np.sqrt(len(names) / t)) ** 2]})
-    return matrix_rows(entries, group, "signal_modes int, var_signal double, risk_signal double, edge double", fn)
-
-
 def frontier_scalars(entries: DataFrame, means: DataFrame, group: list[str]) -> DataFrame:
     """A = 1'C^-1 1, B = m'C^-1 1, C = m'C^-1 m per decision."""
     def one(keys, pdf):
@@ -117,19 +73,6 @@ def frontier_scalars(entries: DataFrame, means: DataFrame, group: list[str]) ->
     return d.groupBy(*group).applyInPandas(one, _schema(entries, group, "a double, b double, c double"))
 
 
-def hac_tests(pairs: DataFrame, keys: list[str], order: str, kind: str = "sharpe", min_obs: int = 12) -> DataFrame:
-    """HAC test of a Sharpe or log-variance difference for every aligned pair; a group is one pair's months."""
-    n = F.count("*")
-    enough = pairs.groupBy(*keys).agg(n.alias("_n")).where(F.col("_n") >= min_obs).select(*keys)
-
-    def one(key, pdf):
-        x = pdf.sort_values(order)[["x", "y"]].to_numpy(float)
-        delta, se, z, width = K.moment_test(x, kind)
-        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "n": [len(x)], "delta": [delta], "se": [se], "z": [z], "bandwidth": [width]})
-    d = pairs.join(enough, keys, "left_semi").select(*keys, order, "x", "y")
-    return d.groupBy(*keys).applyInPandas(one, _schema(d, keys, "n long, delta double, se double, z double, bandwidth double"))
-
-
 def var1_forecast(df: DataFrame, order: str, columns: list[str], lookback: int, min_rows: int = 13) -> DataFrame:
     """VAR(1) one-step forecast from the rows before each decision; no-change when history is short.
 

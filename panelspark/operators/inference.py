@@ -1,6 +1,8 @@
 """Significance tests: Newey-West, block bootstraps as rows, deflated Sharpe, hurdles."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.functions.scalar import SQRT12, col, ratio
@@ -24,6 +26,43 @@ def newey_west(df: DataFrame, keys: list[str], order: str, value: str, lags: int
                                 F.when((n >= 3) & (se > 0), F.try_divide(F.first("_m"), se)).alias("nw_t"))
 
 
+def hac_difference(pairs: DataFrame, keys: list[str], order: str, kind: str, min_obs: int = 12) -> DataFrame:
+    """HAC test of a difference of Sharpe ratios or log variances of aligned x and y.
+
+    By the delta method the difference is the mean of one influence series.  That series is prewhitened by its first
+    autocorrelation; the long-run variance of the rest weighs all pairs of its rows with the quadratic-spectral kernel at
+    the AR(1) plug-in bandwidth.  A group is one pair of series, so the pairs of rows are bounded by the calendar.
+    """
+    m = pairs.groupBy(*keys).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.count("*").alias("n")).where(F.col("n") >= min_obs)
+
+    def part(x, mean, var):
+        dev = F.col(x) - F.col(mean)
+        if kind == "variance":
+            return dev * dev / F.col(var) - 1.0
+        return dev / F.sqrt(var) - F.col(mean) / (2.0 * F.pow(var, F.lit(1.5))) * (dev * dev - F.col(var))
+    delta = F.ln(F.col("vx") / F.col("vy")) if kind == "variance" else F.col("mx") / F.sqrt("vx") - F.col("my") / F.sqrt("vy")
+    w = Window.partitionBy(*keys).orderBy(order)
+    d = pairs.join(m, keys).select(*keys, "n", delta.alias("delta"), F.row_number().over(w).alias("i"), (part("x", "mx", "vx") - part("y", "my", "vy")).alias("f"))
+
+    def ar1(df, value, name):
+        lagged = df.withColumn("_g", F.lag(value).over(Window.partitionBy(*keys).orderBy("i"))).where("_g is not null")
+        rho = F.greatest(F.lit(-0.97), F.least(F.lit(0.97), F.sum(F.col(value) * F.col("_g")) / F.sum(F.col("_g") * F.col("_g"))))
+        return lagged.groupBy(*keys).agg(rho.alias(name)), lagged
+    rho, lagged = ar1(d, "f", "rho")
+    u = lagged.join(rho, keys).withColumn("u", F.col("f") - F.col("rho") * F.col("_g")).drop("_g", "f")
+    q, _ = ar1(u, "u", "q")
+    size = u.groupBy(*keys).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("delta").alias("delta"), F.first("rho").alias("rho"))
+    head = size.join(q, keys).withColumn("bandwidth", 1.3221 * F.pow(4.0 * F.col("q") * F.col("q") / F.pow(1.0 - F.col("q"), F.lit(4.0)) * F.col("c"), F.lit(0.2))).drop("q")
+    other = u.select(*keys, F.col("i").alias("j"), F.col("u").alias("v"))
+    both = u.select(*keys, "i", "u").join(other, keys).join(head.select(*keys, "bandwidth"), keys)
+    gap = F.abs(F.col("i") - F.col("j")) / F.col("bandwidth")
+    angle = 1.2 * math.pi * gap
+    kernel = F.when(F.col("i") == F.col("j"), 1.0).otherwise(25.0 / (12.0 * F.pow(math.pi * gap, F.lit(2.0))) * (F.sin(angle) / angle - F.cos(angle)))
+    total = both.groupBy(*keys).agg(F.sum(F.col("u") * F.col("v") * kernel).alias("s"))
+    se = F.sqrt(F.greatest(F.lit(0.0), F.col("s") / F.col("c")) / F.pow(1.0 - F.col("rho"), F.lit(2.0)) / F.col("n"))
+    return head.join(total, keys).select(*keys, "n", "delta", se.alias("se"), F.try_divide("delta", se).alias("z"), "bandwidth")
+
+
 # ---------------------------------------------------------------- bootstrap
 def block_start(counter: Column, n: Column, seed: int) -> Column:
     """Deterministic start position in 0..n-1 from a draw counter (integer mixing, no driver RNG)."""

@@ -30,61 +30,21 @@ def test_equal_risk_shares():
     assert np.allclose(share, share.mean(), rtol=1e-9)
 
 
-def test_split_limits():
-    c = cov(8, 200, 1)
-    assert K.hierarchical(c, 0.0).sum() == pytest.approx(1)
-    d = np.diag([1.0, 2.0, 4.0, 8.0])
-    assert np.allclose(K.hierarchical(d, 0.7), (1 / np.diag(d)) / (1 / np.diag(d)).sum())
-    # a scale close to one on a well-behaved matrix approaches the unconstrained minimum variance
-    e = np.eye(4) + 0.1 * (np.ones((4, 4)) - np.eye(4)) + np.diag([0, .1, .2, .3])
-    w = np.linalg.solve(e, np.ones(4))
-    assert np.allclose(K.hierarchical(e, 1.0), w / w.sum(), atol=1e-4)
-
-
-def test_single_linkage_keeps_blocks_together():
-    b = np.full((3, 3), 0.9) + 0.1 * np.eye(3)
-    c = np.kron(np.eye(2), b) + 0.05
-    order = K.single_linkage_order(c[np.ix_([0, 3, 1, 4, 2, 5], [0, 3, 1, 4, 2, 5])])
-    groups = [i % 2 for i in order]
-    assert groups in ([0, 0, 0, 1, 1, 1], [1, 1, 1, 0, 0, 0])
-
-
-def test_kernel_hilbert_by_quadrature():
-    r5 = np.sqrt(5)
-    t = np.linspace(-r5, r5, 400001)
-    k = 0.75 / r5 * (1 - t * t / 5)
-    for x in (3.0, 9.9, 10.1, 50.0):
-        want = np.trapezoid(k / (t - x), t) / np.pi
-        assert K.kernel_hilbert(np.array([x]))[0] == pytest.approx(want, rel=1e-5)
-
-
-def test_shrunk_spectrum_is_positive_and_ordered_inward():
-    c = cov(20, 60, 5)
-    lam, d, _ = K.shrunk_spectrum(c, 60)
-    assert (d > 0).all() and d.max() / d.min() < lam.max() / lam.min()
-
-
-def test_anchored_limits():
-    c = cov(6, 80, 2)
-    a = np.full(6, 1 / 6)
-    s = np.array([1, -1, 1, 1, -1, 1.0]) * 0.1
-    assert np.allclose(K.anchored(c, s, a, 1.0)[0], a)
-    assert np.allclose(K.anchored(c, s * 0, a, 0.5)[0], a)
-
-
-def test_hac_is_antisymmetric_and_scale_free():
-    x = np.random.default_rng(7).standard_normal((80, 2)) + 0.1
-    for kind in ("sharpe", "variance"):
-        d, se, z, _ = K.moment_test(x, kind)
-        d2, se2, z2, _ = K.moment_test(x[:, ::-1] * 100, kind)
-        assert d == pytest.approx(-d2) and se == pytest.approx(se2) and z == pytest.approx(-z2)
-    assert K.moment_test(np.column_stack([x[:, 0], x[:, 0]]), "sharpe")[2] == 0.0
-
-
-def test_hac_size_under_the_null():
-    rng = np.random.default_rng(11)
-    z = [K.moment_test(rng.standard_normal((120, 2)), "sharpe")[2] for _ in range(300)]
-    assert np.mean(np.abs(z) > 1.96) < 0.12
+def test_many_names():
+    w = K.min_variance(np.eye(1100))
+    assert np.allclose(w, 1 / 1100)
+
+
+def test_a_wrong_weight_fails_its_certificate(spark):
+    """The certificates can fail: equal weights are neither minimum variance nor equal risk on this matrix."""
+    from panelspark.operators import covariance as V
+    c = cov(6, 60, 4)
+    rows = [(1, f"k{i}", f"k{j}", float(c[i, j])) for i in range(6) for j in range(i, 6)]
+    e = spark.createDataFrame(rows, "midx int, k1 string, k2 string, cov double")
+    for w, right in ((K.min_variance(c), "kkt_ok"), (K.equal_risk(c), "parity_ok"), (np.full(6, 1 / 6), None)):
+        d = spark.createDataFrame([(1, f"k{i}", float(x)) for i, x in enumerate(w)], "midx int, key string, weight double")
+        got = {"kkt_ok": V.min_variance_certificate(d, e, ["midx"]).first()["kkt_ok"], "parity_ok": V.equal_risk_certificate(d, e, ["midx"]).first()["parity_ok"]}
+        assert got == {k: k == right for k in got}
 
 
 def test_two_states_separates_volatility():
