@@ -12,7 +12,8 @@ import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,10 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches between the JVM and Python hold so many bytes at most, besides the row count: long texts come in small
+    batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Scratch:
     """One run folder below the shared one.  Intermediate tables are dropped when done with, the rest when the session ends."""
 
     def __init__(self, spark: SparkSession):
+        bound_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
         self._path(self.root)[0].deleteOnExit(self._path(self.root)[1])
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.common import Scratch, chunks, fold, is_blank, lower_ascii, mix, span_hashes, text_buffer, word_spans
+from panelspark.llm.common import bound_batches, chunks, fold, is_blank, lower_ascii, mix, span_hashes, text_buffer, word_spans
 
 POSITIVE_ROWS, UNLABELLED_ROWS = 8_000, 16_000
 #: Byte classes: lower case, upper case, digit, space, line end, other blanks, bytes beyond ASCII, single marks, all else.
@@ -136,6 +136,7 @@ def best_bin_prior(sp: np.ndarray, su: np.ndarray, delta: float = 0.1) -> float:
 def fit(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, seed: int = 7) -> tuple[Network | None, float]:
     """Network and prior.  Learns from at most `positive_rows` documents labelled 1 outside the held-out fold and about
     `unlabelled_rows` documents drawn by a hash of the id, whose labels are not looked at.  Without positives: (None, 0)."""
+    bound_batches(docs.sparkSession)
     total = max(1, docs.count())
     pick = (labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (fold("doc_id") != 1)).select("doc_id").distinct()
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(positive_rows).withColumn("p", F.lit(True)))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelspark.llm.common import Scratch, mix, text_buffer
+from panelspark.llm.common import mix, text_buffer
 
 ORDERS = 5
 CELLS = 1 << 16
