@@ -79,11 +79,60 @@ def test_global_rank_matches_sort(spark):
     rng = np.random.default_rng(3)
     rows = [(f"k{i:04d}", float(np.round(v, 1))) for i, v in enumerate(rng.standard_normal(2000))] + [("zz", None)]
     d = spark.createDataFrame(rows, "key string, s double")
-    got = {r.key: r["rank"] for r in S.global_rank(d, "s", "key", buckets=16).collect()}
+    got = {r.key: r["rank"] for r in S.global_rank(d, "s", "key", ranges=16).collect()}
     want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert got == {k: i + 1 for i, (k, _) in enumerate(want)}
 
 
+def _largest_share(df, keys):
+    """Share of the rows in the largest task after the plan's own dealing, without coalescing."""
+    spark = df.sparkSession
+    old = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        n = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old[0])
+        spark.conf.set("spark.sql.shuffle.partitions", old[1])
+    return max(n) / sum(n)
+
+
+def test_large_groups_split(spark):
+    """One group with three quarters of the rows and an outlier; two-valued and all-NULL scores."""
+    d = spark.range(60_000).selectExpr("if(id % 4 < 3, 'g', 'h') g", "if(id = 7, 1e9, double(xxhash64(id) % 100000)) v", "id")
+    counted, cuts = W.counted_values(d, ["g"], "v")
+    by_bucket = counted.groupBy("g", "_b").agg(F.sum("_c").alias("n")).collect()
+    assert len(cuts) > 200 and max(r.n for r in by_bucket) < 0.02 * 60_000
+    for c in ("v", "if(id % 2 = 0, 1.0D, 2.0D)", "cast(null as double)"):
+        ranked = S.global_rank(d.selectExpr("id", f"{c} s"), "s", "id", ranges=64)
+        assert _largest_share(ranked, None) < 0.08
+        assert ranked.agg(F.count_distinct("rank"), F.min("rank"), F.max("rank")).first()[:] == (60_000, 1, 60_000)
+
+
+def test_staging_needs_a_shared_folder(spark):
+    from panelspark.sources import stage as st
+
+    class Bare:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        st.scratch_dir(Bare)
+
+
+def test_a_later_month_is_seen(spark, sf, tmp_path):
+    """A row after the last month of the tables makes that month complete and the new one the incomplete one."""
+    from panelspark.plans.views import Views
+    t = spark.read.parquet(f"{sf}/lineitem.parquet")
+    end = t.agg(F.max("l_shipdate").alias("d")).first().d
+    more = t.limit(1).withColumn("l_shipdate", F.lit(end) + F.expr("INTERVAL 3 MONTHS"))
+    t.unionByName(more).write.parquet(f"{tmp_path}/lineitem.parquet")
+    old, new = (Views(spark, d).rates.agg(F.max("month")).first()[0] for d in (sf, str(tmp_path)))
+    assert new > old
+
+
 def test_normal_law(spark):
     d = spark.createDataFrame([(p,) for p in (1e-6, 0.01, 0.3, 0.5, 0.975, 0.9999, 0.0, 1.0)], "p double")
     rows = d.select("p", T.norm_ppf("p").alias("z")).select("p", "z", T.norm_cdf("z").alias("c")).collect()
