@@ -5,7 +5,7 @@ from panelspark.catalog import q_alloc as QA, q_inference as QI, q_panel as QP,
 from panelspark.catalog.base import query
 from panelspark.functions.scalar import attach_one
 from panelspark.operators import allocate as A, calendar as C, covariance as V, kernels as K, panel as P, portfolio as L, quality as Q, scores as S, windows as W
-from panelspark.plans import books as B
+from panelspark.plans import books as B, registry as G
 from panelspark.sources.stage import stage
 
 MIX = {"ECONOMY": 0.7, "LARGE": 0.2, "SMALL": 0.1}
@@ -311,15 +311,25 @@ def b14(v):
 
 
 # ------------------------------------------------------------------ comparison and gates
+def _weighted(v, scheme: str):
+    live = QW.live(v)
+    w = L.equal_weight(live, ["midx"]) if scheme == "equal" else L.inverse_vol(live, ["midx"], "sigma")
+    book = B.run_book(w.select("midx", "key", "weight", F.lit(scheme).alias("id")), v.ret_s, ["id"], missing="skip")
+    return book.select("midx", F.col("net").alias("ret"))
+
+
+def _core(v, trial: str, column: str):
+    return vt_book(v).where(F.col("trial_id") == trial).select("midx", F.col(column).alias("ret"))
+
+
+STRATEGIES = [G.Strategy("equal_weight", _weighted, {"scheme": "equal"}), G.Strategy("inverse_vol", _weighted, {"scheme": "inverse"}),
+              G.Strategy("scaled_core", _core, {"trial": "L63_f25", "column": "net"}), G.Strategy("static_core", _core, {"trial": "L63_f25", "column": "r_core"}),
+              G.Strategy("slow_core", _core, {"trial": "L252_f25", "column": "net"}, enabled=False)]
+
+
 def all_books(v):
-    """One (id, midx, ret) table of every closed-form book, by return month."""
-    ew = QW.live(v)
-    books = B.run_book(L.equal_weight(ew, ["midx"]).select("midx", "key", "weight", F.lit("equal_weight").alias("id")).unionByName(
-        L.inverse_vol(ew, ["midx"], "sigma").select("midx", "key", "weight", F.lit("inverse_vol").alias("id"))), v.ret_s, ["id"], missing="skip")
-    out = books.select("id", "midx", F.col("net").alias("ret"))
-    vt = vt_book(v).where("trial_id = 'L63_f25'")
-    out = out.unionByName(vt.select(F.lit("scaled_core").alias("id"), "midx", F.col("net").alias("ret"))).unionByName(vt.select(F.lit("static_core").alias("id"), "midx", F.col("r_core").alias("ret")))
-    return out
+    """One (id, midx, ret) table of the enabled strategies, by return month."""
+    return G.run_enabled(v, STRATEGIES)
 
 
 CMP = f"""{BOOK}, {QW.SIG}, lw_ AS (SELECT midx, key, 1.0/count(*) OVER (PARTITION BY midx) AS e, (1/sigma)/sum(1/sigma) OVER (PARTITION BY midx) AS i FROM sg_ WHERE n=24)""".replace("sg AS (SELECT r.key", "sg_ AS (SELECT r.key")
@@ -364,13 +374,14 @@ def b18(v):
     return B.grid(v.uni_b.select("key"), lookback=[21, 63, 252], f_min=[0.25, 0.5], g_min=[0.25, 0.5])
 
 
-@query("x03_strategy_registry", "name digest n:i", """SELECT 'equal' AS name, substr(sha256('{"floor":5,"lookback":24}'),1,12) AS digest, (SELECT count(DISTINCT key) FROM ret_s) AS n UNION ALL SELECT 'static', substr(sha256('{"floor":1,"lookback":12}'),1,12), (SELECT count(DISTINCT key) FROM ret_s)""")
+@query("x03_strategy_registry", "name digest enabled:b months:i", f"""WITH {CMPS}, g(name, params, enabled) AS (VALUES ('equal_weight', '{{"scheme":"equal"}}', true), ('inverse_vol', '{{"scheme":"inverse"}}', true), ('scaled_core', '{{"column":"net","trial":"L63_f25"}}', true),
+ ('static_core', '{{"column":"r_core","trial":"L63_f25"}}', true), ('slow_core', '{{"column":"net","trial":"L252_f25"}}', false))
+SELECT name, substr(sha256(params),1,12) AS digest, enabled, (SELECT count(ret) FROM al WHERE id=name) AS months FROM g""")
 def x03(v):
-    from panelspark.functions.scalar import params_hash
-    registry = {"equal": {"lookback": 24, "floor": 5}, "static": {"lookback": 12, "floor": 1}}
-    spec = v.rows("name string, lookback int, floor int", *[(k, p["lookback"], p["floor"]) for k, p in registry.items()])
-    n = v.ret_s.agg(F.count_distinct("key").alias("n"))
-    return attach_one(spec.withColumn("digest", params_hash("lookback", "floor")), n)
+    """Every entry with the hash of its parameters, and the months that its book has when it runs."""
+    v.shared("px_d", "ret_s")
+    n = all_books(v).groupBy(F.col("id").alias("name")).agg(F.count("ret").alias("months"))
+    return G.catalogue(v.spark, STRATEGIES).join(n, "name", "left").fillna(0, ["months"])
 
 
 @query("x04_rolling_product", "series_id month:d ret_12:f", "SELECT series_id, month, CASE WHEN count(*) OVER w=12 THEN exp(sum(ln(1+ret)) OVER w)-1 END AS ret_12 FROM series WINDOW w AS (PARTITION BY series_id ORDER BY month ROWS 11 PRECEDING)")

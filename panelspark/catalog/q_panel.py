@@ -2,6 +2,7 @@
 from pyspark.sql import Window, functions as F
 
 from panelspark.catalog.base import query
+from panelspark.functions.scalar import attach_one
 from panelspark.functions.scalar import month_idx, ratio, within_printed
 from panelspark.functions.stats import safe_corr
 from panelspark.operators import calendar as C, panel as P, windows as W
@@ -93,6 +94,14 @@ def p08(v):
     return P.live_names(v.ret_s, 24, 30, 5)
 
 
+@query("p08_name_counts", "midx:i n_eligible:i below_floor:b skipped:b", """
+WITH a AS (SELECT key, midx, count(ret) OVER w AS n_window, stddev_samp(ret) OVER w AS sd, count(ret) OVER (PARTITION BY key ORDER BY midx) AS n_history
+ FROM ret_s WINDOW w AS (PARTITION BY key ORDER BY midx RANGE BETWEEN 23 PRECEDING AND CURRENT ROW))
+SELECT midx, n, n < 5, n < 5 FROM (SELECT midx, count(*) FILTER (n_window=24 AND sd > 1e-10 AND n_history >= 30) AS n FROM a GROUP BY midx) t(midx, n)""".replace("n < 5, n < 5", "n AS n_eligible, n < 5 AS below_floor, n < 5 AS skipped").replace("midx, n, n AS", "midx, n AS"))
+def p08n(v):
+    return P.name_counts(v.ret_s, 24, 30, 5)
+
+
 @query("p11_period_window", "key n:i", "SELECT key, count(*) AS n FROM ret_s WHERE month BETWEEN DATE '1997-01-01' AND DATE '1998-12-01' GROUP BY key")
 def p11(v):
     return v.ret_s.where("month between '1997-01-01' and '1998-12-01'").groupBy("key").agg(F.count("*").alias("n"))
@@ -150,6 +159,15 @@ def j03(v):
     return d.join(b, "midx", "left").withColumn("label", F.col("next") - F.col("bench"))
 
 
+@query("j03_nearest_prior_label", "decision:d month:d key label:f", """WITH p AS (SELECT month, lead(month) OVER (ORDER BY month) AS nxt FROM (SELECT DISTINCT month FROM ret_b)), d AS (SELECT DISTINCT CAST(date_trunc('quarter', month) + INTERVAL 40 DAY AS DATE) AS decision FROM ret_b)
+SELECT d.decision, p.month, r.key, r.ret AS label FROM d ASOF JOIN p ON d.decision >= p.month JOIN ret_b r ON r.month = p.nxt""")
+def j03n(v):
+    """Decisions that are no panel dates take the last panel date before them."""
+    v.shared("ret_b")
+    d = v.ret_b.select(F.date_add(F.date_trunc("quarter", "month").cast("date"), 40).alias("decision")).distinct()
+    return C.next_label(d, v.ret_b, "decision", "month", "ret")
+
+
 @query("j04_asof_join", "key as_of:d log_price:f price_date:d", """WITH l AS (SELECT DISTINCT key, CAST(date_trunc('month', date) + INTERVAL 14 DAY AS DATE) AS as_of FROM px_d)
 SELECT l.key, l.as_of, ln(p.price) AS log_price, p.date AS price_date FROM l ASOF LEFT JOIN px_d p ON l.key=p.key AND l.as_of >= p.date""")
 def j04(v):
@@ -183,6 +201,23 @@ def j07(v):
     return P.look_through(w, v.constituents, ["strategy", "month"])
 
 
+@query("j07_dated_look_through", "strategy month:d key weight:8", """WITH w AS (SELECT strategy, month, midx, CASE WHEN n_nationkey%2=0 THEN r_name ELSE n_name END AS k, weight FROM weights JOIN nation ON key=n_name JOIN region ON n_regionkey=r_regionkey),
+ m AS (SELECT d.midx, r_name AS sleeve, n_name AS key, 1.0::DOUBLE/count(*) OVER (PARTITION BY d.midx, r_name) AS within FROM (SELECT DISTINCT midx FROM weights) d, nation JOIN region ON n_regionkey=r_regionkey WHERE (n_nationkey//5+d.midx)%5<>0)
+SELECT strategy, month, coalesce(m.key, k) AS key, sum(weight*coalesce(within, 1)) AS weight FROM w LEFT JOIN m ON k=sleeve AND m.midx=w.midx GROUP BY ALL""")
+def j07d(v):
+    """Membership changes from month to month."""
+    v.shared("weights")
+    n = v.table("nation").join(v.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    w = v.weights.join(n, v.weights["key"] == n["n_name"]).select(
+        "strategy", "month", "midx", F.when(F.col("n_nationkey") % 2 == 0, F.col("r_name")).otherwise(F.col("n_name")).alias("key"), "weight")
+    months = F.array_sort(F.collect_set("midx"))  # the calendar
+    dated = attach_one(n, v.weights.agg(months.alias("all"))).select(F.col("r_name").alias("sleeve"), F.col("n_name").alias("key"), "n_nationkey", F.explode("all").alias("midx"))
+    dated = dated.where((F.floor(F.col("n_nationkey") / 5) + F.col("midx")) % 5 != 0)
+    size = dated.groupBy("sleeve", "midx").agg(F.count("*").alias("k"))
+    c = dated.join(size, ["sleeve", "midx"]).select("sleeve", "key", "midx", (1.0 / F.col("k")).alias("within"))
+    return P.look_through(w, c, ["strategy", "month"], period="midx")
+
+
 @query("j08_dimension_lookup", "key category n:i", """SELECT p.key, coalesce(category,'Unknown') AS category, count(*) AS n FROM px_s p LEFT JOIN (SELECT * FROM uni_s WHERE NOT thin) u USING (key) GROUP BY ALL""")
 def j08(v):
     n = v.px_s.groupBy("key").agg(F.count("*").alias("n"))

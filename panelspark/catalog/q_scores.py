@@ -49,6 +49,17 @@ def a04(v):
     return last.join(me.groupBy("key").agg(F.max_by("m", "month").alias("mom12_1")), "key")
 
 
+@query("a04_benchmark_choice", "requested benchmark_used date:d bench:f", """SELECT 'ECONOMY' AS requested, key AS benchmark_used, date, ret AS bench FROM ret_d WHERE key='ECONOMY' UNION ALL SELECT 'ABSENT', key, date, ret FROM ret_d WHERE key='LARGE'""")
+def a04b(v):
+    """The wanted benchmark, and one that is not in the panel with its fallback."""
+    v.shared("ret_d")
+    out = None
+    for first in ("ECONOMY", "ABSENT"):
+        b = S.choose_benchmark(v.ret_d, first, "LARGE").withColumn("requested", F.lit(first))
+        out = b if out is None else out.unionByName(b)
+    return out
+
+
 @query("a05_quality_ir", "key month:d quality:f er_missing:b", """WITH x AS (SELECT a.key, a.month, a.midx, a.ret-b.ret AS ex, CASE WHEN num%4<>0 THEN (num%10)/1000.0 END AS er FROM ret_s a JOIN uni_s USING (key) LEFT JOIN (SELECT midx, ret FROM ret_s WHERE key='S1') b USING (midx))
 SELECT key, month, CASE WHEN count(ex) OVER w >= 3 THEN avg(ex) OVER w/nullif(stddev_samp(ex) OVER w, 0)*sqrt(12) END - coalesce(er,0) AS quality, er IS NULL AS er_missing FROM x WINDOW w AS (PARTITION BY key ORDER BY midx ROWS 23 PRECEDING)""")
 def a05(v):

@@ -270,6 +270,26 @@ def w26(v):
     return W.left_tail(v.ret_s.where("ret is not null"), km(), "ret", 24)
 
 
+@query("w26_selected_left_tail", "rule key midx:i left_tail:f", """
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY midx) AS rn FROM ret_b WHERE ret IS NOT NULL), k AS (SELECT key, midx, rn, CASE WHEN sum(ret*ret) OVER w > 0 THEN sqrt(count(*) OVER w)*sum(ret*ret*ret) OVER w/pow(sum(ret*ret) OVER w, 1.5) END AS sk FROM n WINDOW w AS (PARTITION BY key ORDER BY rn ROWS 11 PRECEDING)),
+q AS (SELECT t.key, t.rn, t.midx, quantile_cont(u.ret, 0.05) AS thr, stddev_samp(u.ret) AS sd, count(*) AS c FROM n t JOIN n u ON u.key=t.key AND u.rn BETWEEN t.rn-23 AND t.rn GROUP BY ALL),
+s AS (SELECT q.key, q.midx, CASE WHEN any_value(q.c) >= 3 THEN -avg(CASE WHEN u.ret <= thr THEN u.ret END) END AS c5, CASE WHEN any_value(q.c) >= 3 AND any_value(sd) >= 1e-12 THEN avg(CASE WHEN u.ret < -sd THEN 1.0 ELSE 0.0 END) END AS bs
+ FROM q JOIN n u ON u.key=q.key AND u.rn BETWEEN q.rn-23 AND q.rn GROUP BY ALL)
+SELECT 'cvar_5' AS rule, key, midx, c5 AS left_tail FROM s UNION ALL SELECT 'below_sigma', key, midx, bs FROM s UNION ALL SELECT 'adverse_skew', key, midx, greatest(0, -sk) FROM k""")
+def w26s(v):
+    """The three selectable rules on one panel."""
+    v.shared("ret_b")
+    w, out = km(), None
+    f = w.rowsBetween(-11, 0)
+    r = F.col("ret")
+    d = v.ret_b.where("ret is not null")
+    d = d.withColumn("sk", F.when(F.sum(r * r).over(f) > 0, F.sqrt(F.count("*").over(f)) * F.sum(r * r * r).over(f) / F.pow(F.sum(r * r).over(f), F.lit(1.5))))
+    for rule in ("cvar_5", "below_sigma", "adverse_skew"):
+        x = W.left_tail_score(d, w, "ret", rule, 24, "sk").select(F.lit(rule).alias("rule"), "key", "midx", "left_tail")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 @query("w27_prior_weights", "strategy key month:d weight:f prev_weight:f", """
 SELECT w.strategy, w.key, w.month, w.weight, coalesce(p.weight, 0) AS prev_weight FROM weights w LEFT JOIN weights p
  ON p.strategy=w.strategy AND p.key=w.key AND p.midx=w.midx-1""")

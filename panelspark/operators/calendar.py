@@ -106,6 +106,16 @@ def next_period(df: DataFrame, keys: list[str], idx: str, value: str, out: str)
     return df.withColumn(out, F.first(value).over(w))
 
 
+def next_label(decisions: DataFrame, panel: DataFrame, at: str, idx: str, value: str, key: str = "key") -> DataFrame:
+    """(at, idx, key, label): each decision takes the last panel period at or before it; the label is the value of the
+    panel's next period.  A decision before the first period has no row."""
+    periods = panel.select(idx).distinct()
+    periods = periods.withColumn("_next", F.lead(idx).over(Window.orderBy(idx)))  # one row per period
+    d = asof_join(decisions.select(at, F.lit(0).alias("_k")), periods.withColumn("_k", F.lit(0)).withColumn("_own", F.col(idx)), ["_k"], at, idx, ["_own", "_next"]).where("_own is not null")
+    label = panel.select(F.col(idx).alias("_next"), key, F.col(value).alias("label"))
+    return d.join(label, "_next").select(at, F.col("_own").alias(idx), key, "label")
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, values: list[str],
               suffix_date: str | None = None) -> DataFrame:
     """Last right row at or before each left row: union, one sort per key, last non-null.

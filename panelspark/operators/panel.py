@@ -43,10 +43,11 @@ def drop_tagged(df: DataFrame, universe: DataFrame, tags: list[str], key: str =
 
 # ---------------------------------------------------------------- live names
 def live_names(ret: DataFrame, lookback: int, min_prior: int, floor: int, key: str = "key", idx: str = "midx",
-               value: str = "ret", min_std: float = 1e-10) -> DataFrame:
+               value: str = "ret", min_std: float = 1e-10, below: str = "skip") -> DataFrame:
     """Keys usable at each decision: complete trailing window, non-constant, enough history, enough names.
 
-    The window counts come from RANGE frames, so decisions x history is never materialised.
+    The window counts come from RANGE frames, so decisions x history is never materialised.  below: what becomes of a
+    decision with some usable names but fewer than `floor`, 'skip' or 'raise'.
     """
     w = Window.partitionBy(key).orderBy(idx)
     f = w.rangeBetween(-lookback + 1, 0)
@@ -54,7 +55,17 @@ def live_names(ret: DataFrame, lookback: int, min_prior: int, floor: int, key: s
                    F.count(value).over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("n_history"))
     d = d.where((F.col("n_window") == lookback) & (F.col("sd") > min_std) & (F.col("n_history") >= min_prior))
     n = d.groupBy(idx).agg(F.count("*").alias("n_live"))
-    return d.join(n, idx).where(F.col("n_live") >= floor)
+    enough = F.col("n_live") >= floor
+    if below == "raise":
+        enough = F.when(enough, True).otherwise(F.raise_error(F.concat(F.lit("too few usable names at "), F.col(idx).cast("string"))).cast("boolean"))
+    return d.join(n, idx).where(enough)
+
+
+def name_counts(ret: DataFrame, lookback: int, min_prior: int, floor: int, key: str = "key", idx: str = "midx", value: str = "ret") -> DataFrame:
+    """Per decision: usable names, whether they are below the floor, and whether the decision is skipped for it."""
+    n = live_names(ret, lookback, min_prior, 0, key, idx, value).groupBy(idx).agg(F.count("*").alias("n_eligible"))
+    d = ret.select(idx).distinct().join(n, idx, "left").withColumn("n_eligible", F.coalesce("n_eligible", F.lit(0)))
+    return d.withColumn("below_floor", F.col("n_eligible") < floor).withColumn("skipped", F.col("below_floor"))
 
 
 def select_complete_keys(df: DataFrame, thin: DataFrame, n: int, key: str = "key", value: str = "ret") -> DataFrame:
@@ -79,10 +90,21 @@ def attach_rate(df: DataFrame, rates: DataFrame, on: str = "month", required: bo
     return d
 
 
-def look_through(weights: DataFrame, constituents: DataFrame, keys: list[str], key: str = "key") -> DataFrame:
-    """Replace sleeve rows by their constituents (weight x within-weight); other rows pass through."""
-    c = constituents.select(F.col("sleeve"), F.col(key).alias("_member"), "within")
-    d = weights.join(c, weights[key] == c["sleeve"], "left")
+def look_through(weights: DataFrame, constituents: DataFrame, keys: list[str], key: str = "key", period: str | None = None) -> DataFrame:
+    """Replace sleeve rows by their constituents (weight x within-weight); other rows pass through.
+
+    period: membership is by this column too.  Within-weights that do not sum to 1, and a sleeve without members in the
+    period of a holding, are errors.
+    """
+    by = ["sleeve", period] if period else ["sleeve"]
+    whole = constituents.groupBy(*by).agg(F.sum("within").alias("_sum"))
+    c = constituents.join(whole, by).select(*by, F.col(key).alias("_member"), F.when(F.abs(F.col("_sum") - 1.0) <= 1e-8, F.col("within")).otherwise(
+        F.raise_error(F.concat(F.lit("within-weights do not sum to 1 in "), F.col("sleeve"))).cast("double")).alias("within"))
+    known = constituents.select("sleeve").distinct().withColumn("_sleeve", F.lit(True))
+    d = weights.join(known, weights[key] == known["sleeve"], "left").drop("sleeve")
+    d = d.join(c.withColumnRenamed("sleeve", "_s"), (d[key] == F.col("_s")) & ((d[period] == c[period]) if period else F.lit(True)), "left")
+    d = d.drop(c[period]) if period else d
+    d = d.withColumn("within", F.when(F.col("_sleeve") & F.col("_member").isNull(), F.raise_error(F.concat(F.lit("no members of "), F.col(key))).cast("double")).otherwise(F.col("within")))
     return (d.select(*keys, F.coalesce("_member", key).alias(key), (F.col("weight") * F.coalesce("within", F.lit(1.0))).alias("weight"))
             .groupBy(*keys, key).agg(F.sum("weight").alias("weight")))
 

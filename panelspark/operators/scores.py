@@ -86,6 +86,13 @@ def global_rank(df: DataFrame, score: str, tie: str, out: str = "rank", ranges:
             .withColumn(out, F.col("_off") + F.row_number().over(Window.partitionBy("_p").orderBy(*keys))).drop("_p", "_off"))
 
 
+def choose_benchmark(ret: DataFrame, first: str, fallback: str, date: str = "date", least: int = 51) -> DataFrame:
+    """(date, bench, benchmark_used): returns of `first` if it has `least` rows, else of `fallback`; an error without either."""
+    n = ret.where(F.col("key").isin(first, fallback)).agg(F.count_if(F.col("key") == first).alias("a"), F.count_if(F.col("key") == fallback).alias("b"))
+    used = n.select(F.when(F.col("a") >= least, first).when(F.col("b") > 0, fallback).otherwise(F.raise_error(F.lit(f"neither {first} nor {fallback} is in the panel"))).alias("benchmark_used"))
+    return ret.join(F.broadcast(used), F.col("key") == F.col("benchmark_used")).select(date, F.col("ret").alias("bench"), "benchmark_used")  # one row
+
+
 def raw_features(px: DataFrame, order: str, bench_ret: DataFrame, expense: DataFrame | None = None, year: int = 252,
                  quarter: int = 63, month: int = 21, at: Column | None = None) -> DataFrame:
     """All raw features per (key, period) in one window pass on the key.

@@ -221,6 +221,17 @@ def left_tail(df: DataFrame, w, ret: str, rows: int, level: float = 0.05, k: flo
             .drop("_n", "_thr", "_sd", "_x"))
 
 
+def left_tail_score(df: DataFrame, w, ret: str, rule: str, rows: int, skew: str | None = None) -> DataFrame:
+    """Adds left_tail by the selected rule: 'cvar_5', 'below_sigma' or 'adverse_skew' (realised skewness on its bad side)."""
+    if rule == "adverse_skew":
+        if skew is None:
+            raise ValueError("adverse_skew needs the skewness column")
+        return df.withColumn("left_tail", F.when(F.col(skew).isNotNull(), F.greatest(F.lit(0.0), -F.col(skew))))
+    if rule not in ("cvar_5", "below_sigma"):
+        raise ValueError(f"no such rule: {rule}")
+    return left_tail(df, w, ret, rows).withColumn("left_tail", F.col(rule)).drop("cvar_5", "below_sigma")
+
+
 def daily_rate(calendar: DataFrame, own: DataFrame, rates: DataFrame) -> DataFrame:
     """Own daily log rate where priced; before its first value a monthly rate spread over the month's sessions."""
     month = F.trunc("date", "MM")
