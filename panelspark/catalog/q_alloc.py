@@ -77,7 +77,8 @@ def trend_inputs(v):
     """Per (decision, key): trend signal, inverse-vol anchor."""
     w = W.by("key", order="midx")
     d = P.attach_rate(v.ret_b, v.rates).withColumn("ex", F.col("ret") - F.col("rate"))
-    d = d.withColumns({"sd": F.stddev_samp("ret").over(w.rangeBetween(-LB + 1, 0)), "mom": F.product(1.0 + F.col("ex")).over(w.rangeBetween(-11, -1)) - 1.0})
+    past = w.rangeBetween(-11, -1)  # a signal needs every month of its window
+    d = d.withColumns({"sd": F.stddev_samp("ret").over(w.rangeBetween(-LB + 1, 0)), "mom": F.when(F.count("ex").over(past) == 11, F.product(1.0 + F.col("ex")).over(past) - 1.0)})
     d = d.join(live(v).select("key", "midx"), ["key", "midx"], "left_semi")
     d = L.inverse_vol(d, ["midx"], "sd").withColumnRenamed("weight", "anchor")
     return d.withColumn("signal", 0.1 * F.col("sd") * F.signum("mom"))

@@ -81,10 +81,14 @@ def b05(v):
     return vt_book(v)
 
 
-@query("b05_scaled_core_summary", "trial_id n:i cagr:f vol:f sharpe_rf0:f maxdd:f nw_t:f turnover_per_year:f dsr:f", f"""WITH {BOOK}, s AS (SELECT trial_id, midx AS month, active AS x FROM bk), {QI.NW.format(k='trial_id')},
+@query("b05_scaled_core_summary", "trial_id n:i cagr:f vol:f sharpe_rf0:f maxdd:f nw_t:f turnover_per_year:f dsr:f lo:f hi:f", f"""WITH {BOOK}, s AS (SELECT trial_id, midx AS month, active AS x FROM bk), {QI.NW.format(k='trial_id')},
  w AS (SELECT trial_id, midx, net, turnover, exp(sum(ln(1+net)) OVER (PARTITION BY trial_id ORDER BY midx)) AS wl FROM bk), q AS (SELECT *, wl/greatest(1.0, max(wl) OVER (PARTITION BY trial_id ORDER BY midx))-1 AS dd FROM w),
- a AS (SELECT trial_id, count(*) AS n, pow(exp(sum(ln(1+net))), 12.0/count(*))-1 AS cagr, stddev_samp(net)*sqrt(12) AS vol, min(dd) AS maxdd, avg(turnover)*12 AS turnover_per_year FROM q GROUP BY 1)
-SELECT trial_id, a.n, cagr, vol, cagr/vol AS sharpe_rf0, maxdd, mean/se AS nw_t, turnover_per_year, {QI.cdf_sql('z')} AS dsr FROM (SELECT *, (cagr/vol/sqrt(12)-{QI.ppf_sql('0.75')}/sqrt(n-1))*sqrt(n-1) AS z FROM a) a JOIN nw USING (trial_id)""")
+ a AS (SELECT trial_id, count(*) AS n, pow(exp(sum(ln(1+net))), 12.0/count(*))-1 AS cagr, stddev_samp(net)*sqrt(12) AS vol, min(dd) AS maxdd, avg(turnover)*12 AS turnover_per_year FROM q GROUP BY 1),
+ bp AS (SELECT trial_id, net AS ret, CAST(row_number() OVER (PARTITION BY trial_id ORDER BY midx)-1 AS BIGINT) AS pos, count(*) OVER (PARTITION BY trial_id) AS n FROM bk),
+ bd AS (SELECT trial_id, n, rep, blk, {QI.start_sql('(rep*CAST(ceil(n/3.0) AS BIGINT)+blk)', 'n', 7)} AS st FROM (SELECT DISTINCT trial_id, n FROM bp), range(1000) r(rep), range(1000) b(blk) WHERE blk < ceil(n/3.0)),
+ bx AS (SELECT bd.trial_id, rep, ret FROM bd JOIN range(3) o(off) ON blk*3+off < bd.n JOIN bp ON bp.trial_id=bd.trial_id AND bp.pos=(st+off)%bd.n),
+ bs AS (SELECT trial_id, rep, (exp(sum(ln(1+ret))*12.0/count(*))-1)/(stddev_samp(ret)*sqrt(12)) AS sh FROM bx GROUP BY ALL), ci AS (SELECT trial_id, quantile_cont(sh, 0.025) AS lo, quantile_cont(sh, 0.975) AS hi FROM bs GROUP BY trial_id)
+SELECT trial_id, a.n, cagr, vol, cagr/vol AS sharpe_rf0, maxdd, mean/se AS nw_t, turnover_per_year, {QI.cdf_sql('z')} AS dsr, lo, hi FROM (SELECT *, (cagr/vol/sqrt(12)-{QI.ppf_sql('0.75')}/sqrt(n-1))*sqrt(n-1) AS z FROM a) a JOIN nw USING (trial_id) JOIN ci USING (trial_id)""")
 def b05s(v):
     v.shared("px_d")
     return B.overlay_summary(vt_book(v), 4)

@@ -14,11 +14,18 @@ ISSUER_PATTERNS = ((r"JPMORGAN|J\.P\. MORGAN", "jpm"),)
 # Trust wrappers stripped from the front of a name.
 WRAPPER_PREFIXES = (
     r"GS ETF TRUST\s*-\s*", r"GS ETF TRUST II\s*-\s*", r"ISHARES TRUST\s*-\s*",
-    r"ISHARES\s+(?:INC\.?|BOND INDEX FUNDS|U\.S\. ETF TRUST)\s*-\s*", r"VANGUARD [A-Z ]+\s*-\s*",
-    r"SPDR (?:INDEX SHARES FUNDS|S&P (?:500 )?ETF TRUST)\s*-\s*", r"INVESCO EXCHANGE-TRADED FUND TRUST\s*(?:II\s*)?\s*-\s*",
-    r"SCHWAB STRATEGIC TRUST\s*-\s*", r"STATE STREET\s+(?:SPDR\s+)?", r"WISDOMTREE TRUST\s*-\s*", r"GLOBAL X FUNDS\s*-\s*")
+    r"ISHARES\s+(?:INC\.?|BOND INDEX FUNDS|U\.S\. ETF TRUST)\s*-\s*",
+    r"VANGUARD (?:BOND INDEX FUNDS|CHARLOTTE FUNDS|ADMIRAL FUNDS|INDEX FUNDS|SPECIALIZED PORTFOLIOS|MALVERN FUNDS|FENWAY FUNDS|WELLINGTON FUND|WORLD FUNDS|QUANTITATIVE EQUITY GROUP|CONVERTIBLE SECURITIES FUND|EQUITY INDEX GROUP|GROUP OF INVESTMENT COMPANIES)\s*-\s*",
+    r"SPDR (?:INDEX SHARES FUNDS|S&P (?:500 )?ETF TRUST)\s*-\s*", r"INVESCO (?:EXCH-TRADED FD TR(?:UST)?|EX\s*-?TR\s+FD\s+TR)\s*(?:II\s*)?\s*-\s*",
+    r"INVESCO EXCHANGE-TRADED FUND TRUST\s*(?:II\s*)?\s*-\s*", r"SCHWAB STRATEGIC TRUST\s*-\s*", r"STATE STREET\s+(?:SPDR\s+)?",
+    r"FIRST TRUST EXCHANGE-TRADED FUND\s*(?:II|III|IV|V|VI|VII|VIII)?\s*-\s*", r"WISDOMTREE TRUST\s*-\s*", r"VANECK (?:VECTORS )?ETF TRUST\s*-\s*",
+    r"PROSHARES TRUST\s*(?:II\s*)?\s*-\s*", r"DIREXION (?:SHARES )?ETF TRUST\s*(?:II\s*)?\s*-\s*", r"GLOBAL X FUNDS\s*-\s*", r"PACER FUNDS TRUST\s*-\s*",
+    r"ARK ETF TRUST\s*-\s*", r"INNOVATOR ETFS? TRUST\s*(?:II\s*)?\s*-\s*")
+# Replacements anywhere in a name, in this order, before the wrapper is stripped.
+BODY_REPLACEMENTS = ((r"\bGOLDMAN SACHS ETF TR(?:UST)?\s*-?\s*", "GS "), (r"\bGOLDMAN SA?CHS\b", "GS"), (r"\bGOLDMAN\b", "GS"), (r"\bGS ETF TRUST\s*-\s*", ""))
 # Words kept in capitals after title-casing.
-ACRONYMS = ("US", "ETF", "MSCI", "EM", "REIT", "JPY", "USD", "ADR", "IPO", "AI", "ESG", "EAFE", "GDP", "CPI", "TIP")
+ACRONYMS = ("US", "ETF", "MSCI", "EM", "REIT", "JPY", "USD", "ADR", "IPO", "AI", "ESG", "EAFE", "GDP", "CPI", "TIP",
+            "BIL", "VOO", "QQQM", "IJR", "XSD", "GICI")
 PLURAL_ACRONYMS = (("Etfs", "ETFs"), ("Reits", "REITs"))
 
 
@@ -31,14 +38,16 @@ def classify(name, prefixes=ISSUER_PREFIXES, patterns=ISSUER_PATTERNS, default:
 
 
 def classify_with_overrides(df: DataFrame, key: str, name: str, overrides: DataFrame, out: str = "issuer", **rules) -> DataFrame:
-    """Override table first (a small literal frame), then the rules."""
-    o = F.broadcast(overrides.select(F.col("key").alias("_k"), F.col("code").alias("_code")))  # literal rows
+    """Override table first, then the rules; the engine chooses the join by the table's size."""
+    o = overrides.select(F.col("key").alias("_k"), F.col("code").alias("_code"))
     return df.join(o, F.col(key) == F.col("_k"), "left").withColumn(out, F.coalesce("_code", classify(name, **rules))).drop("_k", "_code")
 
 
-def clean_name(raw, prefixes=WRAPPER_PREFIXES, acronyms=ACRONYMS, plurals=PLURAL_ACRONYMS, token: str = " ETF ", limit: int = 80) -> Column:
-    """Strip one wrapper, cut a doubled name at its first token, title-case, restore acronyms."""
+def clean_name(raw, prefixes=WRAPPER_PREFIXES, acronyms=ACRONYMS, plurals=PLURAL_ACRONYMS, token: str = " ETF ", limit: int = 80, body=BODY_REPLACEMENTS) -> Column:
+    """Replace in the body, strip one wrapper, cut a doubled name at its first token, title-case, restore acronyms."""
     x = F.trim(col(raw))
+    for pattern, text in body:
+        x = F.regexp_replace(x, "(?i)" + pattern, text)
     x = F.regexp_replace(x, r"(?i)^(?:" + "|".join(prefixes) + ")", "")
     first = F.position(F.lit(token), F.upper(x), F.lit(11))
     second = F.when(first > 0, F.position(F.lit(token), F.upper(x), first + 5))

@@ -100,6 +100,7 @@ def scaled_core_returns(sigma: DataFrame, trials: DataFrame, core_m: DataFrame,
 def overlay_summary(book: DataFrame, n_trials: int, reps: int = 1000, block: int = 3) -> DataFrame:
     """Per trial: performance, NW t of the active return, bootstrap interval, deflated Sharpe (per-period)."""
     keys = ["trial_id"]
+    book = stage(book)  # four branches read it
     p = performance(book.select("trial_id", "midx", "net"), keys, "midx", "net")
     t = I.newey_west(book, keys, "midx", "active", 3).select("trial_id", "nw_t")
     ci = I.bootstrap_sharpe_ci(book, keys, "midx", "net", block, reps)
@@ -135,7 +136,7 @@ def left_tail_gate(core_m: DataFrame, rows: int, g_min: list[float]) -> DataFram
 def compare(series: DataFrame, base: str, rate: DataFrame, n_trials: int) -> DataFrame:
     """Strategies on their common months: performance, NW t against the base, deflated Sharpe."""
     from panelspark.operators.panel import common_periods
-    d = common_periods(series.where("ret is not null"), "id", "midx")
+    d = stage(common_periods(series.where("ret is not null"), "id", "midx"))  # read three times
     p = performance(d, ["id"], "midx", "ret", rate)
     b = d.where(F.col("id") == base).select("midx", F.col("ret").alias("_b"))
     t = I.newey_west(d.where(F.col("id") != base).join(b, "midx").withColumn("d", F.col("ret") - F.col("_b")), ["id"], "midx", "d", 3).select("id", "nw_t")

@@ -272,9 +272,11 @@ def test_strict_boolean_rejects_other_text(spark):
 
 
 def test_name_cleaning(spark):
-    rows = [("ISHARES TRUST - ISHARES MSCI EAFE ETF",), ("Schwab Strategic Trust - SCHWAB U.S. REIT ETF",)]
+    long = "PACER FUNDS TRUST - " + "alpha beta " * 4 + "ETF gamma delta epsilon zeta eta theta iota ETF kappa"
+    rows = [("ISHARES TRUST - ISHARES MSCI EAFE ETF",), ("Schwab Strategic Trust - SCHWAB U.S. REIT ETF",), ("VANGUARD BOND INDEX FUNDS - VANGUARD TOTAL BOND ETF",),
+            ("VANGUARD GROWTH - INCOME ETF",), ("GOLDMAN SACHS ETF TRUST - GOLDMAN SACHS ACTIVE ETF",), (long,)]
     got = [r[0] for r in spark.createDataFrame(rows, "n string").select(N.clean_name("n")).collect()]
-    assert got == ["Ishares MSCI EAFE ETF", "Schwab U.S. REIT ETF"]
+    assert got == ["Ishares MSCI EAFE ETF", "Schwab U.S. REIT ETF", "Vanguard Total Bond ETF", "Vanguard Growth - Income ETF", "Gs Gs Active ETF", "Alpha Beta " * 4 + "ETF"]
 
 
 def test_gate_assertion_names_the_offender(spark):
