@@ -1,6 +1,7 @@
 """Shared helpers: scratch tables on shared storage, files that tasks write, bounded Arrow chunks, label folds."""
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -12,8 +13,8 @@ import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-CHUNK_BYTES = 2 << 20
-BATCH_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -114,6 +115,15 @@ class Store:
             return np.frombuffer(f.read_buffer(), dtype)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks, and its neighbours need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to ask for
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices whose column holds about `limit` bytes at most; a longer single value comes alone."""
     for b in batches:
@@ -127,6 +137,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             hi = max(hi, lo + 1)
             yield b.slice(lo, hi - lo)
             lo = hi
+    give_back()
 
 
 def fold(doc_id: Column | str) -> Column:
@@ -168,7 +179,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        p = np.full(max(n, 1 << 20), base, np.uint64)
+        p = np.full(max(n, CHUNK_BYTES + (1 << 16)), base, np.uint64)
         p[0] = 1
         have = _powers[name] = np.cumprod(p, dtype=np.uint64)
     return have[:n]

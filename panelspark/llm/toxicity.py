@@ -133,7 +133,7 @@ class Matcher:
         """(term, 0 exact, 1 disguised or misspelled)."""
         if raw in self.cache:
             return self.cache[raw]
-        if len(self.cache) > 400_000:
+        if len(self.cache) > 200_000:
             self.cache.clear()
         plain, found = raw.casefold().strip(_EDGE), None
         if 2 < len(plain) < 40:
