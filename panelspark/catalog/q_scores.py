@@ -35,7 +35,7 @@ FEATS = """r AS (SELECT key, date, price, volume, price/lag(price) OVER (PARTITI
   FROM j WINDOW q AS (PARTITION BY key ORDER BY date ROWS 62 PRECEDING), y AS (PARTITION BY key ORDER BY date ROWS 251 PRECEDING), o AS (PARTITION BY key ORDER BY date ROWS 20 PRECEDING))"""
 
 
-@query("a04_feature_panel", "key vol_63:f vol_252:f maxdd_252:f quality_v1:f liquidity_adv:2 history_years:f mom12_1:f",
+@query("a04_feature_panel", "key vol_63:f vol_252:f maxdd_252:f quality_v1:f liquidity_adv:f history_years:f mom12_1:f",
        f"""WITH {FEATS}, me AS (SELECT key, month, price, row_number() OVER (PARTITION BY key ORDER BY month) AS n FROM (SELECT key, date_trunc('month', date) AS month, arg_max(price, date) AS price FROM px_d GROUP BY ALL)),
  mo AS (SELECT key, CASE WHEN n>=13 THEN lag(price,1) OVER w/lag(price,12) OVER w - 1 END AS mom12_1, n FROM me WINDOW w AS (PARTITION BY key ORDER BY n))
 SELECT f.key, vol_63, vol_252, maxdd_252, quality_v1, liquidity_adv, history_years, mom12_1 FROM f JOIN m USING (key, rn) JOIN mo ON mo.key=f.key AND mo.n=(SELECT max(n) FROM me WHERE me.key=f.key)""")
@@ -71,7 +71,7 @@ def a05(v):
     return d.select("key", "month", (ir - F.coalesce("er", F.lit(0.0))).alias("quality"), F.col("er").isNull().alias("er_missing"))
 
 
-@query("a06_dollar_liquidity", "key date:d adv:2 missing:b", """SELECT key, date, avg(price*volume) OVER (PARTITION BY key ORDER BY date ROWS 20 PRECEDING) AS adv, volume IS NULL AS missing FROM px_d WHERE price IS NOT NULL""")
+@query("a06_dollar_liquidity", "key date:d adv:f missing:b", """SELECT key, date, avg(price*volume) OVER (PARTITION BY key ORDER BY date ROWS 20 PRECEDING) AS adv, volume IS NULL AS missing FROM px_d WHERE price IS NOT NULL""")
 def a06(v):
     return v.px_d.where("price is not null").select("key", "date", F.avg(F.col("price") * F.col("volume")).over(W.by("key", order="date").rowsBetween(-20, 0)).alias("adv"),
                                                     F.col("volume").isNull().alias("missing"))
