@@ -10,7 +10,8 @@ say nothing about most pairs.  The regions are therefore built in two levels:
    exactly; those within the radius are linked.  What is left are pairs of a region that no link connects so far: by the
    triangle inequality their distances to the pivot differ by the radius at most, and the distances of their class counts
    (shingle counts in 256 hash classes, which move by no more than the symmetric difference) bound the overlap.  Pairs
-   inside these windows are computed exactly, large regions in cells of bounded size.
+   inside these windows are computed exactly, large regions in cells of bounded size: first the nearest of each set, then,
+   where these have not connected a region, all.
 
 Regions of shingles of very many documents are salted; a second pivot level connects the salts' pivots.
 """
@@ -30,6 +31,7 @@ PART = 1 << 14
 CLASSES = 256
 SALT_ABOVE = 12  # log2 of a shingle's estimated documents in one salt
 BLOCK = 1024
+NEAREST = 3
 NO_ID = -(1 << 63)
 
 
@@ -198,9 +200,9 @@ def _linked(percent: int) -> Column:
     return 100 * F.col("both") >= percent * F.col("either")
 
 
-def window_pairs(cells: DataFrame, percent: int) -> DataFrame:
+def window_pairs(cells: DataFrame, percent: int, nearest: int | None = None) -> DataFrame:
     """Distinct pairs (a, b), a < b, of rows (region, rid, n, comp, far, classes, block ...) of a cell that are in different
-    components and inside all windows."""
+    components and inside all windows; with `nearest`, only so many for each row, those with the closest class counts."""
     keys = ["region", "left_block", "right_block"]
     slack = (100 - percent) / 100
     cells = cells.repartition(*keys).sortWithinPartitions(*keys)
@@ -225,7 +227,11 @@ def window_pairs(cells: DataFrame, percent: int) -> DataFrame:
                     j = j[block[j] != block[i]]
                 j = j[~(np.abs(far[j] - far[i]) > slack + 1e-9)]  # no distance known: stays
                 if len(j):
-                    j = j[classes_apart(vec[j], vec[i]) * (100 + percent) <= (100 - percent) * (n[j] + n[i])]
+                    apart = classes_apart(vec[j], vec[i])
+                    inside = apart * (100 + percent) <= (100 - percent) * (n[j] + n[i])
+                    j = j[inside]
+                    if nearest is not None and len(j) > nearest:
+                        j = j[np.argsort(apart[inside], kind="stable")[:nearest]]
                 out_a.append(np.full(len(j), rid[i]))
                 out_b.append(rid[j])
             a, b = np.concatenate(out_a), np.concatenate(out_b)
@@ -324,18 +330,31 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     direct = measured.where(_linked(percent)).select("a", "b")
     first = scratch.stage(connected_components(direct, scratch), "first")
 
-    comp = regions.select("region", "rid", "n", "pivot").join(first.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn("comp", F.coalesce("component", "rid")).drop("component")
-    mixed = comp.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi AND m > 2").select("region")
     far = measured.select(F.col("a").alias("pivot"), F.col("b").alias("rid"), (1 - F.col("both") / F.col("either")).alias("far"))
-    left = scratch.stage(comp.join(mixed, "region").join(far, ["pivot", "rid"], "left").join(classes.select("rid", "classes"), "rid"), "left")
-    # distances to different pivots do not compare, so a region with several (salted) has none
-    one = left.groupBy("region").agg((F.min("pivot") == F.max("pivot")).alias("one"))
-    known = F.when(F.col("one"), F.when(F.col("rid") == F.col("pivot"), 0.0).otherwise(F.coalesce("far", F.lit(float("nan"))))).otherwise(float("nan"))
-    cells = in_blocks(left.join(one, "region").select("region", "rid", "n", "comp", known.alias("far"), "classes"), ["region"], "rid", BLOCK)
-    pairs = scratch.stage(near_by_classes(window_pairs(cells, percent).join(stars, ["a", "b"], "left_anti"), classes, percent), "pairs")
-    more = sets.unionByName(members(pairs, sets))
-    rest = measure(pairs, more).where(_linked(percent)).select("a", "b")
-    roots = connected_components(direct.unionByName(rest), scratch)
+
+    def left_pairs(first, done, nearest):
+        """Pairs of regions with several components that neither windows nor earlier measuring decide."""
+        comp = regions.select("region", "rid", "n", "pivot").join(first.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn("comp", F.coalesce("component", "rid")).drop("component")
+        mixed = comp.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi AND m > 2").select("region")
+        left = scratch.stage(comp.join(mixed, "region").join(far, ["pivot", "rid"], "left").join(classes.select("rid", "classes"), "rid"), "left")
+        # distances to different pivots do not compare, so a region with several (salted) has none
+        one = left.groupBy("region").agg((F.min("pivot") == F.max("pivot")).alias("one"))
+        known = F.when(F.col("one"), F.when(F.col("rid") == F.col("pivot"), 0.0).otherwise(F.coalesce("far", F.lit(float("nan"))))).otherwise(float("nan"))
+        cells = in_blocks(left.join(one, "region").select("region", "rid", "n", "comp", known.alias("far"), "classes"), ["region"], "rid", BLOCK)
+        pairs = scratch.stage(near_by_classes(window_pairs(cells, percent, nearest).join(done, ["a", "b"], "left_anti"), classes, percent), "pairs")
+        scratch.drop(left)
+        return pairs
+
+    # the nearest pairs first: in a group of near copies they connect nearly all that the pivot did not, and connected
+    # components need no more pairs; the second round then takes every pair that is left
+    done, links = stars, direct
+    for nearest in (NEAREST, None):
+        pairs = left_pairs(first, done, nearest)
+        sets = sets.unionByName(members(pairs, sets))
+        links = links.unionByName(scratch.stage(measure(pairs, sets).where(_linked(percent)).select("a", "b"), "links"))
+        done = done.unionByName(pairs)
+        first = scratch.stage(connected_components(links, scratch), "first")
+    roots = first
 
     node = ids.where("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least_doc"))
     node = node.join(roots.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
