@@ -20,6 +20,7 @@ ORDERS = 5
 CELLS = 1 << 16
 FOLDS = 2
 ALPHABET = 256
+LEAST_BACKOFF = 0.05
 
 
 @dataclass(frozen=True)
@@ -124,8 +125,9 @@ class Models:
     def score(self, column: pa.Array, fold: int | None = None) -> np.ndarray:
         """(log p(accepted) - log p(rejected)) / characters.
 
-        Witten-Bell needs the number of distinct continuations of a context; with hashed cells it is taken as
-        1 + sqrt of the context's count, which has the same order of growth on text.
+        An order leaves Witten-Bell's share to the shorter one; the number of distinct continuations of a hashed context is
+        taken as 1 + sqrt of its count.  The share is `LEAST_BACKOFF` at least: a character that neither class has seen
+        after a context that both know well must cost the same in both, however their sizes differ.
         """
         use, _ = self.without(fold)
         rows, ctx, nxt = context_cells(column)
@@ -135,7 +137,8 @@ class Models:
             for k in range(ORDERS + 1):
                 c, n = use[cls, 0, k][ctx[k]], use[cls, 1, k][nxt[k]]
                 kinds = 1.0 + np.sqrt(c)
-                p = (np.minimum(n, c) + kinds * p) / (c + kinds)
+                back = np.maximum(kinds / (c + kinds), LEAST_BACKOFF)
+                p = (1.0 - back) * np.minimum(n, c) / np.maximum(c, 1.0) + back * p
             log.append(np.bincount(rows, np.log(np.minimum(p, 1.0)), minlength=len(column)))
         return (log[1] - log[0]) / np.bincount(rows, minlength=len(column))
 

@@ -147,7 +147,8 @@ def test_scores_equal_plain_counting():
                 p = 1 / url_filter.ALPHABET
                 for k in range(url_filter.ORDERS + 1):
                     c, n = counts[cls, :, 0, k, ctx[k][i]].sum(), counts[cls, :, 1, k, nxt[k][i]].sum()
-                    p = (min(n, c) + (1 + c ** 0.5) * p) / (c + 1 + c ** 0.5)
+                    back = max((1 + c ** 0.5) / (c + 1 + c ** 0.5), url_filter.LEAST_BACKOFF)
+                    p = (1 - back) * min(n, c) / max(c, 1) + back * p
                 log[cls] += np.log(min(p, 1))
         assert got[row] == pytest.approx((log[1] - log[0]) / (len(urls[row].encode()) + 1))
 
