@@ -13,8 +13,8 @@ import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-CHUNK_BYTES = 1 << 20
-BATCH_BYTES = 4 << 20
+CHUNK_BYTES = 512 << 10
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -126,6 +126,7 @@ def give_back() -> None:
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices whose column holds about `limit` bytes at most; a longer single value comes alone."""
+    give_back()
     for b in batches:
         if not b.num_rows:
             continue

@@ -84,7 +84,7 @@ def _read_shard(data: bytes):
     return PerfectHash(levels, [int(s) for s in sizes]), marks, counts, last
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=4)
 def _shard(root: str, k: int):
     data = Store(root).get(f"shard-{k:06d}")
     return None if data is None else _read_shard(data)
@@ -130,12 +130,13 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: int
     n_shards = max(1, -(-frequent.count() // SHARD_KEYS))
     root = scratch.folder("shards")
 
-    def build(pdf):
-        k = int(pdf["shard"].iloc[0])
-        Store(root).put(f"shard-{k:06d}", _shard_bytes(*(pdf[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("key", "mark")), pdf["n"].to_numpy(), pdf["last"].to_numpy()))
-        return pdf[["shard"]].iloc[:1]
+    def build(shard):
+        k = shard.column("shard")[0].as_py()
+        key, mark, n, last = (shard.column(c).to_numpy() for c in ("key", "mark", "n", "last"))
+        Store(root).put(f"shard-{k:06d}", _shard_bytes(key.view(np.uint64), mark.view(np.uint64), n, last))
+        return shard.select(["shard"]).slice(0, 1)
 
-    frequent.withColumn("shard", F.pmod("key", F.lit(n_shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int").write.format("noop").mode("overwrite").save()
+    frequent.withColumn("shard", F.pmod("key", F.lit(n_shards)).cast("int")).groupBy("shard").applyInArrow(build, "shard int").write.format("noop").mode("overwrite").save()
 
     def probe(batches):
         for b in chunks(batches, "text"):

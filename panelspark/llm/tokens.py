@@ -18,7 +18,7 @@ import pyarrow as pa
 from panelspark.llm.common import is_blank, lower_ascii, span_hashes, text_buffer
 
 #: With more remembered units than this a worker starts anew.
-UNITS = 2_000_000
+UNITS = 1_000_000
 _ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 #: Neighbours of an ASCII letter or digit that never share a token with it.
 _MARK = np.zeros(256, bool)
