@@ -153,6 +153,33 @@ def test_scores_equal_plain_counting():
         assert got[row] == pytest.approx((log[1] - log[0]) / (len(urls[row].encode()) + 1))
 
 
+def test_scores_come_from_exact_counts_however_many_contexts(spark):
+    """Every count against a dictionary, with more distinct contexts than the 65,536 cells that all once shared."""
+    r = random.Random(10)
+    urls = [f"http://h{r.randrange(9)}.example.{t}/" + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for t in ("org", "com") for _ in range(1100)] + ["http://x.net/a", "", "http://x.net/a"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x["page_id"]: x["score"] for x in url_filter.judge(df, [url_filter.Rule("org/", "allow"), url_filter.Rule("com/", "block")]).collect()}
+    count = [[collections.defaultdict(collections.Counter) for _ in range(url_filter.ORDERS + 1)] for _ in range(2)]
+    marked = [[257] * url_filter.ORDERS + list(u.encode()) + [256] for u in urls]
+    for i, m in enumerate(marked[:2200]):
+        for at in range(url_filter.ORDERS, len(m)):
+            for k in range(url_filter.ORDERS + 1):
+                count[i < 1100][k][tuple(m[at - k:at])][m[at]] += 1
+    assert min(len(c[-1]) for c in count) > 1 << 15
+    for i in [*range(0, 2200, 50), 2200, 2201, 2202]:
+        m, log = marked[i], [0.0, 0.0]
+        for at in range(url_filter.ORDERS, len(m)):
+            for cls in (0, 1):
+                p = 1 / url_filter.ALPHABET
+                for k in range(url_filter.ORDERS + 1):
+                    own = count[cls][k].get(tuple(m[at - k:at]), {})
+                    c = sum(own.values())
+                    back = max(len(own) / (c + len(own)), url_filter.LEAST_BACKOFF) if c else 1.0
+                    p = (1 - back) * (own.get(m[at], 0) / c if c else 0) + back * p
+                log[cls] += np.log(p)
+        assert got[i] == pytest.approx((log[1] - log[0]) / (len(m) - url_filter.ORDERS), abs=1e-9)
+
+
 # ---- vectors
 
 def brute_links(rows, least=0.9):
