@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Words are lower-cased runs of letters and digits, as 64-bit hashes.  The n-grams of the test items are counted over all
-documents; of each item the rare ones are its seeds.  A pass over the documents cuts out the regions around seeds, wide
-enough for a whole item; regions join items on seeds, and a local alignment scores every pair once, so substituted,
-inserted and dropped words lower the score without breaking the match.
+Words are lower-cased runs of letters and digits, as 64-bit hashes.  All n-grams of the test items are seeds, however many
+documents have them: a widely quoted passage is a leak wherever it stands.  A pass over the documents cuts out the regions
+around seeds, wide enough for a whole item; regions join items on seeds, and a local alignment scores every pair once, so
+substituted, inserted and dropped words lower the score without breaking the match.  What common n-grams bring along is
+ruled out by an upper bound of the alignment's score: words that the item has gain, all others between them cost.
 """
 from __future__ import annotations
 
@@ -15,7 +16,6 @@ from pyspark.sql import DataFrame, functions as F
 from panelspark.llm.common import Scratch, chunks, gram_hashes, hash_filter, member, span_hashes, text_buffer, word_spans
 
 GRAM = 3
-RARE_SHARE = 1e-3
 LEAST_SCORE = 0.45
 MATCH, MISMATCH, GAP = 2, -1, -1
 _GAP = np.ones(256, bool)
@@ -67,23 +67,16 @@ def _document_grams(column: pa.Array, sizes: list[int]) -> tuple[np.ndarray, np.
     return w, at, out
 
 
-def seed_counts(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
-    """(seed, n): number of documents with the gram, for grams in the filter; summed in tasks first."""
-    def run(batches):
-        for b in chunks(batches, "text"):
-            _, _, grams = _document_grams(b.column("text"), sizes)
-            for g, doc in grams:
-                ok = np.flatnonzero((doc >= 0) & member(bitmap, g))
-                if len(ok):
-                    pair = np.unique(np.stack([g[ok], doc[ok].astype(np.uint64)], 1), axis=0)
-                    seed, n = np.unique(pair[:, 0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n.astype(np.int64))], names=["seed", "n"])
-
-    return docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+def most_points(known: np.ndarray) -> int:
+    """The most that an alignment inside these words can score, by which of them the item has: the best run of words."""
+    sums = np.zeros(len(known) + 1, np.int64)
+    np.cumsum(np.where(known, MATCH, max(MISMATCH, GAP)), out=sums[1:])
+    return int((sums - np.minimum.accumulate(sums)).max())
 
 
-def regions(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], reach: int) -> DataFrame:
-    """(doc_id, start, words, seeds): stretches around seeds, `reach` words to both sides; close ones become one."""
+def regions(docs: DataFrame, bitmap: np.ndarray, vocabulary: np.ndarray, sizes: list[int], reach: int, shortest: int, least_score: float) -> DataFrame:
+    """(doc_id, start, words, seeds): stretches around seeds, `reach` words to both sides; close ones become one.  Those
+    whose words cannot give `least_score` with an item of `shortest` words are left out."""
     def run(batches):
         for b in chunks(batches, "text"):
             w, at, grams = _document_grams(b.column("text"), sizes)
@@ -91,6 +84,7 @@ def regions(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], reach: int) -
             seed = np.concatenate([g[(doc >= 0) & member(bitmap, g)] for g, doc in grams]) if grams else np.empty(0, np.uint64)
             if not len(place):
                 continue
+            known = member(vocabulary, w)
             order = np.argsort(place, kind="stable")
             place, seed = place[order], seed[order]
             doc = np.searchsorted(at, place, "right") - 1
@@ -99,7 +93,10 @@ def regions(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], reach: int) -
             for lo, hi in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(place)]])):
                 d = doc[lo]
                 s, e = max(at[d], place[lo] - reach), min(at[d + 1], place[hi - 1] + reach + GRAM)
-                rows.append((d, s - at[d], w[s:e].view(np.int64), np.unique(seed[lo:hi]).view(np.int64)))
+                if most_points(known[s:e]) / (MATCH * shortest) >= least_score:
+                    rows.append((d, s - at[d], w[s:e].view(np.int64), np.unique(seed[lo:hi]).view(np.int64)))
+            if not rows:
+                continue
             d, s, words, seeds = zip(*rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), pa.array(s, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(seeds, pa.list_(pa.int64()))],
                                              names=["doc_id", "start", "words", "seeds"])
@@ -135,7 +132,7 @@ def align(queries: list[np.ndarray], targets: list[np.ndarray]) -> tuple[np.ndar
     return best / (MATCH * np.maximum(size, 1)), end + 1
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE, gram: int = GRAM, rare_share: float = RARE_SHARE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE, gram: int = GRAM) -> DataFrame:
     """(doc_id, item_id, score, end_word, n_seeds): documents with a passage that aligns with a test item.
 
     One row per pair of ids with its best alignment; the score is 1 for the whole item word by word.  Null and empty texts
@@ -149,19 +146,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST
     if longest is None:
         return empty
     sizes = sorted({gram, *range(shortest, gram)}) if shortest < gram else [gram]
-    grams = scratch.stage(item_grams(items, gram), "grams")
-    counts = seed_counts(docs, hash_filter(grams.select("seed"), "seed"), sizes)
-    total = docs.count()
-    counted = scratch.stage(grams.join(counts, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0))), "counted")
-    usual = counted.where("n > 0").groupBy("item_id").agg(F.expr("percentile(n, 0.5)").alias("usual"))
-    seeds = scratch.stage(counted.where("n > 0").join(usual, "item_id").where((F.col("n") <= F.col("usual")) | (F.col("n") <= rare_share * total)).select("seed", "item_id"), "seeds")
-    found = scratch.stage(regions(docs, hash_filter(seeds.select("seed"), "seed"), sizes, int(1.25 * longest) + gram).withColumn("region", F.monotonically_increasing_id()), "regions")
+    seeds = scratch.stage(item_grams(items, gram), "seeds")
+    vocabulary = hash_filter(items.select(F.explode("words").alias("word")), "word")
+    cut = regions(docs, hash_filter(seeds.select("seed"), "seed"), vocabulary, sizes, int(1.25 * longest) + gram, shortest, least_score)
+    found = scratch.stage(cut.withColumn("region", F.monotonically_increasing_id()), "regions")
     pairs = found.select("region", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("region", "item_id").agg(F.count("*").alias("n_seeds"))
     todo = (pairs.join(items, "item_id").join(found.select("region", "doc_id", "start", F.col("words").alias("target")), "region"))
 
     def run(batches):
         for b in batches:
-            query, target = b.column("words").to_pylist(), b.column("target").to_pylist()
+            query, target = ([np.asarray(x.values) for x in b.column(c)] for c in ("words", "target"))
+            able = [i for i, (q, t) in enumerate(zip(query, target)) if most_points(np.isin(t, q)) / (MATCH * len(q)) >= least_score]
+            if not able:
+                continue
+            b, query, target = b.take(pa.array(able)), [query[i] for i in able], [target[i] for i in able]
             score, end = np.empty(b.num_rows), np.empty(b.num_rows, np.int64)
             order = np.argsort([len(t) for t in target], kind="stable")
             lo = 0
@@ -170,7 +168,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST
                 while hi < len(order) and (hi - lo) * len(target[order[hi]]) < 1 << 17:
                     hi += 1
                 own = order[lo:hi]
-                score[own], end[own] = align([np.array(query[i], np.int64) for i in own], [np.array(target[i], np.int64) for i in own])
+                score[own], end[own] = align([query[i] for i in own], [target[i] for i in own])
                 lo = hi
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), pa.array(score), pa.array(end + b.column("start").to_numpy()), b.column("n_seeds")],
                                              names=["doc_id", "item_id", "score", "end_word", "n_seeds"])

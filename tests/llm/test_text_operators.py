@@ -221,6 +221,22 @@ def test_leaks_are_found_and_clean_documents_stay(spark, edges, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_widely_quoted_half_of_an_item_is_a_leak_everywhere(spark):
+    """Equal to an alignment of every document with every item: most documents hold the first half, few the whole."""
+    r = random.Random(13)
+    items = list(enumerate(sentences(5, 3, 40)))
+    half, whole = items[0][1].split()[:20], items[0][1].split()
+    host = [s.split() for s in sentences(6, 1300, 30)]
+    part = [half] * 1200 + [whole] * 40 + [half[:9] + ["zz"] + half[10:] + whole[20:24]] * 10 + [half[:12]] * 10 + [items[1][1].split()[5:28]] * 10 + [half[:3]] * 10 + [[]] * 20
+    rows = [(i, " ".join(h[:15] + p + h[15:])) for i, (h, p) in enumerate(zip(host, part))]
+    r.shuffle(rows)
+    pairs = [(d, i, t, q) for d, t in rows for i, q in items]
+    score, _ = decontaminate.align([np.array([hash(x) for x in q.split()]) for *_, q in pairs], [np.array([hash(x) for x in t.split()]) for _, _, t, _ in pairs])
+    want = {(d, i): s for (d, i, _, _), s in zip(pairs, score) if s >= decontaminate.LEAST_SCORE}
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]): x["score"] for x in got} == want and len(want) > 1250
+
+
 def test_alignment_equals_plain_smith_waterman():
     r = random.Random(9)
     pairs = [([r.randrange(6) for _ in range(r.randint(1, 12))], [r.randrange(6) for _ in range(r.randint(1, 25))]) for _ in range(200)]
