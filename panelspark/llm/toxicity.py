@@ -1,8 +1,8 @@
 """Toxicity: misspelled lexicon terms found by Levenshtein automata on a trie, weighed by their context.
 
 The lexicon is learned from labelled rows: whole terms, and stems that occur with many endings, whose documents are
-nearly all toxic.  A Levenshtein automaton of the term walks the trie of a token and its look-alike spelling; tokens are
-matched once and remembered.  A window of tokens around a match tells quotation (quote marks around it, a reporting word
+nearly all toxic.  A Levenshtein automaton, in which a swap of neighbours is one edit, walks the trie of the terms for a
+token, its parts between marks and its look-alike spelling; tokens are matched once and remembered.  A window of tokens around a match tells quotation (quote marks around it, a reporting word
 before it) from abuse; a logistic model weighs what a document holds of each.
 """
 from __future__ import annotations
@@ -27,6 +27,7 @@ OPENING, CLOSING = "\"«“„‘'", "\"»”“’'"
 REPORTING = frozenset("said says wrote called quote quoted quotes word words term writes says dit écrit mot mots citation sagte schrieb wort zitat zitiert dijo escribió palabra cita".split())
 _TOKEN = re.compile(r"\S+")
 _REPEAT = re.compile(r"(.)\1{2,}")
+_INNER = re.compile(r"[\W_]+")
 _EDGE = ".,;:!?*#&%$\"'«»“”„‘’()[]{}<>|-_~`/\\=+^"
 
 
@@ -41,8 +42,8 @@ class Trie:
                 node = node.setdefault(ch, {})
             node[""] = (term, kind)
 
-    def search(self, token: str, most: int) -> tuple[str, str, int] | None:
-        """The nearest entry within `most` edits: (term, kind, edits).
+    def search(self, token: str, most: int, swaps: bool = False) -> tuple[str, str, int] | None:
+        """The nearest entry within `most` edits: (term, kind, edits); with `swaps` two neighbours in the wrong order are one edit.
 
         The automaton's state is a row of edit counts against the token, cut off above `most`; it advances along the
         trie's edges, so common beginnings of terms are matched once.  A stem takes the least count at any end of the
@@ -50,9 +51,9 @@ class Trie:
         """
         best = None
         n = len(token)
-        stack = [(self.root, tuple(min(i, most + 1) for i in range(n + 1)))]
+        stack = [(self.root, tuple(min(i, most + 1) for i in range(n + 1)), None, "")]
         while stack:
-            node, row = stack.pop()
+            node, row, before, last = stack.pop()
             for ch, child in node.items():
                 if ch == "":
                     term, kind = child
@@ -63,37 +64,61 @@ class Trie:
                 new = [row[0] + 1]
                 for i in range(n):
                     new.append(min(new[-1] + 1, row[i + 1] + 1, row[i] + (token[i] != ch)))
+                    if swaps and i and before and token[i] == last and token[i - 1] == ch:
+                        new[-1] = min(new[-1], before[i - 1] + 1)
                 if min(new) <= most:
-                    stack.append((child, tuple(new)))
+                    stack.append((child, tuple(new), row, ch))
         return best
 
 
 def allowed_edits(term: str, kind: str) -> int:
-    """Short terms and stems must match exactly but for look-alike characters."""
-    return 0 if kind == "stem" or len(term) < 5 else 1 if len(term) < 9 else 2
+    """One edit from 4 characters on, two for words from 9 on; a stem is short and has one.  3 characters must match exactly."""
+    return 0 if len(term) < 4 else 1 if kind == "stem" or len(term) < 9 else 2
 
 
 class Pieces:
     """Which tokens can be within the allowed edits of a term: one of edits + 1 pieces of the term is intact, the first at the
-    token's start, the last at its end, one between anywhere; lengths differ by the edits at most."""
+    token's start, the last at its end, one between anywhere; lengths differ by the edits at most.  A stem's pieces lie in the
+    token's beginning.  A swap over the border of two pieces breaks both, so the term with that swap has its pieces too."""
 
     def __init__(self, terms: dict[str, str]):
         self.starts: dict[int, dict[str, set[int]]] = {}
         self.ends: dict[int, dict[str, set[int]]] = {}
         self.inner: list[tuple[str, range]] = []
+        self.stem_starts: dict[int, set[str]] = {}
+        self.stem_inner: dict[tuple[int, int], set[str]] = {}
+        self.most = max((allowed_edits(t, k) for t, k in terms.items()), default=0)
         for term, kind in terms.items():
             if not (k := allowed_edits(term, kind)):
                 continue
             cuts = [i * len(term) // (k + 1) for i in range(k + 2)]
-            pieces = [term[i:j] for i, j in zip(cuts, cuts[1:])]
             lengths = range(len(term) - k, len(term) + k + 1)
-            for table, piece in ((self.starts, pieces[0]), (self.ends, pieces[-1])):
-                table.setdefault(len(piece), {}).setdefault(piece, set()).update(lengths)
-            self.inner += [(p, lengths) for p in pieces[1:-1]]
+            spellings = [term]
+            for c in cuts[1:-1]:
+                spellings += [t[:c - 1] + t[c] + t[c - 1] + t[c + 1:] for t in spellings]
+            for own in dict.fromkeys(spellings):
+                pieces = [own[i:j] for i, j in zip(cuts, cuts[1:])]
+                if kind == "stem":
+                    self.stem_starts.setdefault(len(pieces[0]), set()).add(pieces[0])
+                    for at, piece in zip(cuts[1:], pieces[1:]):
+                        for start in range(max(0, at - k), at + k + 1):
+                            self.stem_inner.setdefault((start, start + len(piece)), set()).add(piece)
+                    continue
+                for table, piece in ((self.starts, pieces[0]), (self.ends, pieces[-1])):
+                    table.setdefault(len(piece), {}).setdefault(piece, set()).update(lengths)
+                self.inner += [(p, lengths) for p in pieces[1:-1]]
+        self.inner = list(dict.fromkeys(self.inner))
         self.first, self.last = list(self.starts.items()), list(self.ends.items())
+        self.stem_first, self.stem_rest = list(self.stem_starts.items()), list(self.stem_inner.items())
         self.lengths = {n for t in (self.starts, self.ends) for own in t.values() for ns in own.values() for n in ns}
 
     def may_match(self, token: str) -> bool:
+        for k, own in self.stem_first:
+            if token[:k] in own:
+                return True
+        for (i, j), own in self.stem_rest:
+            if token[i:j] in own:
+                return True
         n = len(token)
         if n not in self.lengths:
             return False
@@ -130,27 +155,43 @@ class Matcher:
         return None
 
     def token(self, raw: str) -> tuple[str, int] | None:
-        """(term, 0 exact, 1 disguised or misspelled)."""
+        """(term, 0 exact, 1 disguised or misspelled): the first of `hits`."""
+        hits = self.hits(raw)
+        return hits[0][1:] if hits else None
+
+    def hits(self, raw: str) -> tuple[tuple[str, str, int], ...]:
+        """(word, term, 0 exact or 1 disguised or misspelled): the token as a whole if it is a term as it stands, else its
+        parts between inner marks, else the whole with its disguises."""
         if raw in self.cache:
             return self.cache[raw]
         if len(self.cache) > 200_000:
             self.cache.clear()
-        plain, found = raw.casefold().strip(_EDGE), None
-        if 2 < len(plain) < 40:
-            if hit := self.exact(plain):
-                found = (hit, 0)
-            elif plain not in self.exceptions:
-                simple = plain.isalpha() and not _REPEAT.search(plain)
-                for form in (plain,) if simple else self.forms(plain, raw):
-                    hit = None if simple else self.exact(form)
-                    if not hit and self.pieces.may_match(form):
-                        hit = (self.trie.search(form, self.most) or (None,))[0]
-                    if hit:
-                        found = (hit, 1)
-                        break
+        plain = raw.casefold().strip(_EDGE)
+        found = ()
+        if 2 < len(plain) < 40 and (hit := self.exact(plain)) and plain.isalpha():
+            found = ((plain, hit, 0),)
+        elif len(plain) > 2:
+            parts = [] if plain.isalpha() else [p for p in _INNER.split(plain) if p != plain]
+            found = tuple((p, *h) for p in parts if 2 < len(p) < 40 and (h := self.word(p, p)))
+            if not found and len(plain) < 40 and (h := self.word(plain, raw)):
+                found = ((plain, *h),)
         self.cache[raw] = found
         return found
 
+    def word(self, plain: str, raw: str) -> tuple[str, int] | None:
+        if hit := self.exact(plain):
+            return hit, 0
+        if plain in self.exceptions:
+            return None
+        simple = plain.isalpha() and not _REPEAT.search(plain)
+        for form in (plain,) if simple else self.forms(plain, raw):
+            hit = None if simple else self.exact(form)
+            if not hit and self.pieces.may_match(form):
+                hit = (self.trie.search(form, min(self.most, self.pieces.most), True) or (None,))[0]
+            if hit:
+                return hit, 1
+        return None
+
     @staticmethod
     def forms(plain: str, raw: str) -> list[str]:
         """The token itself, without repeated letters, with look-alike characters as letters, without marks between letters."""
@@ -169,16 +210,18 @@ class Matcher:
         holds for spellings that they do not contain.
         """
         tokens = _TOKEN.findall(text)
-        get, cache = self.token, self.cache
+        get, cache = self.hits, self.cache
         hits = [(i, h) for i, t in enumerate(tokens) if (h := cache[t] if t in cache else get(t))]
         abuse, quotes, terms = 0.0, 0.0, set()
-        for i, (term, kind) in hits:
-            weight = DISGUISED if kind else 1.0
-            if self.quoted(tokens, i):
-                quotes += weight
-            else:
-                abuse += weight
-                terms.add(term)
+        for i, own in hits:
+            quoted = self.quoted(tokens, i)
+            for _, term, kind in own:
+                weight = DISGUISED if kind else 1.0
+                if quoted:
+                    quotes += weight
+                else:
+                    abuse += weight
+                    terms.add(term)
         return np.array([np.log1p(abuse), min(abuse, 1.0), np.log1p(quotes), min(quotes, 1.0), np.log1p(len(terms)), 100 * abuse / max(20, len(tokens))])
 
     @staticmethod
@@ -302,11 +345,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = SAMPLE_ROWS) -> Tox
         m, bad, seen = Matcher(terms), Counter(), Counter()
         for b in chunks(batches, "text"):
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
-                for t in set(_TOKEN.findall(text)):
-                    if (h := m.token(t)) and h[1] == 1:
-                        w = t.casefold().strip(_EDGE)
-                        seen[w] += 1
-                        bad[w] += y
+                for w in {w for t in set(_TOKEN.findall(text)) for w, _, kind in m.hits(t) if kind}:
+                    seen[w] += 1
+                    bad[w] += y
         yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64()), pa.array([bad[w] for w in seen], pa.int64())], names=["w", "n", "bad"])
 
     # tokens near a term that occur in clean documents of the sample: at most as many as the bounded sample holds

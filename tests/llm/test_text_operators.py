@@ -96,6 +96,49 @@ def test_automaton_equals_edit_distance():
             assert pieces.may_match(token)
 
 
+def swap_distance(a, b):
+    """Edits where two neighbours in the wrong order are one."""
+    d = [[i + j for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 2:i] == b[j - 2:j][::-1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+@pytest.mark.parametrize("kind", ["word", "stem"])
+def test_swaps_and_stems_equal_brute_force(kind):
+    r = random.Random(4)
+    terms = {"".join(r.choice("abcdefg") for _ in range(r.randint(4, 8 if kind == "stem" else 11))): kind for _ in range(12)}
+    trie, pieces, found = toxicity.Trie(terms), toxicity.Pieces(terms), 0
+    for _ in range(2000):
+        t = list(r.choice(list(terms)))
+        for _ in range(r.randint(0, 2)):
+            i = r.randrange(len(t) - 1)
+            t[i:i + 2] = r.choice([t[i:i + 2][::-1], t[i:i + 1], [r.choice("abcdefg"), *t[i + 1:i + 2]], [*t[i:i + 2], r.choice("abcdefg")]])
+        token = "".join(t) + (r.choice(["", "g", "abc"]) if kind == "stem" else "")
+        ends = range(len(token) + 1) if kind == "stem" else [len(token)]
+        want = min(((d, t) for t in terms if (d := min(swap_distance(t, token[:e]) for e in ends)) <= toxicity.allowed_edits(t, kind)), default=None)
+        got = trie.search(token, 2, True)
+        assert (None if got is None else (got[2], got[0])) == want
+        if want and want[0]:
+            found += 1
+            assert pieces.may_match(token), token
+    assert found > 300
+
+
+def test_short_terms_stems_swaps_and_joined_words():
+    m = toxicity.Matcher({"scum": "word", "idiot": "word", "stupid": "word", "moron": "word", "badstem": "stem"})
+    for t, want in (("scuum", "scum"), ("scvm", "scum"), ("scumm", "scum"), ("scm", "scum"), ("idoit", "idiot"), ("stupdi", "stupid"), ("badtsem", "badstem"), ("badstm", "badstem"), ("bbadstemish", "badstem")):
+        assert m.token(t) == (want, 1), t
+    for t in ("idiot,moron", "idiot/moron", "Idiot--MORON!", "you/idiot_moron"):
+        assert [h[1:] for h in m.hits(t)] == [("idiot", 0), ("moron", 0)], t
+    assert [h[1:] for h in m.hits("idoit/m0ron")] == [("idiot", 1), ("moron", 1)]
+    assert m.features("what an idiot,moron there")[4] == pytest.approx(np.log1p(2))
+    assert toxicity.Matcher({"scum": "word"}, frozenset({"scam"})).token("scam/spam") is None
+
+
 def test_spellings_and_quotation():
     m = toxicity.Matcher({"horrid": "word", "badstem": "stem"})
     for t, kind in (("horrid", 0), ("Horrid!!", 0), ("h0rrid", 1), ("horid", 1), ("horrrrid", 1), ("h.o.r.r.i.d", 1), ("badstemish", 0)):
