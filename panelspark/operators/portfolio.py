@@ -237,7 +237,10 @@ def capped_frozen(df: DataFrame, group: list[str], flag: str, name_cap: float =
         d = d.withColumn("_x", F.sum(F.when(big, F.col("_w") - name_cap).otherwise(0.0)).over(w))
         d = d.withColumns({"_w": F.when(big, F.lit(name_cap)).otherwise(F.col("_w")), "_z": F.col("_z") | big})
         d = spread(d, F.col("_x"))
-    # with too few names, or weights still over their caps after all passes, there is no answer to give
-    room = F.count("*").over(w) * name_cap
-    bad = F.when(room < 1.0 - 1e-9, F.lit("infeasible caps")).when(F.col("_w") > name_cap + 1e-6, F.lit("caps did not converge"))
+    # with too little room under both caps, or caps or the sum still missed after all passes, there is no answer to give
+    flagged = F.count_if(F.coalesce(F.col(flag), F.lit(False))).over(w)
+    room = F.least(F.lit(group_cap), flagged * name_cap) + (F.count("*").over(w) - flagged) * name_cap
+    held = F.coalesce(F.sum(F.when(F.col(flag), F.col("_w"))).over(w), F.lit(0.0))
+    missed = (F.col("_w") > name_cap + 1e-6) | (held > group_cap + 1e-6) | (F.abs(F.sum("_w").over(w) - 1.0) > 1e-6)
+    bad = F.when(room < 1.0 - 1e-9, F.lit("infeasible caps")).when(missed, F.lit("caps did not converge"))
     return d.withColumn("weight", F.when(bad.isNull(), F.col("_w")).otherwise(F.raise_error(bad).cast("double"))).drop("_w", "_z", "_e", "_b", "_k", "_g", "_x")

@@ -255,6 +255,13 @@ def test_caps_hold_and_sum_to_one(spark):
         assert out.agg(F.max("weight")).collect()[0][0] <= 0.2 + 1e-6
 
 
+def test_frozen_caps_without_room_raise(spark):
+    """Four flagged and three other names at 0.2 and 0.3 hold at most 0.9, although seven names at 0.2 have room."""
+    w = spark.createDataFrame([(1, f"k{i}", i < 4, 1 / 7) for i in range(7)], "midx int, key string, flag boolean, weight double")
+    with pytest.raises(Exception, match="infeasible caps"):
+        L.capped_frozen(w, ["midx"], "flag", 0.2, 0.3).collect()
+
+
 def test_label_truth_table(spark):
     rows = [(m, c) for m in ("PASS", "FAIL", "VOID") for c in ("PASS", "VOID", "NOT COMPUTABLE", "OPTED OUT")]
     d = spark.createDataFrame(rows, "m string, c string").select("m", "c", Q.final_label("m", "c").alias("l"))
