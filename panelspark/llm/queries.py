@@ -124,5 +124,51 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE o.key IS NOT NULL A
 FROM lines l LEFT JOIN often o USING (key) GROUP BY l.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_warc_round_trip, op4_decontamination, op5_toxicity, op6_near_vectors, op7_best_fit_packing, op8_token_files, op9_line_dedup, op10_url_filter)}
-ORACLE = {"op2_jaccard_join": OP2_SQL, "op6_near_vectors": OP6_SQL, "op3_warc_round_trip": OP3_SQL, "op9_line_dedup": OP9_SQL}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.manifest import verify_tampered
+    return verify_tampered(_table(spark, sf_dir, "documents"))
+
+
+# crc32 byte by byte: xor, then eight shifts with the reflected polynomial.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ord(x)::BIGINT)),
+            lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"""
+OP11_SQL = """
+WITH RECURSIVE framed AS (
+  SELECT doc_id, lang,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS body,
+    CASE WHEN """ + _CRC + """ % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other
+  FROM documents),
+leaves AS (SELECT doc_id, lang, sha256(head || body) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS first FROM framed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS cnt FROM leaves),
+nodes AS (
+  SELECT 0 AS lvl, lang, idx, leaf AS digest, cnt FROM placed
+  UNION ALL
+  SELECT lvl + 1, lang, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (cnt + 7) // 8 FROM nodes WHERE cnt > 1 GROUP BY lvl, lang, idx // 8, cnt),
+subroots AS (SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS cnt FROM nodes WHERE cnt = 1),
+tops AS (
+  SELECT 0 AS lvl, idx, digest, cnt FROM subroots
+  UNION ALL
+  SELECT lvl + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (cnt + 7) // 8 FROM tops WHERE cnt > 1 GROUP BY lvl, idx // 8, cnt),
+steps AS (
+  SELECT p.lang, p.idx, n.lvl, coalesce(string_agg(n.digest, '' ORDER BY n.idx) FILTER (WHERE n.idx < p.idx // (8 ** n.lvl)::BIGINT), '') AS l,
+         coalesce(string_agg(n.digest, '' ORDER BY n.idx) FILTER (WHERE n.idx > p.idx // (8 ** n.lvl)::BIGINT), '') AS r
+  FROM placed p JOIN nodes n ON n.lang IS NOT DISTINCT FROM p.lang AND n.cnt > 1 AND n.idx // 8 = p.idx // (8 ** (n.lvl + 1))::BIGINT GROUP BY p.lang, p.idx, n.lvl),
+top_steps AS (
+  SELECT s.lang, n.lvl, coalesce(string_agg(n.digest, '' ORDER BY n.idx) FILTER (WHERE n.idx < s.idx // (8 ** n.lvl)::BIGINT), '') AS l,
+         coalesce(string_agg(n.digest, '' ORDER BY n.idx) FILTER (WHERE n.idx > s.idx // (8 ** n.lvl)::BIGINT), '') AS r
+  FROM subroots s JOIN tops n ON n.cnt > 1 AND n.idx // 8 = s.idx // (8 ** (n.lvl + 1))::BIGINT GROUP BY s.lang, n.lvl),
+way AS (SELECT lang, idx, list(l || '|' || r ORDER BY lvl) AS path FROM steps GROUP BY lang, idx),
+top_way AS (SELECT lang, list(l || '|' || r ORDER BY lvl) AS path FROM top_steps GROUP BY lang),
+proofs AS (
+  SELECT p.doc_id, p.leaf, s.digest AS subroot, (SELECT digest FROM tops WHERE cnt = 1) AS root, p.first, list_concat(coalesce(w.path, []), coalesce(t.path, [])) AS path
+  FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang LEFT JOIN way w ON w.lang IS NOT DISTINCT FROM p.lang AND w.idx = p.idx
+  LEFT JOIN top_way t ON t.lang IS NOT DISTINCT FROM p.lang),
+folded AS (SELECT *, list_reduce(list_concat([first], path), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root FROM proofs)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_warc_round_trip, op4_decontamination, op5_toxicity, op6_near_vectors, op7_best_fit_packing, op8_token_files, op9_line_dedup, op10_url_filter, op11_merkle_manifest)}
+ORACLE = {"op2_jaccard_join": OP2_SQL, "op6_near_vectors": OP6_SQL, "op3_warc_round_trip": OP3_SQL, "op9_line_dedup": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
