@@ -1,11 +1,11 @@
 """Merkle manifest of a dataset: one leaf a row, one tree a group (language), one tree over the groups, a proof for every row.
 
-A row's rank in its group is cut into base-8 digits.  `_roll` takes the three lowest digits: it groups them away one after
-the other inside a block of 512 consecutive nodes, each time nesting the eight children as structs in a sorted array and
+A row's rank in its group is cut into base-8 digits.  `_roll` takes the two lowest digits: it groups them away one after
+the other inside a block of 64 consecutive nodes, each time nesting the eight children as structs in a sorted array and
 hashing them, so a block ends as one row with its digest.  The digests of the blocks are the nodes of the next tier, and so
 on to one node a group, then over the groups.  On the way down `_walk` goes through a block's nested structs with
-`transform`, collects the siblings of every level and explodes; the block's own path is added to its row by a union and a
-grouping on the block, so no proof needs a join.  The largest row anywhere is a block of 512 nodes, whatever the group.
+`transform`, adds the siblings of every level and explodes; the block's own path is added to its row by a union and a
+grouping on the block, so no proof needs a join.  The largest row anywhere is a block of 64 nodes, whatever the group.
 
 All of it is DataFrame functions.  Digests are lower-case hex text.  The tables between tiers are staged, so a lost executor
 costs a re-read.
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.llm.common import Scratch
 
-DIGIT_BITS, DIGITS = 3, 3
+DIGIT_BITS, DIGITS = 3, 2
 BLOCK_BITS = DIGIT_BITS * DIGITS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 PATH = "array<struct<left:string,right:string>>"
@@ -67,22 +67,24 @@ def _roll(nodes: DataFrame, tier: int) -> DataFrame:
     return rows.select("grp", "n", F.col("block").alias("r"), "digest", F.col("body").alias("kids"))
 
 
-def _siblings(kids: Column, at: Column, level: int) -> Column:
+def _step(kids: Column, at: Column, level: int) -> Column:
+    """The siblings of one child as a path of one step; no step where the level is not hashed."""
     digests = F.transform(kids, lambda k: k["digest"])
     step = F.struct(F.array_join(F.slice(digests, F.lit(1), at), "").alias("left"), F.array_join(F.slice(digests, at + 2, F.lit(7)), "").alias("right"))
     return F.when(_hashed(level), F.array(step)).otherwise(F.array().cast(PATH))
 
 
-def _walk(kids: Column, tier: int, k: int = DIGITS - 1, number: Column | None = None) -> Column:
-    """All nodes below as one array of (r, digest, body, path), path from the node up to its block."""
-    level = DIGITS * tier + k
-    own = lambda kid: kid["d"].cast("long") if number is None else number * 8 + kid["d"]
-    if k == 0:
-        return F.transform(kids, lambda kid, i: F.struct(own(kid).alias("r"), kid["digest"].alias("digest"), kid["body"].alias("body"), _siblings(kids, i, level).alias("path")))
-    return F.flatten(F.transform(kids, lambda kid, i: F.transform(
-        _walk(kid["body"], tier, k - 1, own(kid)),
-        lambda node: F.struct(node["r"].alias("r"), node["digest"].alias("digest"), node["body"].alias("body"),
-                              F.concat(node["path"], _siblings(kids, i, level)).alias("path")))))
+def _walk(blocks: DataFrame, tier: int, carried: list[str]) -> DataFrame:
+    """(grp, r, n, kids, path, carried ...) of blocks -> (grp, r, digest, body, path, carried ...) of their nodes.
+
+    One transform and explode a level, so a row holds no more than the eight children it came from.
+    """
+    nodes = blocks.withColumnRenamed("kids", "body").withColumn("digest", F.lit(""))
+    for k in range(DIGITS - 1, -1, -1):
+        child = F.explode(F.transform("body", lambda kid, i: F.struct(kid["d"].alias("d"), kid["digest"].alias("digest"), kid["body"].alias("body"), _step(F.col("body"), i, DIGITS * tier + k).alias("step"))))
+        nodes = nodes.select("grp", "r", "n", "path", *carried, child.alias("kid"))
+        nodes = nodes.select("grp", (F.col("r") * 8 + F.col("kid.d")).alias("r"), "n", F.concat("kid.step", "path").alias("path"), *carried, "kid.digest", "kid.body")
+    return nodes.drop("n")
 
 
 def _climb(nodes: DataFrame, scratch: Scratch, name: str) -> list[DataFrame]:
@@ -102,9 +104,7 @@ def _descend(tiers: list[DataFrame], above: DataFrame, carried: list[str]) -> Da
     for tier in range(len(tiers) - 1, -1, -1):
         blocks = tiers[tier].select("grp", "r", "n", "kids")
         met = blocks.unionByName(above, allowMissingColumns=True).groupBy("grp", "r").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("n", "kids", "path", *carried)])
-        node = met.select("grp", F.col("path").alias("rest"), *carried, F.explode(_walk(F.col("kids"), tier, number=F.col("r"))).alias("node"))
-        above = node.select("grp", F.col("node.r").alias("r"), F.col("node.digest").alias("digest"), F.col("node.body").alias("body"),
-                            F.concat("node.path", "rest").alias("path"), *carried)
+        above = _walk(met, tier, carried)
         if tier:
             above = above.drop("digest", "body")
     return above
