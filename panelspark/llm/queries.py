@@ -170,5 +170,28 @@ SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_warc_round_trip, op4_decontamination, op5_toxicity, op6_near_vectors, op7_best_fit_packing, op8_token_files, op9_line_dedup, op10_url_filter, op11_merkle_manifest)}
-ORACLE = {"op2_jaccard_join": OP2_SQL, "op6_near_vectors": OP6_SQL, "op3_warc_round_trip": OP3_SQL, "op9_line_dedup": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.sentencepieces import round_trip
+    return round_trip(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.hard_negatives import mine
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id, CAST(list_dot_product(a.q, r.q) AS BIGINT) AS score FROM v a JOIN v r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_warc_round_trip, op4_decontamination, op5_toxicity, op6_near_vectors, op7_best_fit_packing, op8_token_files, op9_line_dedup, op10_url_filter, op11_merkle_manifest, op12_sentencepiece, op13_hard_negatives)}
+ORACLE = {"op2_jaccard_join": OP2_SQL, "op6_near_vectors": OP6_SQL, "op3_warc_round_trip": OP3_SQL, "op9_line_dedup": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op13_hard_negatives": OP13_SQL}
