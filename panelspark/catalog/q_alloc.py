@@ -169,9 +169,7 @@ def entries_over(v, months):
     size = names.groupBy("midx").agg(F.count("*").alias("names"))
     full = d.groupBy("midx", "t").agg(F.count("*").alias("c")).join(size, "midx").where("c = names").select("midx", "t", "names")
     d = d.join(full, ["midx", "t"])
-    a, b = (d.select("midx", "t", "names", F.col("key").alias(k), F.col("ret").alias(x)) for k, x in (("k1", "x"), ("k2", "y")))
-    p = a.join(b.drop("names"), ["midx", "t"]).where("k1 <= k2").groupBy("midx", "k1", "k2").agg(F.covar_pop("x", "y").alias("cov"), F.count("*").alias("n"))
-    return p
+    return P.paired(d, ["midx", "t"], "key", "ret", own=True).groupBy("midx", "k1", "k2").agg(F.covar_pop("x", "y").alias("cov"), F.count("*").alias("n"))
 
 
 def stress_cov(v, n=24, least=12):

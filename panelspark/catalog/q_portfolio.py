@@ -3,7 +3,7 @@ from pyspark.sql import Window, functions as F
 
 from panelspark.catalog.base import query
 from panelspark.functions.scalar import SQRT12, breakdown_scalar, scale_factor
-from panelspark.operators import calendar as C, panel as P, portfolio as L, windows as W
+from panelspark.operators import calendar as C, ordered as O, panel as P, portfolio as L, windows as W
 
 KEYS = ["strategy"]
 TURN = """ch AS (SELECT coalesce(a.strategy,b.strategy) AS strategy, coalesce(a.midx,b.midx+1) AS midx, coalesce(a.weight,0)-coalesce(b.weight,0) AS dw FROM weights a
@@ -148,6 +148,41 @@ def l08(v):
     return L.capped(d, ["strategy", "month"], "flag", 0.05, 0.12, 0.25)
 
 
+def frozen_sql(src, grp, cf, cap, tol="1e-10"):
+    """Recursive oracle of group cap, name cap and pro-rata excess: one pass a step over a decision's list of names."""
+    base = lambda ws, z: f"list_sum(list_transform(list_filter({ws}, lambda e: NOT e.{z}), lambda e: e.w))"
+    free = lambda ws, z: f"len(list_filter({ws}, lambda e: NOT e.{z}))"
+    spread = lambda ws, e: (f"list_transform({ws}, lambda i: {{'k': i.k, 'f': i.f, 'n': i.n, 'z': i.z, 'w': CASE WHEN i.z THEN i.w ELSE i.w + {e} * "
+                            f"CASE WHEN {base(ws, 'z')} > 0 THEN i.w / {base(ws, 'z')} ELSE 1.0 / {free(ws, 'z')} END END}})")
+    return f"""fr AS (
+  SELECT {grp}, list({{'k': key, 'f': flag, 'n': false, 'z': false, 'w': weight}} ORDER BY key) AS l, true AS more, false AS gb FROM {src} GROUP BY {grp}
+  UNION ALL
+  SELECT {grp}, {spread('c', 'x')}, gover OR x > 0, gb OR gover FROM (
+   SELECT *, list_sum(list_transform(b, lambda e: greatest(0, CASE WHEN e.w > {cap} + {tol} THEN e.w - {cap} ELSE 0 END))) AS x,
+    list_transform(b, lambda e: {{'k': e.k, 'f': e.f, 'n': e.n OR e.w > {cap} + {tol}, 'z': e.z OR e.w > {cap} + {tol}, 'w': CASE WHEN e.w > {cap} + {tol} THEN {cap} ELSE e.w END}}) AS c FROM (
+    SELECT *, {spread('a', '(CASE WHEN gover THEN lv - ' + str(cf) + ' ELSE 0 END)')} AS b FROM (
+     SELECT *, lv > {cf} + {tol} AS gover, list_transform(l, lambda e: {{'k': e.k, 'f': e.f, 'n': e.n, 'z': e.z OR (e.f AND lv > {cf} + {tol}), 'w': CASE WHEN e.f AND lv > {cf} + {tol} THEN e.w * {cf} / lv ELSE e.w END}}) AS a FROM (
+      SELECT *, list_sum(list_transform(list_filter(l, lambda e: e.f), lambda e: e.w)) AS lv FROM fr WHERE more))))),
+ fz AS (SELECT {grp}, gb, unnest(l, recursive := true) FROM fr WHERE NOT more)"""
+
+
+@query("l08_frozen_caps", "strategy month:d key weight:8 binding", f"""WITH RECURSIVE src AS (SELECT strategy, month, key, weight, equity_only AS flag FROM weights JOIN uni_n USING (key)), {frozen_sql('src', 'strategy, month', 0.30, 0.12)}
+SELECT strategy, month, k AS key, w AS weight, CASE WHEN n THEN 'name cap' WHEN f AND gb THEN 'group cap' END AS binding FROM fz""")
+def l08f(v):
+    d = v.weights.join(v.uni_n.select("key", F.col("equity_only").alias("flag")), "key")
+    return L.capped_frozen(d, ["strategy", "month"], "flag", 0.12, 0.30, "binding")
+
+
+@query("l08_cap_report", "strategy month:d group_binds:b names_bound share_pre:f share_post:f largest_pre:f largest_post:f", f"""WITH RECURSIVE src AS (SELECT strategy, month, key, weight, equity_only AS flag FROM weights JOIN uni_n USING (key)), {frozen_sql('src', 'strategy, month', 0.30, 0.12)}
+SELECT strategy, month, any_value(gb) AS group_binds, coalesce(string_agg(k, ',' ORDER BY k) FILTER (n), '') AS names_bound, any_value(p.share_pre) AS share_pre, sum(CASE WHEN f THEN w ELSE 0 END) AS share_post, any_value(p.largest_pre) AS largest_pre, max(w) AS largest_post
+FROM fz JOIN (SELECT strategy, month, sum(CASE WHEN flag THEN weight ELSE 0 END) AS share_pre, max(weight) AS largest_pre FROM src GROUP BY ALL) p USING (strategy, month) GROUP BY ALL""")
+def l08r(v):
+    """Which names and groups the caps hold down, and by how much."""
+    from panelspark.sources.stage import stage
+    d = stage(v.weights.join(v.uni_n.select("key", F.col("equity_only").alias("flag")), "key"))
+    return L.cap_report(d, L.capped_frozen(d, ["strategy", "month"], "flag", 0.12, 0.30, "binding"), ["strategy", "month"], "flag", "binding")
+
+
 PICK = """b AS (SELECT sc.key, sc.midx, s, equity_only AS flag, sum(CASE WHEN equity_only THEN 1 ELSE 0 END) OVER (PARTITION BY sc.midx ORDER BY s DESC, sc.key ROWS UNBOUNDED PRECEDING) AS f FROM sc JOIN uni_s USING (key) WHERE ready),
  pk AS (SELECT *, row_number() OVER (PARTITION BY midx ORDER BY s DESC, key) AS pick FROM b WHERE NOT flag OR f <= 2)"""
 
@@ -204,7 +239,8 @@ def rotation_signals(v, ret=None, bench="S1"):
     d = (ret or v.ret_s).select("*", W.momentum_gapless("ret", w).alias("mom"), W.trailing_vol("ret", w, 6, 12.0).alias("vol"))
     b = d.where(F.col("key") == bench).select("midx", F.col("mom").alias("mom_bench"))
     d = d.join(b, "midx", "left").withColumn("excess", F.col("mom") - F.col("mom_bench"))
-    d = d.withColumns({"z": W.expanding_z("mom", w), "vol_ok": F.col("vol") <= W.expanding_quantile("vol", w, 0.9, 21)})
+    d = O.frame_quantile(d.withColumn("z", W.expanding_z("mom", w)), ["key"], "midx", "vol", {"vol_top": 0.9}, min_periods=21)
+    d = d.withColumn("vol_ok", F.col("vol") <= F.col("vol_top")).drop("vol_top")
     from panelspark.functions.scalar import raw_on
     return d.withColumn("raw_on", raw_on("z", "excess", "vol_ok")).withColumn("is_on", W.hysteresis("raw_on", w, 2))
 
@@ -272,6 +308,7 @@ def f11(v):
     c = P.mean_abs_corr(P.rolling_pair_corr(P.pair_returns(v.ret_b, []), [], 12), ["midx"])
     w = Window.orderBy("midx")  # one row per month
     m = v.ret_b.groupBy("midx").agg(F.avg("ret").alias("r")).withColumn("z", W.trailing_vol("r", w, 12, 1.0))
-    d = c.join(m, "midx").withColumns({"cm": W.expanding_quantile("mean_abs_corr", w, 0.5), "zm": W.expanding_quantile("z", w, 0.5)})
+    d = O.frame_quantile(c.join(m, "midx"), [], "midx", "mean_abs_corr", {"cm": 0.5})
+    d = O.frame_quantile(d, [], "midx", "z", {"zm": 0.5})
     return d.select("midx", correlation_gate("mean_abs_corr", "z", "cm", "zm", F.lit(0.5)).alias("c"), tail_gate("z", "zm", F.lit(0.25)).alias("t"),
                     breakdown_scalar("mean_abs_corr", F.lit(0.3)).alias("scalar")).select("midx", "c.g", "c.binding", F.col("t.g").alias("g_tail"), "scalar")

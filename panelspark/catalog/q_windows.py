@@ -4,7 +4,7 @@ from pyspark.sql import Window, functions as F
 from panelspark.catalog.base import query
 from panelspark.functions.scalar import SQRT12, ratio
 from panelspark.functions.stats import safe_corr
-from panelspark.operators import windows as W
+from panelspark.operators import ordered as O, windows as W
 
 def km():
     return W.by("key", order="midx")
@@ -82,14 +82,14 @@ b AS (SELECT *, CASE WHEN count(vol) OVER u >= 21 THEN quantile_cont(vol, 0.9) O
 SELECT key, month, vol, threshold, coalesce(vol <= threshold, false) AS vol_ok FROM b""")
 def w08(v):
     d = v.ret_s.withColumn("vol", W.trailing_vol("ret", km(), 6, 12.0))
-    d = d.withColumn("threshold", W.expanding_quantile("vol", km(), 0.9, 21))
+    d = O.frame_quantile(d, ["key"], "midx", "vol", {"threshold": 0.9}, min_periods=21)
     return d.withColumn("vol_ok", F.coalesce(F.col("vol") <= F.col("threshold"), F.lit(False)))
 
 
 @query("w09_prior_median", "key month:d med:f", """
 SELECT key, month, quantile_cont(ret, 0.5) OVER (PARTITION BY key ORDER BY midx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS med FROM ret_s""")
 def w09(v):
-    return v.ret_s.select("key", "month", W.expanding_quantile("ret", km(), 0.5).alias("med"))
+    return O.frame_quantile(v.ret_s, ["key"], "midx", "ret", {"med": 0.5})
 
 
 @query("w10_drawdown", "key month:d dd_first:f dd_one:f maxdd_12:f", """
@@ -104,8 +104,7 @@ FROM n JOIN m USING (key, rn) WINDOW w AS (PARTITION BY key ORDER BY midx)""")
 def w10(v):
     d = v.px_s.withColumn("ret", W.simple_return("price", km(), "midx"))
     d = W.drawdown(d, km(), start_at_one=False).withColumnRenamed("dd", "dd_first")
-    return (W.drawdown(d, km()).withColumnRenamed("dd", "dd_one")
-            .withColumn("maxdd_12", W.trailing_max_drawdown("price", km(), 12)))
+    return O.sliding_drawdown(W.drawdown(d, km()).withColumnRenamed("dd", "dd_one"), ["key"], "midx", "price", 12, "maxdd_12")
 
 
 @query("w11_wealth_curve", "series_id month:d wealth:f", """
@@ -199,8 +198,8 @@ def w19(v):
     w = W.by("category", order="midx")
     d = v.ret_s.join(v.uni_s, "key").groupBy("category", "month", "midx").agg(F.avg("ret").alias("r"))
     d = d.withColumn("vol", W.trailing_vol("r", w, 6, 12.0, min_periods=2)).where("vol is not null")
-    med = W.expanding_quantile("vol", w, 0.5, 2, prior=False)
-    return d.withColumn("regime", F.coalesce((F.col("vol") >= med).cast("int"), F.lit(0)))
+    d = O.frame_quantile(d, ["category"], "midx", "vol", {"med": 0.5}, prior=False, min_periods=2)
+    return d.withColumn("regime", F.coalesce((F.col("vol") >= F.col("med")).cast("int"), F.lit(0)))
 
 
 @query("w20_market_states", "key month:d dd:f dd_state vol:f vol_state", """
@@ -267,7 +266,7 @@ SELECT q.key, q.month, CASE WHEN any_value(q.n) >= 3 THEN -avg(CASE WHEN u.ret <
  CASE WHEN any_value(q.n) >= 3 AND any_value(sd) >= 1e-12 THEN avg(CASE WHEN u.ret < -sd THEN 1.0 ELSE 0.0 END) END AS below_sigma
 FROM q JOIN n u ON u.key=q.key AND u.rn BETWEEN q.rn-23 AND q.rn GROUP BY ALL""")
 def w26(v):
-    return W.left_tail(v.ret_s.where("ret is not null"), km(), "ret", 24)
+    return O.left_tail(v.ret_s.where("ret is not null"), ["key"], "midx", "ret", 24)
 
 
 @query("w26_selected_left_tail", "rule key midx:i left_tail:f", """
@@ -285,7 +284,7 @@ def w26s(v):
     d = v.ret_b.where("ret is not null")
     d = d.withColumn("sk", F.when(F.sum(r * r).over(f) > 0, F.sqrt(F.count("*").over(f)) * F.sum(r * r * r).over(f) / F.pow(F.sum(r * r).over(f), F.lit(1.5))))
     for rule in ("cvar_5", "below_sigma", "adverse_skew"):
-        x = W.left_tail_score(d, w, "ret", rule, 24, "sk").select(F.lit(rule).alias("rule"), "key", "midx", "left_tail")
+        x = W.left_tail_score(d, ["key"], "midx", "ret", rule, 24, "sk").select(F.lit(rule).alias("rule"), "key", "midx", "left_tail")
         out = x if out is None else out.unionByName(x)
     return out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelspark.functions.scalar import ratio
+from panelspark.operators.panel import paired
 
 
 def window_entries(live: DataFrame, ret: DataFrame, lookback: int, key: str = "key", idx: str = "midx", value: str = "ret",
@@ -14,9 +15,7 @@ def window_entries(live: DataFrame, ret: DataFrame, lookback: int, key: str = "k
     the trailing window is a RANGE frame on each pair, so windows are not copied per decision.
     """
     g = list(group)
-    a = ret.where(F.col(value).isNotNull()).select(*g, idx, F.col(key).alias("k1"), F.col(value).alias("x"))
-    b = ret.where(F.col(value).isNotNull()).select(*g, idx, F.col(key).alias("k2"), F.col(value).alias("y"))
-    p = a.join(b, [*g, idx]).where("k1 <= k2")
+    p = paired(ret, [*g, idx], key, value, own=True)
     w = Window.partitionBy(*g, "k1", "k2").orderBy(idx).rangeBetween(-lookback + 1, 0)
     c = p.select(*g, idx, "k1", "k2", F.covar_pop("x", "y").over(w).alias("cov"), F.count("*").over(w).alias("n"))
     ok = live.select(*g, idx, key)

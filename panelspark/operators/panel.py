@@ -150,14 +150,38 @@ def panel_gap(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFr
 
 
 # ---------------------------------------------------------------- pairs
-def pair_returns(df: DataFrame, group: list[str], key: str = "key", idx: str = "midx", value: str = "ret") -> DataFrame:
-    """(k1 < k2) rows of one matrix's keys per period: an equi join on (group, period).
+BLOCK = 512
 
-    The output is the upper triangle itself, so use it on sleeves and other bounded key sets.
+
+def pair_cells(df: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """Send a key's rows to one row and one column of a grid of key blocks: add _own, _lo <= _hi.
+
+    Keys fall into as many hash blocks as give about `block` keys each, and any two keys meet in one cell (_lo, _hi), as the
+    left side those of block _lo and as the right side those of block _hi.  With few keys there is one cell and no copy.
+    """
+    n = df.agg(F.approx_count_distinct(key)).scalar()
+    blocks = F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
+    d = df.withColumn("_own", F.pmod(F.xxhash64(key), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return d.withColumns({"_lo": F.least("_own", "_other"), "_hi": F.greatest("_own", "_other")}).drop("_other")
+
+
+def paired(df: DataFrame, on: list[str], key: str, value: str, own: bool = False, block: int = BLOCK) -> DataFrame:
+    """(on, k1 < k2, x, y) of all keys with a value at the same `on`; own: k1 = k2 too.
+
+    The join key is (on, cell), so a period with very many keys is worked off cell by cell: a join key has at most the rows
+    of two blocks, and a row is copied once for each block.
     """
-    a = df.where(F.col(value).isNotNull()).select(*group, idx, F.col(key).alias("k1"), F.col(value).alias("x"))
-    b = df.where(F.col(value).isNotNull()).select(*group, idx, F.col(key).alias("k2"), F.col(value).alias("y"))
-    return a.join(b, [*group, idx]).where("k1 < k2")
+    c = pair_cells(df.where(F.col(value).isNotNull()).select(*on, F.col(key).alias("_k"), F.col(value).alias("_v")), "_k", block)
+    a = c.where("_own = _lo").select(*on, "_lo", "_hi", F.col("_k").alias("_k1"), F.col("_v").alias("_x"))
+    b = c.where("_own = _hi").select(*on, "_lo", "_hi", F.col("_k").alias("_k2"), F.col("_v").alias("_y"))
+    first = F.col("_k1") <= F.col("_k2")
+    d = a.join(b, [*on, "_lo", "_hi"]).where((F.col("_lo") < F.col("_hi")) | (first if own else F.col("_k1") < F.col("_k2")))
+    return d.select(*on, F.least("_k1", "_k2").alias("k1"), F.greatest("_k1", "_k2").alias("k2"), F.when(first, F.col("_x")).otherwise(F.col("_y")).alias("x"), F.when(first, F.col("_y")).otherwise(F.col("_x")).alias("y"))
+
+
+def pair_returns(df: DataFrame, group: list[str], key: str = "key", idx: str = "midx", value: str = "ret", block: int = BLOCK) -> DataFrame:
+    """(k1 < k2) rows of one matrix's keys per period: an equi join on (group, period, cell).  The output is the upper triangle."""
+    return paired(df, [*group, idx], key, value, block=block)
 
 
 def corr_of(x, y) -> Column:

@@ -212,35 +212,94 @@ def tag_shares(weights: DataFrame, universe: DataFrame, keys: list[str], period:
         "reason", F.when(F.col("computable"), "").otherwise(F.concat(F.lit("no constituent weights for: "), F.col("_bad")))).drop("_bad")
 
 
-def capped_frozen(df: DataFrame, group: list[str], flag: str, name_cap: float = 0.20, group_cap: float = 0.30, passes: int = 12) -> DataFrame:
-    """Group cap then name cap; capped names freeze and the excess goes pro rata to the others.
+def _head(values: Column, k) -> Column:
+    """Sum of the first k values of a short array."""
+    return F.aggregate(F.slice(values, F.lit(1), k), F.lit(0.0), lambda a, x: a + x)
 
-    Same shape as ``capped``: every pass is window sums on one partitioning.
+
+def _over(values: Column, start: Column, test) -> Column:
+    """How many of the values after the first `start` pass the test; the values descend, so these come next."""
+    return F.size(F.filter(values, lambda x, i: (i >= start) & test(x)))
+
+
+def capped_frozen(df: DataFrame, group: list[str], flag: str, name_cap: float = 0.20, group_cap: float = 0.30, binding: str | None = None, tol: float = 1e-10) -> DataFrame:
+    """Group cap, then name cap; capped names freeze and the excess goes pro rata to the others, until nothing is over.
+
+    Names that are not capped keep their proportions, so a decision's answer is one scale a side and a number of capped names,
+    the largest ones.  No more than 1 / name_cap names can be at the cap, so the largest few of each side, kept map-side, and
+    the two totals decide everything: prefix sums of the few give the scale that any number of capped names leaves.  The scale
+    rises until no further name is over or the flagged side is over its cap; then that side is scaled to the cap and frozen,
+    and the other side's scale follows from the smallest number of capped names whose next name fits.  Names join the
+    decision's row.  binding: name of a column to add, 'name cap' or 'group cap' where that cap holds the weight down.
+
+    Weights must not be negative and must sum to 1; caps that leave too little room raise.
+    """
+    most = int(1.0 / name_cap + 1e-9) + 1
+    on = F.coalesce(F.col(flag), F.lit(False))
+    d = df.withColumn("_w", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))).withColumn("_on", on)
+    few = d.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_on").orderBy(F.desc("_w")))).where(F.col("_r") <= most)
+    side = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("_w"))), asc=False)
+    few = few.groupBy(*group).agg(side(F.col("_on")).alias("lf"), side(~F.col("_on")).alias("lo"))
+    part = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0.0))
+    total = d.groupBy(*group).agg(part(F.col("_on"), F.col("_w")).alias("sf"), part(~F.col("_on"), F.col("_w")).alias("so"), F.min("weight").alias("low"),
+                                  F.count_if("_on").alias("nf"), F.count_if(~F.col("_on")).alias("no"), F.count_if(F.col("_on") & (F.col("_w") > 0)).alias("pf"), F.count_if(~F.col("_on") & (F.col("_w") > 0)).alias("po"))
+    g = total.join(few, group)
+    lf, lo, cap = F.col("lf"), F.col("lo"), F.lit(name_cap)
+    fits = F.least(F.lit(group_cap), F.col("nf") * name_cap) + F.col("no") * name_cap >= 1.0 - 1e-12
+    bad = F.when((F.col("low") < -tol) | (F.abs(F.col("sf") + F.col("so") - 1.0) > 1e-8), "weights must be long-only and sum to 1").when(~fits, "infeasible caps")
+
+    # Names under no cap hold w * t + u; u is only used where all of them have weight 0, which then share equally.
+    def one(s, _):
+        free_f = F.col("sf") - _head(lf, s["kf"])
+        held = s["kf"] * cap + free_f * s["t"] + (F.col("nf") - s["kf"]) * s["u"]
+        bind = held > group_cap + tol
+        over = lambda x: x * s["t"] + s["u"] > name_cap + tol
+        kf, ko = s["kf"] + _over(lf, s["kf"], over), s["ko"] + _over(lo, s["ko"], over)
+        room = 1.0 - (kf + ko) * cap
+        none = (F.col("pf") <= kf) & (F.col("po") <= ko)
+        t = F.when(none, s["t"]).otherwise(F.try_divide(room, F.col("sf") - _head(lf, kf) + F.col("so") - _head(lo, ko)))
+        u = F.when(none, F.coalesce(F.try_divide(room, F.col("nf") + F.col("no") - kf - ko), F.lit(0.0))).otherwise(0.0)
+        same = (kf == s["kf"]) & (ko == s["ko"])
+        stop = s["done"] | bind | same
+        keep = lambda new, old: F.when(stop, s[old]).otherwise(new).alias(old)
+        return F.struct(keep(t, "t"), keep(u, "u"), keep(kf, "kf"), keep(ko, "ko"), F.when(s["done"], s["held"]).otherwise(held).alias("held"),
+                        F.when(s["done"], s["bind"]).otherwise(bind).alias("bind"), stop.alias("done"))
+
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("u"), F.lit(0).alias("kf"), F.lit(0).alias("ko"), F.lit(0.0).alias("held"), F.lit(False).alias("bind"), F.lit(False).alias("done"))
+    g = g.withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(2 * most + 2)), start, one))  # every step but the last caps a name
+    s = F.col("s")
+    scale = F.when(s["bind"], F.lit(group_cap) / s["held"]).otherwise(F.lit(1.0))
+    g = g.withColumns({"tf": s["t"] * scale, "uf": s["u"] * scale, "cf": cap * scale})
+    g = g.withColumn("jf", F.when(s["bind"], s["kf"] + _over(lf, s["kf"], lambda x: x * F.col("tf") + F.col("uf") > name_cap + tol)).otherwise(s["kf"]))
+    g = g.withColumn("rest", 1.0 - (s["kf"] * F.col("cf") + (F.col("jf") - s["kf"]) * cap + (F.col("sf") - _head(lf, F.col("jf"))) * F.col("tf") + (F.col("nf") - F.col("jf")) * F.col("uf")))
+
+    def other(k):
+        """(k, scale, equal share) of the other side with k names at the cap."""
+        left, none = F.col("rest") - k * cap, F.col("po") <= k
+        return F.struct(k.alias("k"), F.when(none, F.lit(0.0)).otherwise(F.try_divide(left, F.col("so") - _head(lo, k))).alias("t"),
+                        F.when(none, F.coalesce(F.try_divide(left, F.col("no") - k), F.lit(0.0))).otherwise(F.lit(0.0)).alias("u"))
+    tries = F.transform(F.sequence(s["ko"], F.greatest(F.size(lo), s["ko"])), other)
+    tries = F.filter(tries, lambda x: F.coalesce(F.get(lo, x["k"]), F.lit(0.0)) * x["t"] + x["u"] <= name_cap + tol)
+    g = g.withColumn("o", F.when(s["bind"], F.get(tries, F.lit(0))).otherwise(F.struct(s["ko"].alias("k"), s["t"].alias("t"), s["u"].alias("u"))))
+    edge = lambda values, k: F.when(k > 0, F.get(values, k - 1))
+    g = g.select(*group, bad.alias("bad"), s["bind"].alias("bind"), "tf", "uf", "cf", edge(lf, s["kf"]).alias("f1"), edge(lf, F.col("jf")).alias("f2"), F.col("o.t").alias("to"), F.col("o.u").alias("uo"), edge(lo, F.col("o.k")).alias("o1"))
+    d = d.join(g.select(*group, F.struct("bad", "bind", "tf", "uf", "cf", "f1", "f2", "to", "uo", "o1").alias("_s")), group)
+    at = lambda c: F.coalesce(F.col("_w") >= F.col(c), F.lit(False))
+    own = F.when(F.col("_on"), F.when(at("_s.f1"), F.col("_s.cf")).when(at("_s.f2"), cap).otherwise(F.col("_w") * F.col("_s.tf") + F.col("_s.uf")))
+    own = own.when(at("_s.o1"), cap).otherwise(F.col("_w") * F.col("_s.to") + F.col("_s.uo"))
+    out = d.withColumn("weight", F.when(F.col("_s.bad").isNull(), own).otherwise(F.raise_error(F.col("_s.bad")).cast("double")))
+    if binding:
+        out = out.withColumn(binding, F.when(F.when(F.col("_on"), at("_s.f2")).otherwise(at("_s.o1")), "name cap").when(F.col("_on") & F.col("_s.bind"), "group cap"))
+    return out.drop("_w", "_on", "_s")
+
+
+def cap_report(before: DataFrame, after: DataFrame, group: list[str], flag: str, binding: str) -> DataFrame:
+    """Per decision: whether the group cap binds, the names at the name cap, and the flagged share and largest weight before and after.
+
+    At most 1 / name_cap names are listed.
     """
-    w = Window.partitionBy(*group)
-    d = df.withColumns({"_w": F.greatest(F.col("weight"), F.lit(0.0)), "_z": F.lit(False)})
-
-    def spread(d, excess):
-        d = d.withColumn("_e", excess)
-        free = F.when(~F.col("_z"), F.col("_w")).otherwise(0.0)
-        d = d.withColumns({"_b": F.sum(free).over(w), "_k": F.count_if(~F.col("_z")).over(w)})
-        share = F.when(F.col("_b") > 0, F.col("_w") / F.nullif("_b", F.lit(0.0))).otherwise(1.0 / F.nullif(F.col("_k").cast("double"), F.lit(0.0)))
-        return d.withColumn("_w", F.when(~F.col("_z"), F.col("_w") + F.col("_e") * share).otherwise(F.col("_w")))
-
-    for _ in range(passes):
-        d = d.withColumn("_g", F.coalesce(F.sum(F.when(F.col(flag), F.col("_w"))).over(w), F.lit(0.0)))
-        over = F.col("_g") > group_cap + 1e-12
-        d = d.withColumns({"_w": F.when(over & F.col(flag), F.col("_w") * group_cap / F.col("_g")).otherwise(F.col("_w")),
-                           "_z": F.col("_z") | (over & F.col(flag))})
-        d = spread(d, F.when(over, F.col("_g") - group_cap).otherwise(0.0))
-        big = F.col("_w") > name_cap + 1e-12
-        d = d.withColumn("_x", F.sum(F.when(big, F.col("_w") - name_cap).otherwise(0.0)).over(w))
-        d = d.withColumns({"_w": F.when(big, F.lit(name_cap)).otherwise(F.col("_w")), "_z": F.col("_z") | big})
-        d = spread(d, F.col("_x"))
-    # with too little room under both caps, or caps or the sum still missed after all passes, there is no answer to give
-    flagged = F.count_if(F.coalesce(F.col(flag), F.lit(False))).over(w)
-    room = F.least(F.lit(group_cap), flagged * name_cap) + (F.count("*").over(w) - flagged) * name_cap
-    held = F.coalesce(F.sum(F.when(F.col(flag), F.col("_w"))).over(w), F.lit(0.0))
-    missed = (F.col("_w") > name_cap + 1e-6) | (held > group_cap + 1e-6) | (F.abs(F.sum("_w").over(w) - 1.0) > 1e-6)
-    bad = F.when(room < 1.0 - 1e-9, F.lit("infeasible caps")).when(missed, F.lit("caps did not converge"))
-    return d.withColumn("weight", F.when(bad.isNull(), F.col("_w")).otherwise(F.raise_error(bad).cast("double"))).drop("_w", "_z", "_e", "_b", "_k", "_g", "_x")
+    on = lambda: F.coalesce(F.sum(F.when(F.col(flag), F.col("weight"))), F.lit(0.0))
+    pre = before.groupBy(*group).agg(on().alias("share_pre"), F.max("weight").alias("largest_pre"))
+    post = after.groupBy(*group).agg(F.coalesce(F.max(F.col(binding) == "group cap"), F.lit(False)).alias("group_binds"), on().alias("share_post"), F.max("weight").alias("largest_post"),
+                                     F.array_join(F.sort_array(F.collect_list(F.when(F.col(binding) == "name cap", F.col("key")))), ",").alias("names_bound"))
+    return pre.join(post, group)

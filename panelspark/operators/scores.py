@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelspark.functions.scalar import SQRT252, col, ratio
 from panelspark.functions.stats import safe_corr
 from panelspark.sources.stage import stage
-from panelspark.operators.windows import UNB, average_rank, counted_values, percent_rank_avg, spread_average_rank, trailing_max_drawdown, trailing_vol
+from panelspark.operators.ordered import sliding_drawdown
+from panelspark.operators.windows import UNB, average_rank, counted_values, percent_rank_avg, spread_average_rank, trailing_vol
 
 MAD_SCALE = 1.4826
 # Feature weights of the composite score.
@@ -72,18 +73,26 @@ def composite(weights: dict[str, float]) -> Column:
     return out
 
 
-def global_rank(df: DataFrame, score: str, tie: str, out: str = "rank", ranges: int = 256) -> DataFrame:
-    """Row number by (score desc, tie) over the whole table without a one-task sort.
+def group_rank(df: DataFrame, group: list[str], score: str, tie: str, out: str = "rank", ranges: int = 256) -> DataFrame:
+    """Row number by (score desc, tie) inside each group without a task for a group.
 
-    Rows are dealt into ranges of (score, tie) by sampled cuts, so equal scores, also NULLs, spread over many ranges by the
-    tie column; range counts give each range its offset, and rows are numbered inside their range.
+    Rows are dealt into ranges of (group, score, tie) by sampled cuts, so one group with most rows, and equal scores, also
+    NULLs, spread over many ranges; a range counts its rows by group, the counts of the ranges before it are a group's offset,
+    and rows are numbered inside their range.
     """
     keys = [F.col(score).desc_nulls_last(), F.col(tie).asc_nulls_first()]
-    d = stage(df.repartitionByRange(ranges, *keys).withColumn("_p", F.spark_partition_id()))
-    counts = d.groupBy("_p").agg(F.count("*").alias("_c"))
-    offsets = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(UNB, -1)), F.lit(0)).alias("_off"))
-    return (d.join(F.broadcast(offsets), "_p")  # at most `ranges` rows
-            .withColumn(out, F.col("_off") + F.row_number().over(Window.partitionBy("_p").orderBy(*keys))).drop("_p", "_off"))
+    d = stage(df.repartitionByRange(ranges, *group, *keys).withColumn("_p", F.spark_partition_id()))
+    counts = d.groupBy(*group, "_p").agg(F.count("*").alias("_c"))  # at most `ranges` rows more than groups
+    before = Window.partitionBy(*group).orderBy("_p").rowsBetween(UNB, -1)
+    offsets = counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_p").alias("_o"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
+    out_ = d.join(offsets, [F.col("_p") == F.col("_o"), *same])
+    return out_.withColumn(out, F.col("_off") + F.row_number().over(Window.partitionBy("_p", *group).orderBy(*keys))).drop("_p", "_o", "_off", *[f"_g_{g}" for g in group])
+
+
+def global_rank(df: DataFrame, score: str, tie: str, out: str = "rank", ranges: int = 256) -> DataFrame:
+    """Row number by (score desc, tie) over the whole table without a one-task sort."""
+    return group_rank(df, [], score, tie, out, ranges)
 
 
 def choose_benchmark(ret: DataFrame, first: str, fallback: str, date: str = "date", least: int = 51) -> DataFrame:
@@ -94,11 +103,9 @@ def choose_benchmark(ret: DataFrame, first: str, fallback: str, date: str = "dat
 
 
 def raw_features(px: DataFrame, order: str, bench_ret: DataFrame, expense: DataFrame | None = None, year: int = 252,
-                 quarter: int = 63, month: int = 21, at: Column | None = None) -> DataFrame:
-    """All raw features per (key, period) in one window pass on the key.
+                 quarter: int = 63, month: int = 21) -> DataFrame:
+    """All raw features per (key, period): frame aggregates, and running block states for the drawdown.
 
-    ``at`` marks decision rows: the drawdown fold, the one feature that is not a plain frame
-    aggregate, then runs on those rows only.
     ``px``: key, order, price, volume.  ``bench_ret``: order, bench (the chosen benchmark's return).
     """
     w = Window.partitionBy("key").orderBy(order)
@@ -110,12 +117,13 @@ def raw_features(px: DataFrame, order: str, bench_ret: DataFrame, expense: DataF
         d = d.join(expense.select("key", "expense"), "key", "left")
     else:
         d = d.withColumn("expense", F.lit(None).cast("double"))
+    d = sliding_drawdown(d, ["key"], order, "price", year, "maxdd_252")
     fy, fm = w.rowsBetween(-year + 1, 0), w.rowsBetween(-month + 1, 0)
     ir = F.when(F.count("ex").over(fy) >= 3, ratio(F.avg("ex").over(fy), F.stddev_samp("ex").over(fy)) * SQRT252)
     return d.select("key", order, "price", "ret",
                     trailing_vol("ret", w, quarter, min_periods=2).alias("vol_63"),
                     trailing_vol("ret", w, year, min_periods=2).alias("vol_252"),
-                    (trailing_max_drawdown("price", w, year) if at is None else F.when(at, trailing_max_drawdown("price", w, year))).alias("maxdd_252"),
+                    "maxdd_252",
                     (ir - F.coalesce("expense", F.lit(0.0))).alias("quality_v1"), F.col("expense").isNull().alias("er_missing"),
                     F.avg("_pv").over(fm).alias("liquidity_adv"), F.col("volume").isNull().alias("liquidity_missing"),
                     (F.datediff(order, F.min(order).over(w)) / 365.25).alias("history_years"))

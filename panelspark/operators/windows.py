@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.functions.scalar import col, ratio
 from panelspark.functions.stats import safe_corr
+from panelspark.operators.ordered import left_tail
 from panelspark.sources.stage import stage
 
 UNB = Window.unboundedPreceding
@@ -63,7 +64,7 @@ def expanding_z(value, w, min_periods: int = 12) -> Column:
 
 
 def expanding_quantile(value, w, q: float, min_periods: int = 1, prior: bool = True) -> Column:
-    """Exact interpolated quantile of a monthly series' past."""
+    """Exact interpolated quantile of a short series' past: rows x history.  `ordered.frame_quantile` is for long ones."""
     return expanding(F.percentile(col(value), F.lit(q)), w, value, min_periods, prior)
 
 
@@ -78,17 +79,6 @@ def drawdown(df: DataFrame, w, ret: str = "ret", start_at_one: bool = True) -> D
     return out.withColumn("dd", F.col("wealth") / (F.greatest(F.lit(1.0), peak) if start_at_one else peak) - 1.0)
 
 
-def trailing_max_drawdown(price, w, rows: int = 252) -> Column:
-    """Worst fall from a peak inside the trailing frame; the frame bounds the array."""
-    prices = F.collect_list(col(price)).over(w.rowsBetween(-rows + 1, 0))
-    zero = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd"))
-
-    def step(acc, p):
-        peak = F.greatest(acc["peak"], p)
-        return F.struct(peak.alias("peak"), F.least(acc["dd"], p / peak - 1.0).alias("dd"))
-    return F.when(F.size(prices) >= 2, F.aggregate(prices, zero, step)["dd"])
-
-
 def rolling_sharpe(ex, w, rows: int = 36) -> Column:
     f = w.rowsBetween(-rows + 1, 0)
     return F.when(F.count(col(ex)).over(f) == rows,
@@ -205,23 +195,7 @@ def ar1_forecast(df: DataFrame, keys: list[str], order: str, value: str, min_val
     return d.withColumn("forecast", F.coalesce(F.when(F.count(value).over(f) >= min_values, fit), F.col(value))).drop("_x")
 
 
-def left_tail(df: DataFrame, w, ret: str, rows: int, level: float = 0.05, k: float = 1.0) -> DataFrame:
-    """Trailing expected shortfall at ``level`` and share of returns below -k sigma (3+ returns).
-
-    The trailing returns ride along as a frame-bounded array, so no range join is needed.
-    """
-    f = w.rowsBetween(-rows + 1, 0)
-    d = df.select("*", F.count(ret).over(f).alias("_n"), F.percentile(ret, F.lit(level)).over(f).alias("_thr"),
-                  F.stddev_samp(ret).over(f).alias("_sd"), F.collect_list(ret).over(f).alias("_x"))
-    tail = F.filter("_x", lambda x: x <= F.col("_thr"))
-    total = F.aggregate(tail, F.lit(0.0), lambda a, x: a + x)
-    below = F.size(F.filter("_x", lambda x: x < -k * F.col("_sd")))
-    return (d.withColumn("cvar_5", F.when(F.col("_n") >= 3, -ratio(total, F.size(tail))))
-            .withColumn("below_sigma", F.when((F.col("_n") >= 3) & (F.col("_sd") >= 1e-12), ratio(below, F.col("_n"))))
-            .drop("_n", "_thr", "_sd", "_x"))
-
-
-def left_tail_score(df: DataFrame, w, ret: str, rule: str, rows: int, skew: str | None = None) -> DataFrame:
+def left_tail_score(df: DataFrame, keys: list[str], order: str, ret: str, rule: str, rows: int, skew: str | None = None) -> DataFrame:
     """Adds left_tail by the selected rule: 'cvar_5', 'below_sigma' or 'adverse_skew' (realised skewness on its bad side)."""
     if rule == "adverse_skew":
         if skew is None:
@@ -229,7 +203,7 @@ def left_tail_score(df: DataFrame, w, ret: str, rule: str, rows: int, skew: str
         return df.withColumn("left_tail", F.when(F.col(skew).isNotNull(), F.greatest(F.lit(0.0), -F.col(skew))))
     if rule not in ("cvar_5", "below_sigma"):
         raise ValueError(f"no such rule: {rule}")
-    return left_tail(df, w, ret, rows).withColumn("left_tail", F.col(rule)).drop("cvar_5", "below_sigma")
+    return left_tail(df, keys, order, ret, rows).withColumn("left_tail", F.col(rule)).drop("cvar_5", "below_sigma")
 
 
 def daily_rate(calendar: DataFrame, own: DataFrame, rates: DataFrame) -> DataFrame:

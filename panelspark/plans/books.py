@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelspark.functions.scalar import SQRT12, correlation_gate, ratio, scale_factor, tail_gate
 from panelspark.functions.stats import ann_return, ann_vol, deflated_sharpe_normal, sharpe_excess, sharpe_rf0, total_return
-from panelspark.operators import inference as I, portfolio as L, windows as W
+from panelspark.operators import inference as I, ordered as O, portfolio as L, windows as W
 from panelspark.sources.stage import stage
 
 
@@ -116,9 +116,8 @@ def state_table(book: DataFrame, state, value: str = "active", keys: list[str] =
 
 
 def prior_median_gate(df: DataFrame, corr: str, z: str, g_min: list[float], lookback: int) -> DataFrame:
-    """Correlation-and-volatility gate for each g_min: expanding medians of the past (calendar-sized rows)."""
-    w = Window.orderBy("midx")
-    d = df.withColumns({"_cm": W.expanding_quantile(corr, w, 0.5), "_zm": W.expanding_quantile(z, w, 0.5)})
+    """Correlation-and-volatility gate for each g_min: expanding medians of the past."""
+    d = O.frame_quantile(O.frame_quantile(df, [], "midx", corr, {"_cm": 0.5}), [], "midx", z, {"_zm": 0.5})
     d = d.withColumn("g_min", F.explode(F.array(*[F.lit(x) for x in g_min])))
     return d.select("midx", F.lit(lookback).alias("corr_lookback"), "g_min", correlation_gate(corr, z, "_cm", "_zm", F.col("g_min")).alias("c")).select(
         "midx", "corr_lookback", "g_min", "c.g", "c.binding")
@@ -126,8 +125,8 @@ def prior_median_gate(df: DataFrame, corr: str, z: str, g_min: list[float], look
 
 def left_tail_gate(core_m: DataFrame, rows: int, g_min: list[float]) -> DataFrame:
     """Tail gate on the trailing shortfall of the core's monthly returns."""
-    w = Window.orderBy("midx")
-    d = W.left_tail(core_m.where("r is not null"), w, "r", rows).withColumn("_m", W.expanding_quantile("cvar_5", w, 0.5))
+    d = O.left_tail(core_m.where("r is not null"), [], "midx", "r", rows)
+    d = O.frame_quantile(d, [], "midx", "cvar_5", {"_m": 0.5})
     d = d.withColumn("g_min", F.explode(F.array(*[F.lit(x) for x in g_min])))
     return d.select("midx", "g_min", "cvar_5", tail_gate("cvar_5", "_m", F.col("g_min")).alias("t")).select("midx", "g_min", "cvar_5", "t.g", "t.binding")
 

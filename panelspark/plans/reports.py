@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelspark.functions.scalar import SQRT12, ratio
 from panelspark.functions.stats import ann_return, ann_vol, sharpe_excess, total_return
-from panelspark.operators import inference as I, panel as P, windows as W
+from panelspark.operators import inference as I, panel as P, scores as S, windows as W
 from panelspark.plans.books import performance
 from panelspark.sources.stage import stage
 
@@ -48,12 +48,11 @@ def subject_profile(series: DataFrame, sid: str = "series_id") -> DataFrame:
 def leaderboard(rows: DataFrame, score: str, benchmark: str, void: DataFrame) -> DataFrame:
     """Subjects by score; the benchmark stays in place unranked, void subjects are listed apart.
 
-    A board has one row per subject, so its single ordered window is the board itself.
+    Ranks come from ranges of (ranked, score, id) with offsets, so a board of any size is no single task's work.
     """
     d = rows.join(void.select("id").distinct().withColumn("void", F.lit(True)), "id", "left").withColumn("void", F.coalesce("void", F.lit(False)))
-    ranked = ~F.col("void") & (F.col("id") != benchmark)
-    k = F.row_number().over(Window.partitionBy(ranked).orderBy(F.desc_nulls_last(score), "id"))
-    return d.withColumn("rank", F.when(ranked, k)).withColumn("is_benchmark", F.col("id") == benchmark)
+    d = S.group_rank(d.withColumn("_ranked", ~F.col("void") & (F.col("id") != benchmark)), ["_ranked"], score, "id")
+    return d.withColumn("rank", F.when(F.col("_ranked"), F.col("rank"))).withColumn("is_benchmark", F.col("id") == benchmark).drop("_ranked")
 
 
 def band_series(weights: DataFrame, bands: DataFrame, keys: list[str], period: str, names: list[str]) -> DataFrame:
