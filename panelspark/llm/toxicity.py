@@ -2,12 +2,16 @@
 
 The lexicon is learned from labelled rows: whole terms, and stems that occur with many endings, whose documents are
 nearly all toxic.  A Levenshtein automaton, in which a swap of neighbours is one edit, walks the trie of the terms for a
-token, its parts between marks and its look-alike spelling; tokens are matched once and remembered.  A window of tokens around a match tells quotation (quote marks around it, a reporting word
-before it) from abuse; a logistic model weighs what a document holds of each.
+token, its parts between marks and its look-alike spelling.  A window of tokens around a match tells quotation (quote marks
+around it, a reporting word before it) from abuse; a logistic model weighs what a document holds of each.
+
+Tokens of a slice of texts are hashed at once; a worker matches a token the first time it meets it and remembers hash and
+outcome in two arrays, over all its tasks, so a known token costs a look-up and only texts with a match are read word by word.
 """
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -16,10 +20,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.common import Scratch, chunks, labelled_sample, mix
+from panelspark.llm.common import Scratch, chunks, is_blank, labelled_sample, mix, span_hashes, text_buffer, word_spans
 
 SAMPLE_ROWS = 8_000
 WINDOW = 8
+#: With more remembered tokens than this a worker starts anew.
+TOKENS = 4_000_000
 DISGUISED = 0.9
 #: Look-alike characters, quote marks, reporting words of the four languages.
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"})
@@ -134,15 +140,61 @@ class Pieces:
         return False
 
 
+class Letters:
+    """Which plain words can match a term at all, for many words at once.
+
+    An edit adds one letter to a word, takes one out, or both; so a word within k edits of a term misses at most k of its
+    letters and has at most k others, as sets and counted with repeats, and its length differs by k at most.  Letters fall
+    into 32 classes.
+    """
+
+    def __init__(self, terms: dict[str, str], pieces: Pieces):
+        self.terms, self.pieces = terms, pieces
+        self.near = [(len(t), allowed_edits(t, k), self.sets([t])[0], self.counts([t])[0]) for t, k in terms.items() if k == "word" and allowed_edits(t, k)]
+        self.stems = [(k, frozenset(t for t, kind in terms.items() if kind == "stem" and len(t) == k)) for k in sorted({len(t) for t, kind in terms.items() if kind == "stem"})]
+
+    @staticmethod
+    def sets(words: list[str]) -> np.ndarray:
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.bitwise_or.reduceat(np.uint32(1) << (codes & np.uint32(31)), np.cumsum(size) - size)
+
+    @staticmethod
+    def counts(words: list[str]) -> np.ndarray:
+        """How often each class is in a word, as words x 32 (up to 127)."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        flat = np.bincount(np.repeat(np.arange(len(words)), size) * 32 + (codes & np.uint32(31)), minlength=32 * len(words))
+        return np.minimum(flat, 127).astype(np.int8).reshape(-1, 32)
+
+    def may_match(self, words: list[str]) -> np.ndarray:
+        """words: not empty, letters only."""
+        size, own = np.fromiter(map(len, words), np.int64, len(words)), self.sets(words)
+        out = np.zeros(len(words), bool)
+        longest = max((n + k for n, k, _, _ in self.near), default=0)
+        short = np.flatnonzero(size <= longest)
+        counts = np.zeros((len(words), 32), np.int8)
+        if len(short):
+            counts[short] = self.counts([words[i] for i in short.tolist()])
+        for n, k, letters, term in self.near:
+            at = np.flatnonzero(~out & (np.abs(size - n) <= k) & (np.bitwise_count(letters & ~own) <= k) & (np.bitwise_count(own & ~letters) <= k))
+            gap = counts[at] - term
+            out[at] = (np.maximum(gap, 0).sum(1) <= k) & (np.maximum(-gap, 0).sum(1) <= k)
+        begins = [(0, k, t) for k, t in self.stems] + [(0, k, t) for k, t in self.pieces.stem_first] + [(i, j, t) for (i, j), t in self.pieces.stem_rest]
+        return out | np.fromiter((w in self.terms or any(w[i:j] in t for i, j, t in begins) for w in words), bool, len(words))
+
+
 @dataclass
 class Matcher:
     terms: dict[str, str]
     exceptions: frozenset[str] = frozenset()
     most: int = 2
     cache: dict = field(default_factory=dict, repr=False)
+    found: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
         self.trie, self.pieces = Trie(self.terms), Pieces(self.terms)
+        self.longest = max(map(len, self.terms), default=0) + 2 * self.most + 1
         stems = [t for t, k in self.terms.items() if k == "stem"]
         self.stems = [(k, frozenset(t for t in stems if len(t) == k)) for k in sorted({len(t) for t in stems})]
 
@@ -164,20 +216,29 @@ class Matcher:
         parts between inner marks, else the whole with its disguises."""
         if raw in self.cache:
             return self.cache[raw]
-        if len(self.cache) > 200_000:
+        if len(self.cache) > 50_000:
             self.cache.clear()
         plain = raw.casefold().strip(_EDGE)
         found = ()
-        if 2 < len(plain) < 40 and (hit := self.exact(plain)) and plain.isalpha():
+        if len(plain) > 2 and (hit := self.exact(plain)) and plain.isalpha():
             found = ((plain, hit, 0),)
         elif len(plain) > 2:
             parts = [] if plain.isalpha() else [p for p in _INNER.split(plain) if p != plain]
-            found = tuple((p, *h) for p in parts if 2 < len(p) < 40 and (h := self.word(p, p)))
-            if not found and len(plain) < 40 and (h := self.word(plain, raw)):
+            found = tuple((p, *h) for p in parts if len(p) > 2 and (h := self.word(p, p)))
+            if not found and (h := self.word(plain, raw)):
                 found = ((plain, *h),)
         self.cache[raw] = found
         return found
 
+    def search(self, form: str) -> str | None:
+        """The nearest term.  No word matches beyond the longest term and its edits, and of a stem's token only the beginning counts."""
+        form = form[:self.longest]
+        if form not in self.found:
+            if len(self.found) > 50_000:
+                self.found.clear()
+            self.found[form] = (self.trie.search(form, min(self.most, self.pieces.most), True) or (None,))[0]
+        return self.found[form]
+
     def word(self, plain: str, raw: str) -> tuple[str, int] | None:
         if hit := self.exact(plain):
             return hit, 0
@@ -187,7 +248,7 @@ class Matcher:
         for form in (plain,) if simple else self.forms(plain, raw):
             hit = None if simple else self.exact(form)
             if not hit and self.pieces.may_match(form):
-                hit = (self.trie.search(form, min(self.most, self.pieces.most), True) or (None,))[0]
+                hit = self.search(form)
             if hit:
                 return hit, 1
         return None
@@ -255,6 +316,55 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
 
 
+class TokenScan:
+    """Which texts of a column have a match at all."""
+
+    def __init__(self, matcher: Matcher):
+        self.matcher, self.keys, self.hit = matcher, np.empty(0, np.uint64), np.empty(0, bool)
+        self.letters = Letters(matcher.terms, matcher.pieces)
+
+    def new_hits(self, tokens: list[str]) -> np.ndarray:
+        """Plain words go through the letter sets first; all others are matched one by one."""
+        words = [t.casefold().strip(_EDGE) for t in tokens]
+        out = np.fromiter((len(w) > 2 for w in words), bool, len(words))
+        plain = [i for i, w in enumerate(words) if out[i] and w.isalpha() and not _REPEAT.search(w)]
+        if plain:
+            out[plain] = self.letters.may_match([words[i] for i in plain])
+        for i in np.flatnonzero(out).tolist():
+            out[i] = self.any_hit(tokens[i])
+        return out
+
+    def any_hit(self, token: str) -> bool:
+        """A run of bytes without ASCII white space may still hold other white space."""
+        return any(self.matcher.hits(t) for t in _TOKEN.findall(token))
+
+    def texts_with_hits(self, column: pa.Array) -> np.ndarray:
+        data, offs = text_buffer(column)
+        starts, ends, owner = word_spans(is_blank(data), offs)
+        out = np.zeros(len(column), bool)
+        if not len(starts):
+            return out
+        own, where, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > TOKENS:
+            self.keys, self.hit = np.empty(0, np.uint64), np.empty(0, bool)
+        at = np.minimum(np.searchsorted(self.keys, own), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == own if len(self.keys) else np.zeros(len(own), bool)
+        hit = np.zeros(len(own), bool)
+        hit[known] = self.hit[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = data.tobytes()
+            hit[new] = self.new_hits([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
+            place = np.searchsorted(self.keys, own[new])
+            self.keys, self.hit = np.insert(self.keys, place, own[new]), np.insert(self.hit, place, hit[new])
+        out[owner[hit[back]]] = True
+        return out
+
+
+#: The scan of the model in use, one per Python worker.
+_scans: dict[str, TokenScan] = {}
+
+
 def _words(text: str) -> set[str]:
     return {w for t in set(_TOKEN.findall(text)) if 3 < len(w := t.casefold().strip(_EDGE)) < 40}
 
@@ -342,10 +452,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = SAMPLE_ROWS) -> Tox
     terms = learn_lexicon(sample)
 
     def near(batches):
-        m, bad, seen = Matcher(terms), Counter(), Counter()
+        m, bad, seen, known = Matcher(terms), Counter(), Counter(), {}
+        scan = TokenScan(m)
         for b in chunks(batches, "text"):
-            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
-                for w in {w for t in set(_TOKEN.findall(text)) for w, _, kind in m.hits(t) if kind}:
+            own = [set(_TOKEN.findall(text)) for text in b.column("text").to_pylist()]
+            fresh = list(set().union(*own) - known.keys())
+            known |= zip(fresh, scan.new_hits(fresh).tolist())
+            for tokens, y in zip(own, b.column("y").to_pylist()):
+                for w in {w for t in tokens if known[t] for w, _, kind in m.hits(t) if kind}:
                     seen[w] += 1
                     bad[w] += y
         yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64()), pa.array([bad[w] for w in seen], pa.int64())], names=["w", "n", "bad"])
@@ -355,8 +469,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = SAMPLE_ROWS) -> Tox
     matcher = Matcher(terms, frozenset(exceptions))
 
     def features(batches):
+        scan = TokenScan(matcher)
         for b in chunks(batches, "text"):
-            x = np.array([matcher.features(t) for t in b.column("text").to_pylist()])
+            found = scan.texts_with_hits(b.column("text"))
+            x = np.array([matcher.features(t) if f else np.zeros(6) for t, f in zip(b.column("text").to_pylist(), found)])
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
     got = sample.mapInArrow(features, "y int, x array<double>").toPandas()
@@ -385,14 +501,21 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     Null and empty texts have no matches and get the model's base score.  Repeated rows are scored each; an existing
     column named score is replaced.
     """
-    cast = docs.sparkSession.sparkContext.broadcast((model.matcher.terms, model.matcher.exceptions, model.weights, model.bias))
+    cast = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.matcher.terms, model.matcher.exceptions, model.weights, model.bias))
     docs = docs.drop("score")
 
     def run(batches):
-        terms, exceptions, weights, bias = cast.value
-        m = ToxicityModel(Matcher(terms, exceptions), weights, bias)
+        name, terms, exceptions, weights, bias = cast.value
+        if name not in _scans:
+            _scans.clear()
+            _scans[name] = TokenScan(Matcher(terms, exceptions))
+        scan = _scans[name]
+        m = ToxicityModel(scan.matcher, weights, bias)
+        plain = m.score([""])[0]  # every text without a match
         for b in chunks(batches, "text"):
-            s = m.score([t or "" for t in b.column("text").to_pylist()])
+            s = np.full(b.num_rows, plain)
+            if len(found := np.flatnonzero(scan.texts_with_hits(b.column("text")))):
+                s[found] = m.score(b.column("text").take(pa.array(found)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "score"])
 
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double")
