@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
     "a04_feature_panel", "a07_robust_z", "a13_performance", "b02_walkforward_ic", "b03_rotation_signals", "b05_scaled_core_summary",
-    "b06_correlation_overlay", "b08_panel_allocators", "b12_hierarchical_book", "b15_registry_comparison", "b17_score_ranked_book", "g03_newey_west",
+    "b06_correlation_overlay", "b08_panel_allocators", "b12_capped_book", "b15_registry_comparison", "b17_score_ranked_book", "g03_newey_west",
     "g10_paired_bootstrap_sharpe", "g14_linear_shrinkage", "j04_asof_join", "j07_look_through", "j14_weight_changes", "l08_capped_redistribution",
     "l11_min_variance", "p08_live_names", "r02_head_to_head", "w03_momentum_12_1", "w08_expanding_quantile_gate", "w18_rolling_pair_corr", "w26_left_tail")
 

@@ -148,23 +148,21 @@ def g09i(v):
 
 
 # ------------------------------------------------------------------ stress, frontier, regimes
-def stress_months(v, n=24):
+def stress_months(ret, n=24):
     """Per decision: the n past months with the highest trailing market volatility (calendar-sized rows)."""
-    m = v.ret_b.groupBy("midx").agg(F.avg("ret").alias("r")).withColumn("vol", W.trailing_vol("r", Window.orderBy("midx"), 12, 12.0, min_periods=3)).where("vol is not null")
+    m = ret.groupBy("midx").agg(F.avg("ret").alias("r")).withColumn("vol", W.trailing_vol("r", Window.orderBy("midx"), 12, 12.0, min_periods=3)).where("vol is not null")
     last = m.agg(F.max("midx").alias("last"))
     d = attach_one(m.withColumnRenamed("midx", "t"), last).withColumn("midx", F.explode(F.sequence("t", "last")))
     return d.withColumn("k", F.row_number().over(Window.partitionBy("midx").orderBy(F.desc("vol"), "t"))).where(F.col("k") <= n).select("midx", "t")
 
 
-def decision_names(v):
-    """(midx, key): the names with a full trailing window at a decision."""
-    return live(v).select("midx", "key")
+def entries_over(ret, months, floor=5):
+    """Population covariance rows of every decision's names over its months (midx, t) in which all of them have a return.
 
-
-def entries_over(v, months):
-    """Population covariance rows of every decision's names over its months (midx, t) in which all of them have a return."""
-    r = v.ret_b.where("ret is not null").select("key", F.col("midx").alias("t"), "ret")
-    names = decision_names(v)
+    The names of a decision are those with a full trailing window.
+    """
+    r = ret.where("ret is not null").select("key", F.col("midx").alias("t"), "ret")
+    names = P.live_names(ret, LB, LB, floor).select("midx", "key")
     d = months.join(names, "midx").join(r, ["t", "key"])
     size = names.groupBy("midx").agg(F.count("*").alias("names"))
     full = d.groupBy("midx", "t").agg(F.count("*").alias("c")).join(size, "midx").where("c = names").select("midx", "t", "names")
@@ -172,9 +170,16 @@ def entries_over(v, months):
     return P.paired(d, ["midx", "t"], "key", "ret", own=True).groupBy("midx", "k1", "k2").agg(F.covar_pop("x", "y").alias("cov"), F.count("*").alias("n"))
 
 
-def stress_cov(v, n=24, least=12):
-    """Covariance over each decision's stress months, for decisions with at least `least` of them complete."""
-    return entries_over(v, stress_months(v, n)).where(F.col("n") >= least)
+def past_cov(ret, floor=5):
+    """Covariance over all complete months up to each decision."""
+    last = ret.agg(F.max("midx").alias("last"))
+    past = attach_one(ret.select(F.col("midx").alias("t")).distinct(), last).select("t", F.explode(F.sequence("t", "last")).alias("midx"))  # calendar-sized
+    return entries_over(ret, past, floor).drop("n")
+
+
+def blended_cov(ret, floor=5, lam=0.25, n=24, least=12):
+    """(1 - lam) of the past's covariance plus lam of the stress months', where at least `least` of these are complete."""
+    return V.blend(past_cov(ret, floor), entries_over(ret, stress_months(ret, n), floor).where(F.col("n") >= least), lam, ["midx"])
 
 
 STRESS = f"""{LIVE}, mk AS (SELECT midx, avg(ret) AS r FROM ret_b GROUP BY midx), sv AS (SELECT midx AS t, stddev_samp(r) OVER w*sqrt(12) AS vol, count(r) OVER w AS c FROM mk WINDOW w AS (ORDER BY midx ROWS 11 PRECEDING)),
@@ -188,9 +193,7 @@ STRESS = f"""{LIVE}, mk AS (SELECT midx, avg(ret) AS r FROM ret_b GROUP BY midx)
 SELECT st.midx, k1, k2, 0.75*un.cov+0.25*st.cov AS cov FROM st JOIN un USING (midx, k1, k2)""")
 def g16(v):
     v.shared("ret_b")
-    last = v.ret_b.agg(F.max("midx").alias("last"))
-    past = attach_one(v.ret_b.select(F.col("midx").alias("t")).distinct(), last).select("t", F.explode(F.sequence("t", "last")).alias("midx"))  # calendar-sized
-    return V.blend(entries_over(v, past).drop("n"), stress_cov(v), 0.25, ["midx"])
+    return blended_cov(v.ret_b)
 
 
 def frontier_series(v, c=None):
@@ -215,12 +218,6 @@ def g17(v):
     return frontier_series(v).select("*", *[c.alias(n) for n, c in V.tangency("r_mvp", "sigma_mvp", "u").items()])
 
 
-@query("g18_var_forecast", "midx:i rows:i r_mvp_hat:f sigma_mvp_hat:f u_hat:f")
-def g18(v):
-    v.shared("ret_b")
-    return A.var1_forecast(frontier_series(v), "midx", ["r_mvp", "sigma_mvp", "u"], 60)
-
-
 def sleeves(v):
     """Category sleeve returns of names with a year of prior history."""
     d = v.ret_s.withColumn("prior", F.count("ret").over(W.by("key", order="midx").rowsBetween(W.UNB, -1))).where("prior >= 12")
@@ -236,12 +233,6 @@ def regime_features(v):
     return m.join(c, "midx")
 
 
-@query("g19_regime_labels", "midx:i stress:i rows:i")
-def g19(v):
-    v.shared("ret_s")
-    return A.regime_labels(regime_features(v), "midx", ["vol", "corr", "spread"], "vol")
-
-
 @query("g20_markov_steady_state", "key st:i pi:f", """WITH s AS (SELECT key, midx, CASE WHEN ret > 0 THEN 1 ELSE 0 END AS st FROM ret_s WHERE ret IS NOT NULL), t AS (SELECT key, st AS a, lead(st) OVER (PARTITION BY key ORDER BY midx) AS b FROM s),
  p AS (SELECT key, avg(CASE WHEN a=0 THEN b END) AS p01, avg(CASE WHEN a=1 THEN 1-b END) AS p10 FROM t WHERE b IS NOT NULL GROUP BY key), q AS (SELECT key, greatest(1e-6, p01/(p01+p10)) AS q1, greatest(1e-6, p10/(p01+p10)) AS q0 FROM p)
 SELECT key, 0 AS st, q0/(q0+q1) AS pi FROM q UNION ALL SELECT key, 1, q1/(q0+q1) FROM q""")
@@ -257,47 +248,3 @@ def steady_state(t, keys):
     g = g.withColumn("q", F.coalesce(F.try_divide(F.coalesce("p01", F.lit(0.0)), tot), F.lit(0.5)))
     lo, hi = F.greatest(F.lit(1e-6), 1 - F.col("q")), F.greatest(F.lit(1e-6), F.col("q"))
     return g.select(*keys, F.inline(F.array(F.struct(F.lit(0).alias("st"), (lo / (lo + hi)).alias("pi")), F.struct(F.lit(1).alias("st"), (hi / (lo + hi)).alias("pi")))))
-
-
-@query("l18_regime_parity", "midx:i n:i sum_ok:b sign_ok:b")
-def l18(v):
-    """Frequency-weighted blend of per-regime equal-risk books over the volatility regimes of past months."""
-    v.shared("ret_s")
-    s = sleeves(v)
-    w1 = Window.orderBy("midx")  # one row per month
-    m = s.groupBy("midx").agg(F.avg("ret").alias("r")).withColumn("vol", W.trailing_vol("r", w1, 6, 12.0, min_periods=2)).where("vol is not null")
-    lab = m.select(F.col("midx").alias("t"), (F.col("vol") >= W.expanding_quantile("vol", w1, 0.5, 1, prior=False)).cast("int").alias("regime"))
-    r = s.where("ret is not null").select("key", F.col("midx").alias("t"), "ret").join(lab, "t")
-    last = r.agg(F.max("t").alias("last"))
-    d = attach_one(r, last).withColumn("midx", F.explode(F.sequence("t", "last")))  # calendar-bounded copies of five sleeves
-    a, b = (d.select("midx", "t", "regime", F.col("key").alias(k), F.col("ret").alias(x)) for k, x in (("k1", "x"), ("k2", "y")))
-    cov = a.join(b, ["midx", "regime", "t"]).where("k1 <= k2").groupBy("midx", "regime", "k1", "k2").agg(F.covar_pop("x", "y").alias("cov"), F.count("*").alias("n")).where("n >= 24")
-    cov = cov.withColumn("cov", F.col("cov") + F.when(F.col("k1") == F.col("k2"), 1e-8).otherwise(0.0))
-    w = A.allocate(cov, ["midx", "regime"], K.equal_risk)
-    pi = d.groupBy("midx", "regime").agg(F.count_distinct("t").alias("c"))
-    ok = w.select("midx", "regime").distinct()
-    pi = pi.join(ok, ["midx", "regime"]).withColumn("pi", F.col("c") / F.sum("c").over(Window.partitionBy("midx")))
-    blend = w.join(pi, ["midx", "regime"]).groupBy("midx", "key").agg(F.sum(F.col("weight") * F.col("pi")).alias("weight"))
-    return blend.groupBy("midx").agg(F.count("*").alias("n"), (F.abs(F.sum("weight") - 1) < 1e-9).alias("sum_ok"), (F.min("weight") > 0).alias("sign_ok"))
-
-
-@query("l19_resilient_equal_risk", "midx:i key weight:8 scalar:f")
-def l19(v):
-    """Equal risk on the stress-blended covariance, scaled by the breakdown rule, rest in cash."""
-    from panelspark.functions.scalar import breakdown_scalar
-    c = g16(v)
-    w = stage(A.allocate(c.withColumn("cov", F.col("cov") + F.when(F.col("k1") == F.col("k2"), 1e-8).otherwise(0.0)), ["midx"], K.equal_risk))
-    corr = P.mean_abs_corr(P.rolling_pair_corr(P.pair_returns(v.ret_b, []), [], 60, 6), ["midx"])
-    w = w.join(corr.select("midx", breakdown_scalar("mean_abs_corr", F.lit(0.1)).alias("scalar")), "midx")
-    return L.scaled_with_cash(w, ["midx"], "scalar", "CASH").join(w.select("midx", "scalar").distinct(), "midx")
-
-
-@query("l20_regime_allocation", "midx:i key weight:8 stress:i")
-def l20(v):
-    """Inverse volatility over the sleeves that the current state allows."""
-    v.shared("ret_s")
-    lab = A.regime_labels(regime_features(v), "midx", ["vol", "corr"], "vol")
-    s = sleeves(v)
-    d = s.withColumn("sd", F.stddev_samp("ret").over(W.by("key", order="midx").rangeBetween(-35, 0))).join(lab, "midx")
-    allowed = F.when(F.col("stress") == 1, F.col("key").isin("C0", "C1", "C2")).otherwise(F.col("key").isin("C2", "C3", "C4"))
-    return L.inverse_vol(d.where(allowed), ["midx"], "sd")

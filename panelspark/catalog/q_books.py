@@ -1,7 +1,7 @@
 """Verification queries: walk-forward books and grids."""
 from pyspark.sql import Window, functions as F
 
-from panelspark.catalog import q_alloc as QA, q_inference as QI, q_panel as QP, q_portfolio as QW, q_scores as QS
+from panelspark.catalog import book_sql as BS, q_alloc as QA, q_inference as QI, q_panel as QP, q_portfolio as QW, q_scores as QS
 from panelspark.catalog.base import query
 from panelspark.functions.scalar import attach_one
 from panelspark.operators import allocate as A, calendar as C, covariance as V, kernels as K, panel as P, portfolio as L, quality as Q, scores as S, windows as W
@@ -200,42 +200,6 @@ def b08e(v):
     return B.run_book(w, v.ret_b, ["strategy"])
 
 
-@query("b09_dual_regime", "trial_id n:i cagr:f vol:f sharpe_rf0:f maxdd:f stress_mean:f")
-def b09(v):
-    v.shared("ret_s")
-    s = QA.sleeves(v)
-    s = stage(s)
-    d = s.withColumn("sd", F.stddev_samp("ret").over(W.by("key", order="midx").rangeBetween(-35, 0))).where("sd is not null")
-    feats = stage(QA.regime_features(v))
-    labels = A.regime_labels(feats, "midx", ["vol", "corr"], "vol", 24).select("midx", "stress", F.lit("vol_corr").alias("fs")).unionByName(
-        A.regime_labels(feats, "midx", ["vol", "corr", "spread"], "vol", 24).select("midx", "stress", F.lit("vol_corr_spread").alias("fs")))
-    d = d.join(stage(labels), "midx")
-    stress_ok, calm_ok = F.col("key").isin("C0", "C1", "C2"), F.col("key").isin("C2", "C3", "C4")
-    dual = d.where(F.when(F.col("stress") == 1, stress_ok).otherwise(calm_ok))
-    base = d.where("fs = 'vol_corr_spread'")
-    sets = {"dual": dual, "unconditional": base, "always_calm": base.where(calm_ok)}
-    out = None
-    for name, x in sets.items():
-        for alloc, fn in (("ew", lambda y: L.equal_weight(y, ["midx", "fs"])), ("ivol", lambda y: L.inverse_vol(y, ["midx", "fs"], "sd"))):
-            w = fn(x).select("midx", "key", "weight", F.concat_ws("_", F.lit(name), "fs", F.lit(alloc)).alias("trial_id"))
-            out = w if out is None else out.unionByName(w)
-    book = stage(B.run_book(out, s, ["trial_id"], baseline="drifted", cost_bps=0.0))
-    # bottom market quintile, after the fact: a diagnostic only; one row per month
-    mkt = s.groupBy((F.col("midx") - 1).alias("midx")).agg(F.avg("ret").alias("m"))
-    cut = mkt.agg(F.percentile("m", F.lit(0.2))).scalar()
-    bad = mkt.where(F.col("m") <= cut).select("midx")
-    st = book.join(bad, "midx", "left_semi").groupBy("trial_id").agg(F.avg("net").alias("stress_mean"))
-    return B.performance(book, ["trial_id"], "midx", "net").join(st, "trial_id", "left")
-
-
-@query("b09_regime_transitions", "a:i b:i n:i p:f")
-def b09t(v):
-    lab = A.regime_labels(QA.regime_features(v), "midx", ["vol", "corr"], "vol", 24)
-    d = lab.withColumn("nxt", F.lead("stress").over(Window.orderBy("midx"))).where("nxt is not null")  # one row per month
-    g = d.groupBy(F.col("stress").alias("a"), F.col("nxt").alias("b")).agg(F.count("*").alias("n"))
-    return g.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("a")))
-
-
 # ------------------------------------------------------------------ weekly windows
 def weekly(v):
     week = F.date_add(F.date_trunc("week", "date").cast("date"), 4)
@@ -268,50 +232,80 @@ def b10(v):
     return B.performance(book, ["strategy"], "midx", "net").join(L.concentration(w, ["strategy"], "midx").select("strategy", "eff_n_mean"), "strategy")
 
 
-@query("b11_anchored_book", "trial_id cost_bps:i n:i cagr:f vol:f maxdd:f")
-def b11(v):
-    """Anchor, trend-filtered anchor and their blends, with drifted turnover and a cost stress."""
+TREND = f"""{QA.LIVE}, tx AS (SELECT key, midx, CASE WHEN count(ex) OVER p = 11 THEN exp(sum(ln(1+ex)) OVER p)-1 END AS mom FROM (SELECT key, r.midx, ret-rate AS ex FROM ret_b r JOIN rates USING (month)) WINDOW p AS (PARTITION BY key ORDER BY midx RANGE BETWEEN 11 PRECEDING AND 1 PRECEDING)),
+ ti AS (SELECT lv.midx, key, (1/greatest(sd,1e-8))/sum(1/greatest(sd,1e-8)) OVER (PARTITION BY lv.midx) AS a, mom > 0 AND sd > 0 AS up FROM lv LEFT JOIN tx USING (key, midx)), tt AS (SELECT *, sum(CASE WHEN up THEN a ELSE 0 END) OVER (PARTITION BY midx) AS t FROM ti),
+ bw AS (SELECT 'anchor_w'||lpad(CAST(s AS VARCHAR), 3, '0') AS id, midx, key, (s*a + (100-s)*CASE WHEN t > 0 THEN CASE WHEN up THEN a ELSE 0 END/t ELSE a END)/100 AS weight FROM tt, (VALUES (0),(50),(75),(100)) g(s))"""
+COSTS = (5, 10, 25)
+
+
+def anchor_trend(v):
+    """Inverse-volatility anchor, the anchor filtered by trend, and blends of both."""
     v.shared("ret_b")
     x = stage(QA.trend_inputs(v))
     anchor = x.select("midx", "key", F.col("anchor").alias("weight"))
     trend = L.trend_filtered(x.withColumn("weight", F.col("anchor")), ["midx"], "signal").select("midx", "key", "weight")
     both = anchor.withColumnRenamed("weight", "a").join(trend.withColumnRenamed("weight", "t"), ["midx", "key"])
     both = both.withColumn("s", F.explode(F.array(*[F.lit(k) for k in (0, 50, 75, 100)])))
-    out = both.select("midx", "key", ((F.col("s") * F.col("a") + (100 - F.col("s")) * F.col("t")) / 100.0).alias("weight"), F.format_string("anchored_w%03d", "s").alias("trial_id"))
-    book = B.run_book(out, v.ret_b, ["trial_id"], baseline="drifted")
-    book = book.withColumn("cost_bps", F.explode(F.array(F.lit(5), F.lit(10), F.lit(25))))
-    book = book.withColumn("net", F.col("gross") - F.col("turnover") * F.col("cost_bps") / 10000.0)
-    return B.performance(book, ["trial_id", "cost_bps"], "midx", "net")
+    return both.select("midx", "key", ((F.col("s") * F.col("a") + (100 - F.col("s")) * F.col("t")) / 100.0).alias("weight"), F.format_string("anchor_w%03d", "s").alias("trial_id"))
 
 
-@query("b12_hierarchical_book", "strategy n:i cagr:f vol:f maxdd:f eff_n_mean:f cap_ok:b")
-def b12(v):
-    v.shared("ret_b")
-    w = kernel_books(v, {"minvar_lw": K.min_variance, "erc": K.equal_risk})
-    w = w.join(v.uni_b.select("key", F.col("cash_like").alias("flag")), "key")
-    w = stage(L.capped_frozen(stage(w), ["strategy", "midx"], "flag", name_cap=0.20, group_cap=0.30))
-    book = B.run_book(w, v.ret_b, ["strategy"], baseline="drifted")
-    ok = w.groupBy("strategy").agg((F.max("weight") <= 0.20 + 1e-8).alias("cap_ok"))
-    return B.performance(book, ["strategy"], "midx", "net").join(L.concentration(w, ["strategy"], "midx").select("strategy", "eff_n_mean"), "strategy").join(ok, "strategy")
+def stressed(book):
+    """The same book at three costs a side."""
+    d = book.withColumn("cost_bps", F.explode(F.array(*[F.lit(c) for c in COSTS])))
+    return d.withColumn("net", F.col("gross") - F.col("turnover") * F.col("cost_bps") / 10000.0)
+
 
+ANCHOR = f"""WITH {TREND}, {BS.book_sql('bk', 'bw', 'ret_b')}, nb AS (SELECT id, midx, cost_bps, gross-turnover*cost_bps/10000 AS net FROM bk, (VALUES {', '.join(f'({c})' for c in COSTS)}) c(cost_bps))"""
 
-@query("b13_frontier_forecast", "midx:i r_tp_hat:f sigma_tp_hat:f r_mvp_hat:f r_mvp:f gap:f")
-def b13(v):
+
+@query("b11_anchor_trend_book", "trial_id cost_bps:i n:i cagr:f vol:f maxdd:f", f"{ANCHOR}, {BS.performance_sql('pf', 'nb', 'id, cost_bps')} SELECT id AS trial_id, cost_bps, n, cagr, vol, maxdd FROM pf")
+def b11(v):
+    """Anchor, trend-filtered anchor and their blends, with drifted turnover and a cost stress."""
+    return B.performance(stressed(B.run_book(anchor_trend(v), v.ret_b, ["trial_id"], baseline="drifted")), ["trial_id", "cost_bps"], "midx", "net")
+
+
+@query("b11_anchor_trend_periods", "trial_id period n:i cagr:f vol:f maxdd:f beats_anchor:b", f"""{ANCHOR}, md AS (SELECT median(midx) AS m FROM (SELECT DISTINCT midx FROM nb WHERE net IS NOT NULL)),
+ sp AS (SELECT id, 'full' AS period, midx, net FROM nb WHERE cost_bps=5 UNION ALL SELECT id, CASE WHEN midx <= m THEN 'first half' ELSE 'second half' END, midx, net FROM nb, md WHERE cost_bps=5), {BS.performance_sql('pf', 'sp', 'id, period')}
+SELECT p.id AS trial_id, p.period, p.n, p.cagr, p.vol, p.maxdd, p.id <> 'anchor_w100' AND p.sharpe_rf0 > a.sharpe_rf0 AS beats_anchor FROM pf p JOIN pf a ON a.period=p.period AND a.id='anchor_w100'""")
+def b11p(v):
+    """Both halves of the calendar, and whether a blend is better than the anchor alone in each: eligible if in all."""
+    book = stage(B.run_book(anchor_trend(v), v.ret_b, ["trial_id"], baseline="drifted").where("net is not null").select("trial_id", "midx", "net"))
+    mid = book.select("midx").distinct().agg(F.percentile("midx", F.lit(0.5))).scalar()
+    both = book.withColumn("period", F.explode(F.array(F.lit("full"), F.when(F.col("midx") <= mid, "first half").otherwise("second half"))))
+    p = stage(B.performance(both, ["trial_id", "period"], "midx", "net"))
+    a = p.where("trial_id = 'anchor_w100'").select("period", F.col("sharpe_rf0").alias("own"))
+    return p.join(a, "period").withColumn("beats_anchor", (F.col("trial_id") != "anchor_w100") & (F.col("sharpe_rf0") > F.col("own")))
+
+
+CAPW = f"""{QA.LIVE}, src AS (SELECT 'inverse_vol' AS id, midx, key, (1/greatest(sd,1e-8))/sum(1/greatest(sd,1e-8)) OVER (PARTITION BY midx) AS weight, equity_only AS flag FROM lv JOIN uni_b USING (key)
+  UNION ALL SELECT 'equal_weight', midx, key, 1.0/count(*) OVER (PARTITION BY midx), equity_only FROM lv JOIN uni_b USING (key)), {QW.frozen_sql('src', 'id, midx', 0.30, 0.06)}, bw AS (SELECT id, midx, k AS key, w AS weight FROM fz)"""
+
+
+def capped_books(v, w):
+    """Books under a group cap of 30 % and a name cap of 6 %, with what the caps did."""
+    w = stage(w.join(v.uni_b.select("key", F.col("equity_only").alias("flag")), "key"))
+    c = stage(L.capped_frozen(w, ["strategy", "midx"], "flag", 0.06, 0.30, "binding"))
+    caps = L.cap_report(w, c, ["strategy", "midx"], "flag", "binding")
+    caps = caps.groupBy("strategy").agg(((F.max("largest_post") <= 0.06 + 1e-8) & (F.max("share_post") <= 0.30 + 1e-8)).alias("cap_ok"), F.count_if("group_binds").alias("group_bound"), F.count_if(F.col("names_bound") != "").alias("names_bound"))
+    book = B.run_book(c.select("strategy", "midx", "key", "weight"), v.ret_b, ["strategy"], baseline="drifted")
+    return B.performance(book, ["strategy"], "midx", "net").join(L.concentration(c, ["strategy"], "midx").select("strategy", "eff_n_mean"), "strategy").join(caps, "strategy")
+
+
+@query("b12_capped_book", "strategy n:i cagr:f vol:f maxdd:f eff_n_mean:f cap_ok:b group_bound:i names_bound:i", f"""WITH RECURSIVE {CAPW}, {BS.book_sql('bk', 'bw', 'ret_b')}, {BS.performance_sql('pf', 'bk')}, ef AS (SELECT id, avg(e) AS eff_n_mean FROM (SELECT id, midx, 1/sum(weight*weight) AS e FROM bw GROUP BY ALL) GROUP BY id),
+ cp AS (SELECT id, max(mx) <= 0.06+1e-8 AND max(sh) <= 0.30+1e-8 AS cap_ok, count(*) FILTER (g) AS group_bound, count(*) FILTER (b) AS names_bound FROM (SELECT id, midx, max(w) AS mx, sum(CASE WHEN f THEN w ELSE 0 END) AS sh, any_value(gb) AS g, bool_or(n) AS b FROM fz GROUP BY ALL) GROUP BY id)
+SELECT id AS strategy, n, cagr, vol, maxdd, eff_n_mean, cap_ok, group_bound, names_bound FROM pf JOIN ef USING (id) JOIN cp USING (id)""")
+def b12(v):
     v.shared("ret_b")
-    f = A.var1_forecast(QA.frontier_series(v), "midx", ["r_mvp", "sigma_mvp", "u"], 60)
-    f = f.select("midx", "r_mvp_hat", *[c.alias(f"{n}_hat") for n, c in V.tangency("r_mvp_hat", "sigma_mvp_hat", "u_hat").items()])
-    return f.join(QA.frontier_series(v).select("midx", "r_mvp"), "midx").withColumn("gap", F.col("r_mvp_hat") - F.col("r_mvp"))
+    d = stage(P.live_names(v.ret_b, QA.LB, QA.LB, 5).select("midx", "key", "sd"))
+    w = L.inverse_vol(d, ["midx"], "sd").withColumn("strategy", F.lit("inverse_vol")).unionByName(L.equal_weight(d, ["midx"]).withColumn("strategy", F.lit("equal_weight")))
+    return capped_books(v, w.select("strategy", "midx", "key", "weight"))
 
 
-@query("b14_resilient_book", "trial_id n:i cagr:f vol:f maxdd:f mean_cash:f")
-def b14(v):
+@query("b12_capped_optimisers", "strategy n:i cagr:f vol:f maxdd:f eff_n_mean:f cap_ok:b group_bound:i names_bound:i")
+def b12k(v):
+    """Minimum variance and equal risk under the same caps."""
     v.shared("ret_b")
-    w = stage(QA.l19(v).select("midx", "key", "weight"))
-    cash = w.where("key = 'CASH'").agg(F.avg("weight").alias("mean_cash"))
-    zero = v.ret_b.select(F.lit("CASH").alias("key"), "midx", F.lit(0.0).alias("ret")).distinct()
-    ret = v.ret_b.select("key", "midx", "ret").unionByName(zero)
-    book = B.run_book(w.withColumn("trial_id", F.lit("resilient")), ret, ["trial_id"], missing="skip")
-    return attach_one(B.performance(book, ["trial_id"], "midx", "net"), cash)
+    return capped_books(v, kernel_books(v, {"minvar_lw": K.min_variance, "erc": K.equal_risk}))
 
 
 # ------------------------------------------------------------------ comparison and gates

@@ -41,6 +41,57 @@ def r03(v):
     return R.subject_profile(v.trial_ret, "trial_id")
 
 
+STRESS = (("spring_1994", 1994 * 12 + 2, 1994 * 12 + 6), ("year_1996", 1996 * 12 + 1, 1996 * 12 + 12), ("late_1997", 1997 * 12 + 7, 1998 * 12 + 3))
+COMMON, BOOKS = (1993 * 12 + 6, 1997 * 12 + 12), (1995 * 12 + 1, 1998 * 12 + 6)
+CORE = "AUTOMOBILE_R0"
+SIDES = f"""core AS (SELECT midx, ret AS core FROM trial_ret WHERE trial_id='{CORE}'), sd AS (SELECT t.trial_id, t.midx, year(t.month) AS yr, t.ret, t.ret-rate AS ex, core, core-rate AS cx FROM trial_ret t JOIN core USING (midx) JOIN rates USING (month)),
+ mk AS (SELECT midx, avg(ret) AS ret FROM trial_ret GROUP BY midx), ms AS (SELECT *, exp(sum(ln(1+ret)) OVER (ORDER BY midx)) AS wl, CASE WHEN count(*) OVER w = 12 THEN stddev_samp(ret) OVER w*sqrt(12) END AS vol FROM mk WINDOW w AS (ORDER BY midx ROWS 11 PRECEDING)),
+ st AS (SELECT midx, CASE WHEN dd > -0.05 THEN 'Up' WHEN dd > -0.20 THEN 'Correction' ELSE 'Bear' END AS dd_state, CASE WHEN vol > med THEN 'High vol' WHEN vol IS NOT NULL THEN 'Low vol' END AS vol_state FROM (SELECT *, wl/greatest(1.0, max(wl) OVER (ORDER BY midx))-1 AS dd, quantile_cont(vol, 0.5) OVER () AS med FROM ms))"""
+
+
+def _sides(v):
+    """Subject and core returns, also over the rate, on the months with both."""
+    core = v.trial_ret.where(F.col("trial_id") == CORE).select("midx", F.col("ret").alias("core"))
+    d = v.trial_ret.join(core, "midx").join(v.rates.select("month", "rate"), "month")
+    return d.select("trial_id", "month", "midx", "ret", (F.col("ret") - F.col("rate")).alias("ex"), "core", (F.col("core") - F.col("rate")).alias("core_ex"))
+
+
+def _market_states(v):
+    w = Window.orderBy("midx")  # one row per month
+    m = W.drawdown(v.trial_ret.groupBy("midx").agg(F.avg("ret").alias("ret")).withColumn("vol", W.trailing_vol("ret", w, 12, 12.0)), w)
+    med = m.agg(F.percentile("vol", F.lit(0.5))).scalar()
+    return m.select("midx", W.drawdown_state("dd").alias("dd_state"), F.when(F.col("vol") > med, "High vol").when(F.col("vol").isNotNull(), "Low vol").alias("vol_state"))
+
+
+@query("r03_window_blocks", "trial_id block span months:i total:f cagr:f vol:f sharpe:f core_total:f total_diff:f beta:f corr:f", f"""WITH {SIDES}, wm AS (
+ SELECT 'own' AS block, 'all' AS span, midx FROM mk UNION ALL SELECT 'common', 'common', midx FROM mk WHERE midx BETWEEN {COMMON[0]} AND {COMMON[1]} UNION ALL SELECT 'books', 'books', midx FROM mk WHERE midx BETWEEN {BOOKS[0]} AND {BOOKS[1]}
+ UNION ALL SELECT DISTINCT 'year', CAST(yr AS VARCHAR), midx FROM sd UNION ALL SELECT 'drawdown_state', dd_state, midx FROM st UNION ALL SELECT 'vol_state', vol_state, midx FROM st WHERE vol_state IS NOT NULL
+ UNION ALL SELECT 'stress', s.n, midx FROM mk JOIN (VALUES {', '.join(f"('{n}', {a}, {b})" for n, a, b in STRESS)}) s(n, a, b) ON midx BETWEEN a AND b)
+SELECT trial_id, block, span, count(*) AS months, exp(sum(ln(1+ret)))-1 AS total, pow(exp(sum(ln(1+ret))), 12.0/count(*))-1 AS cagr, stddev_samp(ret)*sqrt(12) AS vol, CASE WHEN count(*) >= 12 THEN avg(ex)*12/nullif(stddev_samp(ex)*sqrt(12), 0) END AS sharpe,
+ exp(sum(ln(1+core)))-1 AS core_total, exp(sum(ln(1+ret)))-exp(sum(ln(1+core))) AS total_diff, covar_samp(ret, core)/nullif(var_samp(core), 0) AS beta, covar_samp(ret, core)/nullif(stddev_samp(ret)*stddev_samp(core), 0) AS corr FROM sd JOIN wm USING (midx) GROUP BY ALL""")
+def r03w(v):
+    """Own, common, books, calendar-year, regime and stress blocks of every subject against the core, from one set of running sums."""
+    v.shared("trial_ret")
+    s = _sides(v)
+    span = v.trial_ret.agg(F.min("midx").alias("start"), F.max("midx").alias("stop")).select(F.lit("own").alias("block"), F.lit("all").alias("window"), "start", "stop")
+    fixed = v.rows("block string, window string, start int, stop int", ("common", "common", *COMMON), ("books", "books", *BOOKS), *[("stress", *x) for x in STRESS])
+    years = v.trial_ret.select(F.year("month").alias("y")).distinct().select(F.lit("year").alias("block"), F.col("y").cast("string").alias("window"), (F.col("y") * 12 + 1).alias("start"), (F.col("y") * 12 + 12).alias("stop"))
+    m = _market_states(v)
+    windows = span.unionByName(fixed).unionByName(years).unionByName(R.state_windows(m, "drawdown_state", "dd_state")).unionByName(R.state_windows(m, "vol_state", "vol_state"))
+    return R.window_stats(s, windows, "trial_id").withColumnRenamed("window", "span")
+
+
+@query("r03_curves_vs_core", "trial_id block midx:i value:f", f"""WITH {SIDES}, c AS (SELECT *, exp(sum(ln(1+ret)) OVER o) AS growth, exp(sum(ln(1+core)) OVER o) AS core_growth, CASE WHEN count(*) OVER y = 12 THEN exp(sum(ln(1+ret)) OVER y)-exp(sum(ln(1+core)) OVER y) END AS rolling_excess,
+  CASE WHEN count(*) OVER z = 36 THEN avg(ex) OVER z*12/nullif(stddev_samp(ex) OVER z*sqrt(12), 0) END AS rs, CASE WHEN count(*) OVER z = 36 THEN avg(cx) OVER z*12/nullif(stddev_samp(cx) OVER z*sqrt(12), 0) END AS rc
+  FROM sd WINDOW o AS (PARTITION BY trial_id ORDER BY midx), y AS (PARTITION BY trial_id ORDER BY midx ROWS 11 PRECEDING), z AS (PARTITION BY trial_id ORDER BY midx ROWS 35 PRECEDING)),
+ d AS (SELECT *, core_growth/greatest(1.0, max(core_growth) OVER (PARTITION BY trial_id ORDER BY midx))-1 AS core_drawdown FROM c),
+ u AS (SELECT trial_id, unnest(['growth','core_growth','cumulative_excess','rolling_excess','core_drawdown','rolling_sharpe','core_rolling_sharpe','rolling_sharpe_diff']) AS block, midx, unnest([growth, core_growth, growth-core_growth, rolling_excess, core_drawdown, rs, rc, rs-rc]) AS value FROM d)
+SELECT * FROM u WHERE value IS NOT NULL""")
+def r03c(v):
+    v.shared("trial_ret")
+    return R.curves_vs_core(_sides(v), "trial_id")
+
+
 def _board(v):
     from panelspark.plans.books import performance
     rows = performance(v.trial_ret.select(F.col("trial_id").alias("id"), "month", "ret"), ["id"], "month", "ret").select("id", "cagr", "maxdd", "n")

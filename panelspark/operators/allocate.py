@@ -5,10 +5,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from panelspark.functions.scalar import attach_one
-from panelspark.operators import kernels as K
+from panelspark.operators.covariance import augmented, solve
 
 MAX_NAMES = 2000  # 2 million rows with two names each, some 400 MB in a worker; larger sets raise and belong in sleeves
 
@@ -73,48 +72,53 @@ def frontier_scalars(entries: DataFrame, means: DataFrame, group: list[str]) ->
     return d.groupBy(*group).applyInPandas(one, _schema(entries, group, "a double, b double, c double"))
 
 
-def var1_forecast(df: DataFrame, order: str, columns: list[str], lookback: int, min_rows: int = 13) -> DataFrame:
-    """VAR(1) one-step forecast from the rows before each decision; no-change when history is short.
+def var1_forecast(df: DataFrame, keys: list[str], order: str, columns: list[str], lookback: int, min_rows: int = 13) -> DataFrame:
+    """One-step forecast of a vector by a VAR(1) on the `lookback` rows before each decision; no change (the last row) where
+    there are fewer than min_rows or the system is singular.  A row without any history is left out.
 
-    Each row is copied to the ``lookback`` decisions that see it, so a task holds one window.
+    Each equation has an intercept, so slopes follow from covariances: these are frame aggregates over pairs of neighbouring
+    rows, and the system of the columns is solved in an expression; no row is copied to the decisions that see it.
     """
-    seen = df.select(F.col(order).alias("_t"), *columns, F.explode(F.sequence(F.col(order) + 1, F.col(order) + lookback)).alias(order))
-    seen = seen.join(df.select(order), order, "left_semi")
-
-    def one(key, pdf):
-        h = pdf.sort_values("_t")[columns].to_numpy(float)
-        out = h[-1]
-        if len(h) >= min_rows:
-            x = np.column_stack([np.ones(len(h) - 1), h[:-1]])
-            out = np.array([1.0, *h[-1]]) @ np.linalg.lstsq(x, h[1:], rcond=None)[0]
-        return pd.DataFrame({order: [key[0]], **{f"{c}_hat": [v] for c, v in zip(columns, out)}, "rows": [len(h)]})
-    return seen.groupBy(order).applyInPandas(one, _schema(df, [order], ", ".join(f"{c}_hat double" for c in columns) + ", rows int"))
+    w = Window.partitionBy(*keys).orderBy(order)
+    d = df.select(*keys, order, *columns, *[F.lag(c).over(w).alias(f"_p{i}") for i, c in enumerate(columns)], (F.row_number().over(w) - 1).alias("_before"))
+    f, n = w.rowsBetween(-lookback + 1, -1), len(columns)
+    out = {f"a_{i}_{j}": F.covar_pop(f"_p{i}", f"_p{j}").over(f) for i in range(n) for j in range(i, n)}
+    out |= {f"y{q}_{i}": F.covar_pop(f"_p{i}", c).over(f) for q, c in enumerate(columns) for i in range(n)}
+    paired = lambda c: F.avg(F.when(F.col("_p0").isNotNull(), F.col(c))).over(f)
+    out |= {f"_mx{i}": F.avg(f"_p{i}").over(f) for i in range(n)} | {f"_my{q}": paired(c) for q, c in enumerate(columns)}
+    d = d.withColumns(out).withColumn("_s", solve(augmented(n, [[F.col(f"y{q}_{i}") for i in range(n)] for q in range(n)]), n))
+    d = d.withColumn("rows", F.least("_before", F.lit(lookback)).cast("int")).where("rows > 0")
+    fit = {q: sum((F.col("_s")[i][n + q] * (F.col(f"_p{i}") - F.col(f"_mx{i}")) for i in range(n)), F.col(f"_my{q}")) for q in range(n)}
+    return d.select(*keys, order, *[F.coalesce(F.when(F.col("rows") >= min_rows, fit[q]), F.col(f"_p{q}")).alias(f"{c}_hat") for q, c in enumerate(columns)], "rows")
 
 
 def regime_labels(df: DataFrame, order: str, columns: list[str], vol: str, min_rows: int = 36, lookback: int | None = None,
-                  group: list[str] = ()) -> DataFrame:
-    """Walk-forward two-state label of the last row of each expanding (or rolling) window.
-
-    A calendar has at most a few thousand periods; history rows fan out to the later decisions.
+                  group: list[str] = (), steps: int = 8) -> DataFrame:
+    """Walk-forward two-state label (stress) of every row from `min_rows` rows on, without looking ahead.
+
+    Two-means where a row's state is decided at its own date: its distance, in that date's standard deviations, to the mean of
+    the rows of either state up to that date (or among the last `lookback` periods).  The states begin as the nearer of the
+    calmest and the wildest row so far, and `steps` rounds move the means.  A round is two conditional frame averages for each
+    column over the states of the round before, so a row is in the frames of later dates and copied to none.  Stress is the
+    state with the higher mean volatility; a past of equal rows is calm.  settled: whether the last round changed nothing.
     """
-    g = list(group)
-    rows = df.where(" and ".join(f"{c} is not null" for c in columns)).select(*g, order, vol, *[c for c in columns if c != vol])
-    a, b = rows.select(*g, F.col(order).alias("_d")), rows.withColumnRenamed(order, "_t")
-    if lookback:
-        b = b.withColumn("_d", F.explode(F.sequence(F.col("_t"), F.col("_t") + lookback - 1)))
-        seen = b.join(a, [*g, "_d"], "left_semi")
-    else:
-        last = rows.groupBy(*g).agg(F.max(order).alias("_last"))
-        b = b.join(last, g) if g else attach_one(b, last)
-        b = b.withColumn("_d", F.explode(F.sequence("_t", "_last"))).drop("_last")
-        seen = b.join(a, [*g, "_d"], "left_semi")
-    cols = [vol, *[c for c in columns if c != vol]]
-
-    def one(key, pdf):
-        pdf = pdf.sort_values("_t")
-        n = len(pdf)
-        state = K.two_states(pdf[cols].to_numpy(float), pdf[vol].to_numpy(float))[-1] if n >= min_rows else -1
-        return pd.DataFrame({**{k: [v] for k, v in zip([*g, order], key)}, "stress": [int(state)], "rows": [n]})
-    seen = seen.withColumnRenamed("_d", order)
-    out = seen.groupBy(*g, order).applyInPandas(one, _schema(seen, [*g, order], "stress int, rows int"))
-    return out.where("stress >= 0")
+    g, cols = list(group), [vol, *[c for c in columns if c != vol]]
+    w = Window.partitionBy(*g).orderBy(order)
+    f = w.rangeBetween(Window.unboundedPreceding if lookback is None else -lookback + 1, 0)
+    d = df.where(" and ".join(f"{c} is not null" for c in cols)).select(*g, order, *cols)
+    own = F.struct(*cols)
+    d = d.withColumns({"rows": F.count("*").over(f).cast("int"), "_lo": F.min_by(own, vol).over(f), "_hi": F.max_by(own, vol).over(f)}
+                      | {f"_sd_{c}": F.coalesce(F.nullif(F.stddev_samp(c).over(f), F.lit(0.0)), F.lit(1.0)) for c in cols})
+
+    def nearest(centre):
+        away = [sum((F.pow((F.col(c) - centre(k, c)) / F.col(f"_sd_{c}"), F.lit(2.0)) for c in cols), F.lit(0.0)) for k in (0, 1)]
+        return (away[1] < away[0]).cast("int")
+    d = d.withColumn("_state", nearest(lambda k, c: F.col(f"_{('lo', 'hi')[k]}.{c}")))
+    for _ in range(steps):
+        means = {f"_m{k}_{c}": F.avg(F.when(F.col("_state") == k, F.col(c))).over(f) for k in (0, 1) for c in cols}
+        d = d.withColumns(means).withColumnRenamed("_state", "_was")
+        d = d.withColumn("_state", nearest(lambda k, c: F.coalesce(F.col(f"_m{k}_{c}"), F.col(f"_{('lo', 'hi')[k]}.{c}")))).withColumn("settled", F.col("_state") == F.col("_was")).drop("_was")
+    mean = {k: F.avg(F.when(F.col("_state") == k, F.col(vol))).over(f) for k in (0, 1)}
+    d = d.withColumns({"_v0": mean[0], "_v1": mean[1]})
+    stress = F.when(F.col("_v1").isNull(), 0).when(F.col("_v0").isNull() | (F.col("_v1") >= F.col("_v0")), F.col("_state")).otherwise(1 - F.col("_state"))
+    return d.where(F.col("rows") >= min_rows).select(*g, order, stress.alias("stress"), "rows", "settled")

@@ -97,6 +97,65 @@ def equal_risk_certificate(weights: DataFrame, entries: DataFrame, keys: list[st
                                 (F.max("risk_share") - F.min("risk_share") < tol).alias("parity_ok"))
 
 
+def wide_matrix(entries: DataFrame, keys: list[str], names: list[str], cov: str = "cov") -> DataFrame:
+    """Columns a_i_j (i <= j) of every decision that has all entries of a short literal list of names, in that order."""
+    cells = {f"a_{i}_{j}": F.max(F.when((F.least("k1", "k2") == min(x, y)) & (F.greatest("k1", "k2") == max(x, y)), F.col(cov))) for i, x in enumerate(names) for j, y in enumerate(names) if i <= j}
+    return entries.groupBy(*keys).agg(*[c.alias(n) for n, c in cells.items()]).dropna(subset=list(cells))
+
+
+def solve(matrix: Column, n: int) -> Column:
+    """Rows of an augmented n x (n + m) system after Gauss-Jordan steps: entry n + k of row i is x_i for right side k.
+
+    For symmetric positive matrices, so without exchanging rows; a zero pivot gives NULL.  One compact expression: unrolled
+    columns would be copied into each other by the optimizer.
+    """
+    def step(rows, k):
+        head = F.get(rows, k)
+        pivot = F.get(head, k)
+        return F.transform(rows, lambda row, i: F.when(i == k, F.transform(head, lambda v: F.try_divide(v, pivot))).otherwise(
+            F.zip_with(row, head, lambda v, h: v - F.try_divide(F.get(row, k) * h, pivot))))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), matrix, step)
+
+
+def augmented(n: int, rhs: list, cell: str = "a") -> Column:
+    """Columns <cell>_i_j (i <= j) and right sides, each a list of n columns, as rows of a system."""
+    at = lambda i, j: F.col(f"{cell}_{min(i, j)}_{max(i, j)}")
+    return F.array(*[F.array(*[at(i, j) for j in range(n)], *[r[i] for r in rhs]) for i in range(n)])
+
+
+def wide_frontier(wide: DataFrame, means: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """A = 1'C^-1 1, B = m'C^-1 1, C = m'C^-1 m per decision of a short literal list of names."""
+    n = len(names)
+    m = means.groupBy(*keys).agg(*[F.max(F.when(F.col("key") == x, F.col("mean"))).alias(f"m_{i}") for i, x in enumerate(names)])
+    d = wide.join(m, keys).withColumn("_s", solve(augmented(n, [[F.lit(1.0)] * n, [F.col(f"m_{i}") for i in range(n)]]), n))
+    total = lambda f: sum((f(i) for i in range(1, n)), f(0))
+    x = lambda i, k: F.col("_s")[i][n + k]
+    return d.select(*keys, total(lambda i: x(i, 0)).alias("a"), total(lambda i: x(i, 0) * F.col(f"m_{i}")).alias("b"), total(lambda i: x(i, 1) * F.col(f"m_{i}")).alias("c"))
+
+
+def wide_equal_risk(wide: DataFrame, keys: list[str], names: list[str], ridge: float = 1e-8, sweeps: int = 100) -> DataFrame:
+    """(keys, key, weight): equal risk contributions by coordinate descent on x'Cx/2 - mean(log x), one coordinate a step.
+
+    For a short literal list of names; the matrix is one row and the steps run inside an expression.
+    """
+    n = len(names)
+    cell = lambda i, j: F.col(f"a_{min(i, j)}_{max(i, j)}") + (ridge if i == j else 0.0)
+    size = sum((cell(i, i) for i in range(1, n)), cell(0, 0)) / n
+    d = wide.withColumn("_c", F.array(*[F.array(*[cell(i, j) / size for j in range(n)]) for i in range(n)]))
+    start = F.array(*[1.0 / F.sqrt(F.col("_c")[i][i]) / n for i in range(n)])
+
+    def step(x, s):
+        i = F.pmod(s, F.lit(n))
+        row = F.get(F.col("_c"), i)
+        own = F.get(row, i)
+        off = F.aggregate(F.zip_with(row, x, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) - own * F.get(x, i)
+        return F.transform(x, lambda v, j: F.when(j == i, (F.sqrt(off * off + 4.0 * own / n) - off) / (2.0 * own)).otherwise(v))
+    d = d.withColumn("_x", F.aggregate(F.sequence(F.lit(0), F.lit(n * sweeps - 1)), start, step))
+    total = F.aggregate("_x", F.lit(0.0), lambda a, b: a + b)
+    cells = F.array(*[F.struct(F.lit(x).alias("key"), (F.col("_x")[i] / total).alias("weight")) for i, x in enumerate(names)])
+    return d.select(*keys, F.inline(cells))
+
+
 def frontier(entries_with_mu: DataFrame, keys: list[str]) -> DataFrame:
     """r_mvp, sigma_mvp and curvature u from A, B, C; NULL on a flat or singular frontier."""
     a, b, c = F.col("a"), F.col("b"), F.col("c")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelspark.functions.scalar import SQRT12, ratio
+from panelspark.functions.scalar import SQRT12, attach_one, ratio
 from panelspark.functions.stats import ann_return, ann_vol, sharpe_excess, total_return
 from panelspark.operators import inference as I, panel as P, scores as S, windows as W
 from panelspark.plans.books import performance
@@ -45,6 +45,56 @@ def subject_profile(series: DataFrame, sid: str = "series_id") -> DataFrame:
     return long.unionByName(years)
 
 
+MOMENTS = ("n", "lr", "r", "rr", "e", "ee", "lc", "c", "cc", "rc")
+
+
+def window_stats(series: DataFrame, windows: DataFrame, sid: str, order: str = "midx") -> DataFrame:
+    """Figures of every subject over every (block, window), each of one or more [start, stop] ranges of `order`.
+
+    ``series``: subject, order, ret, ex (over the rate) and core, on months with both returns.  Running sums of logs, values,
+    squares and products are made once a subject; a range is the difference of two of them, looked up as of its ends by one
+    union and sort, so a further window costs two rows and no scan of the series.  ``windows`` is calendar-sized.
+    """
+    w = Window.partitionBy(sid).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = {"n": F.lit(1.0), "lr": F.log1p("ret"), "r": F.col("ret"), "rr": F.col("ret") * F.col("ret"), "e": F.col("ex"), "ee": F.col("ex") * F.col("ex"),
+             "lc": F.log1p("core"), "c": F.col("core"), "cc": F.col("core") * F.col("core"), "rc": F.col("ret") * F.col("core")}
+    sums = stage(series.select(sid, F.col(order).alias("_at"), *[F.sum(c).over(w).alias(n) for n, c in parts.items()]))
+    every = windows.agg(F.collect_list(F.struct("block", "window", "start", "stop")).alias("_w"))
+    asked = attach_one(sums.select(sid).distinct(), every).select(sid, F.inline("_w"))
+    ends = F.array(F.struct(F.col("stop").alias("_at"), F.lit(1.0).alias("_sign")), F.struct((F.col("start") - 1).alias("_at"), F.lit(-1.0).alias("_sign")))
+    asked = asked.select(sid, "block", "window", F.inline(ends)).withColumn("_ask", F.lit(1))
+    both = sums.withColumn("_ask", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    upto = Window.partitionBy(sid).orderBy("_at", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.select(sid, "block", "window", "_sign", "_ask", *[F.coalesce(F.last(m, ignorenulls=True).over(upto), F.lit(0.0)).alias(m) for m in MOMENTS]).where("_ask = 1")
+    g = seen.groupBy(sid, "block", "window").agg(*[F.sum(F.col("_sign") * F.col(m)).alias(m) for m in MOMENTS]).where("n > 0.5")
+    n = F.col("n")
+    var = lambda s, q: F.when(n > 1.5, F.greatest(F.col(q) - F.col(s) * F.col(s) / n, F.lit(0.0)) / (n - 1.0))
+    cov = F.when(n > 1.5, (F.col("rc") - F.col("r") * F.col("c") / n) / (n - 1.0))
+    return g.select(sid, "block", "window", F.round(n).cast("long").alias("months"), F.expm1("lr").alias("total"), F.expm1(F.col("lr") * 12.0 / n).alias("cagr"), (F.sqrt(var("r", "rr")) * SQRT12).alias("vol"),
+                    F.when(n > 11.5, ratio(F.col("e") / n * 12.0, F.sqrt(var("e", "ee")) * SQRT12)).alias("sharpe"), F.expm1("lc").alias("core_total"), (F.expm1("lr") - F.expm1("lc")).alias("total_diff"),
+                    ratio(cov, var("c", "cc")).alias("beta"), ratio(cov, F.sqrt(var("r", "rr") * var("c", "cc"))).alias("corr"))
+
+
+def state_windows(states: DataFrame, block: str, state: str, order: str = "midx") -> DataFrame:
+    """The runs of each state as ranges of one window per state; one row a month goes in."""
+    w = Window.orderBy(order)
+    new = F.coalesce((F.lag(state).over(w) != F.col(state)) | (F.lag(order).over(w) != F.col(order) - 1), F.lit(True))
+    d = states.where(F.col(state).isNotNull()).withColumn("_run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.groupBy(F.lit(block).alias("block"), F.col(state).alias("window"), "_run").agg(F.min(order).alias("start"), F.max(order).alias("stop")).drop("_run")
+
+
+def curves_vs_core(series: DataFrame, sid: str, order: str = "midx", rows: int = 36) -> DataFrame:
+    """Long table (subject, block, order, value): growth of both sides, cumulative and rolling-year excess, core drawdown, rolling
+    Sharpe ratios and their difference, on the months with both returns."""
+    w = Window.partitionBy(sid).orderBy(order)
+    d = W.drawdown(series.withColumnRenamed("ret", "_own").withColumnRenamed("core", "ret"), w).withColumnsRenamed({"ret": "core", "wealth": "core_growth", "dd": "core_drawdown", "_own": "ret"})
+    d = d.withColumns({"growth": W.wealth("ret", w), "rolling_sharpe": W.rolling_sharpe("ex", w, rows), "core_rolling_sharpe": W.rolling_sharpe("core_ex", w, rows),
+                       "rolling_excess": W.rolling_compound("ret", w, 12) - W.rolling_compound("core", w, 12)})
+    d = d.withColumns({"cumulative_excess": F.col("growth") - F.col("core_growth"), "rolling_sharpe_diff": F.col("rolling_sharpe") - F.col("core_rolling_sharpe")})
+    names = ("growth", "core_growth", "cumulative_excess", "rolling_excess", "core_drawdown", "rolling_sharpe", "core_rolling_sharpe", "rolling_sharpe_diff")
+    return d.select(sid, order, F.inline(F.array(*[F.struct(F.lit(b).alias("block"), F.col(b).alias("value")) for b in names]))).where("value is not null")
+
+
 def leaderboard(rows: DataFrame, score: str, benchmark: str, void: DataFrame) -> DataFrame:
     """Subjects by score; the benchmark stays in place unranked, void subjects are listed apart.
 
