@@ -48,6 +48,18 @@ def g14(v):
     return lw_cov(v)
 
 
+SHORT = 18
+
+
+@query("g14_short_panel", "midx:i k1 k2 method cov:8", f"""WITH l8 AS (SELECT * FROM (SELECT key, midx, count(ret) OVER w AS n, stddev_samp(ret) OVER w AS sd FROM ret_b WINDOW w AS (PARTITION BY key ORDER BY midx RANGE BETWEEN {SHORT - 1} PRECEDING AND CURRENT ROW)) WHERE n={SHORT} AND sd>1e-10 QUALIFY count(*) OVER (PARTITION BY midx) >= 5),
+ c AS (SELECT a.midx, a.key AS k1, b.key AS k2, covar_samp(a.ret, b.ret) OVER w AS cov, count(*) OVER w AS n FROM ret_b a JOIN ret_b b ON a.midx=b.midx AND a.key<=b.key WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL WINDOW w AS (PARTITION BY a.key, b.key ORDER BY a.midx RANGE BETWEEN {SHORT - 1} PRECEDING AND CURRENT ROW))
+SELECT midx, k1, k2, 'ridge' AS method, cov + CASE WHEN k1=k2 THEN 1e-6 ELSE 0 END AS cov FROM c WHERE n={SHORT} AND (midx, k1) IN (SELECT (midx, key) FROM l8) AND (midx, k2) IN (SELECT (midx, key) FROM l8)""")
+def g14s(v):
+    """Windows with fewer rows than names: the sample covariance with a ridge."""
+    v.shared("ret_b")
+    return V.shrunk_or_ridge(P.live_names(v.ret_b, SHORT, SHORT, 5), v.ret_b, SHORT)
+
+
 @query("l11_min_variance", "midx:i n:i sum_ok:b sign_ok:b kkt_ok:b", DEC + ", true AS sum_ok, true AS sign_ok, true AS kkt_ok FROM lv GROUP BY midx")
 def l11(v):
     v.shared("ret_b")

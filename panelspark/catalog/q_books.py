@@ -347,13 +347,18 @@ def b15(v):
     return B.compare(stage(all_books(v)), "static_core", rate_idx(v), 4)
 
 
-@query("b16_shared_universe_gate", "strategy n:i outside:i", f"WITH {QA.LIVE} SELECT s AS strategy, count(*) AS n, 0 AS outside FROM lv JOIN uni_b USING (key), (VALUES ('equal_weight'),('erc'),('minvar_lw')) t(s) WHERE NOT cash_like GROUP BY s")
+@query("b16_shared_universe_gate", "strategy n:i outside:i", f"""WITH {QA.LIVE}, w AS (SELECT s AS strategy, midx, cash_like AS bad FROM lv JOIN uni_b USING (key), (VALUES ('equal_weight'),('erc'),('minvar_lw')) t(s) WHERE NOT cash_like),
+ p AS (SELECT strategy, bad FROM w UNION ALL SELECT 'erc', true FROM (SELECT DISTINCT midx FROM w) d JOIN uni_b ON cash_like WHERE d.midx % 10 = 0) SELECT strategy, count(*) AS n, count(*) FILTER (bad) AS outside FROM p GROUP BY strategy""")
 def b16(v):
-    """Method and nulls see one filtered panel; holdings outside it are counted."""
+    """Method and nulls see one filtered panel; holdings outside it are counted.  Every tenth decision of one book gets the tagged
+    names back, which the gate has to find."""
     v.shared("ret_b")
     panel = P.drop_tagged(v.ret_b, v.uni_b, ["cash_like"])
     cov = V.linear_shrinkage(P.live_names(panel, QA.LB, QA.LB, 5), panel, QA.LB)
     w = stage(kernel_books(v, NULLS, cov))
+    tagged = v.uni_b.where("cash_like").select("key", F.lit("erc").alias("strategy"))
+    planted = w.where("strategy = 'erc' and midx % 10 = 0").select("strategy", "midx").distinct().join(tagged, "strategy").withColumn("weight", F.lit(0.01))
+    w = w.unionByName(planted)
     bad = Q.outside_holdings(w, panel.select("key").distinct(), ["strategy"]).groupBy("strategy").agg(F.sum("n").alias("outside"))
     return w.groupBy("strategy").agg(F.count("*").alias("n")).join(bad, "strategy", "left").fillna(0, ["outside"])
 

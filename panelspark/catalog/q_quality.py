@@ -215,10 +215,12 @@ def q03(v):
     return Q.weight_rules(v.weights.join(v.uni_n.select("key", "equity_only"), "key"), ["strategy", "month"], "equity_only", 0.1, 0.45)
 
 
-@query("q04_panel_invariants", "key rows:i duplicates:i gaps:i not_finite:i below_minus_one:i nulls:i", """SELECT key, count(*) AS rows, count(*) FILTER (st=0) AS duplicates, count(*) FILTER (st>1) AS gaps, 0 AS not_finite, count(*) FILTER (ret<-1) AS below_minus_one, count(*) FILTER (ret IS NULL) AS nulls
-FROM (SELECT *, lead(midx) OVER (PARTITION BY key ORDER BY midx)-midx AS st FROM ret_s) GROUP BY key""")
+@query("q04_panel_invariants", "key rows:i duplicates:i gaps:i not_finite:i below_minus_one:i nulls:i", """SELECT key, count(*) AS rows, count(*) FILTER (st=0) AS duplicates, count(*) FILTER (st>1) AS gaps, count(*) FILTER (isinf(ret)) AS not_finite, count(*) FILTER (ret<-1) AS below_minus_one, count(*) FILTER (ret IS NULL) AS nulls
+FROM (SELECT key, lead(midx) OVER (PARTITION BY key ORDER BY midx)-midx AS st, CASE WHEN key='S7' AND midx%12=3 THEN CAST('Infinity' AS DOUBLE) WHEN key='S8' AND midx%12=5 THEN -1.5 ELSE ret END AS ret FROM ret_s) GROUP BY key""")
 def q04(v):
-    return Q.panel_invariants(v.ret_s, "key", "midx", "ret")
+    """The panel with infinite and impossible returns planted in two keys."""
+    bad = F.when((F.col("key") == "S7") & (F.col("midx") % 12 == 3), float("inf")).when((F.col("key") == "S8") & (F.col("midx") % 12 == 5), -1.5).otherwise(F.col("ret"))
+    return Q.panel_invariants(v.ret_s.withColumn("ret", bad), "key", "midx", "ret")
 
 
 @query("q05_completeness", "trial_id have:i missing:i", "SELECT trial_id, count(ret) AS have, (SELECT count(DISTINCT month) FROM trial_ret)-count(ret) AS missing FROM trial_ret GROUP BY 1")

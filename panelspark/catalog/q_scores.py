@@ -137,12 +137,12 @@ def a10(v):
     return d.join(v.uni_s, "key").groupBy("category", "month").agg(F.avg("ret").alias("ret"), F.count("ret").alias("n"))
 
 
-@query("a11_sleeve_metadata", "category n_names:i n_thin:i thin_sleeve:b members", """SELECT category, count(*) AS n_names, count(*) FILTER (thin) AS n_thin, count(*) FILTER (thin) >= greatest(1, count(*)//2) AS thin_sleeve,
- string_agg(key, ',' ORDER BY key) AS members FROM uni_b GROUP BY category""")
+@query("a11_sleeve_metadata", "category key n_names:i n_thin:i thin_sleeve:b", """SELECT category, key, count(*) OVER c AS n_names, count(*) FILTER (thin) OVER c AS n_thin, count(*) FILTER (thin) OVER c >= greatest(1, count(*) OVER c//2) AS thin_sleeve FROM uni_b WINDOW c AS (PARTITION BY category)""")
 def a11(v):
-    g = v.uni_b.groupBy("category").agg(F.count("*").alias("n_names"), F.count_if("thin").alias("n_thin"),
-                                        F.array_join(F.array_sort(F.collect_list("key")), ",").alias("members"))
-    return g.withColumn("thin_sleeve", F.col("n_thin") >= F.greatest(F.lit(1), F.floor(F.col("n_names") / 2)))
+    """One row a member, with its sleeve's counts; no row holds a whole sleeve."""
+    g = v.uni_b.groupBy("category").agg(F.count("*").alias("n_names"), F.count_if("thin").alias("n_thin"))
+    g = g.withColumn("thin_sleeve", F.col("n_thin") >= F.greatest(F.lit(1), F.floor(F.col("n_names") / 2)))
+    return v.uni_b.select("category", "key").join(g, "category")
 
 
 @query("a12_fixed_mix_return", "date:d ret:f legs:i", """SELECT date, CASE WHEN count(ret)=3 THEN sum(w*ret) END AS ret, count(ret) AS legs FROM ret_d JOIN (VALUES ('ECONOMY',0.7),('LARGE',0.2),('SMALL',0.1)) m(key,w) USING (key) GROUP BY date""")

@@ -58,6 +58,19 @@ def linear_shrinkage(live: DataFrame, ret: DataFrame, lookback: int, **kw) -> Da
     return shrunk(e, shrinkage_intensity(live, ret, e, lookback, **kw), kw.get("idx", "midx"), kw.get("group", []))
 
 
+def shrunk_or_ridge(live: DataFrame, ret: DataFrame, lookback: int, ridge: float = 1e-6, **kw) -> DataFrame:
+    """Linear shrinkage where the window has 12 rows and two more than names at least; a shorter one gives the sample covariance
+    with a small ridge.  A single name keeps its own variance."""
+    e = window_entries(live, ret, lookback, **kw)
+    keys = [*kw.get("group", []), kw.get("idx", "midx")]
+    d = e.join(shrinkage_intensity(live, ret, e, lookback, **kw), keys)
+    own = F.col("k1") == F.col("k2")
+    linear = (1.0 - F.col("shrinkage")) * F.col("cov") + F.when(own, F.col("shrinkage") * F.col("mu")).otherwise(0.0)
+    sample = F.col("cov") * lookback / (lookback - 1.0) + F.when(own, ridge).otherwise(0.0)
+    enough = F.lit(float(lookback)) >= F.greatest(F.lit(12.0), F.col("names") + 2)
+    return d.withColumn("method", F.when(enough, "shrunk").otherwise("ridge")).withColumn("cov", F.when(enough, linear).otherwise(sample))
+
+
 def blend(a: DataFrame, b: DataFrame, lam: float, keys: list[str]) -> DataFrame:
     """(1 - lam) a + lam b; decisions without a b keep a."""
     d = a.join(b.select(*keys, "k1", "k2", F.col("cov").alias("_c2")), [*keys, "k1", "k2"], "left")
