@@ -1,22 +1,34 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: rare seeds of two words with a gap, then Smith-Waterman alignment of words.
 
-Words are lower-cased runs of letters and digits, as 64-bit hashes.  All n-grams of the test items are seeds, however many
-documents have them: a widely quoted passage is a leak wherever it stands.  A pass over the documents cuts out the regions
-around seeds, wide enough for a whole item; regions join items on seeds, and a local alignment scores every pair once, so
-substituted, inserted and dropped words lower the score without breaking the match.  What common n-grams bring along is
-ruled out by an upper bound of the alignment's score: words that the item has gain, all others between them cost.
+Words are lower-cased runs of letters and digits, as 64-bit hashes.  A seed is two words of an item that stand side by side
+or have one word between them; it may be met in a document at either distance.  An alignment of m matches and e edits that
+scores p = 2m - e has at least p/2 - 1 neighbouring matches with one edit between them at most, and each begins at a place
+of its own in the item and in the document.  So of an item's places the commonest in the documents may be dropped, fewer
+than that number, and the rest must still be met: the seeds kept are the rare ones, and no alignment above the threshold is
+lost, whatever is substituted, put in or left out.
+
+The items, in parts of bounded size, are index files on shared storage.  A first pass over the documents counts the seeds, a
+second looks them up and aligns every stretch that meets enough places of an item, so neither documents nor seeds are shuffled.
 """
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as Over, functions as F
 
-from panelspark.llm.common import Scratch, chunks, gram_hashes, hash_filter, member, span_hashes, text_buffer, word_spans
+from panelspark.llm.common import Scratch, Store, chunks, hash_filter, member, mix, span_hashes, text_buffer, word_spans
 
-GRAM = 3
 LEAST_SCORE = 0.45
+#: Points of three words in a row: a short item needs as many, or all of its own.
+LEAST_POINTS = 6
+#: Words of the items in one index file; a larger benchmark takes a pass over the documents for each file.
+PART_WORDS = 1 << 19
+#: Meetings of documents and items worked on at once.
+HITS = 1 << 21
 MATCH, MISMATCH, GAP = 2, -1, -1
 _GAP = np.ones(256, bool)
 _GAP[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = False
@@ -31,7 +43,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words) of the items with words; items with the same id are one text each and all count."""
+    """(item_id, words) of the items with words; items with the same id are one text each and all count, a null id is an id."""
     def run(batches):
         for b in chunks(batches, "text"):
             w, at = word_hashes(b.column("text"))
@@ -40,31 +52,167 @@ def item_words(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, words array<long>").where(F.size("words") > 0)
 
 
-def item_grams(items: DataFrame, n: int) -> DataFrame:
-    """(seed, item_id): the distinct n-grams of each item; an item with fewer words has its whole as one gram."""
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(0x9FB21C651E98DF25) + second * np.uint64(0xC2B2AE3D27D4EB4F), 2)
+
+
+def text_keys(words: np.ndarray, text: np.ndarray, singles: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of texts and the places of their first words, by place; `singles` adds each word as the seed of an item of one."""
+    keys, places = [], []
+    for gap in (1, 2):
+        at = np.flatnonzero(text[:-gap] == text[gap:])
+        keys.append(pair_keys(words[at], words[at + gap]))
+        places.append(at)
+    if singles:
+        keys.append(mix(words, 1))
+        places.append(np.arange(len(words)))
+    place = np.concatenate(places)
+    order = np.argsort(place, kind="stable")
+    return np.concatenate(keys)[order], place[order]
+
+
+def item_seeds(texts: DataFrame) -> DataFrame:
+    """(row, place, seed) of the distinct texts of the items."""
     def run(batches):
         for b in batches:
-            seeds, ids = [], []
-            for i, words in zip(b.column("item_id").to_pylist(), b.column("words").to_pylist()):
-                w = np.array(words, np.int64).view(np.uint64)
-                g = np.unique(gram_hashes(w, min(n, len(w)))).view(np.int64)
-                seeds.append(g)
-                ids += [i] * len(g)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds) if seeds else np.empty(0, np.int64)), pa.array(ids, pa.int64())], names=["seed", "item_id"])
+            out = [(np.empty(0, np.int64),) * 3]
+            for row, words in zip(b.column("row").to_pylist(), b.column("words")):
+                w = words.values.to_numpy().view(np.uint64)
+                key, place = text_keys(w, np.zeros(len(w), np.int8), len(w) == 1)
+                out.append((np.full(len(key), row), place, key.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["row", "place", "seed"])
+
+    return texts.select("row", "words").mapInArrow(run, "row long, place long, seed long")
+
+
+def seed_counts(docs: DataFrame, bitmap: np.ndarray, singles: bool) -> DataFrame:
+    """(seed, n): how often the documents have each; seeds of no item may be among them."""
+    def run(batches):
+        for b in chunks(batches, "text"):
+            w, at = word_hashes(b.column("text"))
+            key, _ = text_keys(w, np.repeat(np.arange(len(at) - 1), np.diff(at)), singles)
+            seed, n = np.unique(key[member(bitmap, key)], return_counts=True)
+            if len(seed):
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n)], names=["seed", "n"])
+
+    return docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+
+
+def write_index(texts: DataFrame, seeds: DataFrame, counts: DataFrame, least_score: float, parts: int, root: str) -> list[int]:
+    """One file for each part of the items: their words, what they need, and their rare seeds.
+
+    A leak has so many points that it meets at least `met` places of the item.  Three quarters of so many, the commonest, are
+    dropped, and the other quarter is needed.
+    """
+    n = F.size("words")
+    points = F.ceil(F.greatest(MATCH * n * F.lit(least_score), F.least(MATCH * n, F.lit(LEAST_POINTS))) - 1e-9)
+    by_count = Over.partitionBy("row").orderBy(F.desc("cost"), "place")
+    cost = seeds.join(counts, "seed", "left").groupBy("row", "place").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"))
+    size = texts.select("row", points.alias("points"), F.greatest(F.lit(1), F.floor((points - 1) / 2)).alias("met"))
+    kept = cost.withColumn("nth", F.row_number().over(by_count)).join(size, "row").where(F.col("nth") > F.floor(F.col("met") * 3 / 4)).select("row", "place")
+    rare = seeds.join(kept, ["row", "place"]).groupBy("row").agg(F.collect_set("seed").alias("seeds"))
+    whole = texts.join(rare, "row").join(size, "row").withColumn("need", F.col("met") - F.floor(F.col("met") * 3 / 4)).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+
+    def write(group: pa.Table) -> pa.Table:
+        group = group.sort_by("row")
+        words, lists = (group.column(c).combine_chunks() for c in ("words", "seeds"))
+        n = np.diff(words.offsets.to_numpy())
+        points = group.column("points").to_numpy()
+        seed = lists.flatten().to_numpy().view(np.uint64)
+        item = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy()))
+        order = np.lexsort((item, seed))
+        keys, nth = np.unique(seed[order], return_inverse=True)
+        out = io.BytesIO()
+        np.savez(out, keys=keys, met=nth * len(n) + item[order], words=words.flatten().to_numpy(), at=np.concatenate([[0], np.cumsum(n)]), points=points, span=3 * n - points,
+                 need=group.column("need").to_numpy(), row=group.column("row").to_numpy())
+        part = group.column("part")[0].as_py()
+        Store(root).put(f"part-{part}", out.getvalue())
+        return pa.table({"part": pa.array([part], pa.int32())})
+
+    return sorted(r["part"] for r in whole.select("part", "row", "words", "seeds", *(F.col(c).cast("long").alias(c) for c in ("need", "points"))).groupBy("part").applyInArrow(write, "part int").collect())
 
-    return items.mapInArrow(run, "seed long, item_id long").distinct()
 
+_read: dict[str, dict[str, np.ndarray]] = {}
 
-def _document_grams(column: pa.Array, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Words, text borders, and for each gram size the hashes and the documents of grams inside one text."""
-    w, at = word_hashes(column)
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    out = []
-    for n in sizes:
-        g = gram_hashes(w, n)
-        g_doc = np.where(doc[:len(g)] == doc[n - 1:n - 1 + len(g)], doc[:len(g)], -1)
-        out.append((g, g_doc))
-    return w, at, out
+
+def read_index(root: str, part: int) -> dict[str, np.ndarray]:
+    """The arrays of one part; a worker keeps one part."""
+    name = f"{root}/part-{part}"
+    if name not in _read:
+        _read.clear()
+        with np.load(io.BytesIO(Store(root).get(f"part-{part}"))) as f:
+            _read[name] = {k: f[k] for k in f.files}
+    return _read[name]
+
+
+def stretches(ix: dict[str, np.ndarray], nth: np.ndarray, place: np.ndarray, text: np.ndarray, at: np.ndarray, words: tuple[int, int], items: tuple[int, int]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(item, from, to, seeds met): stretches of texts that meet enough places of an item within its longest alignment.
+
+    `nth` are the seeds met at `place`, ascending.  Too many meetings at once are halved, by words with an overlap of the
+    longest alignment as long as that helps, then by items; a stretch may come twice.
+    """
+    n_items, reach = len(ix["row"]), int(ix["span"].max())
+    lo, hi = (np.searchsorted(ix["met"], nth * n_items + i) for i in items)
+    if (hi - lo).sum() > HITS and (words[1] - words[0] > 4 * reach or items[1] - items[0] > 1):
+        if words[1] - words[0] > 4 * reach:
+            mid = sum(words) // 2
+            halves = [((words[0], mid + reach), items), ((mid, words[1]), items)]
+        else:
+            mid = sum(items) // 2
+            halves = [(words, (items[0], mid)), (words, (mid, items[1]))]
+        for w, i in halves:
+            own = slice(*np.searchsorted(place, w))
+            yield from stretches(ix, nth[own], place[own], text, at, w, i)
+        return
+    n = hi - lo
+    met = ix["met"][np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())] % n_items
+    code = np.unique(met * len(text) + np.repeat(place, n))
+    item, p = np.divmod(code, len(text))
+    last = np.arange(len(code)) + ix["need"][item] - 1
+    full = last < len(code)
+    last = np.minimum(last, len(code) - 1)
+    q = np.flatnonzero(full & (item[last] == item) & (text[p[last]] == text[p]) & (p[last] - p < ix["span"][item]))
+    if not len(q):
+        return
+    i, d, span = item[q], text[p[q]], ix["span"][item[q]]
+    start, end = np.maximum(at[d], p[last[q]] - span + 1), np.minimum(at[d + 1], p[q] + span)
+    first = np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (start[1:] > end[:-1])])
+    i, start, end = i[first], start[first], end[np.concatenate([np.flatnonzero(first)[1:], [len(q)]]) - 1]
+    yield i, start, end, np.searchsorted(code, i * len(text) + end) - np.searchsorted(code, i * len(text) + start)
+
+
+def leaks_of_part(docs: DataFrame, bitmap: np.ndarray, singles: bool, root: str, part: int) -> DataFrame:
+    """(doc_id, row, score, end_word, n_seeds) of the alignments with the items of one part."""
+    def run(batches):
+        for b in chunks(batches, "text"):
+            w, at = word_hashes(b.column("text"))
+            text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            key, place = text_keys(w, text, singles)
+            some = member(bitmap, key)
+            key, place = key[some], place[some]
+            ix = read_index(root, part)
+            nth = np.minimum(np.searchsorted(ix["keys"], key), len(ix["keys"]) - 1)
+            own = ix["keys"][nth] == key
+            for item, start, end, seeds in stretches(ix, nth[own], place[own], text, at, (0, len(w)), (0, len(ix["row"]))):
+                query, target = [ix["words"][ix["at"][i]:ix["at"][i + 1]] for i in item], [w[s:e].view(np.int64) for s, e in zip(start, end)]
+                able = [k for k in range(len(item)) if most_points(np.isin(target[k], query[k])) >= ix["points"][item[k]]]
+                able.sort(key=lambda k: len(target[k]))
+                lo = 0
+                while lo < len(able):  # stretches of like length together, about 130,000 words at most
+                    hi = lo + 1
+                    while hi < len(able) and (hi - lo) * len(target[able[hi]]) < 1 << 17:
+                        hi += 1
+                    k = np.array(able[lo:hi])
+                    score, last = align([query[x] for x in k], [target[x] for x in k])
+                    good = np.rint(score * MATCH * np.diff(ix["at"])[item[k]]) >= ix["points"][item[k]]
+                    k, score, last = k[good], score[good], last[good]
+                    if len(k):
+                        d = text[start[k]]
+                        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), pa.array(ix["row"][item[k]]), pa.array(score), pa.array(last + start[k] - at[d]), pa.array(seeds[k])],
+                                                         names=["doc_id", "row", "score", "end_word", "n_seeds"])
+                    lo = hi
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, row long, score double, end_word long, n_seeds long")
 
 
 def most_points(known: np.ndarray) -> int:
@@ -74,36 +222,6 @@ def most_points(known: np.ndarray) -> int:
     return int((sums - np.minimum.accumulate(sums)).max())
 
 
-def regions(docs: DataFrame, bitmap: np.ndarray, vocabulary: np.ndarray, sizes: list[int], reach: int, shortest: int, least_score: float) -> DataFrame:
-    """(doc_id, start, words, seeds): stretches around seeds, `reach` words to both sides; close ones become one.  Those
-    whose words cannot give `least_score` with an item of `shortest` words are left out."""
-    def run(batches):
-        for b in chunks(batches, "text"):
-            w, at, grams = _document_grams(b.column("text"), sizes)
-            place = np.concatenate([np.flatnonzero((doc >= 0) & member(bitmap, g)) for g, doc in grams]) if grams else np.empty(0, np.int64)
-            seed = np.concatenate([g[(doc >= 0) & member(bitmap, g)] for g, doc in grams]) if grams else np.empty(0, np.uint64)
-            if not len(place):
-                continue
-            known = member(vocabulary, w)
-            order = np.argsort(place, kind="stable")
-            place, seed = place[order], seed[order]
-            doc = np.searchsorted(at, place, "right") - 1
-            cut = np.flatnonzero((np.diff(place) > reach) | (np.diff(doc) != 0)) + 1
-            rows = []
-            for lo, hi in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(place)]])):
-                d = doc[lo]
-                s, e = max(at[d], place[lo] - reach), min(at[d + 1], place[hi - 1] + reach + GRAM)
-                if most_points(known[s:e]) / (MATCH * shortest) >= least_score:
-                    rows.append((d, s - at[d], w[s:e].view(np.int64), np.unique(seed[lo:hi]).view(np.int64)))
-            if not rows:
-                continue
-            d, s, words, seeds = zip(*rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), pa.array(s, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(seeds, pa.list_(pa.int64()))],
-                                             names=["doc_id", "start", "words", "seeds"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, words array<long>, seeds array<long>")
-
-
 def align(queries: list[np.ndarray], targets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment score of each pair over the score of the whole query, and where it ends in the target.
 
@@ -132,50 +250,31 @@ def align(queries: list[np.ndarray], targets: list[np.ndarray]) -> tuple[np.ndar
     return best / (MATCH * np.maximum(size, 1)), end + 1
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE, gram: int = GRAM) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE, part_words: int = PART_WORDS) -> DataFrame:
     """(doc_id, item_id, score, end_word, n_seeds): documents with a passage that aligns with a test item.
 
-    One row per pair of ids with its best alignment; the score is 1 for the whole item word by word.  Null and empty texts
-    and items have no words and match nothing; rows with equal ids are scored each and give one row with the best.  An
-    item shorter than a gram is one seed.  Ties take the earlier end.  Further columns are ignored.
+    One row per pair of ids with its best alignment; the score is 1 for the whole item word by word, and n_seeds are the places
+    of the stretch that meet rare seeds.  An item needs `least_score`, and the points of three words in a row or all of its
+    words.  Null and empty texts and items have no words and match nothing; rows with equal ids, null ids too, are scored each
+    and give one row with the best; equal items are aligned once.  Ties take the earlier end.  Further columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     items = scratch.stage(item_words(benchmark), "items")
-    longest, shortest = items.agg(F.max(F.size("words")), F.min(F.size("words"))).first()
-    empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, end_word long, n_seeds long")
-    if longest is None:
-        return empty
-    sizes = sorted({gram, *range(shortest, gram)}) if shortest < gram else [gram]
-    seeds = scratch.stage(item_grams(items, gram), "seeds")
-    vocabulary = hash_filter(items.select(F.explode("words").alias("word")), "word")
-    cut = regions(docs, hash_filter(seeds.select("seed"), "seed"), vocabulary, sizes, int(1.25 * longest) + gram, shortest, least_score)
-    found = scratch.stage(cut.withColumn("region", F.monotonically_increasing_id()), "regions")
-    pairs = found.select("region", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("region", "item_id").agg(F.count("*").alias("n_seeds"))
-    todo = (pairs.join(items, "item_id").join(found.select("region", "doc_id", "start", F.col("words").alias("target")), "region"))
-
-    def run(batches):
-        for b in batches:
-            query, target = ([np.asarray(x.values) for x in b.column(c)] for c in ("words", "target"))
-            able = [i for i, (q, t) in enumerate(zip(query, target)) if most_points(np.isin(t, q)) / (MATCH * len(q)) >= least_score]
-            if not able:
-                continue
-            b, query, target = b.take(pa.array(able)), [query[i] for i in able], [target[i] for i in able]
-            score, end = np.empty(b.num_rows), np.empty(b.num_rows, np.int64)
-            order = np.argsort([len(t) for t in target], kind="stable")
-            lo = 0
-            while lo < len(order):  # pairs of like length together, about a million cells a row at most
-                hi = lo + 1
-                while hi < len(order) and (hi - lo) * len(target[order[hi]]) < 1 << 17:
-                    hi += 1
-                own = order[lo:hi]
-                score[own], end[own] = align([query[i] for i in own], [target[i] for i in own])
-                lo = hi
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), pa.array(score), pa.array(end + b.column("start").to_numpy()), b.column("n_seeds")],
-                                             names=["doc_id", "item_id", "score", "end_word", "n_seeds"])
-
-    scored = todo.select("doc_id", "item_id", "words", "target", "start", "n_seeds").mapInArrow(run, "doc_id long, item_id long, score double, end_word long, n_seeds long").where(F.col("score") >= least_score)
+    texts = scratch.stage(items.select("words").distinct().withColumn("row", F.monotonically_increasing_id()), "texts")
+    total, shortest = texts.agg(F.sum(F.size("words")), F.min(F.size("words"))).first()
+    if total is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, end_word long, n_seeds long")
+    seeds = scratch.stage(item_seeds(texts), "seeds")
+    bitmap = hash_filter(seeds, "seed", min(1 << 27, max(1 << 23, 1 << (32 * total).bit_length())))  # 16 MB at most
+    counts, root = scratch.stage(seed_counts(docs, bitmap, shortest == 1), "counts"), scratch.folder("index")
+    parts = write_index(texts, seeds, counts, least_score, -(-total // part_words), root)
+    found = [leaks_of_part(docs, bitmap, shortest == 1, root, p) for p in parts]
+    while len(found) > 1:  # a flat tree of unions
+        found = [a.unionByName(*b) if b else a for a, *b in (found[i:i + 2] for i in range(0, len(found), 2))]
     best = F.max(F.struct("score", (-F.col("end_word")).alias("e"), "n_seeds")).alias("b")
-    return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", (-F.col("b.e")).alias("end_word"), "b.n_seeds")
+    names = items.join(texts, "words").select("row", "item_id").distinct()
+    leaks = found[0].groupBy("doc_id", "row").agg(best).join(names, "row").groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
+    return leaks.select("doc_id", "item_id", "b.score", (-F.col("b.e")).alias("end_word"), "b.n_seeds")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

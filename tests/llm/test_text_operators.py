@@ -280,6 +280,79 @@ def test_widely_quoted_half_of_an_item_is_a_leak_everywhere(spark):
     assert {(x["doc_id"], x["item_id"]): x["score"] for x in got} == want and len(want) > 1250
 
 
+def brute_leaks(rows, items, least=decontaminate.LEAST_SCORE):
+    """Best score of every document with every item, by alignment of all pairs."""
+    pairs = [(d, i, t.split(), q.split()) for d, t in rows for i, q in items if t and q]
+    score, _ = decontaminate.align([np.array([hash(x) for x in q]) for *_, q in pairs], [np.array([hash(x) for x in t]) for _, _, t, _ in pairs])
+    want = {}
+    for (d, i, _, q), s in zip(pairs, score):
+        if s >= least and s * 2 * len(q) >= min(2 * len(q), decontaminate.LEAST_POINTS):
+            want[d, i] = max(s, want.get((d, i), 0))
+    return want
+
+
+def found_leaks(spark, rows, items, **how):
+    return {(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.find_leaks(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string"), **how).collect()}
+
+
+def test_every_edit_period_is_found_as_by_alignment_of_all_pairs(spark):
+    """Words replaced, put in, left out and swapped at every period from 2 on, items of 1 to 60 words, few words in all, so that
+    many seeds are common; also with index parts of few words."""
+    r = random.Random(31)
+    lengths = [1, 2, 3, 4, 5, 6, 7, 8, 11, 15, 20, 30, 30, 30, 45, 60]
+    items = [(i, " ".join(f"t{min(r.randrange(600), r.randrange(600))}" for _ in range(n))) for i, n in enumerate(lengths)] + [(90, "t1 " * 12), (91, "t1 t2 " * 9)]
+    rows = []
+    for i, q in items:
+        for period in range(2, 10):
+            for edit in range(4):
+                w = q.split()
+                for k in range(period - 1, len(w), period):
+                    w[k] = (f"zz{k}", f"{w[k]} qq{k}", "", f"{w[k]} {w[k]}")[edit]
+                host = [f"t{min(r.randrange(600), r.randrange(600))}" for _ in range(50)]
+                rows.append((len(rows), " ".join(host[:25] + w + host[25:])))
+    want = brute_leaks(rows, items)
+    assert sum(s < 0.6 for s in want.values()) > 30
+    assert found_leaks(spark, rows, items) == want
+    assert found_leaks(spark, rows, items, part_words=64) == want
+
+
+def test_small_pieces_give_the_same_stretches(monkeypatch):
+    r = np.random.default_rng(5)
+    n_items, words = 40, 4000
+    ix = {"row": np.arange(n_items), "span": r.integers(5, 40, n_items), "need": r.integers(1, 4, n_items), "met": np.unique(r.integers(0, 30, 400) * n_items + r.integers(0, n_items, 400))}
+    text = np.sort(r.integers(0, 6, words))
+    at = np.searchsorted(text, np.arange(7))
+    place = np.sort(r.choice(words, 900, replace=False))
+    nth = r.integers(0, 30, 900)
+
+    def covered():
+        out = set()
+        for item, start, end, _ in decontaminate.stretches(ix, nth, place, text, at, (0, words), (0, n_items)):
+            out |= {(i, x) for i, s, e in zip(item, start, end) for x in range(s, e)}
+        return out
+
+    whole = covered()
+    monkeypatch.setattr(decontaminate, "HITS", 20)
+    assert covered() == whole and len(whole) > 1000
+
+
+def test_items_with_a_common_beginning_have_no_hot_seed(spark):
+    """2,000 items and all documents share a phrase: its seeds are dropped, and no kept seed belongs to many items."""
+    phrase = "which of the following is most true of the"
+    items = [(i, f"{phrase} {t}") for i, t in enumerate(sentences(41, 2000, 24, 50_000))]
+    rows = [(i, f"{phrase} {t}") for i, t in enumerate(sentences(42, 300, 60, 50_000))] + [(1000 + k, items[k * 7][1]) for k in range(50)]
+    assert found_leaks(spark, rows, items) == {(1000 + k, k * 7): 1.0 for k in range(50)}
+    from panelspark.llm.common import Scratch, hash_filter
+    scratch = Scratch(spark)
+    texts = scratch.stage(decontaminate.item_words(spark.createDataFrame(items, "item_id long, text string")).select("words").withColumn("row", F.monotonically_increasing_id()))
+    seeds = scratch.stage(decontaminate.item_seeds(texts))
+    counts = decontaminate.seed_counts(spark.createDataFrame(rows, SCHEMA), hash_filter(seeds, "seed"), False)
+    root = scratch.folder("index")
+    for part in decontaminate.write_index(texts, seeds, counts, 0.45, 2, root):
+        ix = decontaminate.read_index(root, part)
+        assert np.bincount(ix["met"] // len(ix["row"])).max() < 20
+
+
 def test_alignment_equals_plain_smith_waterman():
     r = random.Random(9)
     pairs = [([r.randrange(6) for _ in range(r.randint(1, 12))], [r.randrange(6) for _ in range(r.randint(1, 25))]) for _ in range(200)]
