@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window as Over, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from panelspark.llm.common import Scratch, Store, chunks, hash_filter, member, mix, span_hashes, text_buffer, word_spans
 
@@ -98,38 +98,48 @@ def seed_counts(docs: DataFrame, bitmap: np.ndarray, singles: bool) -> DataFrame
     return docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
 
 
+def points_needed(n: np.ndarray, least_score: float) -> np.ndarray:
+    """Alignment points from which a passage is a leak of an item of n words."""
+    return np.ceil(np.maximum(MATCH * n * least_score, np.minimum(MATCH * n, LEAST_POINTS)) - 1e-9).astype(np.int64)
+
+
 def write_index(texts: DataFrame, seeds: DataFrame, counts: DataFrame, least_score: float, parts: int, root: str) -> list[int]:
     """One file for each part of the items: their words, what they need, and their rare seeds.
 
-    A leak has so many points that it meets at least `met` places of the item.  Three quarters of so many, the commonest, are
-    dropped, and the other quarter is needed.
+    A leak meets (points - 1) // 2 places of the item at least.  Three quarters of so many, the commonest, are dropped, and
+    the other quarter is needed.
     """
-    n = F.size("words")
-    points = F.ceil(F.greatest(MATCH * n * F.lit(least_score), F.least(MATCH * n, F.lit(LEAST_POINTS))) - 1e-9)
-    by_count = Over.partitionBy("row").orderBy(F.desc("cost"), "place")
-    cost = seeds.join(counts, "seed", "left").groupBy("row", "place").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"))
-    size = texts.select("row", points.alias("points"), F.greatest(F.lit(1), F.floor((points - 1) / 2)).alias("met"))
-    kept = cost.withColumn("nth", F.row_number().over(by_count)).join(size, "row").where(F.col("nth") > F.floor(F.col("met") * 3 / 4)).select("row", "place")
-    rare = seeds.join(kept, ["row", "place"]).groupBy("row").agg(F.collect_set("seed").alias("seeds"))
-    whole = texts.join(rare, "row").join(size, "row").withColumn("need", F.col("met") - F.floor(F.col("met") * 3 / 4)).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
-
-    def write(group: pa.Table) -> pa.Table:
-        group = group.sort_by("row")
-        words, lists = (group.column(c).combine_chunks() for c in ("words", "seeds"))
-        n = np.diff(words.offsets.to_numpy())
-        points = group.column("points").to_numpy()
-        seed = lists.flatten().to_numpy().view(np.uint64)
-        item = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy()))
-        order = np.lexsort((item, seed))
-        keys, nth = np.unique(seed[order], return_inverse=True)
+    part = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part")
+    counted = seeds.join(counts, "seed", "left").select(part, "row", "place", "seed", F.coalesce("n", F.lit(0)).alias("n"))
+
+    def write(items: pa.Table, seeds: pa.Table) -> pa.Table:
+        items = items.sort_by("row")
+        words, rows = items.column("words").combine_chunks(), items.column("row").to_numpy()
+        size = np.diff(words.offsets.to_numpy())
+        at = np.concatenate([[0], np.cumsum(size)])
+        points = points_needed(size, least_score)
+        met = np.maximum(1, (points - 1) // 2)
+        dropped = met * 3 // 4
+        item = np.searchsorted(rows, seeds.column("row").to_numpy())
+        place = at[item] + seeds.column("place").to_numpy()
+        cost = np.zeros(at[-1], np.int64)
+        np.add.at(cost, place, seeds.column("n").to_numpy())
+        begins = np.unique(place)  # the last place of an item of more than one word begins no seed
+        own = np.searchsorted(at, begins, "right") - 1
+        order = np.lexsort((begins, -cost[begins], own))
+        nth = np.arange(len(begins)) - np.searchsorted(own, own)
+        kept = np.zeros(at[-1], bool)
+        kept[begins[order]] = nth >= dropped[own]
+        seed, item = seeds.column("seed").to_numpy().view(np.uint64)[kept[place]], item[kept[place]]
+        keys, key = np.unique(seed, return_inverse=True)
         out = io.BytesIO()
-        np.savez(out, keys=keys, met=nth * len(n) + item[order], words=words.flatten().to_numpy(), at=np.concatenate([[0], np.cumsum(n)]), points=points, span=3 * n - points,
-                 need=group.column("need").to_numpy(), row=group.column("row").to_numpy())
-        part = group.column("part")[0].as_py()
-        Store(root).put(f"part-{part}", out.getvalue())
-        return pa.table({"part": pa.array([part], pa.int32())})
+        np.savez(out, keys=keys, met=np.unique(key * len(rows) + item), words=words.flatten().to_numpy(), at=at, points=points, span=3 * size - points, need=met - dropped, row=rows)
+        which = items.column("part")[0].as_py()
+        Store(root).put(f"part-{which}", out.getvalue())
+        return pa.table({"part": pa.array([which], pa.int32())})
 
-    return sorted(r["part"] for r in whole.select("part", "row", "words", "seeds", *(F.col(c).cast("long").alias(c) for c in ("need", "points"))).groupBy("part").applyInArrow(write, "part int").collect())
+    done = texts.select(part, "row", "words").groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(write, "part int").collect()
+    return sorted(r["part"] for r in done)
 
 
 _read: dict[str, dict[str, np.ndarray]] = {}
@@ -273,8 +283,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST
         found = [a.unionByName(*b) if b else a for a, *b in (found[i:i + 2] for i in range(0, len(found), 2))]
     best = F.max(F.struct("score", (-F.col("end_word")).alias("e"), "n_seeds")).alias("b")
     names = items.join(texts, "words").select("row", "item_id").distinct()
-    leaks = found[0].groupBy("doc_id", "row").agg(best).join(names, "row").groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
-    return leaks.select("doc_id", "item_id", "b.score", (-F.col("b.e")).alias("end_word"), "b.n_seeds")
+    return found[0].join(names, "row").groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", (-F.col("b.e")).alias("end_word"), "b.n_seeds")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
