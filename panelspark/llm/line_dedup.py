@@ -1,12 +1,14 @@
 """Line deduplication by a sharded minimal perfect hash.
 
 Lines are counted as 128-bit hashes of their keys.  The keys found in enough documents get a minimal perfect hash in
-shards of bounded size; it indexes arrays of fingerprints, counts and last documents, which documents probe by line.
+shards of bounded size; it indexes arrays of fingerprints, counts and last documents, which documents probe by line.  Shards
+are memory maps where the storage is mounted: a probe touches some pages, which the workers of a machine share, and a worker
+opens each shard once.  Elsewhere a worker holds whole shards up to CACHE_BYTES.
 Rarer keys have no entry: a 64-bit fingerprint tells them from the entry their slot holds.
 """
 from __future__ import annotations
 
-from functools import lru_cache
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from panelspark.llm.common import Scratch, Store, chunks, mix
 
 SHARD_KEYS = 200_000
+CACHE_BYTES = 64 << 20
+OPEN_SHARDS = 1 << 14
 _BLANK = b" \t\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -26,26 +30,23 @@ class PerfectHash:
     slot() is the number of set bits before a key's place, so n keys fill 0..n-1.  A foreign key gets any slot or -1.
     """
 
-    def __init__(self, levels: list[np.ndarray], sizes: list[int]):
-        self.levels, self.sizes = levels, sizes
-        counts = [np.bitwise_count(w).astype(np.uint32) for w in levels]
-        total, self.before = 0, []
-        for c in counts:
-            self.before.append((np.cumsum(c) - c + total).astype(np.uint32))
-            total += int(c.sum())
-        self.n = total
+    def __init__(self, levels: list[np.ndarray], sizes: list[int], before: list[np.ndarray]):
+        self.levels, self.sizes, self.before = levels, sizes, before
 
     @staticmethod
     def build(keys: np.ndarray, load: float = 0.5) -> PerfectHash:
-        levels, sizes, left = [], [], np.unique(keys)
+        levels, sizes, before, total, left = [], [], [], 0, np.unique(keys)
         while len(left):
             size = max(64, int(len(left) / load) + 63 & ~63)
             at = mix(left, len(levels)) % np.uint64(size)
             alone = np.bincount(at.astype(np.int64), minlength=size) == 1
             levels.append(np.packbits(alone, bitorder="little").view("<u8"))
             sizes.append(size)
+            bits = np.bitwise_count(levels[-1]).astype(np.uint32)
+            before.append((np.cumsum(bits) - bits + total).astype("<u4"))
+            total += int(alone.sum())
             left = left[~alone[at.astype(np.int64)]]
-        return PerfectHash(levels, sizes)
+        return PerfectHash(levels, sizes, before)
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         out, todo = np.full(len(keys), -1, np.int64), np.arange(len(keys))
@@ -60,34 +61,50 @@ class PerfectHash:
 
 
 def _shard_bytes(keys: np.ndarray, marks: np.ndarray, counts: np.ndarray, last: np.ndarray) -> bytes:
-    """head (levels, keys), level sizes, level words, then the arrays in slot order."""
+    """head (levels, keys), level sizes, level words, marks and last documents in slot order, bits before each word, counts."""
     mph = PerfectHash.build(keys)
     slot = mph.slot(keys)
     arrays = []
-    for values, dtype in ((marks, "<u8"), (counts, "<u4"), (last, "<i8")):
-        a = np.empty(mph.n, dtype)
+    for values, dtype in ((marks, "<u8"), (last, "<i8"), (counts, "<u4")):
+        a = np.empty(len(slot), dtype)
         a[slot] = np.minimum(values, 0xFFFFFFFF) if dtype == "<u4" else values
         arrays.append(a)
-    return b"".join(x.tobytes() for x in (np.array([len(mph.sizes), mph.n], "<i8"), np.array(mph.sizes, "<i8"), *mph.levels, *arrays))
+    return b"".join(x.tobytes() for x in (np.array([len(mph.sizes), len(slot)], "<i8"), np.array(mph.sizes, "<i8"), *mph.levels, *arrays[:2], *mph.before, arrays[2]))
 
 
-def _read_shard(data: bytes):
-    n_levels, n = np.frombuffer(data, "<i8", 2)
-    sizes = np.frombuffer(data, "<i8", n_levels, 16)
-    at, levels = 16 + 8 * int(n_levels), []
-    for s in sizes:
-        levels.append(np.frombuffer(data, "<u8", int(s) // 64, at))
-        at += int(s) // 8
-    marks = np.frombuffer(data, "<u8", n, at)
-    counts = np.frombuffer(data, "<u4", n, at + 8 * int(n))
-    last = np.frombuffer(data, "<i8", n, at + 12 * int(n))
-    return PerfectHash(levels, [int(s) for s in sizes]), marks, counts, last
+def _read_shard(data: np.ndarray):
+    """The arrays of a shard as views of its bytes."""
+    at = 0
+
+    def take(n: int, dtype: str) -> np.ndarray:
+        nonlocal at
+        at += n * np.dtype(dtype).itemsize
+        return data[at - n * np.dtype(dtype).itemsize:at].view(dtype)
+
+    n_levels, n = map(int, take(2, "<i8"))
+    sizes = take(n_levels, "<i8").tolist()
+    levels = [take(s // 64, "<u8") for s in sizes]
+    marks, last = take(n, "<u8"), take(n, "<i8")
+    before = [take(s // 64, "<u4") for s in sizes]
+    return PerfectHash(levels, sizes, before), marks, take(n, "<u4"), last
+
+
+_opened: OrderedDict[tuple[str, int], tuple[int, tuple | None]] = OrderedDict()
 
 
-@lru_cache(maxsize=4)
 def _shard(root: str, k: int):
-    data = Store(root).get(f"shard-{k:06d}")
-    return None if data is None else _read_shard(data)
+    """A shard, None for one without keys; those not used for longest go first."""
+    name = root, k
+    if name not in _opened:
+        try:
+            data = Store(root).array(f"shard-{k:06d}", "u1")
+            _opened[name] = 0 if isinstance(data, np.memmap) else len(data), _read_shard(data)
+        except FileNotFoundError:
+            _opened[name] = 0, None
+        while len(_opened) > 1 and (len(_opened) > OPEN_SHARDS or sum(held for held, _ in _opened.values()) > CACHE_BYTES):
+            _opened.popitem(last=False)
+    _opened.move_to_end(name)
+    return _opened[name][1]
 
 
 def line_keys(text: str, least_chars: int) -> list[tuple[int, int, int]]:

@@ -230,6 +230,47 @@ def near_copies():
     return [(i * 3 % 1009, t) for i, t in enumerate(rows)] + EDGES
 
 
+def test_many_shards_are_opened_once_each(spark, tmp_path, monkeypatch):
+    """300 shards, some without keys; every later probe reads what is open.  Whole reads stay within the bytes allowed."""
+    r = np.random.default_rng(3)
+    keys, marks = r.integers(0, 1 << 63, 20_000).astype(np.uint64), r.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    store = line_dedup.Store(f"{tmp_path}/shards")
+    for k in range(300):
+        if k % 7:
+            own = keys % np.uint64(300) == k
+            store.put(f"shard-{k:06d}", line_dedup._shard_bytes(keys[own], marks[own], np.full(own.sum(), 9), np.arange(own.sum())))
+    reads, array = [], line_dedup.Store.array
+    monkeypatch.setattr(line_dedup.Store, "array", lambda self, name, dtype: reads.append(name) or array(self, name, dtype))
+    for _ in range(5):
+        for k in range(300):
+            table = line_dedup._shard(store.root, k)
+            own = keys % np.uint64(300) == k
+            assert (table is None) == (k % 7 == 0)
+            if table is not None:
+                assert (table[1][table[0].slot(keys[own])] == marks[own]).all() and (table[2] == 9).all()
+    assert len(reads) == 300
+    monkeypatch.setattr(line_dedup.Store, "array", lambda self, name, dtype: np.array(array(self, name, dtype)))
+    monkeypatch.setattr(line_dedup, "CACHE_BYTES", 20_000)
+    line_dedup._opened.clear()
+    for k in range(300):
+        line_dedup._shard(store.root, k)
+        assert sum(held for held, _ in line_dedup._opened.values()) <= 20_000
+
+
+def test_line_dedup_over_more_than_a_hundred_shards(spark, monkeypatch):
+    lines = [f"line number {i} that is surely longer than forty characters" for i in range(400)]
+    r = random.Random(8)
+    rows = [(i, "\n".join(r.sample(lines, 12) + [f"own {i}"])) for i in range(500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {x["doc_id"]: x["text"] for x in line_dedup.drop_repeated_lines(df).collect()}
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
+    got = {x["doc_id"]: x["text"] for x in line_dedup.drop_repeated_lines(df).collect()}
+    assert got == want
+    count, last = collections.Counter(x for _, t in rows for x in set(t.split("\n"))), {x: i for i, t in rows for x in t.split("\n")}
+    assert got == {i: "\n".join(x for x in t.split("\n") if len(x) < 40 or count[x] < 5 or last[x] == i) for i, t in rows}
+
+
+
 def test_components_equal_brute_force(spark, empty, monkeypatch):
     rows = near_copies()
     df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(c) for c in EXTRA})
