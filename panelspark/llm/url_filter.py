@@ -15,10 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelspark.llm.common import Scratch, mix, text_buffer
+from panelspark.llm.common import Scratch, text_buffer
 
 ORDERS = 5
-CELLS = 1 << 16
 FOLDS = 2
 ALPHABET = 256
 LEAST_BACKOFF = 0.05
@@ -66,62 +65,6 @@ def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
-def context_cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For `Models`, every character of every URL (bytes, with an end mark): the row, and by order the cells of context and of
-    context plus character.  A context never reaches over the start of its URL."""
-    data, offs = text_buffer(column)
-    n = np.diff(offs)
-    rows = np.repeat(np.arange(len(n)), n + 1)
-    chars = np.full(len(rows), 3, np.uint64)  # end mark
-    begin = np.concatenate([[0], np.cumsum(n + 1)])
-    pos = np.arange(len(rows)) - begin[rows]
-    inner = pos < n[rows]
-    chars[inner] = data
-    ctx = np.zeros((ORDERS + 1, len(rows)), np.int64)
-    nxt = np.zeros((ORDERS + 1, len(rows)), np.int64)
-    state = np.zeros(len(rows), np.uint64)
-    for k in range(ORDERS + 1):
-        if k:
-            back = np.full(len(rows), 2, np.uint64)  # start mark
-            have = pos >= k
-            back[have] = chars[np.flatnonzero(have) - k]
-            state = mix(state ^ back, k)
-        ctx[k] = (mix(state, 50 + k) % np.uint64(CELLS)).astype(np.int64)
-        nxt[k] = (mix(state ^ (chars << np.uint64(32)), 90 + k) % np.uint64(CELLS)).astype(np.int64)
-    return rows, ctx, nxt
-
-
-class Models:
-    """One-process form on hashed cells, for small tables held as an array; `judge` uses the exact counts of `gram_values`."""
-
-    def __init__(self, counts: np.ndarray):
-        self.by_fold = counts.reshape(2, FOLDS, 2, ORDERS + 1, CELLS).astype(np.float64)
-
-    def without(self, fold: int | None) -> tuple[np.ndarray, np.ndarray]:
-        use = self.by_fold.sum(1) - (self.by_fold[:, fold] if fold is not None else 0)
-        return use, (use > 0)
-
-    def score(self, column: pa.Array, fold: int | None = None) -> np.ndarray:
-        """(log p(accepted) - log p(rejected)) / characters.
-
-        An order leaves Witten-Bell's share to the shorter one; the number of distinct continuations of a hashed context is
-        taken as 1 + sqrt of its count.  The share is `LEAST_BACKOFF` at least: a character that neither class has seen
-        after a context that both know well must cost the same in both, however their sizes differ.
-        """
-        use, _ = self.without(fold)
-        rows, ctx, nxt = context_cells(column)
-        log = []
-        for cls in (0, 1):
-            p = np.full(len(rows), 1.0 / ALPHABET)
-            for k in range(ORDERS + 1):
-                c, n = use[cls, 0, k][ctx[k]], use[cls, 1, k][nxt[k]]
-                kinds = 1.0 + np.sqrt(c)
-                back = np.maximum(kinds / (c + kinds), LEAST_BACKOFF)
-                p = (1.0 - back) * np.minimum(n, c) / np.maximum(c, 1.0) + back * p
-            log.append(np.bincount(rows, np.log(np.minimum(p, 1.0)), minlength=len(column)))
-        return (log[1] - log[0]) / np.bincount(rows, minlength=len(column))
-
-
 def context_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """For every character of every URL (bytes, with an end mark): the row, and the key of the character and the `ORDERS`
     before it, the character in the lowest bits, so the low bits of a key are the key of a shorter context."""

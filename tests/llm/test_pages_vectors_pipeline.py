@@ -129,30 +129,6 @@ def test_models_tell_classes_apart(spark):
     assert len(got) == 400 and np.mean([v == ("allow" if k < 600 else "block") for k, v in got.items()]) > 0.95
 
 
-def test_scores_equal_plain_counting():
-    """The vectorised models against a dictionary of hashed cells."""
-    import pyarrow as pa
-    urls = ["http://a.b/c", "http://a.b/d", "", "x"]
-    rows, ctx, nxt = url_filter.context_cells(pa.array(urls))
-    counts = np.zeros((2, url_filter.FOLDS, 2, url_filter.ORDERS + 1, url_filter.CELLS), np.int64)
-    for i, row in enumerate(rows):
-        for k in range(url_filter.ORDERS + 1):
-            counts[row % 2, 0, 0, k, ctx[k][i]] += 1
-            counts[row % 2, 0, 1, k, nxt[k][i]] += 1
-    got = url_filter.Models(counts).score(pa.array(urls))
-    for row in range(4):
-        log = [0.0, 0.0]
-        for i in np.flatnonzero(rows == row):
-            for cls in (0, 1):
-                p = 1 / url_filter.ALPHABET
-                for k in range(url_filter.ORDERS + 1):
-                    c, n = counts[cls, :, 0, k, ctx[k][i]].sum(), counts[cls, :, 1, k, nxt[k][i]].sum()
-                    back = max((1 + c ** 0.5) / (c + 1 + c ** 0.5), url_filter.LEAST_BACKOFF)
-                    p = (1 - back) * min(n, c) / max(c, 1) + back * p
-                log[cls] += np.log(min(p, 1))
-        assert got[row] == pytest.approx((log[1] - log[0]) / (len(urls[row].encode()) + 1))
-
-
 def test_scores_come_from_exact_counts_however_many_contexts(spark):
     """Every count against a dictionary, with more distinct contexts than the 65,536 cells that all once shared."""
     r = random.Random(10)
