@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelspark.functions.scalar import month_idx, month_of, ratio
+from panelspark.functions.stats import steady_sum
 from panelspark.session import ship
 from panelspark.sources.stage import stage
 
@@ -49,8 +50,8 @@ class Views:
     @staticmethod
     def _prices(lines: DataFrame, key, period) -> DataFrame:
         return (lines.groupBy(key.alias("key"), period.alias("period"))
-                .agg(ratio(F.sum("l_extendedprice"), F.sum("l_quantity")).alias("price"),
-                     F.sum("l_quantity").alias("volume")))
+                .agg(ratio(steady_sum("l_extendedprice"), steady_sum("l_quantity")).alias("price"),
+                     steady_sum("l_quantity").alias("volume")))
 
     @cached_property
     def _lines(self) -> DataFrame:
@@ -64,7 +65,7 @@ class Views:
 
     def _by_part(self, attr: str, period) -> DataFrame:
         lines = (self._lines.groupBy("l_partkey", period.alias("period"))
-                 .agg(F.sum("l_extendedprice").alias("l_extendedprice"), F.sum("l_quantity").alias("l_quantity")))
+                 .agg(steady_sum("l_extendedprice").alias("l_extendedprice"), steady_sum("l_quantity").alias("l_quantity")))
         part = self.table("part").select("p_partkey", attr)
         return self._prices(lines.join(part, lines.l_partkey == part.p_partkey), F.col(attr), F.col("period"))
 
