@@ -25,3 +25,8 @@ def copies(tmp_path_factory):
 def test_excess_over_a_copy_of_the_benchmark_is_zero(spark, copies):
     rows = catalog.queries()["a05_quality_ir"](spark, copies).where("key = 'S2'").collect()
     assert len(rows) == 24 and all(r.quality is None for r in rows)  # 0 / 0, not noise / noise
+
+
+def test_a_copy_of_the_benchmark_is_never_above_it(spark, copies):
+    rows = catalog.queries()["f12_raw_on_rules"](spark, copies).where("key = 'S2'").collect()
+    assert len(rows) == 24 and not any(r.plain for r in rows)
