@@ -107,6 +107,7 @@ def g07(v):
 
 
 def excess_pairs(v):
+    v.shared("series", "rates")
     ex = P.attach_rate(v.series, v.rates).select("series_id", "month", (F.col("ret") - F.col("rate")).alias("ret"))
     return P.aligned_pairs(ex, pairs_vs(v))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.functions.scalar import SQRT12, col, ratio
 from panelspark.functions.stats import deflated_sharpe_full, norm_cdf, norm_ppf
+from panelspark.sources.stage import stage
 
 
 def newey_west(df: DataFrame, keys: list[str], order: str, value: str, lags: int = 3) -> DataFrame:
@@ -31,9 +32,13 @@ def hac_difference(pairs: DataFrame, keys: list[str], order: str, kind: str, min
 
     By the delta method the difference is the mean of one influence series.  That series is prewhitened by its first
     autocorrelation; the long-run variance of the rest weighs all pairs of its rows with the quadratic-spectral kernel at
-    the AR(1) plug-in bandwidth.  A group is one pair of series, so the pairs of rows are bounded by the calendar.
+    the AR(1) plug-in bandwidth.  A group is one pair of series, so the pairs of rows are bounded by the calendar.  The
+    series are written between the steps, else one task would hold the sorts of all of them.
     """
-    m = pairs.groupBy(*keys).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.count("*").alias("n")).where(F.col("n") >= min_obs)
+    whole = Window.partitionBy(*keys)
+    w = whole.orderBy(order)
+    m = pairs.select(*keys, order, "x", "y", F.avg("x").over(whole).alias("mx"), F.avg("y").over(whole).alias("my"), F.var_pop("x").over(whole).alias("vx"), F.var_pop("y").over(whole).alias("vy"),
+                     F.count("*").over(whole).alias("n")).where(F.col("n") >= min_obs)
 
     def part(x, mean, var):
         dev = F.col(x) - F.col(mean)
@@ -41,18 +46,16 @@ def hac_difference(pairs: DataFrame, keys: list[str], order: str, kind: str, min
             return dev * dev / F.col(var) - 1.0
         return dev / F.sqrt(var) - F.col(mean) / (2.0 * F.pow(var, F.lit(1.5))) * (dev * dev - F.col(var))
     delta = F.ln(F.col("vx") / F.col("vy")) if kind == "variance" else F.col("mx") / F.sqrt("vx") - F.col("my") / F.sqrt("vy")
-    w = Window.partitionBy(*keys).orderBy(order)
-    d = pairs.join(m, keys).select(*keys, "n", delta.alias("delta"), F.row_number().over(w).alias("i"), (part("x", "mx", "vx") - part("y", "my", "vy")).alias("f"))
-
-    def ar1(df, value, name):
-        lagged = df.withColumn("_g", F.lag(value).over(Window.partitionBy(*keys).orderBy("i"))).where("_g is not null")
-        rho = F.greatest(F.lit(-0.97), F.least(F.lit(0.97), F.sum(F.col(value) * F.col("_g")) / F.sum(F.col("_g") * F.col("_g"))))
-        return lagged.groupBy(*keys).agg(rho.alias(name)), lagged
-    rho, lagged = ar1(d, "f", "rho")
-    u = lagged.join(rho, keys).withColumn("u", F.col("f") - F.col("rho") * F.col("_g")).drop("_g", "f")
-    q, _ = ar1(u, "u", "q")
-    size = u.groupBy(*keys).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("delta").alias("delta"), F.first("rho").alias("rho"))
-    head = size.join(q, keys).withColumn("bandwidth", 1.3221 * F.pow(4.0 * F.col("q") * F.col("q") / F.pow(1.0 - F.col("q"), F.lit(4.0)) * F.col("c"), F.lit(0.2))).drop("q")
+    d = m.select(*keys, "n", delta.alias("delta"), F.row_number().over(w).alias("i"), (part("x", "mx", "vx") - part("y", "my", "vy")).alias("f"))
+    before = whole.orderBy("i")
+
+    def ar1(value, lagged):
+        return F.greatest(F.lit(-0.97), F.least(F.lit(0.97), F.sum(F.col(value) * F.col(lagged)) / F.sum(F.col(lagged) * F.col(lagged))))
+    d = stage(d.withColumn("_g", F.lag("f").over(before)).where("_g is not null"))
+    u = d.join(d.groupBy(*keys).agg(ar1("f", "_g").alias("rho")), keys).withColumn("u", F.col("f") - F.col("rho") * F.col("_g")).drop("_g", "f")
+    u = stage(u.withColumn("_h", F.lag("u").over(before)))
+    size = u.groupBy(*keys).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("delta").alias("delta"), F.first("rho").alias("rho"), ar1("u", "_h").alias("q")).where("c > 1")
+    head = stage(size).withColumn("bandwidth", 1.3221 * F.pow(4.0 * F.col("q") * F.col("q") / F.pow(1.0 - F.col("q"), F.lit(4.0)) * F.col("c"), F.lit(0.2))).drop("q")
     other = u.select(*keys, F.col("i").alias("j"), F.col("u").alias("v"))
     both = u.select(*keys, "i", "u").join(other, keys).join(head.select(*keys, "bandwidth"), keys)
     gap = F.abs(F.col("i") - F.col("j")) / F.col("bandwidth")
