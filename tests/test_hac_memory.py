@@ -1,11 +1,14 @@
 """The HAC test writes its series between the steps: no task holds the sorts of all of them."""
 import math
 
+import pytest
+
 from panelspark.operators import inference as I
 
 
-def test_last_job_of_hac_difference_sorts_no_series(spark):
+@pytest.mark.parametrize("kind", ["sharpe", "variance"])
+def test_last_job_of_hac_difference_sorts_no_series(spark, kind):
     rows = [("a", "b", i, math.sin(i * i), math.cos(3.0 * i)) for i in range(30)]
-    got = I.hac_difference(spark.createDataFrame(rows, "a string, b string, t int, x double, y double"), ["a", "b"], "t", "sharpe")
+    got = I.hac_difference(spark.createDataFrame(rows, "a string, b string, t int, x double, y double"), ["a", "b"], "t", kind)
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.count() == 1
