@@ -201,8 +201,12 @@ def _linked(percent: int) -> Column:
 
 
 def window_pairs(cells: DataFrame, percent: int, nearest: int | None = None) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of rows (region, rid, n, comp, far, classes, block ...) of a cell that are in different
-    components and inside all windows; with `nearest`, only so many for each row, those with the closest class counts."""
+    """Distinct pairs (a, b), a < b, of rows (region, rid, n, pos, comp, far, classes, block ...) of a cell that are in different
+    components and inside all windows; with `nearest`, only so many for each row, those with the closest class counts.
+
+    `pos` is the region's place in the set's global order.  In the first region that two sets share, only what comes after it
+    can be common too; pairs within the radius pass there, and most of their later regions do not repeat them.
+    """
     keys = ["region", "left_block", "right_block"]
     slack = (100 - percent) / 100
     cells = cells.repartition(*keys).sortWithinPartitions(*keys)
@@ -214,15 +218,15 @@ def window_pairs(cells: DataFrame, percent: int, nearest: int | None = None) ->
         def close():
             t = pa.Table.from_batches(held).combine_chunks()
             get = lambda c: t.column(c).to_numpy()
-            rid, n, comp, far, block = get("rid"), get("n"), get("comp"), get("far"), get("block")
+            rid, n, comp, far, block, rest = get("rid"), get("n"), get("comp"), get("far"), get("block"), get("n") - get("pos")
             vec = unpack_classes(t.column("classes"))
             order = np.argsort(n, kind="stable")
-            rid, n, comp, far, block, vec = rid[order], n[order], comp[order], far[order], block[order], vec[order]
+            rid, n, comp, far, block, rest, vec = rid[order], n[order], comp[order], far[order], block[order], rest[order], vec[order]
             upto = np.searchsorted(n * percent, n * 100, "right")  # the larger set has 100 / percent of the smaller at most
             out_a, out_b = [], []
             for i in range(len(rid)):
                 j = np.arange(i + 1, upto[i])
-                j = j[comp[j] != comp[i]]
+                j = j[(comp[j] != comp[i]) & (np.minimum(rest[j], rest[i]) * (100 + percent) >= percent * (n[j] + n[i]))]
                 if key[1] != key[2]:
                     j = j[block[j] != block[i]]
                 j = j[~(np.abs(far[j] - far[i]) > slack + 1e-9)]  # no distance known: stays
@@ -274,14 +278,14 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     once = described.where("n > 0").groupBy("h1", "h2").agg(F.min_by(F.struct("rid", "doc_id", "n", "classes", "fine", "prefix", "salt"), "rid").alias("p")).select("h1", "h2", "p.*")
     reps = scratch.stage(once, "reps")
     scratch.drop(described)
-    tokens = reps.select("rid", "n", F.explode(F.arrays_zip("prefix", "salt")).alias("p")).select(F.col("p.prefix").alias("region"), F.col("p.salt").alias("salt"), "rid", "n")
+    tokens = reps.select("rid", "n", F.posexplode(F.arrays_zip("prefix", "salt")).alias("pos", "p")).select(F.col("p.prefix").alias("region"), F.col("p.salt").alias("salt"), "rid", "n", "pos")
     tokens = tokens.repartition("region", "salt").sortWithinPartitions("region", "salt", "rid")
     classes = reps.select("rid", "n", "classes", "fine")
 
     def shared(batches):
         """Rows of regions with several sets, with the region's pivot; of single ones only where other salts exist."""
         carry = None
-        names = ["region", "salt", "rid", "n"]
+        names = ["region", "salt", "rid", "n", "pos"]
 
         def emit(block):
             region, salt = block["region"], block["salt"]
@@ -312,7 +316,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def salted(region: np.ndarray) -> np.ndarray:
         return cast.value[_cell(region.view(np.uint64))] > SALT_ABOVE
 
-    regions = scratch.stage(tokens.mapInArrow(shared, "region long, salt int, rid long, n long, pivot long, pivot_n long"), "regions")
+    regions = scratch.stage(tokens.mapInArrow(shared, "region long, salt int, rid long, n long, pos int, pivot long, pivot_n long"), "regions")
 
     own = regions.where("rid <> pivot").select("rid", "n", "pivot", "pivot_n")
     tops = regions.where("rid = pivot").groupBy("region").agg(F.min(F.struct("rid", "n")).alias("t"), F.count("*").alias("salts")).where("salts > 1")
@@ -334,14 +338,17 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def left_pairs(first, done, nearest):
         """Pairs of regions with several components that neither windows nor earlier measuring decide."""
-        comp = regions.select("region", "rid", "n", "pivot").join(first.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn("comp", F.coalesce("component", "rid")).drop("component")
+        comp = regions.select("region", "rid", "n", "pos", "pivot").join(first.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn("comp", F.coalesce("component", "rid")).drop("component")
         mixed = comp.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi AND m > 2").select("region")
         left = scratch.stage(comp.join(mixed, "region").join(far, ["pivot", "rid"], "left").join(classes.select("rid", "classes"), "rid"), "left")
         # distances to different pivots do not compare, so a region with several (salted) has none
         one = left.groupBy("region").agg((F.min("pivot") == F.max("pivot")).alias("one"))
         known = F.when(F.col("one"), F.when(F.col("rid") == F.col("pivot"), 0.0).otherwise(F.coalesce("far", F.lit(float("nan"))))).otherwise(float("nan"))
-        cells = in_blocks(left.join(one, "region").select("region", "rid", "n", "comp", known.alias("far"), "classes"), ["region"], "rid", BLOCK)
-        pairs = scratch.stage(near_by_classes(window_pairs(cells, percent, nearest).join(done, ["a", "b"], "left_anti"), classes, percent), "pairs")
+        cells = in_blocks(left.join(one, "region").select("region", "rid", "n", "pos", "comp", known.alias("far"), "classes"), ["region"], "rid", BLOCK)
+        # written first: the optimizer would look up a pair among those done once for each region that holds it
+        found = scratch.stage(window_pairs(cells, percent, nearest), "found")
+        pairs = scratch.stage(near_by_classes(found.join(done, ["a", "b"], "left_anti"), classes, percent), "pairs")
+        scratch.drop(found)
         scratch.drop(left)
         return pairs
 
