@@ -97,6 +97,15 @@ def average_rank(value, partition: list[str]) -> Column:
     return F.when(col(value).isNotNull(), first + (ties - 1) / 2.0)
 
 
+def cuts_below(value: Column, cuts: list[float]) -> Column:
+    """Number of the sorted cuts below a value, by halving: as many steps as the count of cuts has binary digits."""
+    n = len(cuts).bit_length()
+    arr = F.array(*[F.lit(float(c)) for c in [*cuts, *[math.inf] * ((1 << n) - 1 - len(cuts))]]) if cuts else F.array().cast("array<double>")
+    steps = F.array(*[F.lit(1 << k) for k in range(n - 1, -1, -1)]) if cuts else F.array().cast("array<int>")
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(arr, at + step - 1) < value, at + step).otherwise(at))
+    return F.least(found, F.lit(len(cuts)))  # NaN is above the filling too
+
+
 def counted_values(df: DataFrame, group: list[str], value: str, buckets: int = 256) -> tuple[DataFrame, list[float]]:
     """(group, _v, _c, _b): distinct values with their counts, and a bucket by approximate quantile cuts over all rows.
 
@@ -105,8 +114,7 @@ def counted_values(df: DataFrame, group: list[str], value: str, buckets: int = 2
     """
     d = stage(df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")))
     cuts = sorted(set(d.where(~F.isnan("_v")).approxQuantile("_v", [i / buckets for i in range(1, buckets)], 0.001)))
-    arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    return d.withColumn("_b", F.size(F.filter(arr, lambda c: c < F.col("_v")))), cuts
+    return d.withColumn("_b", cuts_below(F.col("_v"), cuts)), cuts
 
 
 def spread_average_rank(df: DataFrame, group: list[str], value: str, out: str, buckets: int = 256) -> DataFrame:
